@@ -39,5 +39,31 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_elias_fano, op3_jump_hash, op6_backtracking_bpe, op9_packing)}
-ORACLES: dict[str, str] = {}
+def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import radix_dedup as m
+
+    return m.duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_ownership as m
+
+    return m.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import link_trust as m
+
+    return m.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_elias_fano, op3_jump_hash, op4_radix_dedup, op6_backtracking_bpe, op8_secret_ownership, op9_packing, op10_link_trust)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import link_trust, radix_dedup
+
+    return {"op4_radix_dedup": radix_dedup.ORACLE, "op10_link_trust": link_trust.ORACLE}
+
+
+ORACLES = _oracles()
