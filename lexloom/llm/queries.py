@@ -15,6 +15,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import noisy_channel as m
+
+    return m.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import elias_fano as m
 
@@ -57,7 +63,7 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_elias_fano, op3_jump_hash, op4_radix_dedup, op6_backtracking_bpe, op8_secret_ownership, op9_packing, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op6_backtracking_bpe, op8_secret_ownership, op9_packing, op10_link_trust)}
 
 
 def _oracles() -> dict[str, str]:
