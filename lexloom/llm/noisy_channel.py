@@ -148,7 +148,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share: float = 0.02, least_evidence: float = 4.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share: float = 0.01, least_evidence: float = 2.5) -> Model:
     """The character model from all texts; evidence and curve from at most max_train
     labelled documents outside the held-out fold (those with the smallest hashed ids, so
     the same ones each time). A word or beginning counts if it is in at least least_share

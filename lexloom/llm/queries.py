@@ -33,6 +33,12 @@ def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash_dedup as m
+
+    return m.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import backtracking_bpe as m
 
@@ -63,7 +69,7 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op6_backtracking_bpe, op8_secret_ownership, op9_packing, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op5_minhash_dedup, op6_backtracking_bpe, op8_secret_ownership, op9_packing, op10_link_trust)}
 
 
 def _oracles() -> dict[str, str]:
