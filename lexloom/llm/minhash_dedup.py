@@ -265,3 +265,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     out = lambda df, c: df.select(doc.alias("doc_id"), "n_shingles", c.alias("component_id"), F.coalesce(doc == c, F.lit(False)).alias("kept"))
     some = out(full.select("id_text", "n_shingles", "print").join(by_print, "print"), F.col("component_id"))
     return some.unionAll(rows.where("n_shingles = 0").select(doc.alias("doc_id"), "n_shingles", doc.alias("component_id"), F.lit(True).alias("kept")))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """docs without all but one document of each group of near copies, all columns. The
+    rows are numbered and stored first, and the numbers serve as ids: of a group the row
+    with the smallest doc_id stays (nulls last), of rows that repeat it any one."""
+    numbered = common.store(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-input")
+    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    grouped = common.store(numbered.select("_row", "doc_id").join(found, "_row"), "minhash-groups")
+    first = grouped.groupBy("_group").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("_id"))
+    rows = grouped.join(first, "_group").where(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("_id")).groupBy("_group").agg(F.min("_row").alias("_row"))
+    return numbered.join(rows.select("_row"), "_row").drop("_row")

@@ -57,6 +57,12 @@ def op4_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pivot_join as m
+
+    return m.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_ownership as m
 
@@ -69,13 +75,13 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op5_minhash_dedup, op6_backtracking_bpe, op8_secret_ownership, op9_packing, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op5_minhash_dedup, op6_backtracking_bpe, op7_pivot_join, op8_secret_ownership, op9_packing, op10_link_trust)}
 
 
 def _oracles() -> dict[str, str]:
-    from . import link_trust, radix_dedup
+    from . import link_trust, pivot_join, radix_dedup
 
-    return {"op4_radix_dedup": radix_dedup.ORACLE, "op10_link_trust": link_trust.ORACLE}
+    return {"op4_radix_dedup": radix_dedup.ORACLE, "op7_pivot_join": pivot_join.ORACLE, "op10_link_trust": link_trust.ORACLE}
 
 
 ORACLES = _oracles()

@@ -108,3 +108,31 @@ def scan(docs: DataFrame, repo: str = "source", max_owners: int = 2) -> DataFram
     some = found.where(F.size("found") > 0).join(judged, "row").select(*cols, told(F.sort_array(F.concat(base, extra))).alias("spans"), "n_live", "n_example", told(F.col("live_spans")).alias("live"))
     none = found.where(F.size("found") == 0).select(*cols, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"), F.lit("").alias("live"))
     return some.unionAll(none)
+
+
+def redact(docs: DataFrame, repo: str = "source", max_owners: int = 2) -> DataFrame:
+    """docs with each live-looking span replaced by ``[REDACTED]`` and n_chars (if there)
+    the new length in code points. Overlapping spans are replaced as one. All rows and
+    columns stay; the rows are numbered and stored first."""
+    numbered = common.store(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-input")
+    live = scan(numbered.withColumn("doc_id", F.col("_row")), repo, max_owners).where("live <> ''").select(F.col("doc_id").alias("_row"), F.col("live").alias("_live"))
+
+    @F.pandas_udf("string")
+    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or t is None else mask(t, s) for t, s in zip(text, spans, strict=True)])
+
+    clean = masked(F.col("text"), F.col("_live"))
+    out = numbered.join(live, "_row", "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.drop("_row", "_live")
+
+
+def mask(text: str, spans: str) -> str:
+    at = sorted((int(s), int(e)) for _, s, e in (x.split(":") for x in spans.split(",")))
+    out, end = [], 0
+    for s, e in at:
+        if s >= end:
+            out += [text[end:s], "[REDACTED]"]
+        end = max(end, e)
+    return "".join(out) + text[end:]
