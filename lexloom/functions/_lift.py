@@ -39,3 +39,18 @@ def any_of(text: Column, phrases: Iterable[str]) -> Column:
     for p in phrases:
         out = out | F.contains(text, F.lit(p))
     return out
+
+
+def arrow_function(returns: str):
+    """A pandas UDF that comes into being where it is used: workers import these modules
+    too, and they have no session to read a type with."""
+
+    def wrap(f):
+        def use(*cols: Column | str) -> Column:
+            return F.pandas_udf(f, returns)(*cols)
+
+        use.__name__, use.__doc__ = f.__name__, f.__doc__
+        use.plain = f
+        return use
+
+    return wrap

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._lift import col
+from ._lift import arrow_function, col
 
 #: The 97.5 % point of the normal distribution.
 Z = 1.959963984540054
@@ -47,7 +47,7 @@ def chi_square(h1, n1, h2, n2, correct: bool = True) -> Column:
     return F.when(bottom > 0, n * F.pow(F.abs(a * d - b * c) - off, F.lit(2.0)) / bottom).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@arrow_function("double")
 def two_sided_p(z: pd.Series) -> pd.Series:
     """There is no error function among the built-in ones; this runs on result rows."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
