@@ -122,14 +122,25 @@ def _fields(text: str, out: dict) -> list[str]:
     """``:field arg: text`` lists; returns the lines before the first."""
     front: list[str] = []
     fields: list[list[str]] = []
+    example: list[str] | None = None
+    open_ = False
     for line in text.split("\n"):
         m = re.match(r"\s*:(\w+)(?:\s+([^:]+))?:\s*(.*)", line)
-        if m:
+        if re.match(r"\s*(?:\.\. code-block::|:Example:)", line):
+            example, open_ = [], False
+        elif m:
             fields.append([m[1], (m[2] or "").strip(), m[3].strip()])
-        elif fields:
+            open_ = True
+        elif example is not None:
+            example.append(line)
+        elif open_ and line.strip():
             fields[-1][2] = f"{fields[-1][2]} {line.strip()}".strip()
-        else:
+        elif not fields:
             front.append(line)
+        else:
+            open_ = False
+    if example and (code := textwrap.dedent("\n".join(example)).strip()):
+        out["examples"].append(code)
     types = {arg: t for f, arg, t in fields if f == "type"}
     kind = next((t for f, _, t in fields if f == "rtype"), None)
     for f, arg, t in fields:
@@ -143,8 +154,6 @@ def _fields(text: str, out: dict) -> list[str]:
             out["raises"].append({"exception_type": arg, "description": t})
         elif f in ("returns", "return"):
             out["returns"] = {"type_str": kind, "description": t}
-        elif f == "Example":
-            out["examples"].append(t)
     if kind and out["returns"] is None:
         out["returns"] = {"type_str": kind, "description": ""}
     return front

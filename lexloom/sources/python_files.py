@@ -17,10 +17,14 @@ def wanted(path: Column, excluded: tuple[str, ...] = EXCLUDED, hidden: bool = Fa
         ok = ok & ~F.exists(parts, lambda p: p.startswith(".") & (F.length(p) > 1) & (p != ".."))
     for g in globs:
         pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in g.rstrip("/*")) + "$"
-        ok = ok & ~F.exists(parts, lambda p, pattern=pattern: p.rlike(pattern))
+        ok = ok & ~_some_like(parts, pattern)
     return ok
 
 
+def _some_like(parts: Column, pattern: str) -> Column:
+    return F.exists(parts, lambda p: p.rlike(pattern))
+
+
 def read(spark: SparkSession, folder: str, **options) -> DataFrame:
     """All *.py files below a folder, decoded as UTF-8 or else Latin-1."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(folder)

@@ -116,7 +116,7 @@ def fold(events: DataFrame, key: str, make, arguments, passed: str = "passed") -
 
 def fold_stream(events: DataFrame, key: str, make, arguments, watermark: str = "10 minutes") -> DataFrame:
     """The same on a stream (key, event_id, ts, x): state is the monitor's fields; a key
-    without events for a day loses it. Late events beyond the watermark are dropped."""
+    without events for a day of event time loses it. Late events beyond the watermark are dropped."""
     names = [n for n, v in asdict(make()).items() if isinstance(v, (int, float, str))]
     kinds = {int: "long", bool: "boolean", float: "double", str: "string"}
     state_schema = ", ".join(f"{n} {kinds[type(getattr(make(), n))]}" for n in names)
@@ -132,10 +132,10 @@ def fold_stream(events: DataFrame, key: str, make, arguments, watermark: str = "
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = [monitor.step(t.timestamp(), arguments(x)) for t, x in zip(rows["ts"], rows["x"], strict=True)]
         state.update(tuple(getattr(monitor, n) for n in names))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 24 * 3600 * 1000)
         yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "passed": out})
 
-    return events.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(work, "event_id long, passed boolean", state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", watermark).groupBy(key).applyInPandasWithState(work, "event_id long, passed boolean", state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_stats(events: DataFrame, key: str, value: str, time: str = "ts", width: str = "1 hour", late: str = "1 hour") -> DataFrame:
