@@ -95,18 +95,38 @@ def reordered(documented: Column, signature: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["p"])
 
 
+def _ratio(x: str, y: str) -> float:
+    """Twice the longest common subsequence over the total length (0 to 1)."""
+    if not x and not y:
+        return 1.0
+    where: dict[str, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    full = free = (1 << len(x)) - 1  # a cleared bit is a letter of x that the subsequence takes
+    for c in y:
+        hit = free & where.get(c, 0)
+        free = (free + hit | free - hit) & full
+    return 2 * (len(x) - free.bit_count()) / (len(x) + len(y))
+
+
+def _token_set_ratio(x: str, y: str) -> float:
+    """The best ratio among shared words, and shared with the rest of either; 1 if one
+    side's words are all in the other's, 0 if a side has none."""
+    a, b = set(x.split()), set(y.split())
+    if not a or not b:
+        return 0.0
+    both = " ".join(sorted(a & b))
+    if both and (not a - b or not b - a):
+        return 1.0
+    left, right = " ".join([both, *sorted(a - b)]).strip(), " ".join([both, *sorted(b - a)]).strip()
+    return max([_ratio(left, right), *((_ratio(both, left), _ratio(both, right)) if both else ())])
+
+
 @arrow_function("double")
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the longest common subsequence over the total length (0 to 1)."""
+    return pd.Series([_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
 
-    def ratio(x: str, y: str) -> float:
-        if not x and not y:
-            return 1.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if c == d else max(row[j], row[j - 1])
-        return 2 * row[-1] / (len(x) + len(y))
-
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+@arrow_function("double")
+def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([_token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])

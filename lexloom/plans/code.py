@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..config import SEVERITY_WEIGHT
 from ..functions._lift import lookup
-from ..operators import docstrings, matching, parse, routing, rules, suggestions
+from ..functions import relevance
+from ..operators import docstrings, matching, parse, retrieval, routing, rules, suggestions
 from ..sources import synthetic
 from .registry import query, table
 
@@ -122,3 +123,34 @@ def converted_style(spark, sf_dir):
 def good_examples(spark, sf_dir):
     p = pairs(spark, sf_dir)
     return routing.good_examples(p, rules.check(p)).select(F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("part"), "quality_score")
+
+
+@query("select p_partkey as part, 'Retrieves and returns data' as purpose from part")
+def function_purpose(spark, sf_dir):
+    return pairs(spark, sf_dir).select("part", relevance.purpose("name").alias("purpose"))
+
+
+@query("""select p_partkey as part, e.exception, case e.exception when 'NetworkError' then false when 'TimeoutError' then false when 'ValidationError' then false else true end as relevant, e.exception in ('ValueError', 'ValidationError') as like_value
+ from part, (values ('ValueError'), ('NetworkError'), ('TimeoutError'), ('ValidationError'), ('KeyError')) as e(exception)""")
+def exception_relevance(spark, sf_dir):
+    x = pairs(spark, sf_dir).select("part", F.lit("describe").alias("name"), F.transform("parameters", lambda p: p["name"]).alias("names"), F.explode(F.array(*map(F.lit, ("ValueError", "NetworkError", "TimeoutError", "ValidationError", "KeyError")))).alias("exception"))
+    return x.select("part", "exception", relevance.exception_relevant("exception", "name", "names").alias("relevant"), relevance.exceptions_match("exception", F.lit("ValueError")).alias("like_value"))
+
+
+@query("select p_partkey as part, 'tag' as told_name, 'label' as own_name from part where false")
+def renamed_parameters(spark, sf_dir):
+    """tag and label share too few letters to be taken for a rename."""
+    x = pairs(spark, sf_dir).select("part", "function_id", F.transform("parameters", lambda p: p["name"]).alias("own"), F.transform("doc.parameters", lambda p: p["name"]).alias("told"))
+    return retrieval.renamed_parameters(x).select(F.regexp_extract("function_id", r"(\d+)$", 1).cast("long").alias("part"), "told_name", "own_name")
+
+
+@query()
+def retrieve_examples(spark, sf_dir):
+    """The functions of every hundredth part against all as a corpus of examples."""
+    p = pairs(spark, sf_dir).select("part", "name", matching.signature_text().alias("signature"), "file_path")
+    corpus = p.select(
+        F.col("part").alias("example_id"), F.col("name").alias("function_name"), F.col("signature").alias("function_signature"), F.regexp_replace(F.translate("file_path", "/", "."), r"\.py$", "").alias("module_path"),
+        (F.col("part") % 5 + 1).cast("int").alias("complexity_score"), (F.col("part") % 3 + 3).cast("int").alias("quality_score"), F.when(F.col("part") % 4 == 0, "accepted").otherwise("curated").alias("source"), (F.lit(1.7e9) - F.col("part") * 86400).alias("timestamp"),
+    )
+    q = p.where("part % 100 = 0").withColumnRenamed("part", "query_id")
+    return retrieval.retrieve(q, corpus, F.lit(1.7e9)).select("query_id", "example_id", F.round("similarity", 9).alias("similarity"), "rank")

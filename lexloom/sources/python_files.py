@@ -16,7 +16,7 @@ def wanted(path: Column, excluded: tuple[str, ...] = EXCLUDED, hidden: bool = Fa
     if not hidden:
         ok = ok & ~F.exists(parts, lambda p: p.startswith(".") & (F.length(p) > 1) & (p != ".."))
     for g in globs:
-        pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in g.rstrip("/*")) + "$"
+        pattern = "^" + "".join(".*" if c == "*" else "." if c == "?" else "\\" + c if not c.isalnum() else c for c in g.removesuffix("/*").rstrip("/")) + "$"
         ok = ok & ~_some_like(parts, pattern)
     return ok
 

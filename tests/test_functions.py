@@ -200,3 +200,40 @@ def test_documentation_scores(spark):
     assert one(spark, docs.actionable("t"), t="Add a Returns section") is True
     assert one(spark, docs.format_of("t"), t="X\n\nParameters\n----------\na : int") == "numpy"
     assert one(spark, json_text.issue_type("t"), t="missing_exception") == "missing_raises"
+
+
+def test_relevance(spark):
+    from lexloom.functions import relevance as r
+
+    assert one(spark, r.parameter_similarity("a", "b"), a="msg", b="message_text") == 0.8
+    assert one(spark, r.parameter_similarity("a", "b"), a="user_name", b="name_list") == 0.5
+    assert one(spark, r.exceptions_match("a", "b"), a="ValueError", b="ValidationError")
+    assert one(spark, r.resolved_import("s", "n", "m"), s="x", n=2, m="a.b.c") == "a.x"
+    assert one(spark, r.resolved_import("s", "n", "m"), s="x", n=4, m="a.b.c") is None
+    e = one(spark, r.example_profile("t"), t="import os\nx = f(1)\n# note\nassert x\nprint(await g())")
+    assert (e["setup"], e["calls"], e["assertions"], e["features"], e["complexity"]) == (1, 1, 2, ["async"], "intermediate")
+
+
+def test_signature_text_reads_back():
+    from lexloom.operators.retrieval import parse_signature
+
+    got = parse_signature("async def f(a, b: dict[str, int] = {}, *c: int, d=(1, 2)) -> list[int]")
+    assert got["name"] == "f" and got["return_type"] == "list[int]"
+    assert [(p["name"], p["type"], p["default"]) for p in got["parameters"]] == [("a", None, None), ("b", "dict[str, int]", "{}"), ("*c", "int", None), ("d", None, "(1, 2)")]
+    assert parse_signature("f(a)")["name"] is None and parse_signature(None)["parameters"] is None
+
+
+def test_token_set_ratio():
+    from lexloom.operators.suggestions import _token_set_ratio as f
+
+    assert f("a b", "b a c") == 1.0 and f("", "a") == 0.0 and round(f("get_user", "get_order"), 3) == round(2 * 6 / 17, 3)
+
+
+def test_retrieval_against_brute_force(spark):
+    from lexloom.operators import retrieval
+
+    q = spark.createDataFrame([(1, "get_user", "def get_user(uid: int) -> str", "a/b.py")], "query_id long, name string, signature string, file_path string")
+    c = spark.createDataFrame([(1, "fetch_user", "def fetch_user(uid: int) -> str", "a.b", 3, 5, "accepted", 0.0), (2, "zzz", "", "x.y", 1, 1, "curated", 0.0)], "example_id long, function_name string, function_signature string, module_path string, complexity_score int, quality_score int, source string, timestamp double")
+    r = retrieval.retrieve(q, c, F.lit(0.0), least=0.0).collect()
+    assert r[0]["example_id"] == 1 and r[0]["similarity"] == 1.0
+    assert r[1]["example_id"] == 2 and r[1]["similarity"] < 0.2
