@@ -46,10 +46,10 @@ def _ab(spark, sf_dir):
     return aggregates.acceptance(e, "ab_group", F.col("event_type") != "error", F.col("event_type").isin("click", "purchase"))
 
 
-@query(f"""with {_SQL_AB}, p as (select *, accepted / shown::double as r, 1.959963984540054 as z from g)
-select coalesce(ab_group, 'all') as ab_group, shown, accepted, round(r, 9) as rate,
- round(greatest(0, (r + z*z/(2*shown) - z * sqrt(r*(1-r)/shown + z*z/(4*shown*shown))) / (1 + z*z/shown)), 9) as ci_low,
- round(least(1, (r + z*z/(2*shown) + z * sqrt(r*(1-r)/shown + z*z/(4*shown*shown))) / (1 + z*z/shown)), 9) as ci_high from (select ab_group, accepted, r, z, shown::double as shown from p)""".replace("select coalesce(ab_group, 'all') as ab_group, shown,", "select coalesce(ab_group, 'all') as ab_group, shown::bigint as shown,"))
+@query(f"""with {_SQL_AB}, p as (select coalesce(ab_group, 'all') as ab_group, shown, accepted, shown::double as n, accepted / shown::double as r, 1.959963984540054 as z from g)
+select ab_group, shown, accepted, round(r, 9) as rate,
+ round(greatest(0, (r + z*z/(2*n) - z * sqrt(r*(1-r)/n + z*z/(4*n*n))) / (1 + z*z/n)), 9) as ci_low,
+ round(least(1, (r + z*z/(2*n) + z * sqrt(r*(1-r)/n + z*z/(4*n*n))) / (1 + z*z/n)), 9) as ci_high from p""")
 def ab_acceptance(spark, sf_dir):
     return _ab(spark, sf_dir).select(F.coalesce("ab_group", F.lit("all")).alias("ab_group"), "shown", "accepted", *(F.round(c, 9).alias(c) for c in ("rate", "ci_low", "ci_high")))
 
@@ -254,9 +254,6 @@ def knn_adjusted(spark, sf_dir):
     return best.where("similarity >= 0.65").select("q_id", "id", F.round("similarity", 9).alias("similarity"), scores.confidence_band("similarity").alias("confidence"))
 
 
-_TOKENS = "[x for x in list_transform(regexp_extract_all(replace(p_name, ' ', '_'), '[A-Z]?[a-z]+'), lambda y: lower(y)) if x <> '']"
-
-
 @query("""with p as (select p_partkey, string_split(lower(p_name), ' ') as t, p_size, p_brand, p_retailprice from part), q as (select * from p where p_partkey % 100 = 0),
 s as (select q.p_partkey as q_id, p.p_partkey as id,
  0.25 * len(list_intersect(list_distinct(q.t), list_distinct(p.t))) / len(list_distinct(list_concat(q.t, p.t)))::double
