@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 
@@ -54,8 +56,25 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def empty_like(spark: SparkSession, schema: str | StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def tidy(work):
+    """For functions that run in Python workers, which Spark keeps between stages: at a
+    task's end memory that is no longer in use goes back to the system."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -5,7 +5,7 @@ a class, which stands for them from then on. Each class has 200 minima in 40 ban
 of every minimum four bits are kept, packed into 100 bytes. Classes that agree on a band are
 candidates. Counting equal four-bit fields of two signatures and correcting for chance
 agreement (1 in 16) estimates their similarity; candidates well below the threshold go
-(five standard errors), all others are compared by their full shingle sets.
+(four standard errors), all others are compared by their full shingle sets.
 
 Candidates are never all pairs of a bucket. The first pass links each class only with the
 smallest class of each of its buckets. Later passes look at buckets whose classes are still
@@ -113,7 +113,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def least_estimate(threshold: float) -> float:
     chance = 1 / 2**BITS
     p = threshold + (1 - threshold) * chance
-    return threshold - 5 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
+    return threshold - 4 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
 
 
 SETS = "id_text string, th long, n_shingles long, print binary, sig binary, bands array<long>"
@@ -124,6 +124,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     hashes; null if empty), packed signature and band keys. th: hash of the whole text."""
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -155,6 +156,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, chunk: int = 200
     wanted = heads.unionByName(dealt.select("a", F.col("b").alias("cls"), "chunk", F.lit(1).alias("role")))
     rows = wanted.join(texts, "cls").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").select("a", "cls", "chunk", "role", "text")
 
+    @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, head = None, None
         for b in batches:
@@ -182,40 +184,64 @@ def _blocked(members: DataFrame, size: int) -> DataFrame:
     return x.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def proposals(members: DataFrame, tested: DataFrame, least: float, size: int = 1000, quota: int = 4) -> DataFrame:
+def proposals(members: DataFrame, tested: DataFrame, least: float, size: int = 1000, quota: int = 32) -> DataFrame:
     """members (bucket, cls, root, sig), tested (a, b) -> new candidate pairs (a < b).
 
     Of each cell, every class proposes its ``quota`` most similar ones in other components
-    that are not tested yet. A cell's tested pairs come with it."""
+    that are not tested yet. A cell's tested pairs come with it; its rows come sorted, so a
+    task holds one cell at a time."""
     cells = _blocked(members, size)
-    known = cells.select("bucket", "lo", "hi", F.col("cls").alias("a")).distinct().join(tested, "a").join(cells.select("bucket", "lo", "hi", F.col("cls").alias("b")).distinct(), ["bucket", "lo", "hi", "b"])
+    places = cells.select("bucket", "lo", "hi", "cls").distinct()
+    known = places.withColumnRenamed("cls", "a").join(tested, "a").join(places.withColumnRenamed("cls", "b"), ["bucket", "lo", "hi", "b"])
     nothing = [F.lit(None).cast("int").alias("own"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("binary").alias("sig")]
     rows = cells.select("bucket", "lo", "hi", "cls", F.lit(None).cast("long").alias("with"), "own", "root", "sig").unionByName(known.select("bucket", "lo", "hi", F.col("a").alias("cls"), F.col("b").alias("with"), *nothing))
+    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", F.col("with").asc_nulls_first(), "cls")
+    cols = ["bucket", "lo", "hi", "cls", F.coalesce("with", F.lit(-1)).alias("with"), F.coalesce("own", F.lit(-1)).alias("own"), F.coalesce("root", F.lit(-1)).alias("root"), "sig"]
 
-    def work(key, cell: pd.DataFrame) -> pd.DataFrame:
-        own = cell[cell["with"].isna()].drop_duplicates("cls").sort_values("cls")
-        past = cell[cell["with"].notna()]
-        cls, root, block = (own[c].to_numpy(np.int64) for c in ("cls", "root", "own"))
-        sig = np.frombuffer(b"".join(own["sig"]), np.uint8).reshape(len(own), -1)
-        done: dict[int, list[int]] = {}
-        for a, b in zip(past["cls"].to_numpy(np.int64), past["with"].to_numpy(np.int64), strict=True):
-            done.setdefault(int(a), []).append(int(b))
-            done.setdefault(int(b), []).append(int(a))
-        out = set()
-        for i in range(len(cls)):
-            ok = root != root[i]
-            if key[1] != key[2]:
-                ok &= block != block[i]
-            if int(cls[i]) in done:
-                ok &= ~np.isin(cls, done[int(cls[i])])
-            at = np.flatnonzero(ok)
-            if len(at):
-                like = estimate(sig[at], sig[i])
-                best = at[like >= least][np.argsort(-like[like >= least], kind="stable")[:quota]]
-                out |= {(int(min(cls[i], cls[j])), int(max(cls[i], cls[j]))) for j in best}
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(work, "a long, b long").distinct()
+    @common.tidy
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, cell, past = None, [], set()
+        for b in batches:
+            out: set[tuple[int, int]] = set()
+            for bucket, lo, hi, cls, partner, own, root, sig in zip(*(b[c].tolist() for c in ("bucket", "lo", "hi", "cls", "with", "own", "root", "sig")), strict=True):
+                if key != (bucket, lo, hi):
+                    out |= best_pairs(cell, past, key is not None and key[1] != key[2], least, quota)
+                    key, cell, past = (bucket, lo, hi), [], set()
+                if partner < 0:
+                    if not cell or cell[-1][0] != cls:
+                        cell.append((cls, root, own, sig))
+                else:
+                    past |= {(cls, partner), (partner, cls)}
+            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(sorted(best_pairs(cell, past, key is not None and key[1] != key[2], least, quota)), columns=["a", "b"], dtype="int64")
+
+    return dealt.select(*cols).mapInPandas(work, "a long, b long").distinct()
+
+
+def best_pairs(cell: list[tuple[int, int, int, bytes]], past: set[tuple[int, int]], apart: bool, least: float, quota: int) -> set[tuple[int, int]]:
+    """cell: (class, component, block, signature) of each. apart: only pairs of two blocks count."""
+    if len(cell) < 2:
+        return set()
+    cls, root, block = (np.array([x[i] for x in cell], np.int64) for i in range(3))
+    if (root == root[0]).all():
+        return set()
+    sig = np.frombuffer(b"".join(x[3] for x in cell), np.uint8).reshape(len(cell), -1)
+    out = set()
+    for i in range(len(cls)):
+        ok = root != root[i]
+        if apart:
+            ok &= block != block[i]
+        at = np.flatnonzero(ok)
+        like = estimate(sig[at], sig[i])
+        at = at[np.argsort(-like, kind="stable")[: int((like >= least).sum())]]
+        mine, left = int(cls[i]), quota
+        for j in cls[at].tolist():
+            if (mine, j) not in past:
+                out.add((min(mine, j), max(mine, j)))
+                left -= 1
+                if not left:
+                    break
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -224,7 +250,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     threshold: per cent of the union that two linked sets have in common. Null, empty and
     blank texts have no shingles and are linked with nothing: component_id is their own id.
     Null ids rank after all others. Of rows that repeat doc_id and text all get the same
-    result. Signatures miss a pair at the threshold itself with a chance of 2 in 100,000,
+    result. Signatures miss a pair at the threshold itself with a chance of 5 in 100,000,
     and fewer above it."""
     rows = common.store(sets_of(docs), "minhash-sets")
     doc = F.col("id_text").cast("long")
