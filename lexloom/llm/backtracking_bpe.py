@@ -181,6 +181,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def _run(docs: DataFrame, path: str, columns: str, made) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, cache = _worker(path)
         for b in batches:

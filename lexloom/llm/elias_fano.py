@@ -131,6 +131,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, seg
     """
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -174,6 +175,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
     for part in sorted(sums):
         before[part], total = total, total + sums[part]
 
+    @common.tidy
     def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for part, start, blob in zip(b["part"], b["part_start"], b["blob"], strict=True):

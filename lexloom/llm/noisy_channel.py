@@ -45,6 +45,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     Each task sends at most 28^3 sums."""
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
@@ -162,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share
     # Bounded by max_train rows of two numbers.
     train = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
+    @common.tidy
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
@@ -182,6 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share
     rows = found.where(F.col("toxic") >= least).select("feature", odds.alias("odds")).where(F.col("odds") >= least_evidence).where("feature <> ''").collect()
     model.evidence = {r["feature"]: r["odds"] for r in rows}
 
+    @common.tidy
     def sums(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"x": [sum(map(model.of_word, model.words(t))) for t in b["text"]], "y": (b["toxic"] > 0).astype(float)})
@@ -212,6 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("score", "_text")]
     schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
 
+    @common.tidy
     def work(batches: Iterable) -> Iterator:
         import pyarrow as pa
 

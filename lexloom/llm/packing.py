@@ -177,6 +177,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     every capacity-th."""
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = wordcache.library_cache(tokenizer_path, False)
         end = np.array([end_id], "<u4")
@@ -200,6 +201,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     gives no rows."""
     made = common.store(pieces(docs, tokenizer_path, end_id, capacity), "pieces")
 
+    @common.tidy
     def number(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -224,6 +226,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     firsts = (rules["length"].map(shorter).to_numpy(np.int64) if len(rules) else np.zeros(0, np.int64)) + rules["rank"].to_numpy(np.int64)
     sequence, each, offset = (rules[k].to_numpy(np.int64) for k in ("sequence", "each", "offset"))
 
+    @common.tidy
     def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             place = b["part"].map(before).to_numpy(np.int64) + b["place"].to_numpy(np.int64)

@@ -80,6 +80,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, b
     centres = _matrix(sample["v"])
     r = math.sqrt(2 - 2 * cosine) + SLACK
 
+    @common.tidy
     def home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = np.full(len(centres), -1.0)
         for b in batches:
@@ -92,6 +93,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, b
     for x in found:
         radius[x["cell"]] = x["radius"]
 
+    @common.tidy
     def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             u = _matrix(b["v"])
@@ -113,6 +115,7 @@ def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, b
     cols = ["cell", "blk", "role", "cls", "times", "u"]
     dealt = homes.select(*cols).unionAll(every.select(*cols)).repartition(max(1, sum(blocks.values())), "cell", "blk").sortWithinPartitions("cell", "blk", "role")
 
+    @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = None
         held: list[pd.DataFrame] = []

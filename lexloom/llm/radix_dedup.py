@@ -29,16 +29,17 @@ def normalised(text="text"):
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4) -> DataFrame:
+def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4, carry: str | None = None) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows whose normalised texts are the same bytes form a group; keep_id is the group's
     largest doc_id, and one row with that doc_id is kept. Null ids rank below all others
     (keep_id is null if the group has no other); of rows that repeat the largest doc_id
-    any one is kept. Other columns are ignored, so their names may clash with nothing.
+    any one is kept. Other columns are ignored, so their names may clash with nothing; the
+    column named by ``carry`` (a long) is returned instead of the digest.
     """
     raw = normalised().cast("binary")
-    rows = docs.select("doc_id", F.unhex(F.sha2(raw, 256)).alias("sha"), F.lit(0).cast("long").alias("node"), raw.alias("rest"))
+    rows = docs.select("doc_id", (F.col(carry) if carry else F.unhex(F.sha2(raw, 256))).alias("sha"), F.lit(0).cast("long").alias("node"), raw.alias("rest"))
     done, width, stored = [], first_block, None
     while True:
         block, last = F.substring("rest", 1, width), F.length("rest") <= width
@@ -61,7 +62,7 @@ def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4) ->
     several = ended.where("n > 1")
     keepers = several.where("doc_id <=> keep_id").groupBy("round", "node").agg(F.min("row").alias("row")).select("round", "row", F.lit(True).alias("first"))
     judged = several.join(keepers, ["round", "row"], "left").withColumn("kept", F.coalesce("first", F.lit(False)))
-    out = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256")]
+    out = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias(carry) if carry else F.lower(F.hex("sha")).alias("text_sha256")]
     return judged.select(*out).unionAll(ended.where("n = 1").withColumn("kept", F.lit(True)).select(*out))
 
 
@@ -69,7 +70,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that ``duplicate_groups`` keeps, all columns. Rows are numbered and
     stored first, so that rows which repeat a doc_id are told apart."""
     numbered = common.store(docs.withColumn("_row", F.monotonically_increasing_id()), "radix-input")
-    kept = duplicate_groups(numbered.select(F.struct(F.col("doc_id"), F.col("_row")).alias("doc_id"), "text")).where("kept").select(F.col("doc_id._row").alias("_row"))
+    kept = duplicate_groups(numbered, carry="_row").where("kept").select("_row")
     return numbered.join(kept, "_row").drop("_row")
 
 

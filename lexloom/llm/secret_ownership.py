@@ -66,6 +66,7 @@ def candidates(docs: DataFrame, repo: str = "source") -> DataFrame:
     SHA-256. owner: what comes before the first slash of the repository."""
     common.small_batches(docs.sparkSession)
 
+    @common.tidy
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
