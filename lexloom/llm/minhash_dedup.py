@@ -9,9 +9,9 @@ agreement (1 in 16) estimates their similarity; candidates well below the thresh
 
 Candidates are never all pairs of a bucket. The first pass links each class only with the
 smallest class of each of its buckets. Later passes look at buckets whose classes are still
-in different components, in blocks of bounded size, and propose for each class the few most
-similar others not yet compared, until none is left: what a pass leaves the next one takes,
-so no candidate pair that could join two components stays unchecked.
+in different components, in blocks of bounded size, and propose for each class others in order
+of similarity, four times as many each pass, until none is left: what a pass leaves the next
+one takes, so no candidate pair that could join two components stays unchecked.
 """
 
 from __future__ import annotations
@@ -184,41 +184,39 @@ def _blocked(members: DataFrame, size: int) -> DataFrame:
     return x.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def proposals(members: DataFrame, tested: DataFrame, least: float, size: int = 1000, quota: int = 32) -> DataFrame:
-    """members (bucket, cls, root, sig), tested (a, b) -> new candidate pairs (a < b).
+def window(step: int) -> tuple[int, int]:
+    """Which ranks of partners a round proposes: 16, then four times as many each round."""
+    return 16 * (4**step - 1) // 3, 16 * (4 ** (step + 1) - 1) // 3
 
-    Of each cell, every class proposes its ``quota`` most similar ones in other components
-    that are not tested yet. A cell's tested pairs come with it; its rows come sorted, so a
-    task holds one cell at a time."""
+
+def proposals(members: DataFrame, least: float, step: int, size: int = 1000) -> DataFrame:
+    """members (bucket, cls, root, sig) -> candidate pairs (a < b), and (-1, -1) if some
+    class has partners beyond this round's window.
+
+    In its cell a class ranks the others by estimated similarity (its components play no
+    part in the order) and proposes those of the window that are in other components; the
+    windows of all rounds cover every rank. Rows come sorted, so a task holds one cell."""
     cells = _blocked(members, size)
-    places = cells.select("bucket", "lo", "hi", "cls").distinct()
-    known = places.withColumnRenamed("cls", "a").join(tested, "a").join(places.withColumnRenamed("cls", "b"), ["bucket", "lo", "hi", "b"])
-    nothing = [F.lit(None).cast("int").alias("own"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("binary").alias("sig")]
-    rows = cells.select("bucket", "lo", "hi", "cls", F.lit(None).cast("long").alias("with"), "own", "root", "sig").unionByName(known.select("bucket", "lo", "hi", F.col("a").alias("cls"), F.col("b").alias("with"), *nothing))
-    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", F.col("with").asc_nulls_first(), "cls")
-    cols = ["bucket", "lo", "hi", "cls", F.coalesce("with", F.lit(-1)).alias("with"), F.coalesce("own", F.lit(-1)).alias("own"), F.coalesce("root", F.lit(-1)).alias("root"), "sig"]
+    dealt = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cls")
 
     @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, cell, past = None, [], set()
+        key, cell = None, []
         for b in batches:
             out: set[tuple[int, int]] = set()
-            for bucket, lo, hi, cls, partner, own, root, sig in zip(*(b[c].tolist() for c in ("bucket", "lo", "hi", "cls", "with", "own", "root", "sig")), strict=True):
+            for bucket, lo, hi, cls, own, root, sig in zip(*(b[c].tolist() for c in ("bucket", "lo", "hi", "cls", "own", "root", "sig")), strict=True):
                 if key != (bucket, lo, hi):
-                    out |= best_pairs(cell, past, key is not None and key[1] != key[2], least, quota)
-                    key, cell, past = (bucket, lo, hi), [], set()
-                if partner < 0:
-                    if not cell or cell[-1][0] != cls:
-                        cell.append((cls, root, own, sig))
-                else:
-                    past |= {(cls, partner), (partner, cls)}
+                    out |= ranked_pairs(cell, key is not None and key[1] != key[2], least, *window(step))
+                    key, cell = (bucket, lo, hi), []
+                if not cell or cell[-1][0] != cls:
+                    cell.append((cls, root, own, sig))
             yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(sorted(best_pairs(cell, past, key is not None and key[1] != key[2], least, quota)), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(sorted(ranked_pairs(cell, key is not None and key[1] != key[2], least, *window(step))), columns=["a", "b"], dtype="int64")
 
-    return dealt.select(*cols).mapInPandas(work, "a long, b long").distinct()
+    return dealt.select("bucket", "lo", "hi", "cls", "own", "root", "sig").mapInPandas(work, "a long, b long").distinct()
 
 
-def best_pairs(cell: list[tuple[int, int, int, bytes]], past: set[tuple[int, int]], apart: bool, least: float, quota: int) -> set[tuple[int, int]]:
+def ranked_pairs(cell: list[tuple[int, int, int, bytes]], apart: bool, least: float, first: int, end: int) -> set[tuple[int, int]]:
     """cell: (class, component, block, signature) of each. apart: only pairs of two blocks count."""
     if len(cell) < 2:
         return set()
@@ -228,19 +226,18 @@ def best_pairs(cell: list[tuple[int, int, int, bytes]], past: set[tuple[int, int
     sig = np.frombuffer(b"".join(x[3] for x in cell), np.uint8).reshape(len(cell), -1)
     out = set()
     for i in range(len(cls)):
-        ok = root != root[i]
+        like = estimate(sig, sig[i])
+        ok = like >= least
+        ok[i] = False
         if apart:
             ok &= block != block[i]
         at = np.flatnonzero(ok)
-        like = estimate(sig[at], sig[i])
-        at = at[np.argsort(-like, kind="stable")[: int((like >= least).sum())]]
-        mine, left = int(cls[i]), quota
-        for j in cls[at].tolist():
-            if (mine, j) not in past:
-                out.add((min(mine, j), max(mine, j)))
-                left -= 1
-                if not left:
-                    break
+        at = at[np.argsort(-like[at], kind="stable")]
+        if (root[at[end:]] != root[i]).any():
+            out.add((-1, -1))
+        for j in at[first:end]:
+            if root[j] != root[i]:
+                out.add((int(min(cls[i], cls[j])), int(max(cls[i], cls[j]))))
     return out
 
 
@@ -274,17 +271,26 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     texts = common.store(texts.join(wanted.withColumn("id_text", F.coalesce("id_text", F.lit(""))), ["id_text", "th"]).select("cls", "text"), "minhash-texts")
 
     links = common.store(confirm(pairs, texts, threshold), "minhash-links")
-    tested, step = pairs, 0
+    tested, step, grown = pairs, 0, True
     while True:
-        roots = common.store(common.components(links, "minhash"), "minhash-roots")
-        rooted = members.select("bucket", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-        split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        new = common.store(proposals(rooted.join(split, "bucket").join(sigs, "cls"), tested, least), f"minhash-new{step}")
-        if new.isEmpty():
+        if grown:  # without new links the components stay as they are
+            roots = common.store(common.components(links, "minhash"), "minhash-roots")
+            rooted = members.select("bucket", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+            split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+            mixed = common.store(rooted.join(split, "bucket").join(sigs, "cls"), "minhash-mixed")
+        asked = common.store(proposals(mixed, least, step), f"minhash-asked{step}")
+        more = not asked.where("a < 0").isEmpty()
+        new = common.store(asked.where("a >= 0").join(tested, ["a", "b"], "left_anti"), f"minhash-new{step}")
+        if not more and new.isEmpty():
             break
         found = common.store(confirm(new, texts, threshold), f"minhash-links{step}")
+        grown = not found.isEmpty()
         links, tested, step = links.unionAll(found), tested.unionAll(new), step + 1
+        if not more:
+            break
 
+    if grown:
+        roots = common.store(common.components(links, "minhash"), "minhash-roots")
     named = roots.withColumnRenamed("node", "cls").join(classes.select("cls", "print", "first"), "cls", "right").select("print", "first", F.coalesce("root", "cls").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.join(smallest, "root").select("print", "component_id")
