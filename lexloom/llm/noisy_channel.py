@@ -38,6 +38,9 @@ for _b in range(256):
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+](?:[ .\-_*~][\w@$!|+]){3,}(?!\S)")
 _NOISY = re.compile(r"[0-9@$!|+(€£]|[.\-_*~]")
 _RUN = re.compile(r"([a-z])\1\1")
+_TWICE = re.compile(r"(.)\1+")
+#: Where a token is cut into parts that are decoded on their own: at what can't stand inside a word, and at every separator.
+_CUTS = (re.compile(r"[^\w@$!|+(€£.\-*~]+"), re.compile(r"[^\w@$!|+(€£]+|_+"))
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
@@ -77,16 +80,26 @@ class Model:
     evidence: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, float] = (-4.0, 0.0)
     restored: dict[str, str] = field(default_factory=dict)
+    table: list | None = None
 
     def restore(self, token: str) -> str:
-        """The most likely letters behind a token."""
+        """The most likely letters behind a token of any length; only short ones are remembered."""
         known = self.restored.get(token)
         if known is None:
-            if len(self.restored) > 200_000:
-                self.restored.clear()
-            known = self.restored[token] = viterbi(token, self.log_p)
+            if self.table is None:
+                self.table = self.log_p.tolist()
+            known = viterbi(token, self.table)
+            if len(token) <= 64:
+                if len(self.restored) > 200_000:
+                    self.restored.clear()
+                self.restored[token] = known
         return known
 
+    def inside(self, run: str) -> Iterator[str]:
+        """Words with evidence in a text written letter by letter, which has lost its word ends."""
+        run = _TWICE.sub(r"\1", run)
+        return (w for w in self.evidence if len(w) > 3 and w[-1] != "*" and _TWICE.sub(r"\1", w) in run)
+
     def of_word(self, word: str) -> float:
         get = self.evidence.get
         return max(get(word, 0.0), get(f"{word[:4]}*", 0.0), get(f"{word[:5]}*", 0.0))
@@ -94,9 +107,9 @@ class Model:
     def words(self, text: str) -> set[str]:
         """Distinct words of a text, as written and, where disguised, restored."""
         t = text.lower()
-        x = _CLASS[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)]
-        runs = len(x) > 2 and bool(((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & (x[2:] > 0)).any())
-        alone = (x[1:-1] > 0) & (x[:-2] == 0) & (x[2:] == 0) if len(x) > 2 else x[:0]
+        x = _CLASS[np.frombuffer(f" {t} ".encode("latin-1", "replace"), np.uint8)]
+        runs = bool(((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & (x[2:] > 0)).any())
+        alone = (x[1:-1] > 0) & (x[:-2] == 0) & (x[2:] == 0)
         out: set[str] = set()
         for c in set(t.split()):
             w = c if c.isalpha() else c.strip(_STRIP)
@@ -104,16 +117,16 @@ class Model:
                 out.add(w)
                 if runs and _RUN.search(w):
                     out.add(self.restore(w))
-            elif w and len(c) <= 40 and _NOISY.search(c):
-                out.update(y for y in re.split(r"[^\w]+|_", w) if y.isalpha())
-                if sum(y.isalpha() for y in w) * 2 >= len(w) - sum(y in SEPARATORS for y in w):
-                    out.add(self.restore(c.strip(".,;:?\"'")))
             elif w:
                 out.update(y for y in re.split(r"[^\w]+|_", w) if y.isalpha())
-        if len(alone) > 4 and (alone[:-2] & alone[2:]).any() or any(s in t for s in LOOKALIKES):
+                for y in {c.strip(".,;:?\"'"), *(z for cut in _CUTS for z in cut.split(w))}:
+                    if _RUN.search(y) if y.isalpha() else _NOISY.search(y) and sum(z.isalpha() for z in y) * 2 >= len(y) - sum(z in SEPARATORS for z in y):
+                        out.add(self.restore(y))
+        if (alone[:-2] & alone[2:]).any() or any(s in t for s in LOOKALIKES):
             for m in _SPACED.finditer(t):
-                if len(m[0]) <= 120:
-                    out.add(self.restore(m[0]))
+                run = self.restore(m[0])
+                out.add(run)
+                out.update(self.inside(run))
         return out
 
     def score(self, text: str) -> float:
@@ -122,27 +135,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total)))))
 
 
-def viterbi(token: str, log_p: np.ndarray, swap: float = -1.0, drop: float = -0.7, keep: float = -0.1) -> str:
+def viterbi(token: str, log_p: np.ndarray | list, swap: float = -1.0, drop: float = -0.7, keep: float = -0.1) -> str:
     """States are the last two classes; an arc emits a letter or nothing. swap: cost of a
-    look-alike; drop: of a repeated letter or separator that stands for nothing."""
-    token = token.lower()
-    best: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    for ch in token:
+    look-alike; drop: of a repeated letter or separator that stands for nothing. Work is in
+    proportion to the token: the states do not grow with it, and paths share their beginnings."""
+    p = log_p.tolist() if isinstance(log_p, np.ndarray) else log_p
+    best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
+    for ch in token.lower():
         arcs: list[tuple[int, str, float]] = []
         if ch in _LETTERS:
             arcs.append((_LETTERS.index(ch) + 1, ch, keep))
         elif ch.isalpha():
             arcs.append((27, ch, keep))
         arcs += [(_LETTERS.index(c) + 1, c, swap) for c in LOOKALIKES.get(ch, "")]
-        after: dict[tuple[int, int, str], tuple[float, str]] = {}
+        after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (a, b, last), (score, text) in best.items():
             options = [(a, b, last, score + drop, text)] if ch in SEPARATORS or not arcs or any(c == last for _, c, _ in arcs) else []
-            options += [(b, k, c, score + cost + float(log_p[a, b, k]), text + c) for k, c, cost in arcs]
+            options += [(b, k, c, score + cost + p[a][b][k], (text, c)) for k, c, cost in arcs]
             for a2, b2, c2, s2, t2 in options:
                 if (a2, b2, c2) not in after or after[a2, b2, c2][0] < s2:
                     after[a2, b2, c2] = (s2, t2)
         best = after
-    return max((s + float(log_p[a, b, 0]), t) for (a, b, _), (s, t) in best.items())[1]
+    path = max(((s + p[a][b][0], t) for (a, b, _), (s, t) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while path is not None:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -345,6 +345,24 @@ def test_disguised_words_are_restored():
     assert m.score("the of and her") < 0.5 and m.score("") < 0.5 and m.score("a1b2c3d4e5f60718 3.14 x=1") < 0.5
 
 
+def insults():
+    counts: Counter = Counter()
+    for text in ["loser trash stupid moron disgusting clown idiot pathetic scum worthless the of and that was her you are"] * 50:
+        x = noisy_channel._CLASS[np.frombuffer(f" {text} ".encode("latin-1"), np.uint8)].astype(int)
+        counts.update(((x[:-2] * 28 + x[1:-1]) * 28 + x[2:]).tolist())
+    return noisy_channel.Model(noisy_channel.log_model(counts), {w: 5.0 for w in "loser idiot pathetic moron trash worthless".split()}, (-4.0, 4.0))
+
+
+def test_no_length_keeps_a_disguise():
+    m = insults()
+    assert {"loser", "pathetic", "moron"} <= m.words("you/f1lthy/l0s3r/and/a/p4thetic/w0rthless/m0ron")
+    spelled = " ".join("you are the of and that was her" * 5).replace("   ", " ")
+    for text in ("that/was/her/and/the/of/you/are/that/was/her/l0ser", "l0s" + "e" * 60 + "r", "you/l.0s.er/and/you/are/that/was/her/and/more", spelled + " l o s e r " + spelled):
+        assert len(text) > 40 and m.score(text) > 0.5, text
+    assert m.score("that/was/her/and/the/of/y0u/are/that/was/her/and") < 0.5 and m.score(spelled) < 0.5
+    assert noisy_channel.viterbi("l.o.s.e.r." * 20_000, m.log_p) == "loser" * 20_000
+
+
 def test_toxicity_learns_from_its_fold_only(spark, none):
     rows, marks = [], []
     for i in range(400):
