@@ -28,6 +28,8 @@ from . import common
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*~"
 _STRIP = ".,;:!?\"'()[]{}<>|*_-~#%&/\\"
+#: Of these what is no look-alike.
+_EDGE = "".join(c for c in _STRIP if c not in LOOKALIKES)
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Model classes: 0 no letter, 1-26 a-z, 27 any other letter.
 CLASSES = 28
@@ -35,7 +37,7 @@ _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = bytes([_b]).decode("latin-1").lower()
     _CLASS[_b] = _LETTERS.index(_c) + 1 if _c in _LETTERS else 27 if _c.isalpha() else 0
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+](?:[ .\-_*~][\w@$!|+]){3,}(?!\S)")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+(€£](?:[ .\-_*~][\w@$!|+(€£]){3,}(?!\S)")
 _NOISY = re.compile(r"[0-9@$!|+(€£]|[.\-_*~]")
 _RUN = re.compile(r"([a-z])\1\1")
 _TWICE = re.compile(r"(.)\1+")
@@ -79,20 +81,21 @@ class Model:
     log_p: np.ndarray
     evidence: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, float] = (-4.0, 0.0)
-    restored: dict[str, str] = field(default_factory=dict)
+    restored: dict[tuple[str, bool], str] = field(default_factory=dict)
     table: list | None = None
 
-    def restore(self, token: str) -> str:
-        """The most likely letters behind a token of any length; only short ones are remembered."""
-        known = self.restored.get(token)
+    def restore(self, token: str, loose: bool = False) -> str:
+        """The most likely letters behind a token of any length; only short ones are
+        remembered. loose: what the edges have of punctuation may be just that."""
+        known = self.restored.get((token, loose))
         if known is None:
             if self.table is None:
                 self.table = self.log_p.tolist()
-            known = viterbi(token, self.table)
+            known = viterbi(token, self.table, loose=_STRIP if loose else "")
             if len(token) <= 64:
                 if len(self.restored) > 200_000:
                     self.restored.clear()
-                self.restored[token] = known
+                self.restored[token, loose] = known
         return known
 
     def inside(self, run: str) -> Iterator[str]:
@@ -119,9 +122,12 @@ class Model:
                     out.add(self.restore(w))
             elif w:
                 out.update(y for y in re.split(r"[^\w]+|_", w) if y.isalpha())
-                for y in {c.strip(".,;:?\"'"), *(z for cut in _CUTS for z in cut.split(w))}:
-                    if _RUN.search(y) if y.isalpha() else _NOISY.search(y) and sum(z.isalpha() for z in y) * 2 >= len(y) - sum(z in SEPARATORS for z in y):
+            if not c.isalpha():
+                for y in readings(c):
+                    if _RUN.search(y) if y.isalpha() else _NOISY.search(y):
                         out.add(self.restore(y))
+                        if y[:2].strip(_STRIP) == "" or y[-2:].strip(_STRIP) == "":
+                            out.add(self.restore(y, True))
         if (alone[:-2] & alone[2:]).any() or any(s in t for s in LOOKALIKES):
             for m in _SPACED.finditer(t):
                 run = self.restore(m[0])
@@ -135,13 +141,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total)))))
 
 
-def viterbi(token: str, log_p: np.ndarray | list, swap: float = -1.0, drop: float = -0.7, keep: float = -0.1) -> str:
+def readings(token: str) -> set[str]:
+    """What a token may be meant as: it and its parts, with all, the innermost or none of the
+    look-alikes at either edge, which may be punctuation as well. All are decoded; their
+    evidence, learned from the same readings, decides."""
+    found = set()
+    for part in {token, *(y for cut in _CUTS for y in cut.split(token))}:
+        part = part.strip(_EDGE)
+        bare = part.strip(_STRIP)
+        if bare:
+            at = part.index(bare)
+            end = at + len(bare)
+            found |= {part[i:j] for i in (0, max(0, at - 1), at) for j in (end, end + 1, len(part))}
+        elif part:
+            found.add(part)
+    return found
+
+
+def viterbi(token: str, log_p: np.ndarray | list, swap: float = -1.0, drop: float = -0.7, keep: float = -0.1, loose: str = "") -> str:
     """States are the last two classes; an arc emits a letter or nothing. swap: cost of a
-    look-alike; drop: of a repeated letter or separator that stands for nothing. Work is in
-    proportion to the token: the states do not grow with it, and paths share their beginnings."""
+    look-alike; drop: of a repeated letter or separator that stands for nothing; loose:
+    characters that may do so at the edges. Work is in proportion to the token: the states
+    do not grow with it, and paths share their beginnings."""
     p = log_p.tolist() if isinstance(log_p, np.ndarray) else log_p
     best: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
-    for ch in token.lower():
+    token = token.lower()
+    inner = range(len(token) - len(token.lstrip(loose)), len(token.rstrip(loose))) if loose else range(len(token))
+    for i, ch in enumerate(token):
         arcs: list[tuple[int, str, float]] = []
         if ch in _LETTERS:
             arcs.append((_LETTERS.index(ch) + 1, ch, keep))
@@ -150,7 +176,7 @@ def viterbi(token: str, log_p: np.ndarray | list, swap: float = -1.0, drop: floa
         arcs += [(_LETTERS.index(c) + 1, c, swap) for c in LOOKALIKES.get(ch, "")]
         after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (a, b, last), (score, text) in best.items():
-            options = [(a, b, last, score + drop, text)] if ch in SEPARATORS or not arcs or any(c == last for _, c, _ in arcs) else []
+            options = [(a, b, last, score + drop, text)] if ch in SEPARATORS or not arcs or i not in inner or any(c == last for _, c, _ in arcs) else []
             options += [(b, k, c, score + cost + p[a][b][k], (text, c)) for k, c, cost in arcs]
             for a2, b2, c2, s2, t2 in options:
                 if (a2, b2, c2) not in after or after[a2, b2, c2][0] < s2:

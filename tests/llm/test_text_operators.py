@@ -350,7 +350,7 @@ def insults():
     for text in ["loser trash stupid moron disgusting clown idiot pathetic scum worthless the of and that was her you are"] * 50:
         x = noisy_channel._CLASS[np.frombuffer(f" {text} ".encode("latin-1"), np.uint8)].astype(int)
         counts.update(((x[:-2] * 28 + x[1:-1]) * 28 + x[2:]).tolist())
-    return noisy_channel.Model(noisy_channel.log_model(counts), {w: 5.0 for w in "loser idiot pathetic moron trash worthless".split()}, (-4.0, 4.0))
+    return noisy_channel.Model(noisy_channel.log_model(counts), {w: 5.0 for w in "loser idiot pathetic moron trash worthless clown".split()}, (-4.0, 4.0))
 
 
 def test_no_length_keeps_a_disguise():
@@ -363,6 +363,13 @@ def test_no_length_keeps_a_disguise():
     assert noisy_channel.viterbi("l.o.s.e.r." * 20_000, m.log_p) == "loser" * 20_000
 
 
+def test_no_gate_keeps_a_disguise():
+    m = insults()
+    for seen, meant in (("1d10t", "idiot"), ("l053r", "loser"), ("7r45h", "trash"), ("w0r7hl355", "worthless"), ("p47h371c", "pathetic"), ("!diot", "idiot"), ("|oser", "loser"), ("(|oser),", "loser"), ("((|own!", "clown"), ("!!(|own", "clown"), ("l053r!!", "loser"), ("of/!diot/her", "idiot"), ("m0r0n", "moron")):
+        assert meant in m.words(f"you {seen} of") and m.score(f"you {seen} of") > 0.5, seen
+    assert m.score("you are 2023 3.14 +49 (of) her!! and $100 |") < 0.5
+
+
 def test_toxicity_learns_from_its_fold_only(spark, none):
     rows, marks = [], []
     for i in range(400):
