@@ -1,15 +1,18 @@
 """URL filtering by rules and by trust that spreads over links.
 
-Rules (host, path) decide what they fit. For other pages each host has two scores of
-personalised PageRank over the graph of hosts: trust starts at hosts with allowed pages and
-follows links; distrust starts at hosts with blocked pages and goes against them, to whoever
-links there. A host starts with the share of its pages that rules allow or block, so one
-blocked folder doesn't condemn a site. A host is blocked if its distrust exceeds its trust
-by more than half of what a wholly blocked host without links has.
+Rules (host, path) decide what they fit. For other pages each host has two scores between 0
+and 1 by personalised PageRank over the graph of hosts. Distrust is the damped chance that a
+walk along links from the host's undecided pages comes to blocked pages; trust the same of a
+walk back along links to allowed ones. Decided pages end a walk. A host starts with the share
+of its pages that rules allow or block, so one blocked folder doesn't condemn a site, and its
+undecided share takes the mean of its links: how many others link to the same place changes
+nothing. A host is blocked if its distrust exceeds its trust by more than a half.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +61,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", host_of(whole).alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, least_change: float = 1e-7) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, least_change: float = 1e-7, mean: bool = False) -> DataFrame:
     """edges (src, dst, links), seeds (host, trust, distrust) -> host, trust, distrust.
 
     Both scores go in one pass: distrust walks the reversed edges. A score is (1 - damping)
     times the seed, plus damping times what the neighbours hand on in proportion to links.
     Each round is a join on the sender and a sum for each receiver, stored; only the
-    largest change goes to the driver. Without edges the seeds decide at once."""
-    seeds = seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
+    largest change goes to the driver. Without edges the seeds decide at once.
+
+    mean: a score is the whole seed, plus, for the share of the host that has no seed,
+    damping times the mean of the neighbours over the receiver's links. It is between 0 and
+    1 and doesn't depend on how many others receive from the same neighbour."""
+    start = 1.0 if mean else 1 - damping
+    seeds = seeds.select("host", (start * F.col("trust")).alias("trust"), (start * F.col("distrust")).alias("distrust"))
+    free = F.lit(damping) * (1 - F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)) if mean else F.lit(1.0))
+    side = "to" if mean else "host"
     walks = edges.select(F.col("src").alias("host"), F.col("dst").alias("to"), "links", F.lit(True).alias("ahead")).unionAll(edges.select(F.col("dst").alias("host"), F.col("src").alias("to"), "links", F.lit(False).alias("ahead")))
-    total = walks.groupBy("host", "ahead").agg(F.sum("links").alias("all"))
-    walks = common.store(walks.join(total, ["host", "ahead"]).select("host", "to", "ahead", (F.col("links") / F.col("all")).alias("w")), "host-walks")
+    total = walks.groupBy(side, "ahead").agg(F.sum("links").alias("all"))
+    walks = common.store(walks.join(total, [side, "ahead"]).select("host", "to", "ahead", (F.col("links") / F.col("all")).alias("w")), "host-walks")
     score = common.store(seeds, "host-seeds")
     if walks.isEmpty():
         return score
@@ -77,11 +87,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         sent = walks.join(score, "host").groupBy(F.col("to").alias("host")).agg(
             F.sum(F.when(F.col("ahead"), F.col("w") * F.col("trust")).otherwise(0.0)).alias("t"), F.sum(F.when(~F.col("ahead"), F.col("w") * F.col("distrust")).otherwise(0.0)).alias("d")
         )
-        every = seeds.join(sent, "host", "full").select("host", *((F.coalesce(a, F.lit(0.0)) + damping * F.coalesce(b, F.lit(0.0))).alias(a) for a, b in (("trust", "t"), ("distrust", "d"))))
+        every = seeds.join(sent, "host", "full").select("host", *((F.coalesce(a, F.lit(0.0)) + free * F.coalesce(b, F.lit(0.0))).alias(a) for a, b in (("trust", "t"), ("distrust", "d"))))
         after = common.store(every, "host-scores")
         change = after.join(score.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), "host", "left").agg(
             F.max(F.greatest(F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))), F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))))
         ).first()[0]
+        if score is not seeds:
+            common.discard(score)
         score = after
         if change is None or change < least_change:
             break
@@ -99,8 +111,9 @@ def judge(pages: DataFrame, rules=RULES, damping: float = 0.85) -> DataFrame:
     ruled = parts.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
     share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     seeds = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(host_edges(pages), seeds, damping)
-    blocked = scores.where(F.col("distrust") - F.col("trust") > (1 - damping) / 2).select("host", F.lit("block").alias("method"))
+    # The damping brings the change of any graph below the least one within these rounds.
+    scores = propagate(host_edges(pages), seeds, damping, rounds=math.ceil(math.log(1e-7) / math.log(damping)) + 1, mean=True)
+    blocked = scores.where(F.col("distrust") - F.col("trust") > 0.5).select("host", F.lit("block").alias("method"))
     open_ = ruled.where("rule is null").join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("method", F.lit("allow")).alias("verdict"))
     return ruled.where("rule is not null").select("page_id", "host", "path", "rule", F.col("said").alias("verdict")).unionAll(open_)
 

@@ -80,6 +80,19 @@ def test_rules(spark):
     assert link_trust.judge(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [1, 2, 7])
+def test_hosts_that_mainly_link_to_blocked_ones_are_blocked(spark, linkers):
+    to = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    rows = [("http://bad.net/es/a", to("deep.org")), ("http://good.com/", to("fine.org")), ("http://clean.org/", "")]
+    for i in range(linkers):
+        rows += [(f"http://farm{i}.org/", to("bad.net")), (f"http://main{i}.org/", to("bad.net", "bad.net", "bad.net", f"own{i}.org")), (f"http://far{i}.org/", to(f"farm{i}.org"))]
+        rows += [(f"http://own{i}.org/", ""), (f"http://half{i}.org/", to("bad.net", "clean.org"))]
+    rows += [("http://fine.org/", to("bad.net")), ("http://deep.org/", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["host"] for r in link_trust.judge(df).collect() if r["verdict"] == "block"}
+    assert got == {"bad.net"} | {f"{k}{i}.org" for k in ("farm", "main", "far") for i in range(linkers)}
+
+
 def test_distrust_goes_against_links_and_trust_along_them(spark):
     link = lambda *hosts: " ".join(f'<a href="http://{h}/">' for h in hosts)
     rows = [(1, "http://bad.net/es/1", ""), (2, "http://farm.org/", link("bad.net")), (3, "http://far.org/", link("farm.org")), (4, "http://good.com/", link("fine.org")), (5, "http://fine.org/", link("good.com", "bad.net")), (6, "http://alone.org/", '<a href="/x">'), (7, "http://bad.net/xx", "")]
