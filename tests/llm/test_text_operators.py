@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -190,6 +191,14 @@ def test_estimate_of_similarity():
         assert abs(minhash_dedup.estimate(x[None], y)[0] - share) < 0.14
 
 
+def test_the_estimate_loses_far_fewer_pairs_than_the_bands():
+    n, t = minhash_dedup.MINIMA, 0.75
+    p = t + (1 - t) / 16
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1) if (k / n - 1 / 16) / (1 - 1 / 16) < minhash_dedup.least_estimate(t))
+    bands = (1 - t**minhash_dedup.ROWS) ** minhash_dedup.BANDS
+    assert lost < bands / 10, (lost, bands)
+
+
 def test_backtracking_equals_the_library(docs, none):
     path = tokenizer("byte_bpe_50k.json")
     rows = odd_rows()
