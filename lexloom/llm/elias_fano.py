@@ -5,7 +5,7 @@ sequences: the document ids, and where each document's ids begin. Elias-Fano kee
 monotone sequence of n values below u in about n * (2 + log2(u / n)) bits: the low bits of
 each value lie packed side by side, the high bits are a bit vector in unary, and value i is
 found by select(i), the position of the i-th set bit. Positions of every 64th set bit are
-sampled, so a select scans a few words. No table of 64-bit offsets exists anywhere.
+sampled, so a select scans a few words. The reader has no table of 64-bit offsets.
 
 Segments are rows of a Parquet table in the shared folder: Spark's writers commit a task's
 segments once, whatever executors are lost, and any store that Spark reads can hold them.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from . import common, wordcache
 
 SAMPLE = 64
+#: Rows that the reader makes at a time.
+SPAN = 1024
 _HEAD = struct.Struct("<QQQB3xII")
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -168,6 +170,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
     """The stored segments -> doc_id, start, n_tokens, ids_crc32 (unsigned, ids as
     little-endian unsigned 32-bit integers), one row per document.
 
+    A document's boundaries come by select, one after the other; they are never expanded.
     Only the sum of each part (one number for each partition written) goes to the driver
     and comes back with the tasks."""
     sums = {r["part"]: r["n"] for r in segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
@@ -180,13 +183,15 @@ def read_token_files(segments: DataFrame) -> DataFrame:
         for b in batches:
             for part, start, blob in zip(b["part"], b["part_start"], b["blob"], strict=True):
                 names, bounds, ids = unpack_segment(blob)
-                at = bounds.all()
-                ids = ids.astype("<u4")
-                yield pd.DataFrame({
-                    "doc_id": pd.array(names, "Int64"),
-                    "start": at[:-1] + start + before[part],
-                    "n_tokens": np.diff(at),
-                    "ids_crc32": [zlib.crc32(ids[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)],
-                })
+                for lo in range(0, len(names), SPAN):
+                    rows = []
+                    p = bounds[lo]
+                    for i in range(lo, min(lo + SPAN, len(names))):
+                        q = bounds[i + 1]
+                        rows.append((start + before[part] + p, q - p, zlib.crc32(ids[p:q].astype("<u4"))))
+                        p = q
+                    out = pd.DataFrame(rows, columns=["start", "n_tokens", "ids_crc32"])
+                    out.insert(0, "doc_id", pd.array(names[lo : lo + SPAN], "Int64"))
+                    yield out
 
     return segments.select("part", "part_start", "blob").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -73,6 +73,29 @@ def test_elias_fano(values):
         assert used < 500 * 2
 
 
+def test_the_reader_finds_boundaries_by_select(spark, monkeypatch):
+    ids = [np.arange(k % 5, dtype="<u2").tobytes() for k in range(3000)]
+    doc_ids = [None, None, *range(-7, 2991)]
+    blob = elias_fano.pack_segment(doc_ids, ids, "H")
+    calls = []
+    real, frame = elias_fano.EliasFano.select, spark.createDataFrame([(0, 10, sum(k % 5 for k in range(3000)), 3000, bytearray(blob))], elias_fano.SEGMENTS)
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in elias_fano.read_token_files(frame).collect() if r["n_tokens"])
+    at, want = 10, []
+    for i, x in zip(doc_ids, ids, strict=True):
+        n = len(x) // 2
+        want += [(at, n, zlib.crc32(np.frombuffer(x, "<u2").astype("<u4")), i)] if n else []
+        at += n
+    assert got == want
+
+    # The reader's own function, here: bounds are read by select and not expanded.
+    monkeypatch.setattr(elias_fano.EliasFano, "select", lambda self, i: calls.append(i) or real(self, i))
+    kept = {}
+    monkeypatch.setattr(elias_fano.common, "tidy", lambda f: kept.setdefault("f", f))
+    elias_fano.read_token_files(frame)
+    rows = sum(map(len, kept["f"]([elias_fano.pd.DataFrame({"part": [0], "part_start": [10], "blob": [blob]})])))
+    assert rows == 3000 and len(calls) >= 3001
+
+
 def test_elias_fano_refuses_disorder():
     with pytest.raises(ValueError):
         elias_fano.EliasFano.build(np.array([2, 1]))
