@@ -194,11 +194,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+#: Fixed: how likely a feature that says nothing may seem to go with toxicity.
+CHANCE = 1e-4
+
+
+def surprise(share: float) -> Column:
+    """n times the divergence of a feature's toxic share from that of all documents: minus
+    the log of Chernoff's bound on the chance of at least so many toxic among the n that
+    have it. Holds for any number of labels; 0 where the share is not above."""
+    n = F.col("toxic") + F.col("clean")
+    part = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
+    return F.when(F.col("toxic") > n * share, part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)).otherwise(0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share: float = 0.01, least_evidence: float = 2.5) -> Model:
     """The character model from all texts; evidence and curve from at most max_train
     labelled documents outside the held-out fold (those with the smallest hashed ids, so
     the same ones each time). A word or beginning counts if it is in at least least_share
-    of the toxic ones (ten at least) and its log odds are least_evidence. To the driver go
+    of the toxic ones, its log odds are least_evidence, and so many toxic ones among those
+    that have it would be a chance of at most ``CHANCE`` if it did not matter. To the driver go
     28^3 counts, at most 1 / least_share features for each word of a text, and max_train
     numbers. Without labels of both kinds nothing has evidence and all scores are low."""
     counts = {r["code"]: r["n"] for r in trigram_counts(docs).collect()}
@@ -224,9 +238,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share
     whole = found.where("feature = ''").first()
     if whole is None or not whole["toxic"] or not whole["clean"]:
         return model
-    least = max(10.0, least_share * whole["toxic"])
+    share = whole["toxic"] / (whole["toxic"] + whole["clean"])
+    least = least_share * whole["toxic"]
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) - math.log((whole["toxic"] + 1) / (whole["clean"] + 1))
-    rows = found.where(F.col("toxic") >= least).select("feature", odds.alias("odds")).where(F.col("odds") >= least_evidence).where("feature <> ''").collect()
+    rows = found.where(F.col("toxic") >= least).where(surprise(share) >= -math.log(CHANCE)).select("feature", odds.alias("odds")).where(F.col("odds") >= least_evidence).where("feature <> ''").collect()
     model.evidence = {r["feature"]: r["odds"] for r in rows}
 
     @common.tidy

@@ -424,3 +424,12 @@ def test_toxicity_learns_from_its_fold_only(spark, none):
     assert key(noisy_channel.score_documents(docs, flipped).collect()) == key(got)
     assert noisy_channel.score_documents(none, labels).count() == 0
     assert {r["predicted"] for r in noisy_channel.score_documents(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_few_labels_give_evidence(spark):
+    rows = [(i, prose(30, i) + (" you l0ser" if i % 8 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(60)], "doc_id long, toxic int")
+    assert labels.where(~noisy_channel.held_out(F.col("doc_id")) & (F.col("toxic") > 0)).count() < 10
+    got = noisy_channel.score_documents(docs, labels).collect()
+    assert {r["doc_id"] for r in got if r["predicted"]} == {i for i, _ in rows if i % 8 == 0}
