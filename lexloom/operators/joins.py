@@ -29,10 +29,11 @@ def unmatched(rows: DataFrame, key: str, matched: DataFrame, at_least: Column |
 def unique_elsewhere(rows: DataFrame, candidates: DataFrame, on: str, not_within: Column) -> DataFrame:
     """Rows with exactly one candidate of the same name outside their own place.
 
-    Candidates of a name are counted before the join; a name that too many share never expands."""
-    few = candidates.groupBy(on).agg(F.count("*").alias("_n"))
-    pairs = rows.alias("r").join(candidates.join(few.where("_n <= 64"), on).alias("c"), on).where(not_within)
-    per = pairs.groupBy("r.id").agg(F.count("*").alias("n"), F.min("c.place").alias("place"))
+    Candidates are counted by name and place before the join, so namesakes of one place are
+    one row; not_within may use the columns of r and c.place."""
+    places = candidates.groupBy(on, "place").agg(F.count("*").alias("_n")).alias("c")
+    pairs = rows.alias("r").join(places, on).where(not_within)
+    per = pairs.groupBy("r.id").agg(F.sum("_n").alias("n"), F.min("c.place").alias("place"))
     return per.where("n = 1").select("id", "place")
 
 

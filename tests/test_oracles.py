@@ -34,3 +34,14 @@ def test_retrieval_plan_prunes_and_limits_before_the_shuffle(spark, sf_dir):
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_extendedprice")
     plan = windows.top_per_key(x, ["l_orderkey"], [F.desc("l_extendedprice"), F.col("l_linenumber")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "l_tax" not in plan
+
+
+def test_many_namesakes_in_the_own_place_hide_no_one(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.operators import joins
+
+    rows = spark.createDataFrame([(1, "f", "a"), (2, "g", "a"), (3, "h", "a")], "id long, name string, place string")
+    found = spark.createDataFrame([("f", "a")] * 100 + [("f", "b"), ("g", "b"), ("g", "b")] + [("h", "a")], "name string, place string")
+    got = joins.unique_elsewhere(rows, found, "name", F.col("r.place") != F.col("c.place")).collect()
+    assert [tuple(r) for r in got] == [(1, "b")]
