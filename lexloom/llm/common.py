@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import gc
@@ -14,16 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
+#: Up to so many rows of a few short columns are sent to every task (``few``).
+FEW = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session names it in ``spark.checkpoint.dir``. Only where that is unset (a local
-    session, as in tests) a folder of this process serves.
+    The session names it in ``spark.checkpoint.dir``, or its context by setCheckpointDir().
+    Where neither is set, a folder of this process serves a local session, as in tests; on a
+    cluster that would lose rows, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = named.get() if named.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if "dir" not in _LOCAL:
             _LOCAL["dir"] = tempfile.mkdtemp(prefix="lexloom-")
             atexit.register(shutil.rmtree, _LOCAL["dir"], True)
@@ -40,13 +50,40 @@ def store(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(back)
     return back
 
 
+@contextlib.contextmanager
+def collecting(tables: list[DataFrame]):
+    """Lists in ``tables`` what is stored meanwhile, for ``discard``."""
+    _SCOPES.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCOPES.pop()
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """A stored table of short rows, to be joined with long ones: marked for broadcast if it
+    has at most ``limit`` rows, which are then not a reason to shuffle the long ones. A
+    larger one is left to a shuffle join with the same result."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that no pending result reads."""
     for t in tables:
-        spark = t.sparkSession
+        spark = SparkSession.getActiveSession() or t.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(t.stored_path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

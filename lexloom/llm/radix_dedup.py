@@ -29,49 +29,66 @@ def normalised(text="text"):
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4, carry: str | None = None) -> DataFrame:
+def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows whose normalised texts are the same bytes form a group; keep_id is the group's
     largest doc_id, and one row with that doc_id is kept. Null ids rank below all others
     (keep_id is null if the group has no other); of rows that repeat the largest doc_id
-    any one is kept. Other columns are ignored, so their names may clash with nothing; the
-    column named by ``carry`` (a long) is returned instead of the digest.
+    any one is kept. Null texts count as empty ones. Other columns are ignored, so their
+    names may clash with nothing. An empty table gives no rows.
     """
-    raw = normalised().cast("binary")
-    rows = docs.select("doc_id", (F.col(carry) if carry else F.unhex(F.sha2(raw, 256))).alias("sha"), F.lit(0).cast("long").alias("node"), raw.alias("rest"))
-    done, width, stored = [], first_block, None
+    rows = common.store(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normalised().alias("text")), "radix-input")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return grouped(rows.select("row", "doc_id", sha.alias("text_sha256"), "text"), ["doc_id", "text_sha256"], first_block, growth).drop("row")
+
+
+def grouped(rows: DataFrame, keep: list[str], first_block: int = 64, growth: int = 4) -> DataFrame:
+    """rows (row, doc_id, text, ...) of a stored table, with unique row numbers and
+    normalised texts -> row, the columns to keep, keep_id, group_size, kept.
+
+    The first round shuffles only the first block of each text. Texts of the rows that are
+    then still in play are read again, by a broadcast of the row numbers if they are few."""
+    raw, width = F.col("text").cast("binary"), first_block
+    names = list(dict.fromkeys(["row", "doc_id", *keep]))
+    now = rows.select(*names, F.lit(0).cast("long").alias("node"), F.substring(raw, 1, width).alias("block"), (F.length(raw) <= width).alias("last"))
+    done: list[DataFrame] = []
     while True:
-        block, last = F.substring("rest", 1, width), F.length("rest") <= width
-        rows = rows.withColumns({"block": block, "last": last})
-        nodes = rows.groupBy("node", "block", "last").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+        nodes = now.groupBy("node", "block", "last").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
         nodes = common.store(nodes.withColumn("child", F.monotonically_increasing_id()), "radix-nodes")
         open_ = ~F.col("last") & (F.col("n") > 1)
-        sent = rows.join(nodes, ["node", "block", "last"]).select(
-            "doc_id", "sha", "n", "keep_id", F.col("child").alias("node"), F.when(open_, F.expr(f"substring(rest, {width + 1})")).alias("rest"), F.monotonically_increasing_id().alias("row")
-        )
+        rest = [F.when(open_, F.expr(f"substring(rest, {width + 1})")).alias("rest")] if done else []
+        sent = now.join(nodes, ["node", "block", "last"]).select(*names, "n", "keep_id", F.col("child").alias("node"), open_.alias("open"), *rest)
         sent = common.store(sent, "radix-rows")
         common.discard(nodes)
-        done.append(sent.where("rest is null").select(F.lit(len(done)).alias("round"), "doc_id", "sha", "n", "keep_id", "node", "row"))
-        stored = sent
-        rows = stored.where("rest is not null").select("doc_id", "sha", "node", "rest")
-        if rows.isEmpty():
+        done.append(sent.where("not open").select(F.lit(len(done)).alias("round"), *names, "n", "keep_id", "node"))
+        going = sent.where("open").select(*names, "node", *(["rest"] if rest else []))
+        if going.isEmpty():
             break
+        if not rest:
+            going = common.few(going).join(rows.select("row", F.expr(f"substring(cast(text as binary), {width + 1})").alias("rest")), "row")
         width *= growth
+        now = going.select(*names, "node", F.substring("rest", 1, width).alias("block"), (F.length("rest") <= width).alias("last"), "rest")
+        if not rest:
+            now = common.store(now, "radix-open")
     ended = functools.reduce(DataFrame.unionAll, done)
     several = ended.where("n > 1")
-    keepers = several.where("doc_id <=> keep_id").groupBy("round", "node").agg(F.min("row").alias("row")).select("round", "row", F.lit(True).alias("first"))
-    judged = several.join(keepers, ["round", "row"], "left").withColumn("kept", F.coalesce("first", F.lit(False)))
-    out = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.col("sha").alias(carry) if carry else F.lower(F.hex("sha")).alias("text_sha256")]
+    keepers = several.where("doc_id <=> keep_id").groupBy("round", "node").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    judged = several.join(keepers, "row", "left").withColumn("kept", F.coalesce("first", F.lit(False)))
+    out = ["row", *keep, "keep_id", F.col("n").alias("group_size"), "kept"]
     return judged.select(*out).unionAll(ended.where("n = 1").withColumn("kept", F.lit(True)).select(*out))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that ``duplicate_groups`` keeps, all columns. Rows are numbered and
-    stored first, so that rows which repeat a doc_id are told apart."""
-    numbered = common.store(docs.withColumn("_row", F.monotonically_increasing_id()), "radix-input")
-    kept = duplicate_groups(numbered, carry="_row").where("kept").select("_row")
-    return numbered.join(kept, "_row").drop("_row")
+    """Of each group of equal texts (null: empty) the row that ``duplicate_groups`` keeps,
+    with all columns, whatever their names. Rows are numbered and stored first, so that rows which
+    repeat a doc_id are told apart. Only the numbers of the rows that go, not texts, are
+    joined with the table. An empty table stays empty."""
+    row = common.free_name(docs, "row")
+    numbered = common.store(docs.withColumn(row, F.monotonically_increasing_id()), "radix-input")
+    found = grouped(numbered.select(F.col(row).alias("row"), "doc_id", normalised().alias("text")), [])
+    gone = common.store(found.where("not kept").select(F.col("row").alias(row)), "radix-gone")
+    return numbered.join(common.few(gone), row, "left_anti").drop(row)
 
 
 ORACLE = """
