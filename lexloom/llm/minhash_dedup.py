@@ -7,11 +7,13 @@ candidates. Counting equal four-bit fields of two signatures and correcting for
 agreement (1 in 16) estimates their similarity; candidates well below the threshold go
 (five standard errors), all others are compared by their full shingle sets.
 
-Candidates are never all pairs of a bucket. The first pass links each class only with the
-smallest class of each of its buckets. Later passes look at buckets whose classes are still
-in different components, in blocks of bounded size, and propose for each class others in order
-of similarity, four times as many each pass, until none is left: what a pass leaves the next
-one takes, so no candidate pair that could join two components stays unchecked.
+Candidates are never all pairs of a bucket. A first pass links each class with the three
+most similar of the smallest classes of its buckets. After it only buckets whose classes are
+in different components matter: each is cut into cells of bounded size, in which all pairs
+of different components meet once; classes of the component that has most of the bucket are
+not compared with each other. A cell first looks at signatures alone and names the classes that
+have a candidate; only their shingle sets are then sent to the cell, which counts exactly,
+skips what has become one component meanwhile, and returns links between components.
 """
 
 from __future__ import annotations
@@ -144,101 +146,166 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id_text"), F.xxhash64(normalised()).alias("th"), normalised().alias("text"))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, threshold: int, chunk: int = 200) -> DataFrame:
-    """pairs (a, b), texts (cls, text) -> the pairs with 100 * common >= threshold * union.
+def common_size(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted arrays without repetitions share."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(b) else 0
 
-    A pair's members meet under (a, chunk): a's text once for each chunk of at most about
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: int, chunk: int = 200) -> DataFrame:
+    """pairs (a, b), sets (cls, hashes) -> the pairs with 100 * common >= threshold * union.
+
+    A pair's members meet under (a, chunk): a's set once for each chunk of at most about
     ``chunk`` partners, before theirs, so a task holds one set and reads the partners' one
     by one, and a class with very many partners is dealt to many tasks."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
     heads = many.select("a", F.col("a").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
     wanted = heads.unionByName(dealt.select("a", F.col("b").alias("cls"), "chunk", F.lit(1).alias("role")))
-    rows = wanted.join(texts, "cls").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").select("a", "cls", "chunk", "role", "text")
+    rows = wanted.join(sets, "cls").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").select("a", "cls", "role", "hashes")
 
     @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, head = None, None
+        head = np.zeros(0, np.uint64)
         for b in batches:
             out = []
-            for a, cls, c, role, text in b.itertuples(index=False):
+            for a, cls, role, blob in b.itertuples(index=False):
+                s = np.frombuffer(blob, np.uint64)
                 if role == 0:
-                    if key != (a, c):
-                        key, head = (a, c), shingles(text)
+                    head = s
                     continue
-                s = shingles(text)
-                common_ = len(np.intersect1d(head, s, assume_unique=True))
-                if 100 * common_ >= threshold * (len(head) + len(s) - common_):
+                both = common_size(head, s)
+                if 100 * both >= threshold * (len(head) + len(s) - both):
                     out.append((a, cls))
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return rows.mapInPandas(work, "a long, b long")
 
 
-def _blocked(members: DataFrame, size: int) -> DataFrame:
-    """members (bucket, cls, ...) dealt so that any two of a bucket meet in a cell of at
-    most about twice ``size`` rows: buckets are cut into blocks by hash, each pair of blocks is a cell."""
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    x = members.join(counts, "bucket").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return x.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other")
+CELL = "bucket long, lo int, hi int, cls long, own int, root long, n_shingles int, sig binary, bands array<long>"
+
+
+def cells(rooted: DataFrame, classes: DataFrame, size: int = 1000, per_unit: int = 2000) -> DataFrame:
+    """rooted (bucket, cls, n_shingles, root) -> rows of CELL. In a bucket of several
+    components, any two classes of different ones meet in exactly one cell (bucket, lo, hi).
+
+    A block holds about ``size`` units, a class counting one for itself and one for each
+    ``per_unit`` shingles. Classes of the bucket's largest component have blocks of their own,
+    which meet those of the others only: a bucket of n classes, of which k are outside the
+    largest component, makes about (n + k) * (1 + k / size) rows."""
+    unit = 1 + F.floor(F.col("n_shingles") / per_unit)
+    by_root = rooted.groupBy("bucket", "root").agg(F.sum(unit).alias("units"))
+    mixed = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("units", "root")).alias("main"), F.max("units").alias("most"), F.sum("units").alias("all")).where("roots > 1")
+    blocks = lambda units: F.ceil(units / size).cast("int")
+    mixed = mixed.select("bucket", "main", blocks(F.col("most")).alias("inner"), blocks(F.col("all") - F.col("most")).alias("outer"))
+    x = rooted.join(mixed, "bucket").withColumn("of_main", F.col("root") == F.col("main"))
+    draw = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    x = x.withColumn("own", F.when(F.col("of_main"), F.col("outer") + draw(F.col("inner"))).otherwise(draw(F.col("outer"))))
+    last = F.when(F.col("of_main"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    x = x.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "own", "root")
+    return x.join(classes.select("cls", F.col("n_shingles").cast("int").alias("n_shingles"), "sig", "bands"), "cls").select("bucket", "lo", "hi", "cls", "own", "root", "n_shingles", "sig", "bands")
+
+
+class Cell:
+    """The classes of one cell. ``partners`` says which later ones a class is to be compared
+    with: of another component (as merged so far) and, if the cell joins two blocks, of the
+    other block; similar enough by size and signature; and with no earlier band in common, in
+    whose cell the pair is compared already."""
+
+    def __init__(self, bucket: int, apart: bool, rows: pd.DataFrame, least: float, threshold: int):
+        self.apart, self.least, self.threshold = apart, least, threshold
+        self.cls, self.own, self.root, self.n = (rows[c].to_numpy(np.int64) for c in ("cls", "own", "root", "n_shingles"))
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        self.bands = np.stack(rows["bands"].to_numpy())
+        self.band = int((self.bands[0] == bucket).argmax())
+        self.same = self.root.copy()
+
+    def partners(self, i: int) -> np.ndarray:
+        ok = self.same[i + 1 :] != self.same[i]
+        if self.apart:
+            ok &= self.own[i + 1 :] != self.own[i]
+        n, m = self.n[i], self.n[i + 1 :]
+        ok &= 100 * np.minimum(n, m) >= self.threshold * np.maximum(n, m)
+        at = np.flatnonzero(ok) + i + 1
+        if len(at):
+            at = at[estimate(self.sig[at], self.sig[i]) >= self.least]
+        if len(at):
+            at = at[(self.bands[at] == self.bands[i]).argmax(1) == self.band]
+        return at
+
+    def merge(self, i: int, j: int) -> None:
+        self.same[self.same == self.same[j]] = self.same[i]
+
+
+def _by_cell(batches: Iterable[pd.DataFrame], least: float, threshold: int) -> Iterator[tuple[Cell, pd.DataFrame]]:
+    """Rows that come sorted by cell, a cell at a time; a class that comes twice counts once."""
+    held: list[pd.DataFrame] = []
+    key = None
+
+    def made() -> tuple[Cell, pd.DataFrame]:
+        rows = pd.concat(held, ignore_index=True).drop_duplicates("cls", ignore_index=True)
+        return Cell(key[0], key[1] != key[2], rows, least, threshold), rows
+
+    for b in batches:
+        for k, part in b.groupby(["bucket", "lo", "hi"], sort=False):
+            if k != key and held:
+                yield made()
+                held = []
+            key = k
+            held.append(part)
+    if held:
+        yield made()
+
+
+def wanted(dealt: DataFrame, least: float, threshold: int) -> DataFrame:
+    """The rows of cells whose classes have a candidate there."""
 
+    @common.tidy
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell, rows in _by_cell(batches, least, threshold):
+            hit = np.zeros(len(rows), bool)
+            for i in range(len(rows)):
+                at = cell.partners(i)
+                hit[at] = True
+                hit[i] |= len(at) > 0
+            yield rows[hit]
 
-def window(step: int) -> tuple[int, int]:
-    """Which ranks of partners a round proposes: 16, then four times as many each round."""
-    return 16 * (4**step - 1) // 3, 16 * (4 ** (step + 1) - 1) // 3
-
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cls").mapInPandas(work, CELL)
 
-def proposals(members: DataFrame, least: float, step: int, size: int = 1000) -> DataFrame:
-    """members (bucket, cls, root, sig) -> candidate pairs (a < b), and (-1, -1) if some
-    class has partners beyond this round's window.
 
-    In its cell a class ranks the others by estimated similarity (its components play no
-    part in the order) and proposes those of the window that are in other components; the
-    windows of all rounds cover every rank. Rows come sorted, so a task holds one cell."""
-    cells = _blocked(members, size)
-    dealt = cells.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cls")
+def settle(asked: DataFrame, sets: DataFrame, least: float, threshold: int, most: int = 2_000_000) -> DataFrame:
+    """Rows of cells and the sets of their classes -> links (a, b) between components, enough
+    of them to connect what the exact links connect. ``most``: shingles looked up at a time."""
+    rows = asked.join(sets, "cls").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cls")
 
     @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, cell = None, []
-        for b in batches:
-            out: set[tuple[int, int]] = set()
-            for bucket, lo, hi, cls, own, root, sig in zip(*(b[c].tolist() for c in ("bucket", "lo", "hi", "cls", "own", "root", "sig")), strict=True):
-                if key != (bucket, lo, hi):
-                    out |= ranked_pairs(cell, key is not None and key[1] != key[2], least, *window(step))
-                    key, cell = (bucket, lo, hi), []
-                if not cell or cell[-1][0] != cls:
-                    cell.append((cls, root, own, sig))
-            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(sorted(ranked_pairs(cell, key is not None and key[1] != key[2], least, *window(step))), columns=["a", "b"], dtype="int64")
-
-    return dealt.select("bucket", "lo", "hi", "cls", "own", "root", "sig").mapInPandas(work, "a long, b long").distinct()
-
-
-def ranked_pairs(cell: list[tuple[int, int, int, bytes]], apart: bool, least: float, first: int, end: int) -> set[tuple[int, int]]:
-    """cell: (class, component, block, signature) of each. apart: only pairs of two blocks count."""
-    if len(cell) < 2:
-        return set()
-    cls, root, block = (np.array([x[i] for x in cell], np.int64) for i in range(3))
-    if (root == root[0]).all():
-        return set()
-    sig = np.frombuffer(b"".join(x[3] for x in cell), np.uint8).reshape(len(cell), -1)
-    out = set()
-    for i in range(len(cls)):
-        like = estimate(sig, sig[i])
-        ok = like >= least
-        ok[i] = False
-        if apart:
-            ok &= block != block[i]
-        at = np.flatnonzero(ok)
-        at = at[np.argsort(-like[at], kind="stable")]
-        if (root[at[end:]] != root[i]).any():
-            out.add((-1, -1))
-        for j in at[first:end]:
-            if root[j] != root[i]:
-                out.add((int(min(cls[i], cls[j])), int(max(cls[i], cls[j]))))
-    return out
+        for cell, rows in _by_cell(batches, least, threshold):
+            out = []
+            flat, codes = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]]), return_inverse=True)
+            marked = np.zeros(len(flat), bool)
+            codes = np.split(codes.astype(np.int32), np.cumsum(cell.n)[:-1])
+            for i in range(len(rows)):
+                at = cell.partners(i)
+                marked[codes[i]] = True
+                while len(at):
+                    part = at[: max(1, int(np.searchsorted(np.cumsum(cell.n[at]), most, "right")))]
+                    at = at[len(part) :]
+                    ends = np.cumsum(cell.n[part])
+                    both = np.add.reduceat(marked[np.concatenate([codes[j] for j in part])], ends - cell.n[part], dtype=np.int64)
+                    for j in part[100 * both >= threshold * (cell.n[i] + cell.n[part] - both)]:
+                        if cell.same[j] != cell.same[i]:
+                            out.append((cell.root[i], cell.root[j]))
+                            cell.merge(i, j)
+                    at = at[cell.same[at] != cell.same[i]]
+                marked[codes[i]] = False
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.select(*(f.split(" ")[0] for f in CELL.split(", ")), "hashes").mapInPandas(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -247,65 +314,75 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     threshold: per cent of the union that two linked sets have in common. Null, empty and
     blank texts have no shingles and are linked with nothing: component_id is their own id.
     Null ids rank after all others. Of rows that repeat doc_id and text all get the same
-    result. Signatures miss a pair at the threshold itself with a chance of 5 in 100,000,
-    and fewer above it."""
+    result. Other columns are ignored; an empty table gives no rows. Signatures miss a pair at
+    the threshold itself with a chance of 2 in 100,000, and fewer above it."""
     rows = common.store(sets_of(docs), "minhash-sets")
     doc = F.col("id_text").cast("long")
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("print").agg(F.min(doc).alias("first"), F.min_by("th", doc).alias("th"), F.min("th").alias("any_th"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = common.store(classes.select(F.monotonically_increasing_id().alias("cls"), "print", "first", F.coalesce("th", "any_th").alias("th"), "sig", "bands"), "minhash-classes")
+    by_print = full.groupBy("print").agg(
+        F.min(doc).alias("first"), F.min_by("th", doc).alias("th"), F.min("th").alias("any_th"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+    )
+    classes = common.store(by_print.select(F.monotonically_increasing_id().alias("cls"), "print", "first", F.coalesce("th", "any_th").alias("th"), "n_shingles", "sig", "bands"), "minhash-classes")
 
-    keys = classes.select("cls", F.explode("bands").alias("bucket"))
+    keys = classes.select("cls", "n_shingles", F.explode("bands").alias("bucket"))
     leaders = keys.groupBy("bucket").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
-    members = common.store(keys.join(leaders, "bucket").select("bucket", "cls", "a"), "minhash-members")
-    sigs = classes.select("cls", "sig")
+    members = common.store(keys.join(leaders, "bucket").select("bucket", "cls", "n_shingles", "a"), "minhash-members")
     least = least_estimate(threshold / 100)
+    of = lambda x: classes.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    star = members.where("a <> cls").select("a", F.col("cls").alias("b")).distinct().join(of("a"), "a").join(of("b"), "b")
+    star = star.where(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
     fields = F.pandas_udf(lambda a, b: pd.Series(estimate(np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1), np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1))), "double")
-    star = members.where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = common.store(star.where(fields("sig_a", "sig_b") >= least).select("a", "b"), "minhash-pairs")
-
-    # Texts of classes that share a bucket; rows that repeat doc_id and text come once.
-    wanted = classes.join(members.select("cls").distinct(), "cls").select("cls", F.col("first").cast("string").alias("id_text"), "th")
-    texts = _texts(docs).withColumn("id_text", F.coalesce("id_text", F.lit("")))
-    texts = common.store(texts.join(wanted.withColumn("id_text", F.coalesce("id_text", F.lit(""))), ["id_text", "th"]).select("cls", "text"), "minhash-texts")
-
-    links = common.store(confirm(pairs, texts, threshold), "minhash-links")
-    tested, step, grown = pairs, 0, True
-    while True:
-        if grown:  # without new links the components stay as they are
-            roots = common.store(common.components(links, "minhash"), "minhash-roots")
-            rooted = members.select("bucket", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-            split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-            mixed = common.store(rooted.join(split, "bucket").join(sigs, "cls"), "minhash-mixed")
-        asked = common.store(proposals(mixed, least, step), f"minhash-asked{step}")
-        more = not asked.where("a < 0").isEmpty()
-        new = common.store(asked.where("a >= 0").join(tested, ["a", "b"], "left_anti"), f"minhash-new{step}")
-        if not more and new.isEmpty():
-            break
-        found = common.store(confirm(new, texts, threshold), f"minhash-links{step}")
-        grown = not found.isEmpty()
-        links, tested, step = links.unionAll(found), tested.unionAll(new), step + 1
-        if not more:
-            break
-
-    if grown:
-        roots = common.store(common.components(links, "minhash"), "minhash-roots")
-    named = roots.withColumnRenamed("node", "cls").join(classes.select("cls", "print", "first"), "cls", "right").select("print", "first", F.coalesce("root", "cls").alias("root"))
+    star = star.select("a", "b", fields("sig_a", "sig_b").alias("like")).where(F.col("like") >= least)
+    best = F.slice(F.sort_array(F.collect_list(F.struct("like", "a")), asc=False), 1, 3)  # of at most one for each band
+    pairs = common.store(star.groupBy("b").agg(best.alias("best")).select("b", F.explode("best.a").alias("a")), "minhash-pairs")
+
+    sets = common.store(_sets(docs, rows, classes.join(members.select("cls").distinct(), "cls", "left_semi")), "minhash-hashes")
+    links = common.store(confirm(pairs, sets, threshold), "minhash-links")
+    roots = common.store(common.components(links, "minhash"), "minhash-roots")
+    rooted = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", "n_shingles", F.coalesce("root", "cls").alias("root"))
+    asked = common.store(wanted(cells(rooted, classes), least, threshold), "minhash-asked")
+    more = common.store(settle(asked, sets, least, threshold), "minhash-more")
+    last = common.store(common.components(more, "minhash-last"), "minhash-last").select(F.col("node").alias("root"), F.col("root").alias("joined"))
+
+    named = classes.select("cls", "print", "first").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = named.join(last, "root", "left").select("print", "first", F.coalesce("joined", "root").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(smallest, "root").select("print", "component_id")
+    ids = common.store(named.join(smallest, "root").select("print", "component_id"), "minhash-ids")
+    common.discard(classes, members, pairs, sets, links, roots, asked, more)
     out = lambda df, c: df.select(doc.alias("doc_id"), "n_shingles", c.alias("component_id"), F.coalesce(doc == c, F.lit(False)).alias("kept"))
-    some = out(full.select("id_text", "n_shingles", "print").join(by_print, "print"), F.col("component_id"))
+    some = out(full.select("id_text", "n_shingles", "print").join(ids, "print"), F.col("component_id"))
     return some.unionAll(rows.where("n_shingles = 0").select(doc.alias("doc_id"), "n_shingles", doc.alias("component_id"), F.lit(True).alias("kept")))
 
 
+def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, hashes) of the classes that share a bucket, from one document of each: the text
+    of its first id. Only ids are sent to the texts where the classes are few. Rows that repeat
+    doc_id and text come once."""
+    known = lambda df: df.withColumn("id_text", F.coalesce("id_text", F.lit("")))
+    picked = common.store(known(classes.select("cls", F.col("first").cast("string").alias("id_text"), "th")), "minhash-picked")
+
+    @common.tidy
+    def hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"cls": b["cls"], "hashes": [shingles(t).tobytes() for t in b["text"]]})
+
+    found = known(_texts(docs)).join(common.few(picked), ["id_text", "th"]).select("cls", "text").mapInPandas(hashed, "cls long, hashes binary")
+    again = known(rows.select("id_text", "th")).join(common.few(picked), ["id_text", "th"]).count() > picked.count()
+    return found.dropDuplicates(["cls"]) if again else found
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
-    """docs without all but one document of each group of near copies, all columns. The
-    rows are numbered and stored first, and the numbers serve as ids: of a group the row
-    with the smallest doc_id stays (nulls last), of rows that repeat it any one."""
-    numbered = common.store(docs.withColumn("_row", F.monotonically_increasing_id()), "minhash-input")
-    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    grouped = common.store(numbered.select("_row", "doc_id").join(found, "_row"), "minhash-groups")
-    first = grouped.groupBy("_group").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("_id"))
-    rows = grouped.join(first, "_group").where(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("_id")).groupBy("_group").agg(F.min("_row").alias("_row"))
-    return numbered.join(rows.select("_row"), "_row").drop("_row")
+    """docs without all but one document of each group of near copies, all columns, whatever
+    their names. The rows are numbered and stored first, and the numbers serve as ids: of a
+    group the row with the smallest doc_id stays (nulls last), of rows that repeat it any
+    one; null, empty and blank texts all stay. Only the numbers of the rows that go are joined with the table."""
+    row = common.free_name(docs, "row")
+    numbered = common.store(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-input")
+    named = numbered.select(F.col(row).alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"))
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    found = common.store(found, "minhash-found")
+    several = found.where("row <> group").select("group").distinct()
+    grouped = common.store(found.join(several, "group").join(named, "row"), "minhash-groups")
+    stays = grouped.groupBy("group").agg(F.min(F.struct("id", "row")).alias("first")).select("group", "first.row")
+    gone = common.store(grouped.select("row").join(stays.select("row"), "row", "left_anti").select(F.col("row").alias(row)), "minhash-gone")
+    return numbered.join(common.few(gone), row, "left_anti").drop(row)

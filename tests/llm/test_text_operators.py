@@ -193,16 +193,53 @@ def test_one_document_of_each_group_stays(docs):
     assert left.columns == docs.columns and left.count() == want
 
 
-def test_blocks_meet_pairwise(spark):
-    m = spark.range(300).selectExpr("1L as bucket", "id as cls", "id as root", "cast(repeat('a', 100) as binary) as sig")
-    seen: set = set()
-    for step in range(3):
-        now = {(r["a"], r["b"]) for r in minhash_dedup.proposals(m, 0.5, step, size=40).collect()}
-        assert ((-1, -1) in now) == (minhash_dedup.window(step)[1] < 80)
-        seen |= now - {(-1, -1)}
-        if (-1, -1) not in now:
-            break
-    assert seen == {(a, b) for b in range(300) for a in range(b)}
+def test_classes_of_different_components_meet_once(spark):
+    root = lambda i: 0 if i < 200 else 200 + (i - 200) // 3
+    rooted = spark.createDataFrame([(1, i, 9, root(i)) for i in range(300)] + [(2, i, 9, 7) for i in range(5)], "bucket long, cls long, n_shingles int, root long")
+    classes = spark.createDataFrame([(i, 9, b"a", [1]) for i in range(300)], "cls long, n_shingles int, sig binary, bands array<long>")
+    rows = minhash_dedup.cells(rooted, classes, size=40).collect()
+    cells, met = defaultdict(list), Counter()
+    for r in rows:
+        cells[r["bucket"], r["lo"], r["hi"]].append((r["cls"], r["own"]))
+    for (_, lo, hi), x in cells.items():
+        met.update((a, b) for a, i in x for b, j in x if a < b and (lo == hi or i != j) and root(a) != root(b))
+    assert met == Counter((a, b) for b in range(300) for a in range(b) if root(a) != root(b))
+    assert len(rows) < 300 * 9 and {r["bucket"] for r in rows} == {1}
+
+
+def test_a_group_just_under_the_threshold_is_not_paired_out(spark, monkeypatch):
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for k in r.sample(range(300), 7):
+            w[k] = f"x{i}y{k}"
+        texts.append(" ".join(w))
+    counted = {}
+    for name in ("confirm", "settle"):
+        real = getattr(minhash_dedup, name)
+        monkeypatch.setattr(minhash_dedup, name, lambda rows, *a, real=real, name=name: counted.__setitem__(name, rows.count()) or real(rows, *a))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(df).collect())
+    assert got == Counter(brute_components(list(enumerate(texts))))
+    assert counted["confirm"] <= 3 * 400 and counted["settle"] < 20 * 400
+
+
+def test_recall_on_pairs_near_the_threshold(spark):
+    """600 pairs with a similarity of 0.75 to 0.85, each found or not by itself."""
+    r = random.Random(12)
+    rows, true = [], 0
+    for i in range(600):
+        words = [f"w{i}x{k}" for k in range(200)]
+        other = [f"y{k}" if k % 40 == 3 else w for k, w in enumerate(words)]
+        other = other[: 200 - r.randrange(8)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        x, y = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        true += 100 * len(x & y) >= 75 * len(x | y)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sum(x["component_id"] != x["doc_id"] for x in minhash_dedup.near_duplicates(df).collect())
+    assert true > 300 and found <= true and found >= 0.999 * true
 
 
 def test_estimate_of_similarity():
@@ -270,7 +307,8 @@ def test_only_live_secrets_are_masked(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secret_ownership.redact(df).collect()}
     assert got == {1: ("[REDACTED]", 10), 9: (None, None), **{10 + i: ("token=samplesample1", 19) for i in range(4)}}
-    assert secret_ownership.mask("abcdef", "hex:1:3,assign:2:4") == "a[REDACTED]ef"
+    spans = spark.createDataFrame([("aé🙂def", [(1, 3), (2, 4), (5, 6)])], "text string, spans array<struct<start:int,end:int>>")
+    assert spans.select(secret_ownership.masked(F.col("text"), F.col("spans"))).first()[0] == "a[REDACTED]e[REDACTED]"
 
 
 def test_packing(docs, none):
