@@ -3,8 +3,8 @@
 A credential that belongs to someone appears in the repositories of one owner; an example
 from a manual is copied widely. Candidates are the matches of three fixed patterns and long
 mixed tokens. Each candidate's value is hashed, hashes are counted by distinct repository
-and distinct owner over the whole corpus, and a value that at most ``max_owners`` owners
-have looks live. Live mixed tokens are added to the spans; spans of the fixed patterns
+and distinct owner over the whole corpus, and a value that few owners have, in few
+repositories, looks live. Live mixed tokens are added to the spans; spans of the fixed patterns
 always stay, with the verdict counted beside them.
 """
 
@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -46,10 +46,17 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def extra_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Long tokens with digits, upper and lower case that touch no base span."""
-    out = []
+    out, taken, at = [], [], 0
+    for s, _, e, _ in base:
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     for m in TOKEN.finditer(text):
         v = m[0]
-        if any(c.isdigit() for c in v) and v.upper() != v and v.lower() != v and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if any(c.isdigit() for c in v) and v.upper() != v and v.lower() != v and not (at < len(taken) and taken[at][0] < m.end()):
             out.append((m.start(), 3, m.end(), v))
     return out
 
@@ -58,82 +65,95 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-FOUND = "id_text string, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base string, found array<struct<start:int, kind:int, end:int, hash:long>>"
+FOUND = "id_text string, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int, kind:int, end:int, hash:long>>"
 
 
-def candidates(docs: DataFrame, repo: str = "source") -> DataFrame:
-    """One row per document with its spans; the value's hash is the first 8 bytes of its
-    SHA-256. owner: what comes before the first slash of the repository."""
+def candidates(docs: DataFrame, source: str = "source") -> DataFrame:
+    """documents -> one row each with its spans; a value's hash is the first 8 bytes of its
+    SHA-256. The owner is what the source has before its first slash; the repository is the
+    source if it has a slash, else the document itself."""
     common.small_batches(docs.sparkSession)
 
     @common.tidy
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for name, where, text in zip(b["id_text"], b["repo"], b["text"], strict=True):
+            for name, where, text in zip(b["id_text"], b["source"], b["text"], strict=True):
                 base = base_spans(text)
                 every = base + extra_spans(text, base)
                 count = [sum(k == i for _, k, _, _ in base) for i in range(3)]
                 listed = joined(x[:3] for x in base)
                 found = [{"start": s, "kind": k, "end": e, "hash": int.from_bytes(hashlib.sha256(v.encode()).digest()[:8], "little", signed=True)} for s, k, e, v in every]
-                rows.append((name, where, where.split("/")[0], *count, hashlib.sha256(listed.encode()).hexdigest(), listed, found))
-            yield pd.DataFrame(rows, columns=["id_text", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found"])
+                rows.append((name, where if "/" in where else f"document {name}", where.split("/")[0], *count, hashlib.sha256(listed.encode()).hexdigest(), found))
+            yield pd.DataFrame(rows, columns=["id_text", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
+
+    whole = docs.select(F.col("doc_id").cast("string").alias("id_text"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    return whole.mapInPandas(find, FOUND)
 
-    where = F.coalesce(F.col(repo), F.lit(""))
-    return docs.select(F.col("doc_id").cast("string").alias("id_text"), where.alias("repo"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(find, FOUND)
 
+def judged(each: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
+    """(row, repo, owner, start, kind, end, hash) with owners, repos and live: a value looks
+    live if few owners have it, and each of them, on average, in few repositories. Hashes
+    are counted by (hash, repository) first, so a value that a third of all rows have meets
+    in a task only once for each repository and map task, and sums of these go on."""
+    repos = each.select("hash", "repo", "owner").distinct()
+    by_owner = repos.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
+    counts = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos * F.col("owners"))
+    return each.join(counts, "hash").withColumn("live", live)
 
-def scan(docs: DataFrame, repo: str = "source", max_owners: int = 2) -> DataFrame:
+
+def scan(docs: DataFrame, source: str = "source", max_owners: int = 2, max_repos: int = 100) -> DataFrame:
     """documents (doc_id, text, source, ...) -> doc_id, n_assign, n_access, n_hex,
-    base_sha256, spans, n_live, n_example, live: one row per row; live lists the spans that
-    look live. Offsets are code points. Null and empty texts have no spans; documents
-    without a source count as one repository with the empty name. Only spans and hashes are
-    shuffled, not texts; a hash is counted by (hash, repository) first, so a value in a third of all rows
-    meets in one task only once for each repository and map task."""
-    found = common.store(candidates(docs, repo).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
+    base_sha256, spans, n_live, n_example, most_owners, live: one row per row.
+
+    spans: the fixed patterns' and live mixed tokens; live lists all that look live;
+    most_owners: of the document's most widely held value (0 without any). Offsets are code
+    points. Null and empty texts have no spans; documents without a source have one owner
+    with the empty name. Only spans and hashes are shuffled, not texts. Rows that repeat are rows of
+    their own, but no repositories of their own; an empty table gives no rows."""
+    found = common.store(candidates(docs, source).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     each = found.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("c")).select("row", "repo", "owner", "c.*")
-    repos = each.select("hash", "repo", "owner").distinct()
-    owners = repos.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = F.col("owners") <= max_owners
     span = F.struct("start", "kind", "end")
-    judged = each.join(owners, "hash").groupBy("row").agg(
-        F.count_if(live).alias("n_live"),
-        F.count_if(~live).alias("n_example"),
-        F.sort_array(F.collect_list(F.when(live, span))).alias("live_spans"),
+    by_row = judged(each, max_owners, max_repos).groupBy("row").agg(
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.max("owners").alias("most_owners"), F.sort_array(F.collect_list(F.when(F.col("live"), span))).alias("live_spans")
     )
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])), ",")
     base = F.filter("found", lambda x: x["kind"] < 3)
     base = F.transform(base, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     extra = F.filter("live_spans", lambda x: x["kind"] == 3)
     cols = [F.col("id_text").cast("long").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256"]
-    some = found.where(F.size("found") > 0).join(judged, "row").select(*cols, told(F.sort_array(F.concat(base, extra))).alias("spans"), "n_live", "n_example", told(F.col("live_spans")).alias("live"))
-    none = found.where(F.size("found") == 0).select(*cols, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"), F.lit("").alias("live"))
+    some = found.where(F.size("found") > 0).join(by_row, "row").select(*cols, told(F.sort_array(F.concat(base, extra))).alias("spans"), "n_live", "n_example", "most_owners", told(F.col("live_spans")).alias("live"))
+    zero = [F.lit(0).cast("long").alias(c) for c in ("n_live", "n_example", "most_owners")]
+    none = found.where(F.size("found") == 0).select(*cols, F.lit("").alias("spans"), *zero, F.lit("").alias("live"))
     return some.unionAll(none)
 
 
-def redact(docs: DataFrame, repo: str = "source", max_owners: int = 2) -> DataFrame:
+def redact(docs: DataFrame, source: str = "source", max_owners: int = 2, max_repos: int = 100) -> DataFrame:
     """docs with each live-looking span replaced by ``[REDACTED]`` and n_chars (if there)
     the new length in code points. Overlapping spans are replaced as one. All rows and
-    columns stay; the rows are numbered and stored first."""
-    numbered = common.store(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-input")
-    live = scan(numbered.withColumn("doc_id", F.col("_row")), repo, max_owners).where("live <> ''").select(F.col("doc_id").alias("_row"), F.col("live").alias("_live"))
+    columns stay, whatever their names; null texts stay null. The rows are numbered and
+    stored first; to the texts only the spans of those rows are joined that have live ones."""
+    row, live = common.free_name(docs, "row"), common.free_name(docs, "live_spans")
+    numbered = common.store(docs.withColumn(row, F.monotonically_increasing_id()), "secret-input")
+    found = candidates(numbered.select(F.col(row).alias("doc_id"), F.col(source).alias("source"), "text")).where(F.size("found") > 0)
+    each = found.select(F.col("id_text").cast("long").alias("row"), "repo", "owner", F.explode("found").alias("c")).select("row", "repo", "owner", "c.start", "c.end", "c.kind", "c.hash")
+    each = common.store(each, "secret-each")
+    spans = judged(each, max_owners, max_repos).where("live").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(live))
+    spans = common.store(spans.withColumnRenamed("row", row), "secret-live")
+    out = numbered.join(common.few(spans), row, "left").withColumn("text", F.when(F.col(live).isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col(live))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(live).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
 
-    @F.pandas_udf("string")
-    def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else mask(t, s) for t, s in zip(text, spans, strict=True)])
 
-    clean = masked(F.col("text"), F.col("_live"))
-    out = numbered.join(live, "_row", "left").withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.drop("_row", "_live")
-
-
-def mask(text: str, spans: str) -> str:
-    at = sorted((int(s), int(e)) for _, s, e in (x.split(":") for x in spans.split(",")))
-    out, end = [], 0
-    for s, e in at:
-        if s >= end:
-            out += [text[end:s], "[REDACTED]"]
-        end = max(end, e)
-    return "".join(out) + text[end:]
+def masked(text: Column, spans: Column) -> Column:
+    """text without the sorted spans [start, end), of which those that overlap go as one."""
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("at"))
+
+    def step(done: Column, span: Column) -> Column:
+        fresh = span["start"] >= done["at"]
+        parts = F.when(fresh, F.concat(done["parts"], F.array(F.substr(text, done["at"] + 1, span["start"] - done["at"]), F.lit("[REDACTED]")))).otherwise(done["parts"])
+        return F.struct(parts.alias("parts"), F.greatest(done["at"], span["end"]).alias("at"))
+
+    return F.aggregate(spans, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substr(text, done["at"] + 1, F.length(text))))
