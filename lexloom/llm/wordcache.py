@@ -66,10 +66,10 @@ class ChunkCache:
 
     A chunk is cut into pieces (``pieces``: chunk -> pieces), a piece encoded by ``piece``
     (-> ids); ``whole`` encodes a text that cannot be cut; a chunk of letters only is one piece,
-    with ``before`` before it. Two generations of at most
-    ``limit`` chunks and pieces each are kept: what is met again moves to the young one."""
+    with ``before`` before it. Two generations of at most ``limit`` chunks, and a quarter of
+    that of pieces, are kept: what is met again moves to the young one."""
 
-    def __init__(self, cut: Callable[[str], list[str] | None], pieces: Callable[[str], list[str]], piece: Callable[[str], list[int]], whole: Callable[[str], list[int]], before: str = "", width: int = 2, limit: int = 300_000):
+    def __init__(self, cut: Callable[[str], list[str] | None], pieces: Callable[[str], list[str]], piece: Callable[[str], list[int]], whole: Callable[[str], list[int]], before: str = "", width: int = 2, limit: int = 450_000):
         self.cut, self.pieces, self.piece, self.whole, self.before, self.limit = cut, pieces, piece, whole, before, limit
         self.code = {2: "H", 4: "I"}[width]
         self.young, self.old = _Known(self._chunk), {}
@@ -79,9 +79,9 @@ class ChunkCache:
         known = self.old.get(chunk)
         if known is None:
             if chunk.isalpha():  # most chunks are a word, or a word and a mark
-                return self.words[self.before + chunk]
-            if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                return self.words[self.before + chunk[:-1]] + self.words[chunk[-1]]
+                return array(self.code, self.piece(self.before + chunk)).tobytes()
+            if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+                return self.young[chunk[:-1]] + self.words[chunk[-1]]
             known = b"".join(map(self.words.__getitem__, self.pieces(chunk)))
         return known
 
@@ -92,7 +92,7 @@ class ChunkCache:
     def one(self, text: str) -> bytes:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, _Known(self._chunk)
-        if len(self.words) > self.limit:
+        if len(self.words) > self.limit // 4:
             self.old_words, self.words = self.words, _Known(self._word)
         parts = self.cut(text)
         return array(self.code, self.whole(text)).tobytes() if parts is None else b"".join(map(self.young.__getitem__, parts))
@@ -137,7 +137,7 @@ def library_cache(path: str, spaces: bool) -> ChunkCache:
         if not spaces:
             word = word.lower()
         if word.isascii() and word[1:].isalpha():
-            return [x.id for x in model(f"Ġ{word[1:]}" if word[0] == " " else word)]
+            return [x.id for x in model("Ġ" + word[1:] if word[0] == " " else word)]
         return [x.id for x in model(word.encode().decode("latin-1").translate(letters))]
 
     cut, pieces = (spaced, lambda c: split(spaced_source(c))) if spaces else (dropped, lambda c: split(c.lower()))
