@@ -19,6 +19,7 @@ skips what has become one component meanwhile, and returns links between compone
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -138,6 +139,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((name, th, 0, None, None, None))
             yield pd.DataFrame(rows, columns=["id_text", "th", "n_shingles", "print", "sig", "bands"])
+        _WORDS.clear()
 
     return _texts(docs).mapInPandas(work, SETS)
 
@@ -216,12 +218,12 @@ class Cell:
     other block; similar enough by size and signature; and with no earlier band in common, in
     whose cell the pair is compared already."""
 
-    def __init__(self, bucket: int, apart: bool, rows: pd.DataFrame, least: float, threshold: int):
-        self.apart, self.least, self.threshold = apart, least, threshold
-        self.cls, self.own, self.root, self.n = (rows[c].to_numpy(np.int64) for c in ("cls", "own", "root", "n_shingles"))
-        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        self.bands = np.stack(rows["bands"].to_numpy())
-        self.band = int((self.bands[0] == bucket).argmax())
+    def __init__(self, rows: dict[str, np.ndarray], least: float, threshold: int):
+        self.apart, self.least, self.threshold = rows["lo"][0] != rows["hi"][0], least, threshold
+        self.own, self.root, self.n = rows["own"], rows["root"], rows["n_shingles"].astype(np.int64)
+        self.sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(self.own), -1)
+        self.bands = np.stack(rows["bands"])
+        self.band = int((self.bands[0] == rows["bucket"][0]).argmax())
         self.same = self.root.copy()
 
     def partners(self, i: int) -> np.ndarray:
@@ -241,24 +243,30 @@ class Cell:
         self.same[self.same == self.same[j]] = self.same[i]
 
 
-def _by_cell(batches: Iterable[pd.DataFrame], least: float, threshold: int) -> Iterator[tuple[Cell, pd.DataFrame]]:
-    """Rows that come sorted by cell, a cell at a time; a class that comes twice counts once."""
-    held: list[pd.DataFrame] = []
-    key = None
+def _by_cell(batches: Iterable[pd.DataFrame]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Rows that come sorted by cell -> for each batch the cells that end in it, columns as
+    arrays. Cells of one row are left out."""
+    held: list[dict[str, np.ndarray]] = []
 
-    def made() -> tuple[Cell, pd.DataFrame]:
-        rows = pd.concat(held, ignore_index=True).drop_duplicates("cls", ignore_index=True)
-        return Cell(key[0], key[1] != key[2], rows, least, threshold), rows
+    def whole() -> dict[str, np.ndarray]:
+        return held[0] if len(held) == 1 else {c: np.concatenate([x[c] for x in held]) for c in held[0]}
 
     for b in batches:
-        for k, part in b.groupby(["bucket", "lo", "hi"], sort=False):
-            if k != key and held:
-                yield made()
+        if not len(b):
+            continue
+        cols = {c: b[c].to_numpy() for c in b.columns}
+        keys = np.stack([cols[c].astype(np.int64) for c in ("bucket", "lo", "hi")], 1)
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        done, at = [], 0
+        for end in ends:
+            if held and any(held[0][c][0] != k for c, k in zip(("bucket", "lo", "hi"), keys[at], strict=True)):
+                done.append(whole())
                 held = []
-            key = k
-            held.append(part)
+            held.append({c: v[at:end] for c, v in cols.items()})
+            at = end
+        yield [x for x in done if len(x["cls"]) > 1]
     if held:
-        yield made()
+        yield [x for x in [whole()] if len(x["cls"]) > 1]
 
 
 def wanted(dealt: DataFrame, least: float, threshold: int) -> DataFrame:
@@ -266,13 +274,18 @@ def wanted(dealt: DataFrame, least: float, threshold: int) -> DataFrame:
 
     @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell, rows in _by_cell(batches, least, threshold):
-            hit = np.zeros(len(rows), bool)
-            for i in range(len(rows)):
-                at = cell.partners(i)
-                hit[at] = True
-                hit[i] |= len(at) > 0
-            yield rows[hit]
+        for cells_ in _by_cell(batches):
+            out = []
+            for rows in cells_:
+                cell, hit = Cell(rows, least, threshold), np.zeros(len(rows["cls"]), bool)
+                for i in range(len(hit) - 1):
+                    at = cell.partners(i)
+                    if len(at):
+                        hit[at] = hit[i] = True
+                if hit.any():
+                    out.append({c: v[hit] for c, v in rows.items()})
+            if out:
+                yield pd.DataFrame({c: np.concatenate([x[c] for x in out]) for c in out[0]})
 
     return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cls").mapInPandas(work, CELL)
 
@@ -284,13 +297,15 @@ def settle(asked: DataFrame, sets: DataFrame, least: float, threshold: int, most
 
     @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for cell, rows in _by_cell(batches, least, threshold):
-            out = []
+        for rows in itertools.chain.from_iterable(_by_cell(batches)):
+            cell, out = Cell(rows, least, threshold), []
             flat, codes = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["hashes"]]), return_inverse=True)
             marked = np.zeros(len(flat), bool)
             codes = np.split(codes.astype(np.int32), np.cumsum(cell.n)[:-1])
-            for i in range(len(rows)):
+            for i in range(len(codes) - 1):
                 at = cell.partners(i)
+                if not len(at):
+                    continue
                 marked[codes[i]] = True
                 while len(at):
                     part = at[: max(1, int(np.searchsorted(np.cumsum(cell.n[at]), most, "right")))]
