@@ -26,6 +26,11 @@ from . import common
 
 #: Fixed: the letters for which a character often stands.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Fixed: letters of other alphabets that look like Latin ones.
+HOMOGLYPHS = {
+    "а": "a", "е": "e", "і": "i", "ї": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ո": "n", "ӏ": "l", "ԛ": "q", "ԝ": "w",
+    "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+}
 SEPARATORS = " .-_*~"
 _STRIP = ".,;:!?\"'()[]{}<>|*_-~#%&/\\"
 #: Of these what is no look-alike.
@@ -37,14 +42,32 @@ _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = bytes([_b]).decode("latin-1").lower()
     _CLASS[_b] = _LETTERS.index(_c) + 1 if _c in _LETTERS else 27 if _c.isalpha() else 0
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+(€£](?:[ .\-_*~][\w@$!|+(€£]){3,}(?!\S)")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,3}[^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+(€£](?:[ .\-_*~]{1,3}[\w@$!|+(€£]){3,}(?!\S)")
 _NOISY = re.compile(r"[0-9@$!|+(€£]|[.\-_*~]")
-_RUN = re.compile(r"([a-z])\1\1")
+_PARTS = re.compile(r"[^\w]+|_")
 _TWICE = re.compile(r"(.)\1+")
+_FAR = re.compile(r"[^\x00-\xff]")
+_FOREIGN = re.compile(f"[{''.join(HOMOGLYPHS)}]")
+_LATIN = str.maketrans(HOMOGLYPHS)
 #: Where a token is cut into parts that are decoded on their own: at what can't stand inside a word, and at every separator.
 _CUTS = (re.compile(r"[^\w@$!|+(€£.\-*~]+"), re.compile(r"[^\w@$!|+(€£]+|_+"))
 
 
+def classes(text: str) -> np.ndarray:
+    """The class of each character, with a space before and after. A letter beyond Latin-1
+    counts as any other letter."""
+    try:
+        raw = f" {text} ".encode("latin-1")
+    except UnicodeEncodeError:
+        raw = _FAR.sub(lambda m: "ÿ" if m[0].isalpha() else "?", f" {text} ").encode("latin-1")
+    return _CLASS[np.frombuffer(raw, np.uint8)]
+
+
+def collapsed(word: str) -> str:
+    """Look-alikes of other alphabets as Latin letters, each repeated letter once."""
+    return _TWICE.sub(r"\1", word.translate(_LATIN))
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(code, n) of class trigrams in all whole texts; code = (a * 28 + b) * 28 + c.
     Each task sends at most 28^3 sums."""
@@ -55,7 +78,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
             for text in b["text"]:
-                x = _CLASS[np.frombuffer(f" {text} ".encode("latin-1", "replace"), np.uint8)].astype(np.uint16)
+                x = classes(text).astype(np.uint16)
                 total += np.bincount((x[:-2] * CLASSES + x[1:-1]) * np.uint16(CLASSES) + x[2:], minlength=CLASSES**3)
         code = np.flatnonzero(total)
         yield pd.DataFrame({"code": code.astype(np.int32), "n": total[code]})
@@ -74,6 +97,9 @@ def log_model(counts: dict[int, int]) -> np.ndarray:
     return np.log((n + 50 * two) / (n.sum(2)[:, :, None] + 50))
 
 
+_NOTHING: dict[str, float] = {}
+
+
 @dataclass
 class Model:
     """Everything that scoring needs; its size doesn't depend on the corpus."""
@@ -83,6 +109,8 @@ class Model:
     weights: tuple[float, float] = (-4.0, 0.0)
     restored: dict[tuple[str, bool], str] = field(default_factory=dict)
     table: list | None = None
+    seen: dict[str, dict[str, float]] = field(default_factory=dict)
+    stems: frozenset[str] | None = None
 
     def restore(self, token: str, loose: bool = False) -> str:
         """The most likely letters behind a token of any length; only short ones are
@@ -100,45 +128,83 @@ class Model:
 
     def inside(self, run: str) -> Iterator[str]:
         """Words with evidence in a text written letter by letter, which has lost its word ends."""
-        run = _TWICE.sub(r"\1", run)
-        return (w for w in self.evidence if len(w) > 3 and w[-1] != "*" and _TWICE.sub(r"\1", w) in run)
+        run = collapsed(run)
+        return (w for w in self.evidence if len(w) > 3 and w[-1] != "*" and collapsed(w) in run)
 
     def of_word(self, word: str) -> float:
         get = self.evidence.get
         return max(get(word, 0.0), get(f"{word[:4]}*", 0.0), get(f"{word[:5]}*", 0.0))
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of a text, as written and, where disguised, restored."""
-        t = text.lower()
-        x = _CLASS[np.frombuffer(f" {t} ".encode("latin-1", "replace"), np.uint8)]
-        runs = bool(((x[2:] == x[1:-1]) & (x[1:-1] == x[:-2]) & (x[2:] > 0)).any())
-        alone = (x[1:-1] > 0) & (x[:-2] == 0) & (x[2:] == 0)
+    def matters(self, word: str) -> bool:
+        """Whether dropping repetitions from a word can give one with evidence: what is
+        restored collapses to the same letters. Always, while nothing is learned."""
+        if not self.evidence:
+            return True
+        if self.stems is None:
+            self.stems = frozenset(collapsed(w.rstrip("*")) + w[len(w.rstrip("*")) :] for w in self.evidence)
+        bare = collapsed(word)
+        return bare in self.stems or any(f"{bare[:k]}*" in self.stems for k in range(1, 6))
+
+    def of_token(self, token: str) -> set[str]:
+        """The words that a token, lower-cased and without white space, may stand for: as
+        written and, where disguised, restored."""
+        w = token.strip(_EDGE)
+        if w.isalpha():
+            return {w, self.restore(w)} if self.disguised(w) else {w}
+        w = w.strip(_STRIP)
+        out = {w} if w.isalpha() else {y for y in _PARTS.split(w) if y.isalpha()}
+        for y in readings(token):
+            if self.disguised(y) if y.isalpha() else _NOISY.search(y):
+                out.add(self.restore(y))
+                if y[:2].strip(_STRIP) == "" or y[-2:].strip(_STRIP) == "":
+                    out.add(self.restore(y, True))
+        return out
+
+    def disguised(self, word: str) -> bool:
+        """Whether a word of letters only may be another with repetitions or foreign letters."""
+        return bool(_TWICE.search(word) or not word.isascii() and _FOREIGN.search(word)) and self.matters(word)
+
+    def spelled(self, lowered: str) -> set[str]:
+        """What is written letter by letter, with one to three separators between."""
+        x = classes(lowered)
+        alone = np.flatnonzero((x[1:-1] > 0) & (x[:-2] == 0) & (x[2:] == 0))
         out: set[str] = set()
-        for c in set(t.split()):
-            w = c if c.isalpha() else c.strip(_STRIP)
-            if w.isalpha():
-                out.add(w)
-                if runs and _RUN.search(w):
-                    out.add(self.restore(w))
-            elif w:
-                out.update(y for y in re.split(r"[^\w]+|_", w) if y.isalpha())
-            if not c.isalpha():
-                for y in readings(c):
-                    if _RUN.search(y) if y.isalpha() else _NOISY.search(y):
-                        out.add(self.restore(y))
-                        if y[:2].strip(_STRIP) == "" or y[-2:].strip(_STRIP) == "":
-                            out.add(self.restore(y, True))
-        if (alone[:-2] & alone[2:]).any() or any(s in t for s in LOOKALIKES):
-            for m in _SPACED.finditer(t):
+        if (len(alone) > 1 and (np.diff(alone) <= 4).any()) or any(s in lowered for s in LOOKALIKES):
+            for m in _SPACED.finditer(lowered):
                 run = self.restore(m[0])
                 out.add(run)
                 out.update(self.inside(run))
         return out
 
+    def words(self, text: str) -> set[str]:
+        """Distinct words of a text, as written and, where disguised, restored."""
+        t = text.lower()
+        return self.spelled(t).union(*map(self.of_token, set(t.split())))
+
+    def _told(self, token: str) -> dict[str, float]:
+        """The words of a token that have evidence."""
+        told = {w: odds for w in self.of_token(token) if (odds := self.of_word(w))} or _NOTHING
+        if len(token) <= 64:
+            if len(self.seen) > 400_000:
+                self.seen.clear()
+            self.seen[token] = told
+        return told
+
+    def total(self, text: str) -> float:
+        """The summed evidence of a text's distinct words."""
+        t, known, found = text.lower(), self.seen.get, {}
+        for token in set(t.split()):
+            told = known(token)
+            if told is None:
+                told = self._told(token)
+            if told:
+                found.update(told)
+        found.update((w, odds) for w in self.spelled(t) if (odds := self.of_word(w)))
+        return math.fsum(found.values())
+
     def score(self, text: str) -> float:
-        total = sum(map(self.of_word, self.words(text)))
         a, b = self.weights
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(total)))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(self.total(text))))))
 
 
 def readings(token: str) -> set[str]:
@@ -173,7 +239,7 @@ def viterbi(token: str, log_p: np.ndarray | list, swap: float = -1.0, drop: floa
             arcs.append((_LETTERS.index(ch) + 1, ch, keep))
         elif ch.isalpha():
             arcs.append((27, ch, keep))
-        arcs += [(_LETTERS.index(c) + 1, c, swap) for c in LOOKALIKES.get(ch, "")]
+        arcs += [(_LETTERS.index(c) + 1, c, swap) for c in LOOKALIKES.get(ch) or HOMOGLYPHS.get(ch, "")]
         after: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
         for (a, b, last), (score, text) in best.items():
             options = [(a, b, last, score + drop, text)] if ch in SEPARATORS or not arcs or i not in inner or any(c == last for _, c, _ in arcs) else []
@@ -194,6 +260,8 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
+#: Parts of one into which the logarithm of a document's evidence is rounded where the curve is fitted.
+STEPS = 1000
 #: Fixed: how likely a feature that says nothing may seem to go with toxicity.
 CHANCE = 1e-4
 
@@ -207,7 +275,7 @@ def surprise(share: float) -> Column:
     return F.when(F.col("toxic") > n * share, part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)).otherwise(0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share: float = 0.01, least_evidence: float = 2.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share: float = 0.01, least_evidence: float = 1.5) -> Model:
     """The character model from all texts; evidence and curve from at most max_train
     labelled documents outside the held-out fold (those with the smallest hashed ids, so
     the same ones each time). A word or beginning counts if it is in at least least_share
@@ -246,44 +314,46 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share
 
     @common.tidy
     def sums(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter = Counter()
         for b in batches:
-            yield pd.DataFrame({"x": [sum(map(model.of_word, model.words(t))) for t in b["text"]], "y": (b["toxic"] > 0).astype(float)})
+            n.update((round(math.log1p(model.total(t)) * STEPS), int(y > 0)) for t, y in zip(b["text"], b["toxic"], strict=True))
+        yield pd.DataFrame([(x, y, k) for (x, y), k in n.items()], columns=["x", "y", "n"])
 
-    got = train.mapInPandas(sums, "x double, y double").toPandas()
-    model.weights = logistic(np.log1p(got["x"].to_numpy()), got["y"].to_numpy())
-    model.restored.clear()
+    # Bounded by the steps, whatever rows repeat.
+    got = train.mapInPandas(sums, "x int, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).toPandas()
+    model.weights = logistic(got["x"].to_numpy(float) / STEPS, got["y"].to_numpy(float), got["n"].to_numpy(float))
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Intercept and slope by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Intercept and slope by Newton steps over points that stand for n documents each."""
     z, w = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((z * (n * p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (n * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """documents -> the same columns with score (0 to 1). Null and empty texts have no
-    evidence. Rows that repeat stay; nothing is shuffled. The column names ``score`` and
-    ``_text`` are taken."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """documents -> the same columns with the score (0 to 1) under ``name``, which must be
+    free (``common.free_name``). Null and empty texts have no evidence. Rows that repeat stay; an empty
+    table gives no rows; nothing is shuffled."""
     common.small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c not in ("score", "_text")]
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    columns = docs.columns
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     @common.tidy
     def work(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            scores = [model.score(t or "") for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            scores = [model.score(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scores, pa.float64())], names=[*columns, name])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(work, schema)
+    return docs.mapInArrow(work, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> DataFrame:
