@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import common, link_trust, pivot_join, queries
 
@@ -137,8 +138,72 @@ def test_pipeline_stages_keep_their_promises(spark, sf_dir):
     assert {r["doc_id"] for r in packed.collect()} == set(ids)
 
 
+CLASHES = "_row long, row long, Row_ long, _live string, live_spans string, score double, _text string, node long, block string, group long, cls long, root long, id_text string"
+
+
+def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, sf_dir):
+    import corpus_pipeline as p
+
+    columns = [f.split(" ")[0] for f in CLASHES.split(", ")]
+    more = [F.lit(7).cast(f.split(" ")[1]).alias(c) for c, f in zip(columns, CLASHES.split(", "), strict=True)]
+    docs = queries.table(spark, sf_dir, "documents").limit(60)
+    odd = [(None, None), (None, "x"), (-1, None), (-2, ""), (-3, " "), (-4, "a" * 1_000_000), (-4, "a" * 1_000_000), (-5, "password=abcdefghijkl9 é"), (-5, "password=abcdefghijkl9 é")]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.schema)
+    docs = docs.unionByName(odd).select("*", *more)
+    for name, work in p.STAGES:
+        after = work(spark, docs, sf_dir)
+        rows = common.store(after, "test-stage").collect()
+        if name != "best-fit packing":
+            assert after.columns == docs.columns and all(r["_row"] == r["row"] == r["Row_"] == 7 and r["score"] == 7.0 for r in rows), name
+        texts = [r["text"] for r in rows] if name != "best-fit packing" else []
+        if name == "exact dedup":
+            assert sum(not t for t in texts) == 1 and texts.count("a" * 1_000_000) == 1
+        elif name == "secret scans":
+            assert len(rows) == docs.count() and texts.count("[REDACTED] é") == 2 and None in texts
+        assert work(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_only_the_last_stage_leaves_tables(spark, sf_dir):
+    import corpus_pipeline as p
+
+    root = Path(common.shared_dir(spark).removeprefix("file://")) / "lexloom"
+    common.discard(*p._STORED)
+    p._STORED.clear()
+    before = set(root.iterdir()) if root.exists() else set()
+    assert p.run(spark, sf_dir).count()
+    left = {x.name.rsplit("-", 1)[0] for x in set(root.iterdir()) - before}
+    assert left <= {"secret-scans", "pieces-ranged"}, left
+
+
+def test_larger_tables_than_few_are_joined_by_a_shuffle(spark, sf_dir, monkeypatch):
+    from lexloom.llm import minhash_dedup, radix_dedup, secret_ownership
+
+    docs = queries.table(spark, sf_dir, "documents")
+    both = []
+    for limit in (common.FEW, 0):
+        monkeypatch.setattr(common, "few", lambda df, limit=limit: F.broadcast(df) if df.count() <= limit else df)
+        both.append([sorted(f(docs).select("doc_id", "text").collect(), key=str) for f in (radix_dedup.drop_duplicates, minhash_dedup.drop_near_duplicates, secret_ownership.redact)])
+    assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("master, named", [("spark://host:7077", None), ("spark://host:7077", "hdfs://a/b/"), ("local[2]", None), ("local-cluster[1,1,1024]", None)])
+def test_a_cluster_needs_a_shared_folder(master, named):
+    from unittest.mock import MagicMock
+
+    s = MagicMock()
+    s.conf.get.return_value = None
+    s.sparkContext.master = master
+    found = s.sparkContext._jsc.sc.return_value.getCheckpointDir.return_value
+    found.isDefined.return_value, found.get.return_value = named is not None, named
+    if named or master == "local[2]":
+        assert common.shared_dir(s).startswith("hdfs://a/b" if named else "file:///")
+    else:
+        with pytest.raises(RuntimeError):
+            common.shared_dir(s)
+
+
 def test_the_rest_works_without_this_folder(tmp_path):
-    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
+    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1_') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     env = {**os.environ, "PYTHONPATH": str(tmp_path / "r")}
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env=env).returncode == 0

@@ -415,6 +415,33 @@ def test_disguised_words_are_restored():
     assert m.score("the of and her") < 0.5 and m.score("") < 0.5 and m.score("a1b2c3d4e5f60718 3.14 x=1") < 0.5
 
 
+def likeliest(token, log_p, swap=-1.0, drop=-0.7, keep=-0.1):
+    """The best reading, by trying every path through the lattice."""
+    found = []
+
+    def go(i, a, b, last, score, text):
+        if i == len(token):
+            found.append((score + log_p[a][b][0], text))
+            return
+        ch = token[i]
+        arcs = [(noisy_channel._LETTERS.index(ch) + 1, ch, keep)] if ch in noisy_channel._LETTERS else [(27, ch, keep)] if ch.isalpha() else []
+        arcs += [(noisy_channel._LETTERS.index(c) + 1, c, swap) for c in noisy_channel.LOOKALIKES.get(ch, "") + noisy_channel.HOMOGLYPHS.get(ch, "")]
+        if ch in noisy_channel.SEPARATORS or not arcs or any(c == last for _, c, _ in arcs):
+            go(i + 1, a, b, last, score + drop, text)
+        for k, c, cost in arcs:
+            go(i + 1, b, k, c, score + cost + log_p[a][b][k], text + c)
+
+    go(0, 0, 0, "", 0.0, "")
+    return max(found)[1]
+
+
+def test_viterbi_finds_the_best_of_all_readings():
+    log_p, r = insults().log_p, random.Random(2)
+    for _ in range(300):
+        token = "".join(r.choice("losertraidcé01345!|@$. -а") for _ in range(r.randint(1, 8)))
+        assert noisy_channel.viterbi(token, log_p) == likeliest(token, log_p), token
+
+
 def insults():
     counts: Counter = Counter()
     for text in ["loser trash stupid moron disgusting clown idiot pathetic scum worthless the of and that was her you are"] * 50:
@@ -437,7 +464,16 @@ def test_no_gate_keeps_a_disguise():
     m = insults()
     for seen, meant in (("1d10t", "idiot"), ("l053r", "loser"), ("7r45h", "trash"), ("w0r7hl355", "worthless"), ("p47h371c", "pathetic"), ("!diot", "idiot"), ("|oser", "loser"), ("(|oser),", "loser"), ("((|own!", "clown"), ("!!(|own", "clown"), ("l053r!!", "loser"), ("of/!diot/her", "idiot"), ("m0r0n", "moron")):
         assert meant in m.words(f"you {seen} of") and m.score(f"you {seen} of") > 0.5, seen
-    assert m.score("you are 2023 3.14 +49 (of) her!! and $100 |") < 0.5
+    for text in ("an idiioot", "iddiot", "i. d. i. o. t", "an \u0456diot", "l\u043es\u0435r", "mo\u03bfr\u043en.", "l - o - s - e - r", "m00r0n"):
+        assert m.score(f"you {text} of") > 0.5, text
+    assert m.score("you are 2023 3.14 +49 (of) her!! and $100 |") < 0.5 and m.score("a - b and i. e. x, better tree \u0434\u043e\u043c") < 0.5
+
+
+def test_what_is_remembered_changes_no_score():
+    m, texts = insults(), ["you l0ser l0ser", "idiioot, idiot", "tr4sh l o s e r", "the of", "idiioot"]
+    fresh = [insults().score(t) for t in texts]
+    assert [m.score(t) for t in texts + texts] == fresh + fresh
+    assert all(math.isclose(m.total(t), sum(map(m.of_word, m.words(t)))) for t in texts)
 
 
 def test_toxicity_learns_from_its_fold_only(spark, none):
