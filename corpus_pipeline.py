@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.llm import common, minhash_dedup, noisy_channel, packing, radix_dedup, secret_ownership
 from lexloom.llm.queries import table, tokenizer
@@ -34,7 +35,8 @@ def stage(work):
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
     model = noisy_channel.fit(docs, table(spark, sf_dir, "labels"))
-    return noisy_channel.score(docs, model).where("score < 0.5").select(*docs.columns)
+    score = common.free_name(docs, "score")
+    return noisy_channel.score(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 @stage
