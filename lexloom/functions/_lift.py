@@ -41,13 +41,17 @@ def any_of(text: Column, phrases: Iterable[str]) -> Column:
     return out
 
 
-def arrow_function(returns: str):
+def arrow_function(returns: str, once: bool = False):
     """A pandas UDF that comes into being where it is used: workers import these modules
-    too, and they have no session to read a type with."""
+    too, and they have no session to read a type with.
+
+    once: for dear functions. Filters on the result then stay above it; else the planner
+    moves them below and evaluates the function both for the filter and for the result."""
 
     def wrap(f):
         def use(*cols: Column | str) -> Column:
-            return F.pandas_udf(f, returns)(*cols)
+            udf = F.pandas_udf(f, returns)
+            return (udf.asNondeterministic() if once else udf)(*cols)
 
         use.__name__, use.__doc__ = f.__name__, f.__doc__
         use.plain = f

@@ -159,7 +159,7 @@ def _fields(text: str, out: dict) -> list[str]:
     return front
 
 
-@arrow_function(DOC)
+@arrow_function(DOC, once=True)
 def parsed(raw: pd.Series) -> pd.DataFrame:
     """Column function: a text -> struct (all null without a text)."""
     names = ["format", "summary", "description", "parameters", "returns", "raises", "examples", "is_valid", "parse_errors"]
@@ -224,6 +224,51 @@ def converter(style: str, width: int = 88):
     return convert
 
 
+def boundaries(text: str) -> list[tuple[str, int, int]]:
+    """(title, first line, line after the last) of each section, its title line included; what
+    is before the first is ``front``. Sections of unknown titles count too: a title is a word
+    with a colon alone on its line, or one that is underlined."""
+    lines = text.split("\n")
+    heads = []
+    for i, x in enumerate(lines):
+        m = re.fullmatch(r"([A-Z][A-Za-z ]*):", x.strip())
+        under = lines[i + 1].strip() if i + 1 < len(lines) else ""
+        if m and not (i and lines[i - 1].strip().endswith(",")):
+            heads.append((i, m[1].lower()))
+        elif x.strip() and len(under) >= 3 and set(under) == {"-"}:
+            heads.append((i, x.strip().lower()))
+    starts = [(0, "front"), *heads]
+    return [(t, a, b) for (a, t), b in zip(starts, [*(i for i, _ in heads), len(lines)], strict=True) if b > a]
+
+
+# The order of sections.
+ORDER = ("front", "args", "arguments", "parameters", "returns", "yields", "raises", "example", "examples", "note", "notes")
+
+
+def put_section(text: str, section: str) -> str:
+    """text with a section replaced by one of the same kind, or put where the order of
+    sections has it; all others, also ones of unknown titles, stay as they are."""
+    new = section.strip("\n").split("\n")
+    kind = boundaries("\n" + "\n".join(new))[-1][0]
+    lines, parts = text.split("\n"), boundaries(text)
+    kinds = lambda t: SECTIONS.get(t, t)
+    for t, a, b in parts:
+        if t != "front" and kinds(t) == kinds(kind) and (kinds(t) != "other" or t == kind):
+            tail = [""] if b < len(lines) else []
+            return "\n".join([*lines[:a], *new, *tail, *lines[b:]])
+    place = lambda t: ORDER.index(t) if t in ORDER else len(ORDER)
+    at = next((a for t, a, _ in parts if t != "front" and place(t) > place(kind)), len(lines))
+    before = lines[:at]
+    while before and not before[-1].strip():
+        before.pop()
+    return "\n".join([*before, "", *new, *(["", *lines[at:]] if at < len(lines) else [])])
+
+
+@arrow_function("string")
+def with_section(text: pd.Series, section: pd.Series) -> pd.Series:
+    return pd.Series([put_section(t, s) if t and s else t or s for t, s in zip(text, section, strict=True)])
+
+
 def merge(old: dict | None, new: dict, confidence: float) -> dict:
     """Section by section: from 0.8 on the new one, from 0.5 on the new one where the old is
     missing, else the old. Descriptions of parameters that stay are kept unless generic."""

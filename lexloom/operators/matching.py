@@ -41,8 +41,17 @@ def imported(functions: DataFrame, imports: DataFrame, known: DataFrame) -> Data
 def moved(functions: DataFrame, known: DataFrame) -> DataFrame:
     """Functions with exactly one namesake outside their own module and what lies below it."""
     own = functions.select("function_id", "name", names.module_of(F.col("file_path")).alias("own"))
-    outside = own.join(known.withColumnRenamed("function_id", "doc_function_id"), "name").where(~((F.col("module") == F.col("own")) | F.col("module").startswith(F.concat("own", F.lit(".")))))
-    return outside.groupBy("function_id").agg(F.count("*").alias("n"), F.min("doc_function_id").alias("doc_function_id")).where("n = 1").select("function_id", "doc_function_id", F.lit(0.85).alias("confidence"))
+    # Namesakes are counted once for each name, and once for each package above them; so a
+    # name that very many modules have (main) is never paired with itself.
+    all_ = known.groupBy("name").agg(F.count("*").alias("all"), F.min("module").alias("low"), F.max("module").alias("high"), F.min_by("function_id", "module").alias("low_id"), F.max_by("function_id", "module").alias("high_id"))
+    path = F.split("module", r"\.")
+    above = known.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.array_join(F.slice(path, 1, n), "."))).alias("own"), "module", "function_id")
+    inside = above.groupBy("name", "own").agg(F.count("*").alias("within"))
+    x = own.join(all_, "name").join(inside, ["name", "own"], "left").where(F.col("all") - F.coalesce("within", F.lit(0)) == 1)
+    # With one left outside, and the others in one place, it is first or last by module.
+    below = lambda m: (m == F.col("own")) | m.startswith(F.concat("own", F.lit(".")))
+    x = x.withColumn("doc_function_id", F.when(~below(F.col("low")), F.col("low_id")).otherwise(F.col("high_id")))
+    return x.select("function_id", "doc_function_id", F.lit(0.85).alias("confidence"))
 
 
 def by_relevance(functions: DataFrame, hint: Column) -> DataFrame:
@@ -106,3 +115,27 @@ def special_constructs() -> Column:
     """property, classmethod, staticmethod, overload, async, context manager, magic, generator."""
     has = lambda d: F.exists("decorators", lambda x: x.rlike(rf"(^|\.){d}(\(|$)"))
     return F.array_compact(F.array(*(F.when(has(d), d) for d in ("property", "classmethod", "staticmethod", "overload", "contextmanager")), F.when(F.col("is_async"), "async"), F.when(F.col("name").rlike("^__.*__$"), "magic"), F.when(F.col("source_code").rlike(r"(?m)^\s*yield\b"), "generator")))
+
+
+def import_chain(imports: DataFrame) -> DataFrame:
+    """imports -> (module, name, alias, source): what each module calls by which name and
+    where it is from, one step."""
+    rows = imports.where("import_type <> 'wildcard'").select("module", "source", "aliases", F.explode("imported_names").alias("name"))
+    alias = F.get(F.map_keys(F.map_filter("aliases", lambda k, v: v == F.col("name"))), F.lit(0))
+    return rows.select("module", F.coalesce(alias, "name").alias("called"), "name", "source")
+
+
+def chain(imports: DataFrame, start: str, end: str) -> DataFrame:
+    """The names by which one module reaches another directly, aliases resolved."""
+    return import_chain(imports).where((F.col("module") == start) & (F.col("source") == end)).select("called", "name", F.array(F.lit(start), F.lit(end)).alias("chain"))
+
+
+def module_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(module), (path) -> module, path: its file, or its package's, if there is one."""
+    p = F.translate("module", ".", "/")
+    asked = wanted.select("module", F.posexplode(F.array(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")))).alias("order", "path"))
+    return top_per_key(asked.join(files.select("path"), "path", "left_semi"), ["module"], [F.col("order")]).select("module", "path")
+
+
+def functions_of_module(known: DataFrame, module: str) -> DataFrame:
+    return known.where(F.col("module") == module).orderBy("name")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import re
 import textwrap
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -29,11 +30,20 @@ def tree_of(source: str) -> tuple[ast.AST | None, str | None]:
     except (SyntaxError, ValueError) as e:
         line = getattr(e, "lineno", None) or 1
         kept = source.split("\n")[: line - 1]
-        while kept:
+        # Statements at the left margin are where a cut can be: tried from the error backwards, ever farther.
+        starts = [i for i, x in enumerate(kept) if i and x[:1] not in ("", " ", "\t", "#", ")", "]", "}")]
+        step, at = 1, len(starts)
+        for end in [len(kept), *starts[::-1][:8]]:
             try:
-                return ast.parse("\n".join(kept)), f"line {line}: {e.args[0]}"
+                return ast.parse("\n".join(kept[:end])), f"line {line}: {e.args[0]}"
             except (SyntaxError, ValueError):
-                kept.pop()
+                continue
+        while (at := at - 8 * step) > 0:
+            step *= 2
+            try:
+                return ast.parse("\n".join(kept[: starts[at]])), f"line {line}: {e.args[0]}"
+            except (SyntaxError, ValueError):
+                continue
         return None, f"line {line}: {e.args[0]}"
 
 
@@ -57,9 +67,9 @@ def functions_of(path: str, source: str) -> list[tuple]:
     if tree is None:
         return []
     lines, out = source.split("\n"), []
-    queue: list[tuple[ast.AST, bool]] = [(tree, False)]
+    queue: deque[tuple[ast.AST, bool]] = deque([(tree, False)])
     while queue:
-        node, in_class = queue.pop(0)
+        node, in_class = queue.popleft()
         if isinstance(node, _FUNCTIONS):
             params = parameters_of(node.args)
             method = in_class or bool(params) and params[0]["name"].rstrip("/") in ("self", "cls")
@@ -248,7 +258,7 @@ def calls_of(source: str) -> list[dict]:
 
 
 def _each(series_type: str, f):
-    @arrow_function(series_type)
+    @arrow_function(series_type, once=True)
     def run(source: pd.Series) -> pd.Series:
         return source.map(f)
 

@@ -6,6 +6,8 @@ there are no answers, and everything around it works the same.
 
 from __future__ import annotations
 
+import time
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions import json_text, scores
+from ..functions import errors, json_text, scores
+from ..functions._lift import lookup
 
 
 def needs_model(least_rule_confidence: Column, complexity: Column, has_examples: Column, decorators: Column, config: EngineConfig) -> Column:
@@ -32,18 +35,45 @@ def prompts(pairs: DataFrame, types: Column, limit: int = 2000) -> DataFrame:
     return pairs.select("function_id", text.alias("prompt"), scores.estimate_tokens(text).alias("tokens"))
 
 
-def ask(requests: DataFrame, call: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """function_id, reply, error: one row per request in any case; an error is that row's."""
+def policy(error: str, attempt: int, base: float = 1.0, cap: float = 60.0) -> tuple[bool, float]:
+    """Whether to try again after an error, and after how many seconds: exponential, at least
+    what the kind of error asks for, with up to a tenth more or less that the error and the
+    attempt decide. Refused keys are not tried again, unknown errors once."""
+    low = error.lower()
+    kind = next((k for words, *k in errors.KINDS if any(w in low for w in words)), ["unknown", "retry_once", 1])
+    again = kind[1] not in ("stop", "fallback") and (kind[1] != "retry_once" or attempt == 0)
+    jitter = 0.9 + 0.2 * (zlib.crc32(f"{error}:{attempt}".encode()) % 1000) / 1000
+    return again, min(cap, max(base * 2**attempt, float(kind[2]) if kind[1] == "wait" else 0.0)) * jitter
+
+
+def ask(requests: DataFrame, call: Callable[[list[str]], list[str]] | None = None, batch: int = 10, retries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """function_id, reply, error: one row per request in any case, in batches of ``batch``.
+    If a batch fails its prompts go one by one, with retries; an error is that row's. How many calls
+    run at once is the number of partitions: ``repartition`` the requests to bound it."""
     if call is None:
         return requests.select("function_id", F.lit(None).cast("string").alias("reply"), F.lit("offline").alias("error"))
 
-    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        for attempt in range(retries + 1):
             try:
-                reply, error = call(b["prompt"].tolist()), [None] * len(b)
+                return call([prompt])[0], None
             except Exception as e:  # noqa: BLE001  a service's failure is data here
-                reply, error = [None] * len(b), [str(e)] * len(b)
-            yield pd.DataFrame({"function_id": b["function_id"], "reply": reply, "error": error})
+                error = str(e)
+                again, wait = policy(error, attempt)
+                if not again or attempt == retries:
+                    break
+                pause(wait)
+        return None, error
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), batch):
+                part = b.iloc[at : at + batch]
+                try:
+                    made = [(r, None) for r in call(part["prompt"].tolist())]
+                except Exception:  # noqa: BLE001  then each prompt by itself
+                    made = [one(p) for p in part["prompt"]]
+                yield pd.DataFrame({"function_id": part["function_id"], "reply": [r for r, _ in made], "error": [e for _, e in made]})
 
     return requests.select("function_id", "prompt").mapInPandas(work, "function_id string, reply string, error string")
 
@@ -73,3 +103,51 @@ def good_examples(functions: DataFrame, issues: DataFrame) -> DataFrame:
     bad = issues.groupBy("function_id").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("critical", "high")).alias("heavy"))
     x = functions.join(bad, "function_id", "left").where("coalesce(n, 0) <= 1 and coalesce(heavy, 0) = 0")
     return x.select("function_id", "name", F.when(F.col("n").isNull(), 5).otherwise(4).alias("quality_score"))
+
+
+# Kinds of analysis and what each asks for.
+TEMPLATES = {
+    "behavior": "Does the documentation tell what the code does, in every branch?",
+    "examples": "Do the examples run, and give what they say?",
+    "edge_cases": "Are empty, missing and extreme inputs told, and the errors they raise?",
+    "version": "Does the documentation speak of parameters or behaviour that are gone?",
+    "types": "Do the told types fit the code?",
+    "performance": "Are costs and limits told where they matter?",
+}
+
+
+def prompt_for(kind: Column) -> Column:
+    """The question of one kind of analysis; of an unknown one that of behaviour."""
+    return F.coalesce(lookup(kind, TEMPLATES), F.lit(TEMPLATES["behavior"]))
+
+
+def high_value(name: Column, n_parameters: Column, lines: Column, has_doc: Column) -> Column:
+    """Public functions with parameters that are long or documented: worth asking about ahead."""
+    return ~name.startswith("_") & (n_parameters >= 2) & ((lines >= 10) | has_doc)
+
+
+def to_warm(functions: DataFrame, cache: DataFrame) -> DataFrame:
+    """High-value functions (with ``cache_key``) that the cache doesn't have, dearest first."""
+    lines = F.col("end_line_number") - F.col("line_number") + 1
+    x = functions.where(high_value(F.col("name"), F.size("parameters"), lines, F.col("raw_doc").isNotNull()))
+    return x.join(cache.select("cache_key"), "cache_key", "left_anti").withColumn("effort", effort(F.size("parameters"), lines, F.size("decorators"), F.col("is_async")))
+
+
+def effort(n_parameters: Column, lines: Column, n_decorators: Column, is_async: Column) -> Column:
+    """How much there is to look at, for scheduling."""
+    return n_parameters * 2 + F.floor(lines / 10).cast("int") + n_decorators + F.when(is_async, 3).otherwise(0)
+
+
+def scheduled(requests: DataFrame, parts: int) -> DataFrame:
+    """Requests of one type and file side by side, the dearest first."""
+    return requests.repartition(parts, "analysis_type", "file_path").sortWithinPartitions("analysis_type", F.desc("effort"), "file_path", "function_id")
+
+
+def parse_statistics(replies: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: replies, share that parsed, mean findings of a reply, and the five most
+    frequent beginnings of errors (up to the first colon)."""
+    per = found.groupBy("function_id").agg(F.count("*").alias("n"))
+    x = replies.join(per, "function_id", "left")
+    total = x.agg(F.count("*").alias("replies"), F.avg(F.col("reply").isNotNull().cast("int")).alias("success_rate"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_issues"))
+    top = x.where("error is not null").groupBy(F.substring_index("error", ":", 1).alias("error")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(5)
+    return total.join(F.broadcast(top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "error"))).alias("top")).select(F.transform("top", lambda t: t["error"]).alias("top_errors"))))

@@ -160,6 +160,16 @@ def check(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     return rows
 
 
+def marked_parameters() -> Column:
+    """Findings beyond the twelve: ``*`` and ``**`` without their marks in the documentation,
+    and parameters that may be None documented as required."""
+    d = _doc()
+    unmarked = F.filter("parameters", lambda p: p["name"].startswith("*") & F.exists(d, lambda x: x["name"] == bare(p["name"])))
+    needed = F.filter("parameters", lambda p: F.coalesce(types.is_optional(p["type_annotation"]), F.lit(False)) & F.exists(d, lambda x: (x["name"] == p["name"]) & ~x["is_optional"] & ~F.coalesce(types.is_optional(x["type_str"]), F.lit(False))))
+    say_ = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p["name"].alias("subject"))
+    return F.concat(F.transform(unmarked, say_("marks missing")), F.transform(needed, say_("optional told as required")))
+
+
 def coverage() -> Column:
     """struct of a function's documented, missing and extra parameters and the percentage."""
     f, d = F.array_distinct(_names(_own())), F.array_distinct(_names(_doc()))

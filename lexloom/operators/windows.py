@@ -26,4 +26,12 @@ def keep_most_used(df: DataFrame, keys: Sequence[str], uses: str, used_at: str,
     """Cache clean-up: beyond limit rows of a key only the keep most used (then latest) stay."""
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(uses), F.desc(used_at), *df.columns)))
+    # No rank above both numbers can stay, so a task's rows are cut to that many before the shuffle.
+    ranked = ranked.where(F.col("_rank") <= max(limit, keep))
     return ranked.join(n, list(keys)).where((F.col("_n") <= limit) | (F.col("_rank") <= keep)).drop("_rank", "_n")
+
+
+def most_similar(df: DataFrame, key: str, similarity: str, k: int = 5) -> DataFrame:
+    """The k most similar distinct descriptions of each key."""
+    best = df.groupBy(key, "description").agg(F.max(similarity).alias(similarity))
+    return top_per_key(best, [key], [F.desc(similarity), F.col("description")], k, "rank")
