@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions._lift import lookup
 from .windows import top_per_key
 
 
@@ -53,6 +54,11 @@ def frequent_terms(terms: DataFrame, group: str, term: str, k: int = 10, least:
     return top_per_key(n, [group], [F.desc("uses"), F.col(term)], k, "rank")
 
 
+def at_least(terms: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The combinations that occur at least n times, with their uses."""
+    return terms.groupBy(*by).agg(F.count("*").alias("uses")).where(F.col("uses") >= n)
+
+
 def advice(stats_: DataFrame, slow: float = 1.0, failing: float = 0.85) -> DataFrame:
     """What the figures of operation_stats suggest."""
     return stats_.withColumn("advice", F.array_compact(F.array(F.when(F.col("p95") > slow, "cache or batch"), F.when(F.col("most") > 10 * F.col("p50"), "set a timeout"), F.when(F.col("success_rate") < failing, "retry or inspect errors"))))
@@ -66,3 +72,66 @@ def bottleneck(shares: dict[str, Column]) -> Column:
     """The phase with the largest share of time, if that is over half of it."""
     top = F.array_max(F.array(*(F.struct(c.alias("share"), F.lit(k).alias("phase")) for k, c in shares.items())))
     return F.when(top["share"] > 0.5, top["phase"]).otherwise("balanced")
+
+
+def batch_summary(found: DataFrame, owner: str, sure: float = 0.8) -> DataFrame:
+    """One row over all owners: how many, their findings, means, and how many have a sure one."""
+    c = F.col("confidence")
+    each = found.groupBy(owner).agg(F.count("*").alias("n"), F.avg(c).alias("c"), F.count_if(c >= sure).alias("good"))
+    return each.agg(F.count("*").alias("owners"), F.sum("n").alias("issues"), F.avg("n").alias("mean_issues"), F.avg("c").alias("mean_confidence"), F.count_if(F.col("good") > 0).alias("with_good"))
+
+
+def suggestion_batch(found: DataFrame, by: str = "issue_type", sure: float = 0.8) -> DataFrame:
+    """Count, mean and extreme confidence, and sure ones, of each type."""
+    c = F.col("confidence")
+    return found.groupBy(by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), F.count_if(c >= sure).alias("good"))
+
+
+def best_by_owner(found: DataFrame, owner: str, score: Column, n: int) -> DataFrame:
+    """The n owners with the best finding, ties by owner."""
+    return found.groupBy(owner).agg(F.max(score).alias("best")).orderBy(F.desc("best"), owner).limit(n)
+
+
+def trend(ops: DataFrame, key: str, order: Sequence[Column], value: str, ok: Column, n: int = 100) -> DataFrame:
+    """Means over the last n operations of each key."""
+    last = top_per_key(ops, [key], order, n)
+    return last.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.avg(ok.cast("int")).alias("success_rate"))
+
+
+def most_frequent(rows: DataFrame, by: str, n: int = 5) -> DataFrame:
+    """The n most frequent values, ties by value."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)
+
+
+def over_threshold(ops: DataFrame, operation: str, value: str, thresholds: dict[str, float], default: float) -> DataFrame:
+    """How many operations exceed their threshold."""
+    limit = lookup(F.col(operation), thresholds, default)
+    return ops.groupBy(operation).agg(F.count("*").alias("n"), F.count_if(F.col(value) > limit).alias("over"))
+
+
+def time_to(events: DataFrame, key: str, time: Column, is_end: Column) -> DataFrame:
+    """Seconds from a key's first event to its first of a kind; keys without one are left out."""
+    x = events.groupBy(key).agg(F.min(time).alias("first"), F.min(F.when(is_end, time)).alias("end"))
+    return x.where(F.col("end").isNotNull()).select(key, (F.col("end") - F.col("first")).alias("seconds"))
+
+
+def filtered(found: DataFrame, least: float = 0.0, severities: Sequence[str] | None = None, types: Sequence[str] | None = None, without: Sequence[str] = (), ready: str | None = None, functions: Sequence[str] | None = None) -> DataFrame:
+    """Findings by confidence, severity, type and function. ready: ``only`` drops those
+    without a suggestion to paste, ``or none`` keeps those that have no suggestion at all."""
+    ok = F.col("confidence") >= least
+    if severities is not None:
+        ok = ok & F.col("severity").isin(*severities)
+    if types is not None:
+        ok = ok & F.col("issue_type").isin(*types)
+    if without:
+        ok = ok & ~F.col("issue_type").isin(*without)
+    if functions is not None:
+        ok = ok & F.col("function_name").isin(*functions)
+    if ready is not None:
+        r = F.col("ready")
+        ok = ok & (F.coalesce(r, F.lit(False)) if ready == "only" else r.isNull() | r)
+    return found.where(ok)
+
+
+def by_quality(suggested: DataFrame, quality: Column, tie: str) -> DataFrame:
+    return suggested.withColumn("quality", quality).orderBy(F.desc("quality"), tie)

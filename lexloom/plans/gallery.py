@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import docstrings, embedding, engine, generators, matching, parse, routing, rules
 from ..sources import gallery
+from . import services
 from .registry import query, table
 
 
@@ -249,35 +250,18 @@ def embedding_texts(spark, sf_dir):
     return parse.functions(files(spark, sf_dir)).select("name", matching.embedding_text().alias("text"))
 
 
-def flaky(texts: list[str]) -> list[list[float]]:
-    """A vector service that knows no function without annotations."""
-    if any("->" not in t for t in texts):
-        raise ValueError("text refused")
-    return [[float(len(t))] for t in texts]
-
-
 @query(told("name model error", [(r[0], r[3], "flaky" if r[4] else "hashing" if r[3] != "lonely{k}" else None, None if r[3] != "lonely{k}" else "second: not this one") for r in FUNCTIONS]))
 def embedded_functions(spark, sf_dir):
     """Vectors by the first of three makers that succeeds; what none can is a row with the error."""
     texts = parse.functions(files(spark, sf_dir)).select("function_id", matching.embedding_text().alias("text"))
-    e = embedding.generate(texts, (("flaky", flaky), ("hashing", picky), ("second", refusing)), batch=7, limit=10**9)
+    e = embedding.generate(texts, (("flaky", services.flaky), ("hashing", services.picky), ("second", services.refusing)), batch=7, limit=10**9)
     return e.select(_name().alias("name"), "model", "error")
 
 
-def picky(texts: list[str]) -> list[list[float]]:
-    if any("lonely" in t for t in texts):
-        raise ValueError("not lonely")
-    return embedding.hashed_words(texts)
-
-
-def refusing(texts: list[str]) -> list[list[float]]:
-    raise ValueError("not this one")
-
-
 @query(f"with f as ({told('name', [(r[0], r[3]) for r in FUNCTIONS])}) select count(*) as functions, count(*) filter (name not like 'lonely%') as embedded, true as ready from f")
 def embedding_readiness(spark, sf_dir):
     texts = parse.functions(files(spark, sf_dir)).select("function_id", matching.embedding_text().alias("text"))
-    fresh = embedding.generate(texts, (("hashing", picky),)).where("vec is not null")
+    fresh = embedding.generate(texts, (("hashing", services.picky),)).where("vec is not null")
     return embedding.readiness(fresh, texts).select("functions", "embedded", "ready")
 
 
@@ -286,20 +270,6 @@ def marked_parameters(spark, sf_dir):
     return pairs(spark, sf_dir).select("name", F.explode(rules.marked_parameters()).alias("m")).select("name", "m.kind", "m.subject")
 
 
-def answering(prompts: list[str]) -> list[str]:
-    """A model that finds one thing in each function, says nonsense about walks and refuses builds."""
-    out = []
-    for p in prompts:
-        if "def build" in p:
-            raise ValueError("401 unauthorized")
-        out.append("I see a problem: it walks." if "def walk" in p else 'Here: {"issues": [{"type": "behavior_mismatch", "description": "It does more.", "suggestion": "Describe what it changes.", "confidence": 0.85, "line_number": 1}], "confidence": 0.9}')
-    return out
-
-
-def no_pause(seconds: float) -> None:
-    return None
-
-
 _ASKED = [(0, "size{k}"), (0, "make{k}"), (0, "grow{k}"), (1, "fetch{k}"), (2, "walk{k}"), (3, "build{k}"), (5, "good{k}"), (8, "shared{k}")]
 
 
@@ -308,7 +278,7 @@ def asked_model(spark, sf_dir):
     """One row for each request; a refused one is that row's error, whatever its batch."""
     p = pairs(spark, sf_dir).where("raw_doc is not null")
     requests = routing.prompts(p, F.array(F.lit("behavior")))
-    return routing.ask(requests, answering, batch=4, pause=no_pause).select(_name().alias("name"), F.col("reply").isNotNull().alias("answered"), "error")
+    return routing.ask(requests, services.answering, batch=4, pause=services.no_pause).select(_name().alias("name"), F.col("reply").isNotNull().alias("answered"), "error")
 
 
 _SAID = [(k, n, "description_outdated", 0.3 if n == "walk{k}" else 0.85, "model") for k, n in _ASKED if n != "build{k}"]
@@ -319,14 +289,10 @@ def analysed_with_model(spark, sf_dir):
     """Rules, routing, model and merge in one; the model adds what the rules did not find."""
     from ..config import EngineConfig
 
-    a = engine.analyse(pairs(spark, sf_dir), EngineConfig(min_confidence=0.0, analysis_types=("behavior",)), answering_quietly)
+    a = engine.analyse(pairs(spark, sf_dir), EngineConfig(min_confidence=0.0, analysis_types=("behavior",)), services.answering_quietly)
     return a.groupBy("issue_type", "origin").agg(F.count("*").alias("n"))
 
 
-def answering_quietly(prompts: list[str]) -> list[str]:
-    return [answering([p])[0] if "def build" not in p else "none" for p in prompts]
-
-
 _HIGH = [r for r in ISSUES if r[4] == "high"]
 
 

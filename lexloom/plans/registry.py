@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import code, gallery, streams, tabular, textual  # noqa: E402, F401  (they register their queries)
+from . import cases, code, feeds, gallery, streams, tabular, textual  # noqa: E402, F401  (they register their queries)

@@ -8,25 +8,6 @@ from ..streaming import monitors
 from .registry import query, table
 
 
-def _events(spark, sf_dir, x):
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"), x.alias("x"))
-
-
-@query()
-def alert_cooldown(spark, sf_dir):
-    return monitors.fold(_events(spark, sf_dir, F.col("value")), "user_id", lambda: monitors.Cooldown(50.0, 86400.0), float)
-
-
-@query()
-def token_bucket(spark, sf_dir):
-    return monitors.fold(_events(spark, sf_dir, F.lit(1)), "user_id", lambda: monitors.Bucket(1 / 36000, 3), int)
-
-
-@query()
-def circuit_breaker(spark, sf_dir):
-    return monitors.fold(_events(spark, sf_dir, F.col("event_type") != "error"), "user_id", lambda: monitors.Breaker(2, 86400.0), bool)
-
-
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as most from events group by all")
 def hourly_stats(spark, sf_dir):
     w = monitors.windowed_stats(table(spark, sf_dir, "events"), "event_type", "value")

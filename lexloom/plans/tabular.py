@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, names, scores, stats
 from ..operators import aggregates, joins, windows
+from ..sources import stores
 from .registry import query, table
 
 # How orders stand for findings: priority -> severity, status -> type, price -> confidence.
@@ -83,9 +84,7 @@ def op_advice(spark, sf_dir):
 @query("""with d(event_type, threshold) as (values ('view', 20.0), ('click', 30.0), ('purchase', 60.0))
 select e.event_type, count(*) as n, count(*) filter (e.value > coalesce(d.threshold, 50.0)) as over from events e left join d using (event_type) group by e.event_type""")
 def threshold_flags(spark, sf_dir):
-    d = spark.createDataFrame([("view", 20.0), ("click", 30.0), ("purchase", 60.0)], "event_type string, threshold double")  # three fixed rows
-    e = table(spark, sf_dir, "events").join(F.broadcast(d), "event_type", "left")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.coalesce("threshold", F.lit(50.0))).alias("over"))
+    return aggregates.over_threshold(table(spark, sf_dir, "events"), "event_type", "value", {"view": 20.0, "click": 30.0, "purchase": 60.0}, 50.0)
 
 
 _LAST = "over (partition by user_id order by ts, event_id rows between {} preceding and current row)"
@@ -106,8 +105,8 @@ def rolling_p95(spark, sf_dir):
 @query("""with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
 select user_id, count(*) as n, round(avg(value), 6) as mean, round(avg((event_type <> 'error')::int), 6) as success_rate from r where k <= 100 group by user_id""")
 def trend_last_100(spark, sf_dir):
-    r = windows.top_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 100)
-    return r.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg((F.col("event_type") != "error").cast("int")), 6).alias("success_rate"))
+    t = aggregates.trend(table(spark, sf_dir, "events"), "user_id", [F.desc("ts"), F.desc("event_id")], "value", F.col("event_type") != "error")
+    return t.withColumns({c: F.round(c, 6) for c in ("mean", "success_rate",)})
 
 
 @query("select event_id, event_type, value from events order by value desc, event_id limit 10")
@@ -123,14 +122,12 @@ def severity_rollup(spark, sf_dir):
 @query(f"""with {_SQL_FINDINGS}, o as (select owner, count(*) as n, avg(confidence) as c, count(*) filter (confidence >= 0.8) as good from f group by owner)
 select count(*) as owners, sum(n)::bigint as issues, round(avg(n), 6) as mean_issues, round(avg(c), 6) as mean_confidence, count(*) filter (good > 0) as with_good from o""")
 def batch_summary(spark, sf_dir):
-    o = findings(spark, sf_dir).groupBy("owner").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"), F.count_if(F.col("confidence") >= 0.8).alias("good"))
-    return o.agg(F.count("*").alias("owners"), F.sum("n").alias("issues"), F.round(F.avg("n"), 6).alias("mean_issues"), F.round(F.avg("c"), 6).alias("mean_confidence"), F.count_if(F.col("good") > 0).alias("with_good"))
+    return aggregates.batch_summary(findings(spark, sf_dir), "owner").withColumns({c: F.round(c, 6) for c in ("mean_issues", "mean_confidence",)})
 
 
 @query(f"with {_SQL_FINDINGS} select issue_type, count(*) as n, round(avg(confidence), 6) as mean, min(confidence) as least, max(confidence) as most, count(*) filter (confidence >= 0.8) as good from f group by issue_type")
 def suggestion_batch(spark, sf_dir):
-    c = F.col("confidence")
-    return findings(spark, sf_dir).groupBy("issue_type").agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most"), F.count_if(c >= 0.8).alias("good"))
+    return aggregates.suggestion_batch(findings(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("mean",)})
 
 
 def _rank_sql(a: int, b: int, c: int) -> str:
@@ -163,14 +160,14 @@ def rank_results(spark, sf_dir):
     from ..config import RANK_SEVERITY
     from ..functions._lift import lookup
 
-    best = findings(spark, sf_dir).groupBy("owner").agg(F.round(F.max(lookup(F.col("severity"), RANK_SEVERITY, 1.0) + F.col("confidence") * 5), 6).alias("best"))
-    return best.orderBy(F.desc("best"), "owner").limit(50)
+    score = F.round(lookup(F.col("severity"), RANK_SEVERITY, 1.0) + F.col("confidence") * 5, 6)
+    return aggregates.best_by_owner(findings(spark, sf_dir), "owner", score, 50)
 
 
 @query(f"with {_SQL_FINDINGS} select id, severity, confidence from f where confidence >= 0.7 and severity in ('critical', 'high') and issue_type not in ('description_outdated') and ready")
 def issue_filters(spark, sf_dir):
-    f = findings(spark, sf_dir)
-    return f.where((F.col("confidence") >= 0.7) & F.col("severity").isin("critical", "high") & ~F.col("issue_type").isin("description_outdated") & F.col("ready")).select("id", "severity", "confidence")
+    f = aggregates.filtered(findings(spark, sf_dir), 0.7, ("critical", "high"), without=("description_outdated",), ready="only")
+    return f.select("id", "severity", "confidence")
 
 
 @query("select l_orderkey, l_returnflag, l_linenumber, l_extendedprice from lineitem qualify row_number() over (partition by l_orderkey, l_returnflag order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey) = 1")
@@ -223,11 +220,7 @@ def unmatched_functions(spark, sf_dir):
 @query("""with p as (select p_partkey as id, p_type || p_size as name, p_brand as place from part), x as (select a.id, count(*) as n, min(b.place) as place from p a join p b on a.name = b.name and a.place <> b.place group by a.id) select id, place from x where n = 1""")
 def moved_unique(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_type", F.col("p_size").cast("string")).alias("name"), F.col("p_brand").alias("place"))
-    # Equal rows of a place count each: the join itself is on (name), hot names by count.
-    by_name = p.groupBy("name").agg(F.count("*").alias("n"))
-    by_place = p.groupBy("name", "place").agg(F.count("*").alias("here"))
-    other = p.join(by_name, "name").join(by_place, ["name", "place"]).where("n - here = 1").select("id", "name", F.col("place").alias("own"))
-    return other.join(by_place, "name").where("place <> own").select("id", "place")
+    return joins.unique_elsewhere(p, p.select("name", "place"), "name", F.col("r.place") != F.col("c.place"))
 
 
 def _queries(spark, sf_dir):
@@ -280,9 +273,9 @@ def cache_hit_miss(spark, sf_dir):
 
 @query("select event_type, count(*) as kept from events where ts >= (select max(ts) from events) - interval 7 day group by event_type")
 def ttl_evict(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    as_of = e.agg(F.max("ts").alias("as_of"))  # one row
-    return e.join(F.broadcast(as_of)).where(F.col("ts") >= F.col("as_of") - F.expr("interval 7 days")).groupBy("event_type").agg(F.count("*").alias("kept"))
+    e = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    as_of = e.agg(F.max("t").alias("as_of"))  # one row
+    return stores.recent(e.join(F.broadcast(as_of)), "t", F.col("as_of"), 7).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
 @query("""with n as (select event_type, count(*) as n from events group by 1), r as (select *, row_number() over (partition by event_type order by user_id desc, ts desc, event_id) as k from events)
@@ -294,8 +287,7 @@ def lru_keep(spark, sf_dir):
 
 @query("""with e as (select user_id, min(ts) as first, min(ts) filter (event_type = 'purchase') as bought from events group by 1) select user_id, epoch(bought) - epoch(first) as seconds from e where bought is not null""")
 def time_to_accept(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("bought"))
-    return e.where("bought is not null").select("user_id", (F.col("bought").cast("timestamp").cast("double") - F.col("first").cast("timestamp").cast("double")).alias("seconds"))
+    return aggregates.time_to(table(spark, sf_dir, "events"), "user_id", F.col("ts").cast("timestamp").cast("double"), F.col("event_type") == "purchase")
 
 
 @query("""with m as (select count(*) as n, count(*) filter (event_type <> 'error') as ok, avg(value) as mean, count(*) filter (event_type = 'view') as hits from events)
@@ -307,7 +299,7 @@ def performance_score(spark, sf_dir):
 
 @query("""select event_type, count(*) as n from events where event_type = 'error' or value > 90 group by 1 order by n desc, event_type limit 5""")
 def error_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").where((F.col("event_type") == "error") | (F.col("value") > 90)).groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type").limit(5)
+    return aggregates.most_frequent(table(spark, sf_dir, "events").where((F.col("event_type") == "error") | (F.col("value") > 90)), "event_type")
 
 
 @query("""select p_partkey, lower(p_name) as name, string_split(lower(p_name), ' ') as tokens from part""")

@@ -61,7 +61,7 @@ def vocab_top10(spark, sf_dir):
 @query("""with w as (select source, unnest(regexp_extract_all(lower(text), '[a-z]+ed [a-z]+ing')) as phrase from documents) select source, phrase, count(*) as uses from w group by all having count(*) >= 2""")
 def phrases_ge2(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ed [a-z]+ing"), F.lit(0))).alias("phrase"))
-    return w.groupBy("source", "phrase").agg(F.count("*").alias("uses")).where("uses >= 2")
+    return aggregates.at_least(w, ["source", "phrase"], 2)
 
 
 @query("""select event_id, json_valid(props) as valid, try_cast(json_extract(props, '$.k') as bigint) as k from events""")
