@@ -1,17 +1,17 @@
 """Near-duplicate vectors by an exact range join in a metric space.
 
 On unit vectors a cosine of c is the Euclidean distance sqrt(2 - 2c), a metric. Pivots cut
-the space into cells: each vector's home is its nearest pivot's cell, whose radius is the
-largest distance of its home vectors. A partner of a home vector lies within the radius plus
-r of the pivot (triangle inequality), and no farther from that pivot than 2r beyond its own
-nearest (r for each of the two); vectors for which both hold are copied into the cell.
-So each home vector finds all its partners in its own cell, and cells need nothing of each
-other. A cell's home vectors are cut into blocks of bounded size, each a task's work: it
-holds its block and reads the cell's vectors batch by batch.
+the space into cells: each vector's home is its nearest pivot's cell, and a cell is cut into
+blocks by distance from its pivot. Partners of a vector at distance d from any pivot are
+between d - r and d + r from it (triangle inequality), so a vector is sent to a block only if its
+own distance from that pivot is within r of the block's band, and no more than 2r beyond its nearest
+(r for each of the two). So each home vector finds all its partners in its own block, and blocks need
+nothing of each other: a task holds a block and reads the vectors sent to it batch by batch.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -41,7 +41,23 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
+    """By sums that don't depend on how many rows come at a time: both passes see the same."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,kj->ik", x, pivots)))
+
+
+BINS = 256
+
+
+def bands(found: list, block: int) -> pd.DataFrame:
+    """Counted bins (cell, bin, n, low, high) -> blocks (cell, first, low, high, parts) of
+    about ``block`` vectors: neighbouring bins of a cell together, a fuller bin in parts."""
+    out: list[list] = []
+    for x in sorted(found, key=lambda x: (x["cell"], x["bin"])):
+        if out and out[-1][0] == x["cell"] and out[-1][4] + x["n"] <= block:
+            out[-1][3], out[-1][4] = x["high"], out[-1][4] + x["n"]
+        else:
+            out.append([x["cell"], x["bin"], x["low"], x["high"], x["n"]])
+    return pd.DataFrame([(c, i, lo, hi, -(-n // block)) for c, i, lo, hi, n in out], columns=["cell", "first", "low", "high", "parts"])
 
 
 def forest(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -64,56 +80,64 @@ def forest(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     return np.unique(out[out[:, 0] != out[:, 1]], axis=0)
 
 
-def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, block: int = 1024) -> DataFrame:
+NONE = "cls long, n_links long, edges array<struct<a:long, b:long>>"
+
+
+def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, block: int = 8192) -> DataFrame:
     """(cls, v, times) with unique cls -> (cls, n_links, edges): how many vectors (by times)
-    are within the cosine, itself not counted, and links that connect it with them.
+    are within the cosine, itself not counted, and links that connect it with them. Vectors of
+    different lengths have no cosine and are not linked.
 
     pivots: by default a sixteenth of the root of the number of vectors, 4 to 64: of a
-    sample of that size, chosen by hash, the vectors go to the driver and to every task."""
-    spark = vectors.sparkSession
-    common.small_batches(spark)
+    sample of that size, chosen by hash, the vectors go to the driver and to every task; the driver
+    also gets the counts of at most 256 bins of distance for each."""
+    sizes = sorted(r[0] for r in vectors.select(F.size("v")).distinct().collect())
+    found = [_links(vectors.where(F.size("v") == n) if len(sizes) > 1 else vectors, cosine, pivots, block) for n in sizes]
+    return functools.reduce(DataFrame.unionAll, found) if found else vectors.sparkSession.createDataFrame([], NONE)
+
+
+def _links(vectors: DataFrame, cosine: float, pivots: int | None, block: int) -> DataFrame:
+    common.small_batches(vectors.sparkSession)
     n = vectors.count()
     k = pivots or min(64, max(4, math.isqrt(n) // 16))
-    sample = vectors.orderBy(F.xxhash64("cls")).limit(k).select("v").toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], "cls long, n_links long, edges array<struct<a:long, b:long>>")
-    centres = _matrix(sample["v"])
+    centres = _matrix(vectors.orderBy(F.xxhash64("cls")).limit(k).select("v").toPandas()["v"])
     r = math.sqrt(2 - 2 * cosine) + SLACK
+    bin_of = lambda d: np.minimum((d * (BINS / 2)).astype(np.int64), BINS - 1)
 
     @common.tidy
     def home(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top = np.full(len(centres), -1.0)
         for b in batches:
             d = _distances(_matrix(b["v"]), centres)
-            np.maximum.at(top, d.argmin(1), d.min(1))
-        yield pd.DataFrame({"cell": np.arange(len(top)), "radius": top})
+            near = d.min(1)
+            x = pd.DataFrame({"cell": d.argmin(1).astype(np.int32), "bin": bin_of(near).astype(np.int32), "low": near, "high": near})
+            x = x.groupby(["cell", "bin"]).agg(n=("low", "size"), low=("low", "min"), high=("high", "max")).reset_index()
+            yield x[["cell", "bin", "n", "low", "high"]]
 
-    found = vectors.select("v").mapInPandas(home, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect()
-    radius = np.full(len(centres), -1.0)
-    for x in found:
-        radius[x["cell"]] = x["radius"]
+    counted = vectors.select("v").mapInPandas(home, "cell int, bin int, n long, low double, high double")
+    blocks = bands(counted.groupBy("cell", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect(), block)
+    cell, low, high, parts = (blocks[c].to_numpy() for c in ("cell", "low", "high", "parts"))
+    starts = blocks["cell"].to_numpy(np.int64) * BINS + blocks["first"].to_numpy(np.int64)
 
     @common.tidy
     def deal(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(64, 4_000_000 // len(blocks))
         for b in batches:
-            u = _matrix(b["v"])
-            d = _distances(u, centres)
-            own = d.argmin(1)
-            near = (d <= radius + r) & (d <= d.min(1)[:, None] + 2 * r)
-            i, cell = np.nonzero(near)
-            cls = b["cls"].to_numpy(np.int64)
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "cls": cls[i], "times": b["times"].to_numpy(np.int64)[i], "home": own[i] == cell, "u": [x.tobytes() for x in u[i]]})
-
-    cells = common.store(vectors.mapInPandas(deal, "cell int, cls long, times long, home boolean, u binary"), "pivot-cells")
-    blocks = {x["cell"]: -(-x["n"] // block) for x in cells.where("home").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    if not blocks:
-        return spark.createDataFrame([], "cls long, n_links long, edges array<struct<a:long, b:long>>")
-    many = F.element_at(F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv)), F.col("cell"))
-    cells = cells.withColumn("blocks", many).where("blocks is not null")
-    homes = cells.where("home").withColumn("blk", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
-    every = cells.withColumn("blk", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).withColumn("role", F.lit(1))
-    cols = ["cell", "blk", "role", "cls", "times", "u"]
-    dealt = homes.select(*cols).unionAll(every.select(*cols)).repartition(max(1, sum(blocks.values())), "cell", "blk").sortWithinPartitions("cell", "blk", "role")
+            for at in range(0, len(b), step):
+                x = b.iloc[at : at + step]
+                u = _matrix(x["v"])
+                d = _distances(u, centres)
+                nearest = d.min(1)
+                mine = np.searchsorted(starts, d.argmin(1) * BINS + bin_of(nearest), "right") - 1
+                cls, times = x["cls"].to_numpy(np.int64), x["times"].to_numpy(np.int64)
+                far = d[:, cell]
+                i, blk = np.nonzero((far >= low - r) & (far <= high + r) & (far <= nearest[:, None] + 2 * r))
+                many = parts[blk]
+                i, blk, part = np.repeat(i, many), np.repeat(blk, many), np.concatenate([np.arange(m) for m in many]) if len(many) else many
+                i, blk, part = np.concatenate([np.arange(len(x)), i]), np.concatenate([mine, blk]), np.concatenate([cls % parts[mine], part])
+                raw = np.array([row.tobytes() for row in u], object)
+                yield pd.DataFrame({"blk": blk.astype(np.int32), "part": part.astype(np.int32), "role": np.repeat(np.int32([0, 1]), [len(x), len(i) - len(x)]), "cls": cls[i], "times": times[i], "u": raw[i]})
+
+    dealt = vectors.mapInPandas(deal, "blk int, part int, role int, cls long, times long, u binary").repartition(max(1, int(parts.sum())), "blk", "part").sortWithinPartitions("blk", "part", "role")
 
     @common.tidy
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,11 +155,11 @@ def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, b
             return pd.DataFrame({"cls": ids, "n_links": count, "edges": [by.get(j, []) for j in range(len(ids))]})
 
         for b in batches:
-            for (cell, blk, role), g in b.groupby(["cell", "blk", "role"], sort=True):
-                if key != (cell, blk):
+            for (blk, part, role), g in b.groupby(["blk", "part", "role"], sort=True):
+                if key != (blk, part):
                     if own is not None:
                         yield result()
-                    key, held, own = (cell, blk), [], None
+                    key, held, own = (blk, part), [], None
                 if role == 0:
                     held.append(g)
                     continue
@@ -147,16 +171,20 @@ def links(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None, b
                     ids, count, edges = h["cls"].to_numpy(np.int64), np.zeros(len(h), np.int64), []
                 other = np.frombuffer(b"".join(g["u"]), float).reshape(len(g), -1)
                 names, times = g["cls"].to_numpy(np.int64), g["times"].to_numpy(np.int64)
-                for i in range(0, len(other), 2048):
-                    hit = own @ other[i : i + 2048].T >= cosine
-                    hit &= ids[:, None] != names[None, i : i + 2048]
-                    if hit.any():
-                        count += hit @ times[i : i + 2048]
-                        edges.append(forest(hit, ids, names[i : i + 2048]))
+                step = max(16, 2_000_000 // len(own))
+                for i in range(0, len(other), step):
+                    hit = own @ other[i : i + step].T >= cosine
+                    r_, c_ = np.nonzero(hit)
+                    same = ids[r_] == names[i + c_]
+                    hit[r_[same], c_[same]] = False
+                    if not same.all():
+                        rows_ = np.unique(r_[~same])
+                        count[rows_] += hit[rows_] @ times[i : i + step]
+                        edges.append(forest(hit[rows_], ids[rows_], names[i : i + step]))
         if own is not None:
             yield result()
 
-    return dealt.mapInPandas(work, "cls long, n_links long, edges array<struct<a:long, b:long>>")
+    return dealt.mapInPandas(work, NONE)
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None) -> DataFrame:
@@ -164,7 +192,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, pivots: int | None =
 
     Equal vectors form a class and are compared once; each counts as a link of the others.
     Vectors that are null, zero, empty, or hold null or non-finite components link with
-    nothing. All usable vectors must have one dimension. component_id is the smallest vec_id
+    nothing, and vectors of different lengths not with each other. component_id is the smallest vec_id
     reachable, nulls last; rows that repeat a vec_id are vectors of their own."""
     good = common.store(usable(vectors), "vectors")
     classes = good.groupBy("v").agg(F.count("*").alias("times"), F.min("vec_id").alias("first"))
