@@ -46,6 +46,30 @@ def brute(rows):
     return out + [(i, 0, i) for i, v in rows if not (v and None not in v and np.isfinite(np.array(v, float)).all() and any(v))], names
 
 
+def test_bands_cover_every_bin():
+    rows = [{"cell": c, "bin": b, "n": 3 + 40 * (b == 5), "low": b / 128, "high": (b + 0.9) / 128} for c in (0, 2) for b in range(2, 9)]
+    got = pivot_join.bands(rows, 10)
+    assert got["cell"].tolist() == [0, 0, 0, 2, 2, 2] and got["first"].tolist() == [2, 5, 6, 2, 5, 6]
+    for x in rows:
+        assert ((got["cell"] == x["cell"]) & (got["low"] <= x["low"]) & (got["high"] >= x["high"])).sum() == 1
+    assert got["parts"].max() == 5
+
+
+def test_blocks_by_distance_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) + 3 * np.eye(6)[i % 6] * (i % 2)).tolist()) for i in range(500)]
+    rows += [(1000 + i, (np.array(rows[i][1]) + rng.normal(scale=0.05, size=6)).tolist()) for i in range(200)] + [(2000, [1.0, 2.0]), (2001, [1.0, 2.01]), (2002, [-1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "cls long, v array<double>, times int")
+    got = {r["cls"]: r["n_links"] for r in pivot_join.links(df, 0.95, 7, block=20).collect()}
+    long, short = [x for x in rows if len(x[1]) == 6], [x for x in rows if len(x[1]) == 2]
+    for some in (long, short):
+        u = np.array([v for _, v in some])
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        for (i, _), n in zip(some, (u @ u.T >= 0.95).sum(1) - 1, strict=True):
+            assert got[i] == n
+    assert len(got) == len(rows)
+
+
 @pytest.mark.parametrize("pivots", [None, 1, 20])
 def test_pivot_join(spark, pivots):
     rows = vectors()

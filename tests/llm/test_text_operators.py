@@ -112,6 +112,21 @@ def test_jump_hash(docs, none):
     assert jump_hash.assign_shards(none).count() == 0
 
 
+def test_jump_hash_equals_the_published_loop():
+    def slow(key, n):
+        """One key at a time, in whole numbers and one division, as published."""
+        x, at, ahead = key, -1, 0
+        while ahead < n:
+            at = ahead
+            x = (x * 2862933555777941757 + 1) % 2**64
+            ahead = int((at + 1) * (float(2**31) / float((x >> 33) + 1)))
+        return at
+
+    keys = np.array([0, 1, -1, 7, 2**63 - 1, -(2**63), *range(1000, 1300)], np.int64)
+    for n in (1, 2, 8, 9, 1000):
+        assert jump_hash.jump(keys, n).tolist() == [slow(int(k), n) for k in jump_hash.mixed(keys)]
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.arange(20000)
     for n in (1, 2, 8, 100):
