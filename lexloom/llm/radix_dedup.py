@@ -18,7 +18,7 @@ from __future__ import annotations
 import functools
 import string
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,22 +39,24 @@ def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4) ->
     names may clash with nothing. An empty table gives no rows.
     """
     rows = common.store(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normalised().alias("text")), "radix-input")
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    return grouped(rows.select("row", "doc_id", sha.alias("text_sha256"), "text"), ["doc_id", "text_sha256"], first_block, growth).drop("row")
+    sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return grouped(rows, [F.col("doc_id"), sha], first_block, growth).drop("row")
 
 
-def grouped(rows: DataFrame, keep: list[str], first_block: int = 64, growth: int = 4) -> DataFrame:
-    """rows (row, doc_id, text, ...) of a stored table, with unique row numbers and
-    normalised texts -> row, the columns to keep, keep_id, group_size, kept.
+def grouped(rows: DataFrame, keep: list[Column], first_block: int = 64, growth: int = 4) -> DataFrame:
+    """rows (row, doc_id, text) of a stored table, with unique row numbers and normalised
+    texts -> row, what is to be kept, keep_id, group_size, kept.
 
     The first round shuffles only the first block of each text. Texts of the rows that are
     then still in play are read again, by a broadcast of the row numbers if they are few."""
     raw, width = F.col("text").cast("binary"), first_block
-    names = list(dict.fromkeys(["row", "doc_id", *keep]))
-    now = rows.select(*names, F.lit(0).cast("long").alias("node"), F.substring(raw, 1, width).alias("block"), (F.length(raw) <= width).alias("last"))
+    first = rows.select("row", F.col("doc_id").alias("of"), "text", *keep)
+    keep_ = first.columns[3:]
+    names = ["row", "of", *keep_]
+    now = first.select(*names, F.lit(0).cast("long").alias("node"), F.substring(raw, 1, width).alias("block"), (F.length(raw) <= width).alias("last"))
     done: list[DataFrame] = []
     while True:
-        nodes = now.groupBy("node", "block", "last").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"))
+        nodes = now.groupBy("node", "block", "last").agg(F.count("*").alias("n"), F.max("of").alias("keep_id"))
         nodes = common.store(nodes.withColumn("child", F.monotonically_increasing_id()), "radix-nodes")
         open_ = ~F.col("last") & (F.col("n") > 1)
         rest = [F.when(open_, F.expr(f"substring(rest, {width + 1})")).alias("rest")] if done else []
@@ -62,20 +64,20 @@ def grouped(rows: DataFrame, keep: list[str], first_block: int = 64, growth: int
         sent = common.store(sent, "radix-rows")
         common.discard(nodes)
         done.append(sent.where("not open").select(F.lit(len(done)).alias("round"), *names, "n", "keep_id", "node"))
-        going = sent.where("open").select(*names, "node", *(["rest"] if rest else []))
+        going = sent.where("open").select(*(names if rest else ["row"]), "node", *(["rest"] if rest else []))
         if going.isEmpty():
             break
         if not rest:
-            going = common.few(going).join(rows.select("row", F.expr(f"substring(cast(text as binary), {width + 1})").alias("rest")), "row")
+            going = common.few(going).join(rows, "row").select("row", F.col("doc_id").alias("of"), *keep, "node", F.expr(f"substring(cast(text as binary), {width + 1})").alias("rest"))
         width *= growth
         now = going.select(*names, "node", F.substring("rest", 1, width).alias("block"), (F.length("rest") <= width).alias("last"), "rest")
         if not rest:
             now = common.store(now, "radix-open")
     ended = functools.reduce(DataFrame.unionAll, done)
     several = ended.where("n > 1")
-    keepers = several.where("doc_id <=> keep_id").groupBy("round", "node").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    keepers = several.where("of <=> keep_id").groupBy("round", "node").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
     judged = several.join(keepers, "row", "left").withColumn("kept", F.coalesce("first", F.lit(False)))
-    out = ["row", *keep, "keep_id", F.col("n").alias("group_size"), "kept"]
+    out = ["row", *keep_, "keep_id", F.col("n").alias("group_size"), "kept"]
     return judged.select(*out).unionAll(ended.where("n = 1").withColumn("kept", F.lit(True)).select(*out))
 
 
