@@ -81,3 +81,18 @@ PROFILES = {
     "permissive": EngineConfig(min_confidence=0.3),
     "development": EngineConfig(min_confidence=0.6, strategy="impact_first"),
 }
+
+# How strict a ranking is.
+RANKERS = {
+    "strict": {"least": 0.8, "severities": ("critical", "high"), "ready": "only"},
+    "balanced": {"least": 0.6, "severities": None, "ready": None},
+    "permissive": {"least": 0.3, "severities": None, "ready": None},
+}
+
+
+def problems(config: EngineConfig) -> list[str]:
+    """What is wrong with settings."""
+    out = [f"{n} is not between 0 and 1" for n in ("min_confidence", "llm_below", "min_similarity") if not 0 <= getattr(config, n) <= 1]
+    out += [f"unknown severity {v}" for v in config.severity_overrides.values() if v not in SEVERITY_WEIGHT]
+    out += ["top_n is not positive"] if config.top_n < 1 else []
+    return out

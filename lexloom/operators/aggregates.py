@@ -70,10 +70,24 @@ def performance_score(mean_ms: Column, hit_rate: Column, error_rate: Column) ->
 
 def bottleneck(shares: dict[str, Column]) -> Column:
     """The phase with the largest share of time, if that is over half of it."""
-    top = F.array_max(F.array(*(F.struct(c.alias("share"), F.lit(k).alias("phase")) for k, c in shares.items())))
+    top = _largest(shares)
     return F.when(top["share"] > 0.5, top["phase"]).otherwise("balanced")
 
 
+def _largest(shares: dict[str, Column]) -> Column:
+    return F.array_max(F.array(*(F.struct(c.alias("share"), F.lit(k).alias("phase")) for k, c in shares.items())))
+
+
+def load_profile(shares: dict[str, Column], memory_mb: Column) -> Column:
+    """struct: the largest phase, how much it weighs, a label of memory, and advice."""
+    top = _largest(shares)
+    weight = F.when(top["share"] > 0.5, "dominant").when(top["share"] > 0.4, "heavy").when(top["share"] > 0.3, "notable").when(top["share"] > 0.2, "mild").otherwise("even")
+    memory = F.when(memory_mb > 1000, "high").when(memory_mb > 500, "medium").otherwise("low")
+    advice_ = F.array_compact(F.array(F.when(top["share"] > 0.4, F.concat(F.lit("look at "), top["phase"])), F.when(memory_mb > 1000, "smaller batches")))
+    return F.struct(top["phase"].alias("phase"), weight.alias("weight"), memory.alias("memory"), advice_.alias("advice"))
+
+
+
 def batch_summary(found: DataFrame, owner: str, sure: float = 0.8) -> DataFrame:
     """One row over all owners: how many, their findings, means, and how many have a sure one."""
     c = F.col("confidence")
@@ -135,3 +149,18 @@ def filtered(found: DataFrame, least: float = 0.0, severities: Sequence[str] | N
 
 def by_quality(suggested: DataFrame, quality: Column, tie: str) -> DataFrame:
     return suggested.withColumn("quality", quality).orderBy(F.desc("quality"), tie)
+
+
+def model_metrics(calls: DataFrame) -> DataFrame:
+    """calls (kind, ms, hit, error, tokens, cost, t) -> one row for each kind and one for all
+    (kind null): percentiles, hit and error rates, tokens, cost, calls a second, and score."""
+    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    x = calls.rollup("kind").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), p.alias("p"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg(F.col("error").cast("int")).alias("error_rate"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), (F.max("t") - F.min("t")).alias("span"))
+    x = x.withColumns({f"p{q}": F.get("p", F.lit(i)) for i, q in enumerate((50, 95, 99))}).drop("p")
+    x = x.withColumn("per_second", F.when(F.col("span") > 0, F.col("n") / F.col("span")).otherwise(0.0)).drop("span")
+    return x.withColumn("score", performance_score(F.col("mean_ms"), F.col("hit_rate"), F.col("error_rate")))
+
+
+def quality_metrics(shown: DataFrame) -> DataFrame:
+    """shown (quality, completeness, seconds) -> means; of seconds only those that are there and not 0."""
+    return shown.agg(F.count("*").alias("n"), F.avg("quality").alias("quality"), F.avg("completeness").alias("completeness"), F.avg(F.when(F.col("seconds") != 0, F.col("seconds"))).alias("seconds"))

@@ -257,7 +257,8 @@ def put_section(text: str, section: str) -> str:
             tail = [""] if b < len(lines) else []
             return "\n".join([*lines[:a], *new, *tail, *lines[b:]])
     place = lambda t: ORDER.index(t) if t in ORDER else len(ORDER)
-    at = next((a for t, a, _ in parts if t != "front" and place(t) > place(kind)), len(lines))
+    # After the last section that comes before this kind; sections of unknown titles hold no place.
+    at = max([b for t, _, b in parts if t in ORDER and place(t) <= place(kind)], default=0)
     before = lines[:at]
     while before and not before[-1].strip():
         before.pop()

@@ -13,7 +13,7 @@ from .windows import top_per_key
 def documented(functions: DataFrame) -> DataFrame:
     """With the parsed documentation as ``doc`` (null without one) and ``exceptions``."""
     doc = F.when(F.col("raw_doc").isNotNull(), docstrings.parsed("raw_doc"))
-    return functions.withColumn("doc", doc).withColumn("exceptions", parse.exceptions("source_code"))
+    return functions.withColumns({"doc": doc, "exceptions": parse.exceptions("source_code")})
 
 
 def direct(functions: DataFrame, least: float = 0.7) -> DataFrame:

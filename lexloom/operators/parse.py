@@ -282,3 +282,15 @@ def docstrings_in(source: str) -> list[str]:
 
 
 file_docstrings = _each("array<string>", docstrings_in)
+
+
+def functions_once(files: DataFrame) -> DataFrame:
+    """As ``functions``, but files of equal content are parsed once: each content's smallest
+    path stands for it, and its rows come back under every path."""
+    hashed = files.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("key", F.sha2("content", 256))
+    first = hashed.groupBy("key").agg(F.min("path").alias("path"), F.first("content").alias("content"))
+    parsed_ = functions(first).withColumnRenamed("file_path", "first_path")
+    paths = hashed.select("key", "path").join(first.select("key", F.col("path").alias("first_path")), "key")
+    out = parsed_.join(paths, "first_path").withColumn("file_path", F.col("path"))
+    out = out.withColumn("function_id", F.concat_ws(":", "file_path", "line_number", "name"))
+    return out.select(*_columns(FUNCTION))

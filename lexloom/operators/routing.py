@@ -151,3 +151,27 @@ def parse_statistics(replies: DataFrame, found: DataFrame) -> DataFrame:
     total = x.agg(F.count("*").alias("replies"), F.avg(F.col("reply").isNotNull().cast("int")).alias("success_rate"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_issues"))
     top = x.where("error is not null").groupBy(F.substring_index("error", ":", 1).alias("error")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(5)
     return total.join(F.broadcast(top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "error"))).alias("top")).select(F.transform("top", lambda t: t["error"]).alias("top_errors"))))
+
+
+def with_related(functions: DataFrame, k: int = 3) -> DataFrame:
+    """Each function with the names of up to k others of its file, the nearest by line first."""
+    a = functions.select("function_id", "file_path", "line_number")
+    by_file = functions.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_number", "function_id", "name"))).alias("all"))
+    others = F.filter("all", lambda o: o["function_id"] != F.col("function_id"))
+    near = F.array_sort(F.transform(others, lambda o: F.struct(F.abs(o["line_number"] - F.col("line_number")).alias("d"), o["line_number"].alias("l"), o["name"].alias("name"))))
+    return a.join(by_file, "file_path").select("function_id", F.transform(F.slice(near, 1, k), lambda x: x["name"]).alias("related"))
+
+
+def request_problems(types: Column, source: Column, confidence: Column) -> Column:
+    """What is wrong with a request, as an array: unknown kinds, no kinds, no source, a
+    threshold outside 0 to 1."""
+    known = F.array(*map(F.lit, TEMPLATES))
+    return F.array_compact(F.array(
+        F.when(F.size(types) == 0, "no kinds"), F.when(F.size(F.array_except(types, known)) > 0, F.concat(F.lit("unknown kinds: "), F.array_join(F.array_sort(F.array_except(types, known)), ","))),
+        F.when(F.trim(F.coalesce(source, F.lit(""))) == "", "no source"), F.when(~F.coalesce(confidence.between(0.0, 1.0), F.lit(False)), "threshold out of range"),
+    ))
+
+
+def summary(types: Column, n_issues: Column, tokens: Column, ms: Column) -> Column:
+    """A request and its reply in one line."""
+    return F.concat(F.array_join(types, "+"), F.lit(": "), n_issues.cast("string"), F.lit(" issues, "), tokens.cast("string"), F.lit(" tokens, "), F.round(ms).cast("int").cast("string"), F.lit(" ms"))

@@ -130,3 +130,36 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @arrow_function("double")
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+def parameter_text(kind: Column, name: Column, expected: Column, actual: Column) -> Column:
+    """What to do about a parameter, as one sentence."""
+    return (
+        F.when(kind == "parameter_missing", F.concat(F.lit("Add '"), name, F.lit("' to the documentation.")))
+        .when(kind == "parameter_name_mismatch", F.concat(F.lit("Rename '"), actual, F.lit("' to '"), expected, F.lit("'.")))
+        .when(kind == "parameter_type_mismatch", F.concat(F.lit("Change the type of '"), name, F.lit("' from '"), actual, F.lit("' to '"), expected, F.lit("'.")))
+        .when(kind == "default_mismatches", F.concat(F.lit("Change the default of '"), name, F.lit("' from "), actual, F.lit(" to "), expected, F.lit(".")))
+        .otherwise(F.concat(F.lit("Check '"), name, F.lit("'.")))
+    )
+
+
+def skeleton(name: Column, parameters: Column, return_type: Column) -> Column:
+    """An empty documentation with a line for each parameter and the return value."""
+    lines = F.transform(parameters, lambda p: F.concat(F.lit("    "), p["name"], F.when(p["type_annotation"].isNotNull(), F.concat(F.lit(" ("), p["type_annotation"], F.lit(")"))).otherwise(""), F.lit(": ")))
+    args = F.when(F.size(parameters) > 0, F.concat(F.lit("\n\nArgs:\n"), F.array_join(lines, "\n"))).otherwise("")
+    returns = F.when(F.coalesce(return_type, F.lit("None")) != "None", F.concat(F.lit("\n\nReturns:\n    "), return_type, F.lit(": "))).otherwise("")
+    return F.concat(F.initcap(F.replace(name, F.lit("_"), F.lit(" "))), F.lit("."), args, returns)
+
+
+def fenced(text: Column, language: str = "python") -> Column:
+    return F.concat(F.lit(f"```{language}\n"), F.regexp_replace(text, r"\s+$", ""), F.lit("\n```"))
+
+
+def keep_descriptions(old: Column, new: Column, is_generic) -> Column:
+    """New parameters with the old descriptions where the new ones say nothing."""
+    def kept(p: Column) -> Column:
+        before = F.try_element_at(F.filter(old, lambda o: o["name"] == p["name"]), F.lit(-1))
+        text = F.when(is_generic(p["description"]) & F.coalesce(before["description"].isNotNull(), F.lit(False)), before["description"]).otherwise(p["description"])
+        return F.struct(p["name"].alias("name"), text.alias("description"))
+
+    return F.transform(new, kept)

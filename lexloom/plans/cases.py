@@ -253,3 +253,35 @@ def kept_by_age(spark, sf_dir):
     """Rows of at most a stated age."""
     c = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r"), (F.col("r_regionkey") * 86400.0).alias("t"))
     return stores.recent(c, "t", F.lit(4 * 86400.0), 1).select("r", F.lit(True).alias("kept"))
+
+
+ACTIONS = [
+    ("parameter_missing", "x", "", "", "Add 'x' to the documentation."), ("parameter_name_mismatch", "x", "y", "z", "Rename 'z' to 'y'."), ("parameter_type_mismatch", "x", "int", "str", "Change the type of 'x' from 'str' to 'int'."), ("default_mismatches", "x", "1", "2", "Change the default of 'x' from 2 to 1."), ("other", "x", "", "", "Check 'x'."),
+]
+
+
+@query(told("kind name expected actual text", ACTIONS))
+def parameter_texts(spark, sf_dir):
+    c = cases(spark, sf_dir, "kind name expected actual", [a[:4] for a in ACTIONS])
+    return c.select("r", "kind", "name", "expected", "actual", suggestions.parameter_text(*(F.col(x) for x in ("kind", "name", "expected", "actual"))).alias("text"))
+
+
+@query(told("text fenced", [("x = 1\n", "```python\nx = 1\n```"), ("y  ", "```python\ny\n```")]))
+def fenced_texts(spark, sf_dir):
+    return cases(spark, sf_dir, "text", [("x = 1\n",), ("y  ",)]).select("r", "text", suggestions.fenced(F.col("text")).alias("fenced"))
+
+
+@query(told("old new kept", [("a:The a.,b:The b.", "a:,b:Other.,c:", "The a.|Other.|"), ("", "a:", "")]))
+def kept_descriptions(spark, sf_dir):
+    """Descriptions that say something stay where the new ones say nothing."""
+    c = cases(spark, sf_dir, "old new", [("a:The a.,b:The b.", "a:,b:Other.,c:"), ("", "a:")])
+    made = lambda x: F.transform(F.split(x, ","), lambda p: F.struct(F.substring_index(p, ":", 1).alias("name"), F.substring_index(p, ":", -1).alias("description")))
+    kept = suggestions.keep_descriptions(made(F.col("old")), made(F.col("new")), lambda d: d == "")
+    return c.select("r", "old", "new", F.array_join(F.transform(kept, lambda p: p["description"]), "|").alias("kept"))
+
+
+@query(told("before after used", [(10.0, 15.0, 5.0), (15.0, 10.0, 0.0)]))
+def memory_deltas(spark, sf_dir):
+    from ..streaming import tracking
+
+    return cases(spark, sf_dir, "before after", [(10.0, 15.0), (15.0, 10.0)]).select("r", "before", "after", tracking.memory_used(F.col("before"), F.col("after")).alias("used"))

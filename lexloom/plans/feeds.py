@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import docs, hashing, scores
-from ..operators import aggregates, corpus, embedding, matching, parse, routing, simulation, windows
+from ..operators import aggregates, corpus, embedding, matching, parse, retrieval, routing, simulation, suggestions, windows
 from ..sources import stores, synthetic
 from ..streaming import monitors
 from . import gallery, services
@@ -273,3 +273,70 @@ def accepted_feed(spark, sf_dir):
     k = F.col("p_partkey")
     a = table(spark, sf_dir, "part").where(k % 10 == 0).select(k.alias("function_id"), F.lit("f").alias("name"), F.lit("def f()").alias("signature"), F.lit("missing_params").alias("issue_type"), F.concat(F.lit("t"), k.cast("string")).alias("suggested_text"))
     return simulation.accepted_examples(a, F.lit(1.7e9)).select(F.col("example_id").alias("id"), "source", "quality_score", "improvement_score", F.col("docstring_content").alias("text"))
+
+
+@query("""with c as (select event_type as kind, value * 10 as ms, user_id % 2 = 0 as hit, event_type = 'error' as error, 100 as tokens, 0.001::double as cost, epoch(ts) as t from events)
+select coalesce(kind, 'all') as kind, count(*) as n, round(avg(ms), 6) as mean_ms, round(quantile_cont(ms, 0.5), 6) as p50, round(quantile_cont(ms, 0.95), 6) as p95, round(quantile_cont(ms, 0.99), 6) as p99, round(avg(hit::int), 9) as hit_rate, round(avg(error::int), 9) as error_rate, sum(tokens)::bigint as tokens,
+ round(sum(cost), 6) as cost, round(count(*) / (max(t) - min(t)), 9) as per_second, round(0.4 * greatest(0, 1 - avg(ms) / 2000) + 0.3 * avg(hit::int) + 0.3 * greatest(0, 1 - avg(error::int) / 0.1), 6) as score from c group by rollup (kind)""")
+def model_metrics(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    c = e.select(F.col("event_type").alias("kind"), (F.col("value") * 10).alias("ms"), (F.col("user_id") % 2 == 0).alias("hit"), (F.col("event_type") == "error").alias("error"), F.lit(100).alias("tokens"), F.lit(0.001).alias("cost"), F.col("ts").cast("timestamp").cast("double").alias("t"))
+    m = aggregates.model_metrics(c)
+    return m.select(F.coalesce("kind", F.lit("all")).alias("kind"), "n", "tokens", *(F.round(x, 6).alias(x) for x in ("mean_ms", "p50", "p95", "p99", "cost", "score")), *(F.round(x, 9).alias(x) for x in ("hit_rate", "error_rate", "per_second")))
+
+
+@query("select count(*) as n, round(avg(p_size), 6) as quality, round(avg(p_retailprice), 6) as completeness, round(avg(nullif(p_size % 5, 0)), 6) as seconds from part")
+def quality_metrics(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("quality"), F.col("p_retailprice").alias("completeness"), (F.col("p_size") % 5).alias("seconds"))
+    return aggregates.quality_metrics(p).withColumns({c: F.round(c, 6) for c in ("quality", "completeness", "seconds")})
+
+
+@query("""with x as (select p_partkey as id, p_size % 100 / 100.0::double as a, 0.25::double as b, p_retailprice as m from part)
+select id, case when a > b or a = b and 'parse' > 'match' then 'parse' else 'match' end as phase, case when greatest(a, b) > 0.5 then 'dominant' when greatest(a, b) > 0.4 then 'heavy' when greatest(a, b) > 0.3 then 'notable' when greatest(a, b) > 0.2 then 'mild' else 'even' end as weight,
+ case when m > 1000 then 'high' when m > 500 then 'medium' else 'low' end as memory, (greatest(a, b) > 0.4)::int + (m > 1000)::int as n_advice from x""")
+def load_profiles(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    x = p.select(F.col("p_partkey").alias("id"), aggregates.load_profile({"parse": F.col("p_size") % 100 / 100.0, "match": F.lit(0.25)}, F.col("p_retailprice")).alias("x"))
+    return x.select("id", "x.phase", "x.weight", "x.memory", F.size("x.advice").alias("n_advice"))
+
+
+@query(told("name related", [(0, "size{k}", "make{k},grow{k}"), (0, "make{k}", "size{k},grow{k}"), (0, "grow{k}", "make{k},size{k}"), (2, "walk{k}", "inner{k}"), (2, "inner{k}", "walk{k}"), (8, "shared{k}", "__len__"), (8, "__len__", "shared{k}"), (9, "shared{p}", "lonely{k}"), (9, "lonely{k}", "shared{p}")]))
+def related_functions(spark, sf_dir):
+    r = routing.with_related(parse.functions(gallery.files(spark, sf_dir))).where(F.size("related") > 0)
+    return r.select(F.substring_index("function_id", ":", -1).alias("name"), F.array_join("related", ",").alias("related"))
+
+
+@query(told("path name", [(r[0], r[1], r[3]) for r in gallery.FUNCTIONS]) + " union all " + told("path name", [(r[0], "copy/" + r[1], r[3]) for r in gallery.FUNCTIONS]))
+def parsed_once(spark, sf_dir):
+    """Copies of a file are parsed once and come back under every path."""
+    f = gallery.files(spark, sf_dir).select("path", "content")
+    both = f.unionByName(f.select(F.concat(F.lit("copy/"), "path").alias("path"), "content"))
+    return parse.functions_once(both).select(F.col("file_path").alias("path"), "name")
+
+
+@query("select p_partkey as part, case p_partkey % 3 when 0 then '' when 1 then 'no kinds' else 'unknown kinds: x,no source,threshold out of range' end as problems from part")
+def request_problems(spark, sf_dir):
+    k = F.col("p_partkey")
+    kinds = F.when(k % 3 == 0, F.array(F.lit("types"))).when(k % 3 == 1, F.array().cast("array<string>")).otherwise(F.array(F.lit("x")))
+    x = routing.request_problems(kinds, F.when(k % 3 != 2, "def f(): 0"), F.when(k % 3 != 2, 0.5).otherwise(1.5))
+    return table(spark, sf_dir, "part").select(k.alias("part"), F.array_join(x, ",").alias("problems"))
+
+
+@query("select p_partkey as part, 'behavior+types: ' || p_size || ' issues, ' || p_partkey || ' tokens, ' || round(p_retailprice)::int || ' ms' as line from part")
+def request_lines(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), routing.summary(F.array(F.lit("behavior"), F.lit("types")), F.col("p_size"), F.col("p_partkey"), F.col("p_retailprice")).alias("line"))
+
+
+@query(told("name skeleton", [
+    (0, "make{k}", "Make{k}.\n\nArgs:\n    cls: \n    size (int): \n\nReturns:\n    'Box{k}': "), (4, "good{n}", "Good{n}.\n\nArgs:\n    x: "), (8, "shared{k}", "Shared{k}.\n\nArgs:\n    value (float): \n    lable (str): \n\nReturns:\n    float: "),
+]))
+def doc_skeletons(spark, sf_dir):
+    f = parse.functions(gallery.files(spark, sf_dir)).where("name like 'make%' or file_path like 'pkg/sub/%' or file_path like 'lib/%' and name like 'shared%'")
+    return f.select("name", suggestions.skeleton(F.col("name"), F.col("parameters"), F.col("return_type")).alias("skeleton"))
+
+
+@query(told("name own told", [(8, "shared{k}", "lable", "label")]))
+def renamed_in_gallery(spark, sf_dir):
+    """Documented names that the signature lacks, with the most alike undocumented one."""
+    x = gallery.pairs(spark, sf_dir).where("raw_doc is not null").select("function_id", F.transform("parameters", lambda p: p["name"]).alias("own"), F.transform("doc.parameters", lambda p: p["name"]).alias("told"))
+    return retrieval.renamed_parameters(x).select(F.substring_index("function_id", ":", -1).alias("name"), F.col("own_name").alias("own"), F.col("told_name").alias("told"))

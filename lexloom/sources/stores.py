@@ -54,6 +54,98 @@ def newest(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(EXAMPLES).json(done[-1])
 
 
+def newest_good(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The newest committed version whose files can all be read; None if there is none."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = sorted((str(s.getPath()) for s in fs.listStatus(fs_path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), reverse=True)
+    for path in done:
+        rows = spark.read.schema(EXAMPLES).option("mode", "FAILFAST").json(path)
+        try:
+            rows.write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001  a corrupt version: the one before it
+            continue
+        return rows
+    return None
+
+
+class KeyedTable:
+    """Rows by key in versions of a Parquet table: vectors, cached answers, metrics.
+
+    Each change writes a new version whole and the two newest stay, so readers of the one
+    before are not disturbed. Compression is Parquet's."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: Sequence[str]):
+        self.spark, self.folder, self.schema, self.key = spark, folder.rstrip("/"), schema, list(key)
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        path, fs = self._fs()
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path)]
+        return sorted(str(p) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def read(self) -> DataFrame:
+        v = self._versions()
+        return self.spark.read.schema(self.schema).parquet(v[-1]) if v else self.spark.createDataFrame([], self.schema)
+
+    def _replace(self, rows: DataFrame) -> None:
+        v = self._versions()
+        n = int(v[-1].rsplit("/v", 1)[1]) + 1 if v else 1
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.folder}/v{n:08d}")
+        _, fs = self._fs()
+        for old in v[:-1]:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(old), True)
+
+    def put(self, rows: DataFrame) -> None:
+        """Rows replace those of their key."""
+        self._replace(upsert(self.read(), rows, self.key))
+
+    def delete(self, keys: DataFrame) -> None:
+        self._replace(self.read().join(keys.select(*self.key).distinct(), self.key, "left_anti"))
+
+    def get(self, **key) -> list:
+        """The rows of one key."""
+        out = self.read()
+        for k, v in key.items():
+            out = out.where(F.col(k) == v)
+        return out.collect()
+
+    def touch(self, reads: DataFrame) -> None:
+        """Counts reads (key, t) in hit_count and accessed_at."""
+        from ..operators import corpus
+
+        self._replace(corpus.hit_counts(self.read(), reads, self.key[0]))
+
+    def expire(self, time: str, as_of, days: float) -> None:
+        self._replace(recent(self.read(), time, as_of, days))
+
+
+def append_session(metrics: DataFrame, folder: str) -> None:
+    """Metrics of a session (with a time ``t`` in seconds), added to those of earlier ones by day."""
+    metrics.withColumn("day", F.to_date(F.timestamp_seconds("t"))).write.mode("append").partitionBy("day").parquet(folder)
+
+
+def sessions(spark: SparkSession, folder: str, as_of: float, days: float = 7) -> DataFrame:
+    """Metrics of the last days; only their partitions are read."""
+    first = F.to_date(F.timestamp_seconds(F.lit(as_of - days * 86400)))
+    return recent(spark.read.parquet(folder).where(F.col("day") >= first), "t", F.lit(as_of), days).drop("day")
+
+
+def save_counters(spark: SparkSession, counters: dict[str, float], path: str, at: float) -> None:
+    spark.createDataFrame([(at, {k: float(v) for k, v in counters.items()})], "t double, counters map<string,double>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_counters(spark: SparkSession, path: str, as_of: float, hours: float = 24) -> dict[str, float]:
+    """The saved counters, or none if they are older."""
+    row = spark.read.schema("t double, counters map<string,double>").json(path).first()
+    return dict(row["counters"]) if row is not None and as_of - row["t"] <= hours * 3600 else {}
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """New rows replace old ones of their key."""
     return old.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
