@@ -127,3 +127,17 @@ def semantic_similarity(a, b, ratio: Column) -> Column:
     rest = lambda t: F.slice(t, 2, F.greatest(F.size(t), F.lit(1)))
     both = (F.size(x) > 0) & (F.size(y) > 0)
     return F.when(col(a) == col(b), 1.0).when(both & synonymous(F.get(x, F.lit(0)), F.get(y, F.lit(0))), 0.8 + 0.2 * token_similarity(rest(x), rest(y))).otherwise(ratio)
+
+
+def features(name) -> Column:
+    """What ``semantic_similarity`` looks at in a name, to be computed once for each side of many pairs."""
+    t = tokens(name)
+    first = F.get(t, F.lit(0))
+    verbs = lit_list([v for more in VERBS.values() for v in more])
+    return F.struct(col(name).alias("name"), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))).alias("rest"), first.alias("first"), verb_groups(first).alias("groups"), F.array_contains(verbs, first).alias("listed"))
+
+
+def similar(a: Column, b: Column, ratio: Column) -> Column:
+    """As ``semantic_similarity``, of features."""
+    synonyms = F.coalesce(F.arrays_overlap(a["groups"], b["groups"]) & ((a["first"] != b["first"]) | a["listed"]), F.lit(False))
+    return F.when(a["name"] == b["name"], 1.0).when(synonyms, 0.8 + 0.2 * token_similarity(a["rest"], b["rest"])).otherwise(ratio)

@@ -103,3 +103,24 @@ def for_style(t, style: str) -> Column:
 def is_optional(t) -> Column:
     low = F.lower(F.coalesce(col(t), F.lit("")))
     return any_of(low, ("optional", "| none"))
+
+
+def features(t) -> Column:
+    """What ``compatibility`` looks at in a type, to be computed once for each side of many pairs."""
+    x = plain(t)
+    bare = F.trim(F.replace(x, F.lit("| none"), F.lit("")))
+
+    def group(c: Column) -> Column:
+        out = c
+        for g in ALIKE:
+            out = F.when(c.isin(*g), F.lit(g[0])).otherwise(out)
+        return out
+
+    return F.struct(x.alias("x"), group(x).alias("group"), group(bare).alias("bare"), F.contains(x, F.lit("| none")).alias("none"), F.substring_index(x, "[", 1).alias("root"))
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """As ``compatibility``, of features."""
+    pair = F.concat(a["x"], F.lit("~"), b["x"])
+    related = pair.isin(*(f"{p}~{q}" for x, y in RELATED for p, q in ((x, y), (y, x)))) | ((a["root"] == b["root"]) & (a["x"] != b["x"]))
+    return F.when((a["group"] == b["group"]) | (a["none"] & b["none"] & (a["bare"] == b["bare"])), 1.0).when(related, 0.5).otherwise(0.0)

@@ -71,6 +71,26 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str, version: str) ->
     return out.withColumn("status", F.when(F.col("_key").isNull(), "miss").when(F.col(version) == F.col("_version"), "hit").otherwise("stale")).drop("_key", "_version")
 
 
+#: Up to so many queries go to every task of a search.
+FEW_QUERIES = 5_000
+
+
+def against_all(corpus: DataFrame, queries: DataFrame, key: str, id_: str, few: int | None = None, parts: int = 64) -> DataFrame:
+    """Every row of the corpus with every query (whose id is ``key``).
+
+    Queries are counted: a few are broadcast, and the corpus stays where it is. More are cut
+    into blocks of that many and the corpus into parts, by hash; a block and a part meet under
+    their pair of numbers, so no task holds more than a block."""
+    few = FEW_QUERIES if few is None else few
+    n = queries.count()
+    if n <= few:
+        return corpus.join(F.broadcast(queries), F.lit(True))
+    blocks = -(-n // max(1, few))
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    c = corpus.withColumn("_part", F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return c.join(q, ["_block", "_part"]).drop("_block", "_part")
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = None, half: bool = False) -> DataFrame:
     """(q_id, q_vec), (id, vec) -> q_id, id, similarity, rank by exact cosine in double
     precision, ties by id; half: the similarity (1 + cosine) / 2.
@@ -83,6 +103,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = Non
     c = corpus.select("id", unit(F.col("vec")).alias("v")).withColumn("vn", norm(F.col("v")))
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cosine = dot / F.nullif(F.col("qn") * F.col("vn"), F.lit(0.0))
-    pairs = c.join(q, F.col("q_id") != F.col("id")).select("q_id", "id", ((1 + cosine) / 2 if half else cosine).alias("similarity"))
+    pairs = against_all(c, q, "q_id", "id").where(F.col("q_id") != F.col("id")).select("q_id", "id", ((1 + cosine) / 2 if half else cosine).alias("similarity"))
     good = pairs.where(F.col("similarity").isNotNull() if least is None else F.col("similarity") >= least)
     return top_per_key(good, ["q_id"], [F.desc("similarity"), F.col("id")], k, "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import RETRIEVAL_WEIGHT as W
 from ..functions import names, relevance, scores, types
 from ..functions._lift import arrow_function
-from . import suggestions
+from . import joins, suggestions
 from .windows import top_per_key
 
 PARSED = "name string, parameters array<struct<name:string, type:string, default:string>>, return_type string"
@@ -61,10 +61,19 @@ def _signature_similarity(p: Column, q: Column) -> Column:
 
 
 def _type_compatibility(p: Column, q: Column, r: Column, s: Column) -> Column:
-    """Half for the return type, half the mean over typed parameters of the same name."""
-    pairs = F.flatten(F.transform(F.filter(p, lambda x: F.coalesce(x["type"], F.lit("")) != ""), lambda x: F.transform(F.slice(F.filter(q, lambda y: (y["name"] == x["name"]) & y["type"].isNotNull()), 1, 1), lambda y: types.compatibility(x["type"], y["type"]))))
+    """Half for the return type, half the mean over typed parameters of the same name; types
+    come as features (null without a type)."""
+    pairs = F.flatten(F.transform(F.filter(p, lambda x: x["type"].isNotNull()), lambda x: F.transform(F.slice(F.filter(q, lambda y: (y["name"] == x["name"]) & y["type"].isNotNull()), 1, 1), lambda y: types.compatible(x["type"], y["type"]))))
     mean = F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(pairs), F.lit(0))
-    return F.when(q.isNull(), 0.0).otherwise(F.when(r.isNotNull() & s.isNotNull(), 0.5 * types.compatibility(r, s)).otherwise(0.0) + 0.5 * F.coalesce(mean, F.lit(0.0)))
+    return F.when(q.isNull(), 0.0).otherwise(F.when(r.isNotNull() & s.isNotNull(), 0.5 * types.compatible(r, s)).otherwise(0.0) + 0.5 * F.coalesce(mean, F.lit(0.0)))
+
+
+def _prepared(name: str, signature_: str) -> Column:
+    """A side's features, once for each row: name, parameters with types, return type."""
+    s = F.col(signature_)
+    typed = lambda t, keep_empty: F.when(t.isNotNull() if keep_empty else F.coalesce(t, F.lit("")) != "", types.features(t))
+    params = F.transform(s["parameters"], lambda p: F.struct(p["name"].alias("name"), typed(p["type"], False).alias("type")))
+    return F.struct(names.features(name).alias("name"), params.alias("parameters"), typed(s["return_type"], True).alias("returns"))
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, least: float = 0.3) -> DataFrame:
@@ -72,27 +81,36 @@ def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, l
     function_signature, module_path, complexity_score, quality_score, source, timestamp)
     -> query_id, example_id, similarity, rank.
 
-    Signatures are parsed once on each side, before the pairs. The stated queries meet the
-    corpus in its own partitions; only the k best of each task and query are shuffled."""
-    q = queries.withColumn("q", signature("signature"))
-    q = q.select("query_id", "name", "file_path", "q", scores.complexity(F.size("q.parameters"), ~F.exists("q.parameters", lambda p: p["type"].isNull()), F.col("q.return_type").isNotNull()).alias("q_complexity"))
-    c = corpus.withColumn("c", signature("function_signature"))
+    Signatures, name tokens and types are worked out once on each side, before the pairs.
+    The stated queries meet the corpus in its own partitions; only the k best of each task and
+    query are shuffled."""
+    q = queries.withColumn("_s", signature("signature"))
+    q = q.select("query_id", "name", "file_path", _prepared("name", "_s").alias("q"), scores.complexity(F.size("_s.parameters"), ~F.exists("_s.parameters", lambda p: p["type"].isNull()), F.col("_s.return_type").isNotNull()).alias("q_complexity"))
+    q = _fixed(q)
+    c = corpus.withColumn("_s", signature("function_signature"))
+    c = _fixed(c.withColumn("c", _prepared("function_name", "_s")).drop("_s"))
     ratio = suggestions.token_set_ratio("name", "function_name")
     parts = {
-        "name": names.semantic_similarity("name", "function_name", F.col("ratio")),
+        "name": names.similar(F.col("q.name"), F.col("c.name"), F.col("ratio")),
         "signature": _signature_similarity(F.col("q.parameters"), F.col("c.parameters")),
-        "types": _type_compatibility(F.col("q.parameters"), F.col("c.parameters"), F.col("q.return_type"), F.col("c.return_type")),
+        "types": _type_compatibility(F.col("q.parameters"), F.col("c.parameters"), F.col("q.returns"), F.col("c.returns")),
         "complexity": scores.complexity_match(F.col("q_complexity"), F.col("complexity_score")),
         "module": names.module_context("file_path", "module_path"),
         "recency": F.when(F.col("source") == "accepted", scores.recency(F.col("timestamp"), as_of)).otherwise(0.0),
         "quality": F.col("quality_score") / 5.0,
     }
-    pairs = c.join(q, F.lit(True)).withColumn("ratio", ratio)
+    pairs = joins.against_all(c, q, "query_id", "example_id").withColumn("ratio", ratio)
     total = sum((F.coalesce(v, F.lit(0.0)) * W[k_] for k_, v in parts.items()), F.lit(0.0)) * F.when(F.col("source") == "accepted", 1.2).otherwise(1.0)
     good = pairs.select("query_id", "example_id", F.least(F.lit(1.0), total).alias("similarity")).where(F.col("similarity") >= least)
     return top_per_key(good, ["query_id"], [F.desc("similarity"), F.col("example_id")], k, "rank")
 
 
+def _fixed(side: DataFrame) -> DataFrame:
+    """Keeps the planner from moving a side's expressions above the join, where they would be
+    evaluated for every pair: rows are dealt by a hash of all they hold, which materialises them."""
+    return side.repartition(F.xxhash64(*side.columns))
+
+
 def renamed_parameters(functions: DataFrame, least: float = 0.6) -> DataFrame:
     """(function_id, own, told: arrays of names) -> function_id, told_name, own_name: for each
     documented name that the function lacks, the most alike of its undocumented ones."""
@@ -105,5 +123,5 @@ def parameter_patterns(wanted: DataFrame, corpus_params: DataFrame, k: int = 5,
     """wanted (query_id, name, type), corpus_params (example_id, p_name, p_type, description,
     similarity) -> the k best descriptions: (0.6 name + 0.4 type) above least, times the example's similarity."""
     s = 0.6 * relevance.parameter_similarity("name", "p_name") + 0.4 * types.family_similarity("type", "p_type")
-    x = corpus_params.join(wanted, F.lit(True)).withColumn("s", s).where(F.col("s") > least).withColumn("score", F.col("s") * F.col("similarity"))
+    x = joins.against_all(corpus_params, wanted, "query_id", "example_id").withColumn("s", s).where(F.col("s") > least).withColumn("score", F.col("s") * F.col("similarity"))
     return top_per_key(x, ["query_id"], [F.desc("score"), F.col("example_id"), F.col("p_name")], k, "rank").select("query_id", "example_id", "p_name", "description", "score", "rank")

@@ -259,7 +259,7 @@ def retrieve_topk(spark, sf_dir):
         0.25 * names.token_similarity("q_t", "t") + 0.10 * scores.complexity_match(F.col("q_p_size") % 5, F.col("p_size") % 5)
         + 0.10 * (F.col("q_p_brand") == F.col("p_brand")).cast("int") + 0.10 * (F.col("p_size") % 5 + 1) / 5.0
     )
-    pairs = p.join(q, F.col("q_id") != F.col("id")).select("q_id", "id", F.round(s, 9).alias("similarity"))
+    pairs = joins.against_all(p, q, "q_id", "id").where(F.col("q_id") != F.col("id")).select("q_id", "id", F.round(s, 9).alias("similarity"))
     return windows.top_per_key(pairs, ["q_id"], [F.desc("similarity"), F.col("id")], 3)
 
 

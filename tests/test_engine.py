@@ -150,3 +150,24 @@ def test_sections_keep_unknown_ones():
     text = "Do.\n\nArgs:\n    a: b\n\nHistory:\n    old\n\nReturns:\n    c"
     out = docstrings.put_section(docstrings.put_section(text, "Args:\n    z: y"), "Raises:\n    E: e")
     assert out == "Do.\n\nArgs:\n    z: y\n\nHistory:\n    old\n\nReturns:\n    c\n\nRaises:\n    E: e"
+
+
+def test_many_queries_meet_the_corpus_in_blocks(spark, monkeypatch):
+    from lexloom.operators import joins
+
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)], "id long, vec array<double>")
+    q = v.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    few = sorted(map(tuple, joins.knn(q, v, 3).collect()))
+    monkeypatch.setattr(joins, "FEW_QUERIES", 7)
+    many = joins.knn(q, v, 3)
+    assert sorted(map(tuple, many.collect())) == few and len(few) == 180
+    assert "NestedLoop" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_descriptions_of_parameters(spark):
+    from lexloom.operators import retrieval
+
+    wanted = spark.createDataFrame([(1, "file", "str"), (2, "count", "int")], "query_id long, name string, type string")
+    corpus_ = spark.createDataFrame([(10, "path", "str", "Where it is.", 0.9), (11, "file", "str", "The file.", 0.5), (12, "zz", "dict", "Odd.", 1.0)], "example_id long, p_name string, p_type string, description string, similarity double")
+    got = {(r["query_id"], r["example_id"]): round(r["score"], 6) for r in retrieval.parameter_patterns(wanted, corpus_).collect()}
+    assert got == {(1, 10): round((0.6 * 0.8 + 0.4) * 0.9, 6), (1, 11): 0.5}
