@@ -16,6 +16,7 @@ Decoding gathers bytes from one buffer of all tokens through an offset table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
@@ -160,6 +161,7 @@ def _worker(path: str) -> tuple[BacktrackingBPE, wordcache.ChunkCache]:
         width = 2 if len(bpe.offsets) <= 65537 else 4
         cut = lambda c: bpe.split.findall(wordcache.spaced_source(c))
         _LOADED[path] = bpe, wordcache.ChunkCache(wordcache.spaced, cut, lambda w: bpe.piece(w.encode().decode("latin-1")), bpe.encode, " ", width)
+    common.hold("bpe", _LOADED.clear)
     return _LOADED[path]
 
 
@@ -181,7 +183,7 @@ def encode_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def _run(docs: DataFrame, path: str, columns: str, made) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
-    @common.tidy
+    @functools.partial(common.tidy, keeps="bpe")
     def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, cache = _worker(path)
         for b in batches:

@@ -10,6 +10,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,12 +94,30 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def tidy(work):
-    """For functions that run in Python workers, which Spark keeps between stages: at a
-    task's end memory that is no longer in use goes back to the system."""
+#: In a worker process: what earlier tasks keep there for tasks of the same kind, and how to drop it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None]) -> None:
+    """Says that this process keeps something under a name."""
+    _HELD[name] = drop
+
+
+def drop_others(keeps: str | None) -> None:
+    """Of this process; a function of the module, so that workers see the module's own record
+    and not a copy that came with the task."""
+    for name in [n for n in _HELD if n != keeps]:
+        _HELD.pop(name)()
+
+
+def tidy(work, keeps: str | None = None):
+    """For functions that run in Python workers, which Spark keeps between stages: before a
+    task what others than those of its kind (``keeps``) have left is dropped, and at its end
+    memory that is no longer in use goes back to the system."""
 
     @functools.wraps(work)
     def run(batches):
+        drop_others(keeps)
         try:
             yield from work(batches)
         finally:

@@ -13,6 +13,7 @@ segments once, whatever executors are lost, and any store that Spark reads can h
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -133,7 +134,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, seg
     """
     common.small_batches(docs.sparkSession)
 
-    @common.tidy
+    @functools.partial(common.tidy, keeps="tokens")
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 

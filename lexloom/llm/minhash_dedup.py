@@ -61,9 +61,14 @@ class Words(dict):
 _WORDS = Words()
 
 
+def forget() -> None:
+    """Drops the words that this process knows."""
+    _WORDS.clear()
+
+
 def shingles(lowered: str) -> np.ndarray:
     """The sorted distinct shingle hashes of a text whose A-Z are lower-cased."""
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     words = [w for w in lowered.translate(_GAPS).split(" ") if w]
     if not words:
@@ -139,7 +144,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((name, th, 0, None, None, None))
             yield pd.DataFrame(rows, columns=["id_text", "th", "n_shingles", "print", "sig", "bands"])
-        _WORDS.clear()
+        forget()
 
     return _texts(docs).mapInPandas(work, SETS)
 
@@ -380,6 +385,7 @@ def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     def hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"cls": b["cls"], "hashes": [shingles(t).tobytes() for t in b["text"]]})
+        forget()
 
     found = known(_texts(docs)).join(common.few(picked), ["id_text", "th"]).select("cls", "text").mapInPandas(hashed, "cls long, hashes binary")
     again = known(rows.select("id_text", "th")).join(common.few(picked), ["id_text", "th"]).count() > picked.count()

@@ -121,7 +121,7 @@ class Model:
                 self.table = self.log_p.tolist()
             known = viterbi(token, self.table, loose=_STRIP if loose else "")
             if len(token) <= 64:
-                if len(self.restored) > 200_000:
+                if len(self.restored) > 50_000:
                     self.restored.clear()
                 self.restored[token, loose] = known
         return known
@@ -185,7 +185,7 @@ class Model:
         """The words of a token that have evidence."""
         told = {w: odds for w in self.of_token(token) if (odds := self.of_word(w))} or _NOTHING
         if len(token) <= 64:
-            if len(self.seen) > 400_000:
+            if len(self.seen) > 200_000:
                 self.seen.clear()
             self.seen[token] = told
         return told

@@ -14,6 +14,7 @@ their rank among those of their length.
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -177,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     every capacity-th."""
     common.small_batches(docs.sparkSession)
 
-    @common.tidy
+    @functools.partial(common.tidy, keeps="tokens")
     def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = wordcache.library_cache(tokenizer_path, False)
         end = np.array([end_id], "<u4")

@@ -14,6 +14,9 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from . import common
+
+
 def _plain(text: str) -> bool:
     """Only printable Latin-1, spaces and line feeds, and no special token: no rule of
     either tokenizer (composition, case, white space) then looks beyond a chunk."""
@@ -122,6 +125,7 @@ def library_cache(path: str, spaces: bool) -> ChunkCache:
     """By the tokenizers library, whose model encodes each piece, and whose encode() each
     text that cannot be cut. One for each worker process, which Spark keeps for its next tasks."""
     if (path, spaces) in _CACHES:
+        common.hold("tokens", _CACHES.clear)
         return _CACHES[path, spaces]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import regex
@@ -140,6 +144,7 @@ def library_cache(path: str, spaces: bool) -> ChunkCache:
             return [x.id for x in model("Ġ" + word[1:] if word[0] == " " else word)]
         return [x.id for x in model(word.encode().decode("latin-1").translate(letters))]
 
+    common.hold("tokens", _CACHES.clear)
     cut, pieces = (spaced, lambda c: split(spaced_source(c))) if spaces else (dropped, lambda c: split(c.lower()))
     width = 2 if t.get_vocab_size(with_added_tokens=True) <= 65536 else 4
     _CACHES[path, spaces] = ChunkCache(cut, pieces, piece, lambda text: t.encode(text, add_special_tokens=False).ids, " " if spaces else "", width)
