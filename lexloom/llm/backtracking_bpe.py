@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common, wordcache
 
+
 class BacktrackingBPE:
     """A byte-level vocabulary with merges, and the special tokens of its file."""
 
@@ -68,9 +68,13 @@ class BacktrackingBPE:
 
     @classmethod
     def from_file(cls, path: str) -> BacktrackingBPE:
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
+        """Of a byte-level file. One that changes or splits texts in another way, or whose merges
+        have marks of their own, would get other ids here, so it is an error."""
+        data = wordcache.load(path)
         model = data["model"]
+        marks = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if not wordcache.cuttable(data, True) or model["type"] != "BPE" or any(model.get(m) for m in marks):
+            raise ValueError(f"{path} is not a plain byte-level vocabulary")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         return cls(model["vocab"], merges, {t["content"]: t["id"] for t in data["added_tokens"]})
 

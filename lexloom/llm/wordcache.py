@@ -8,6 +8,7 @@ characters or white-space runs for which that doesn't hold go to the tokenizer w
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 from collections.abc import Callable, Iterable
@@ -111,6 +112,33 @@ SPACED_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{
 DROPPED_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+"
 
 
+#: Fixed: normalizer and pre-tokenizer of the files for which the two layouts hold.
+SPACED_FILE = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+DROPPED_FILE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ]},
+)
+
+
+def load(path: str) -> dict:
+    """A tokenizer file, without what concerns offsets in the text only."""
+    with open(path, encoding="utf-8") as f:
+        return json.load(f, object_hook=lambda d: {k: v for k, v in d.items() if k != "trim_offsets"})
+
+
+def cuttable(data: dict, spaces: bool) -> bool:
+    """Whether a tokenizer file is of the layout of ``spaced`` (spaces) or ``dropped`` and
+    its special tokens are such as ``_plain`` sees. Texts of any other are encoded whole."""
+    return (data["normalizer"], data["pre_tokenizer"]) == (SPACED_FILE if spaces else DROPPED_FILE) and all("<|" in t["content"] for t in data["added_tokens"])
+
+
+def uncut(text: str) -> None:
+    """The cut of a file of another layout: no text can be."""
+
+
 def byte_letters() -> dict[str, int]:
     """The letters by which byte-level vocabularies write bytes: printable Latin-1 ones
     stand for themselves, the others for 256, 257, ... in order."""
@@ -123,7 +151,7 @@ _CACHES: dict[tuple[str, bool], ChunkCache] = {}
 
 def library_cache(path: str, spaces: bool) -> ChunkCache:
     """By the tokenizers library, whose model encodes each piece, and whose encode() each
-    text that cannot be cut. One for each worker process, which Spark keeps for its next tasks."""
+    text that cannot be cut, or all if the file is not of the expected layout. One for each worker process, which Spark keeps for its next tasks."""
     if (path, spaces) in _CACHES:
         common.hold("tokens", _CACHES.clear)
         return _CACHES[path, spaces]
@@ -146,6 +174,8 @@ def library_cache(path: str, spaces: bool) -> ChunkCache:
 
     common.hold("tokens", _CACHES.clear)
     cut, pieces = (spaced, lambda c: split(spaced_source(c))) if spaces else (dropped, lambda c: split(c.lower()))
+    if not cuttable(load(path), spaces):
+        cut = uncut
     width = 2 if t.get_vocab_size(with_added_tokens=True) <= 65536 else 4
     _CACHES[path, spaces] = ChunkCache(cut, pieces, piece, lambda text: t.encode(text, add_special_tokens=False).ids, " " if spaces else "", width)
     return _CACHES[path, spaces]

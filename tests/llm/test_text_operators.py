@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lexloom.llm import backtracking_bpe, elias_fano, jump_hash, minhash_dedup, noisy_channel, packing, radix_dedup, secret_ownership, wordcache
 from lexloom.llm.queries import tokenizer
@@ -47,7 +49,6 @@ def lower(t):
 
 
 def library_ids(name, texts):
-    from tokenizers import Tokenizer
 
     return [e.ids for e in Tokenizer.from_file(tokenizer(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
@@ -294,6 +295,28 @@ def test_chunk_caches_equal_the_library(name):
     assert [wordcache.as_u32(x, cache.code).tolist() for x in cache.many(texts)] == library_ids(name, texts)
 
 
+@pytest.mark.parametrize(
+    "name, changes",
+    [
+        ("byte_bpe_50k.json", {"normalizer": {"type": "Lowercase"}}),
+        ("byte_bpe_50k.json", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}),
+        ("word_bpe_49k.json", {"normalizer": None}),
+    ],
+)
+def test_files_of_another_layout_are_not_cut(name, changes, tmp_path):
+    path = str(tmp_path / "other.json")
+    with open(tokenizer(name), encoding="utf-8") as f:
+        data = json.load(f) | changes
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(data, f)
+    texts = ["Some Words, and Émore", "it's", "", " x  Y\n", "<|endoftext|>A"]
+    cache = wordcache.library_cache(path, name.startswith("byte"))
+    library = Tokenizer.from_file(path)
+    assert [wordcache.as_u32(x, cache.code).tolist() for x in cache.many(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        backtracking_bpe.BacktrackingBPE.from_file(path)
+
+
 def test_secrets(spark, none):
     key = "A" * 4 + "KIA" + "X1" * 8
     rows = [(1, f"password = 'abcdefghijkl' {key} {'0a' * 10}", "o1/r"), (2, None, "o1/r"), (3, "", None), (4, "token: token: abcdefghijklmnop", "o2/r"), (5, "SECRET=AbCdEfGhIjK1 x Zz9" + "Qw3" * 8, "o3/r"), (6, "Zz9" + "Qw3" * 8, "o3/q")]
