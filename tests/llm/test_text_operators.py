@@ -49,7 +49,6 @@ def lower(t):
 
 
 def library_ids(name, texts):
-
     return [e.ids for e in Tokenizer.from_file(tokenizer(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
