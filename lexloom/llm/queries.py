@@ -75,13 +75,31 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op5_minhash_dedup, op6_backtracking_bpe, op7_pivot_join, op8_secret_ownership, op9_packing, op10_link_trust)}
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ball_tree as m
+
+    return m.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import prefix_bpe as m
+
+    return m.encode_digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation_repair as m
+
+    return m.repair(m.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_noisy_channel, op2_elias_fano, op3_jump_hash, op4_radix_dedup, op5_minhash_dedup, op6_backtracking_bpe, op7_pivot_join, op8_secret_ownership, op9_packing, op10_link_trust, op11_ball_tree, op12_prefix_bpe, op13_conversation_repair)}
 
 
 def _oracles() -> dict[str, str]:
-    from . import link_trust, pivot_join, radix_dedup
+    from . import ball_tree, link_trust, pivot_join, radix_dedup
 
-    return {"op4_radix_dedup": radix_dedup.ORACLE, "op7_pivot_join": pivot_join.ORACLE, "op10_link_trust": link_trust.ORACLE}
+    return {"op4_radix_dedup": radix_dedup.ORACLE, "op7_pivot_join": pivot_join.ORACLE, "op10_link_trust": link_trust.ORACLE, "op11_ball_tree": ball_tree.ORACLE}
 
 
 ORACLES = _oracles()
