@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
+from . import routing
 
 Maker = Callable[[list[str]], "list[list[float]]"]
 
@@ -67,7 +68,7 @@ class TwoState:
 def generate(texts: DataFrame, makers: Sequence[tuple[str, Maker]] = (("hashing", hashed_words),), batch: int = 100, limit: int = 5) -> DataFrame:
     """texts (function_id, text) -> function_id, model, cache_key, vec, error.
 
-    Batches of ``batch`` go to the first maker; what it fails on goes one by one to it and
+    Batches of ``batch`` go to the first maker; what it fails on, or answers with another number of vectors, goes one by one to it and
     then to the next. A maker that fails ``limit`` times in a row in a task is passed over
     for the rest of that task's rows."""
 
@@ -80,7 +81,7 @@ def generate(texts: DataFrame, makers: Sequence[tuple[str, Maker]] = (("hashing"
                 if not broken[name].allows(0.0):
                     continue
                 try:
-                    v = f([text])[0]
+                    v = routing.replied(f, [text])[0]
                     broken[name].step(0.0, True)
                     return name, v, None
                 except Exception as e:  # noqa: BLE001  a failing service is data here
@@ -95,7 +96,7 @@ def generate(texts: DataFrame, makers: Sequence[tuple[str, Maker]] = (("hashing"
                 name, f = makers[0]
                 if broken[name].allows(0.0):
                     try:
-                        rows = [(name, v, None) for v in f(part["text"].tolist())]
+                        rows = [(name, v, None) for v in routing.replied(f, part["text"].tolist())]
                     except Exception:  # noqa: BLE001
                         rows = []
                 rows = rows or [tried(t) for t in part["text"]]

@@ -4,33 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
-from ..functions import hashing, scores
+from ..config import ISSUE_SEVERITY, EngineConfig
+from ..functions import hashing, names, scores
+from ..sources import shared
 from . import generators, joins, matching, parse, routing, rules, validation
 
 
-def match_project(files: DataFrame, vectors: DataFrame | None = None, good: float = 0.8) -> DataFrame:
-    """(path, content) -> function_id, doc_function_id, match_type, confidence of all three
-    stages; each function is matched once, functions that no stage matches are missing.
+def opened(source: DataFrame | parse.Project) -> parse.Project:
+    """(path, content) parsed once and stored; a project that is open already stays as it is."""
+    return source if isinstance(source, parse.Project) else parse.Project(source)
+
+
+def match_project(source: DataFrame | parse.Project, vectors: DataFrame | None = None, good: float = 0.8) -> DataFrame:
+    """(path, content), or a project -> function_id, doc_function_id, match_type, confidence of all
+    three stages; each function is matched once, functions that no stage matches are missing.
 
     vectors: (function_id, name, module, vec) for the semantic stage, which else finds nothing."""
-    found = matching.documented(parse.functions(files))
-    modules = parse.modules(files)
+    project = opened(source)
+    found = project.functions.select(*MATCHED)
     own = matching.direct(found).select("function_id", F.col("function_id").alias("doc_function_id"), "match_type", "confidence")
-    context = matching.contextual(found, own, parse.imports(files), matching.module_docs(modules), good)
+    context = matching.contextual(found, own, project.imports, matching.module_docs(project.modules), good)
     kinds = F.element_at(F.array(*map(F.lit, ("imported", "moved", "cross_file"))), F.col("stage"))
     stages = [own.where(F.col("confidence") >= good), context.select("function_id", "doc_function_id", kinds.alias("match_type"), "confidence")]
     if vectors is not None:
         before = stages[0].unionByName(stages[1])
-        left = joins.unmatched(found, "function_id", before).select("function_id", "name", "module")
+        left = joins.unmatched(found, "function_id", before).select("function_id", "name", names.module_of(F.col("file_path")).alias("module"))
         stages.append(matching.semantic(left, vectors).select("function_id", "doc_function_id", F.lit("semantic").alias("match_type"), "confidence"))
     stages.append(own)
     return joins.cascade(found.select("function_id"), "function_id", stages).drop("stage")
 
 
+#: What the stages read of a function: not its source.
+MATCHED = ("function_id", "file_path", "line_number", "name", "parameters", "return_type", "raw_doc", "doc")
 MATCH_TYPES = ("exact", "imported", "moved", "cross_file", "semantic")
 
 
@@ -41,12 +49,13 @@ def match_statistics(functions: DataFrame, matches: DataFrame) -> DataFrame:
     return x.agg(F.count("*").alias("functions"), F.count("match_type").alias("matched"), *(F.count_if(F.col("match_type") == t).alias(t) for t in MATCH_TYPES)).withColumn("rate", F.when(F.col("functions") > 0, F.col("matched") / F.col("functions")).otherwise(0.0))
 
 
-def analyse(pairs: DataFrame, config: EngineConfig = EngineConfig(), call: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+def analyse(pairs: DataFrame, config: EngineConfig = EngineConfig(), call: Callable[[list[str]], list[str]] | None = None, actionable: bool = False) -> DataFrame:
     """(function columns, doc, exceptions) -> findings with origin rules or model.
 
     Rules run on every function. Where they are unsure, or the settings ask for it, the
     model is asked; its findings join those of the rules, and replace one of the same type only
-    if that is below 0.9 sure and the model at least 0.8. Without a model the rules' stand."""
+    if that is below 0.9 sure and the model at least 0.8. Without a model the rules' stand.
+    actionable: of the model's findings only those that are sure enough and tell what to do."""
     found = rules.check(pairs, config).withColumn("origin", F.lit("rules"))
     if call is not None:
         sure = found.groupBy("function_id").agg(F.min("confidence").alias("least"))
@@ -54,21 +63,33 @@ def analyse(pairs: DataFrame, config: EngineConfig = EngineConfig(), call: Calla
         examples = F.size("doc.examples") > 0
         x = x.where(routing.needs_model(F.col("least"), F.size("parameters"), examples, F.col("decorators"), config))
         types = routing.analysis_types(examples, F.size("doc.raises") > 0, F.col("least").isNotNull())
-        said = routing.answers(routing.ask(routing.prompts(x, types), call)).withColumn("ordinal", F.row_number().over(_by_type()))
-        keep = ["function_id", "issue_type", "ordinal"]
-        ranked = found.withColumn("rule_ordinal", F.col("ordinal")).withColumn("ordinal", F.row_number().over(_by_type("rule_ordinal")))
-        merged = joins.replaced(ranked.select(*keep, "confidence", "suggestion"), said.select(*keep, "confidence", "suggestion"), keep)
-        rest = ["rule", "severity", "description", "subject", "line_number", "file_path"]
-        found = merged.join(ranked.select(*keep, *rest), keep, "left").join(said.select(*keep, F.col("description").alias("said")), keep, "left")
-        severity = F.coalesce("severity", F.lit("medium"))
-        found = found.select("function_id", "file_path", "line_number", F.col("ordinal"), "rule", "issue_type", severity.alias("severity"), F.when(F.col("origin") == "high", F.col("said")).otherwise(F.col("description")).alias("description"), "suggestion", "confidence", "subject", F.when(F.col("origin") == "high", "model").otherwise("rules").alias("origin"))
+        # Written once: a reply costs money, and asking again may give another one.
+        replies = shared.store(routing.ask(routing.prompts(x, types, routing.with_related(pairs)), call), "replies")
+        found = with_model(found, routing.answers(replies, config.min_confidence if actionable else None))
     return found.where(F.col("confidence") >= config.min_confidence)
 
 
-def _by_type(*order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("function_id", "issue_type").orderBy(*(order or (F.desc("confidence"), "description")))
+def with_model(found: DataFrame, said: DataFrame) -> DataFrame:
+    """Findings of the rules and of the model as one.
+
+    A model's finding and a rule's of the same function and type are about the same thing if
+    the model's words name the rule's subject. Those that name none, and rules without a subject,
+    pair in order. What has no counterpart stays."""
+    own = ["function_id", "issue_type"]
+    subjects = found.where("subject is not null").groupBy(*own).agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
+    words = F.split(F.lower(F.concat_ws(" ", "description", "suggestion")), r"[^\w*]+")
+    named = F.get(F.filter("subjects", lambda x: F.arrays_overlap(F.transform(F.split(x, ","), F.lower), words)), F.lit(0))
+    said = said.join(subjects, own, "left").withColumn("about", F.coalesce(named, F.lit("")))
+    numbered = lambda order: F.row_number().over(Window.partitionBy(*own, "about").orderBy(*order))
+    said = said.withColumn("nth", numbered([F.desc("confidence"), F.col("description")]))
+    ranked = found.withColumn("about", F.coalesce("subject", F.lit(""))).withColumn("nth", numbered([F.col("ordinal")]))
+    keep = [*own, "about", "nth"]
+    merged = joins.replaced(ranked.select(*keep, "confidence", "suggestion"), said.select(*keep, "confidence", "suggestion"), keep)
+    rest = ["rule", "severity", "description", "subject", "line_number", "file_path"]
+    both = merged.join(ranked.select(*keep, *rest, "ordinal"), keep, "left").join(said.select(*keep, F.col("description").alias("said"), F.col("line_number").alias("said_line")), keep, "left")
+    severity = F.coalesce("severity", *(F.when(F.col("issue_type") == k, v) for k, v in ISSUE_SEVERITY.items()), F.lit("medium"))
+    model = F.col("origin") == "high"
+    return both.select("function_id", "file_path", F.coalesce("line_number", "said_line").alias("line_number"), F.coalesce("ordinal", "nth").alias("ordinal"), "rule", "issue_type", severity.alias("severity"), F.when(model, F.col("said")).otherwise(F.col("description")).alias("description"), "suggestion", "confidence", "subject", F.when(model, "model").otherwise("rules").alias("origin"))
 
 
 #: A boost: a finding's columns -> what it adds to the rank score.
@@ -103,9 +124,9 @@ def enhance(findings: DataFrame, pairs: DataFrame, config: EngineConfig = Engine
     return x.withColumn("score", boosted(scores.rank_score("severity", "confidence", "issue_type", action, config.strategy), boosts))
 
 
-def enhanced_issues(files: DataFrame, config: EngineConfig = EngineConfig(), call: Callable[[list[str]], list[str]] | None = None, **options) -> DataFrame:
-    """The whole way from (path, content) to scored findings with suggestions."""
-    pairs = matching.documented(parse.functions(files))
+def enhanced_issues(source: DataFrame | parse.Project, config: EngineConfig = EngineConfig(), call: Callable[[list[str]], list[str]] | None = None, **options) -> DataFrame:
+    """The whole way from (path, content), or a project, to scored findings with suggestions."""
+    pairs = opened(source).functions
     return enhance(analyse(pairs, config, call), pairs, config, **options)
 
 

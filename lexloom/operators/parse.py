@@ -7,6 +7,7 @@ mapInPandas in Arrow batches, and everything after works on columns.
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 import textwrap
 from collections import deque
@@ -17,34 +18,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._lift import arrow_function
+from ..sources import shared
+from . import docstrings
 
 PARAMETER = "struct<pos:int, name:string, type_annotation:string, default_value:string, is_required:boolean>"
 FUNCTION = f"function_id string, file_path string, line_number int, end_line_number int, name string, return_type string, is_async boolean, is_method boolean, decorators array<string>, source_code string, parameters array<{PARAMETER}>, raw_doc string, parse_error string"
+EXCEPTIONS = "array<struct<exception_type:string, description:string, line:int, is_re_raised:boolean, confidence:double>>"
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
 def tree_of(source: str) -> tuple[ast.AST | None, str | None]:
-    """The syntax tree; on a syntax error that of the lines before it, with the message."""
+    """The syntax tree; on a syntax error that of the longest run of whole statements from the
+    start that parses, with the message; without any, None.
+
+    A cut is possible before a line at the left margin. An error that the parser reports in some
+    line is one in every longer text too, an open bracket or text where it opens; so the next cut to
+    try is the last one up to that line, and the first that parses is the longest."""
     try:
         return ast.parse(source), None
     except (SyntaxError, ValueError) as e:
-        line = getattr(e, "lineno", None) or 1
-        kept = source.split("\n")[: line - 1]
-        # Statements at the left margin are where a cut can be: tried from the error backwards, ever farther.
-        starts = [i for i, x in enumerate(kept) if i and x[:1] not in ("", " ", "\t", "#", ")", "]", "}")]
-        step, at = 1, len(starts)
-        for end in [len(kept), *starts[::-1][:8]]:
-            try:
-                return ast.parse("\n".join(kept[:end])), f"line {line}: {e.args[0]}"
-            except (SyntaxError, ValueError):
-                continue
-        while (at := at - 8 * step) > 0:
-            step *= 2
-            try:
-                return ast.parse("\n".join(kept[: starts[at]])), f"line {line}: {e.args[0]}"
-            except (SyntaxError, ValueError):
-                continue
-        return None, f"line {line}: {e.args[0]}"
+        first = _error_line(source, e)
+        error = f"line {first}: {e.args[0]}"
+    lines = source.split("\n")
+    cuts = [0, *(i for i, x in enumerate(lines) if i and x[:1] not in ("", " ", "\t", "#", ")", "]", "}"))]
+    at = bisect.bisect_right(cuts, first - 1) - 1
+    while at > 0:
+        text = "\n".join(lines[: cuts[at]])
+        try:
+            tree = ast.parse(text)
+            return (tree if tree.body else None), error
+        except (SyntaxError, ValueError) as e:
+            at = min(at - 1, bisect.bisect_right(cuts, _error_line(text, e) - 1) - 1)
+    return None, error
+
+
+def _error_line(source: str, e: Exception) -> int:
+    """Where a text's error is; of a zero byte, which has no place in the message, its line."""
+    if "\0" in source:
+        return source[: source.index("\0")].count("\n") + 1
+    return getattr(e, "lineno", None) or 1
 
 
 def parameters_of(args: ast.arguments) -> list[dict]:
@@ -64,8 +76,10 @@ def parameters_of(args: ast.arguments) -> list[dict]:
 def functions_of(path: str, source: str) -> list[tuple]:
     """All functions of a file, outer before inner ones."""
     tree, error = tree_of(source)
-    if tree is None:
-        return []
+    return [row for row, _ in _functions(path, source, tree, error)] if tree else []
+
+
+def _functions(path: str, source: str, tree: ast.AST, error: str | None) -> list[tuple[tuple, ast.AST]]:
     lines, out = source.split("\n"), []
     queue: deque[tuple[ast.AST, bool]] = deque([(tree, False)])
     while queue:
@@ -74,24 +88,30 @@ def functions_of(path: str, source: str) -> list[tuple]:
             params = parameters_of(node.args)
             method = in_class or bool(params) and params[0]["name"].rstrip("/") in ("self", "cls")
             end = node.end_lineno or node.lineno
-            out.append((
+            row = (
                 f"{path}:{node.lineno}:{node.name}", path, node.lineno, end, node.name, ast.unparse(node.returns) if node.returns else None, isinstance(node, ast.AsyncFunctionDef), method,
                 [ast.unparse(d) for d in node.decorator_list], "\n".join(lines[node.lineno - 1 : end]), params, ast.get_docstring(node), error,
-            ))
+            )
+            out.append((row, node))
         queue += [(c, isinstance(node, ast.ClassDef)) for c in ast.iter_child_nodes(node)]
     return out
 
 
-def _columns(ddl: str) -> list[str]:
-    depth, names, word = 0, [], ""
+def split_ddl(ddl: str) -> list[str]:
+    """``a int, b array<...>`` -> its columns; brackets nest."""
+    depth, out, word = 0, [], ""
     for c in ddl + ",":
         depth += (c in "<(") - (c in ">)")
         if c == "," and not depth:
-            names.append(word.split()[0])
+            out.append(word.strip())
             word = ""
         else:
             word += c
-    return names
+    return out
+
+
+def _columns(ddl: str) -> list[str]:
+    return [c.split()[0] for c in split_ddl(ddl)]
 
 
 def _table(files: DataFrame, schema: str, rows) -> DataFrame:
@@ -119,7 +139,10 @@ def module_name(path: str) -> str:
 
 
 def imports_of(path: str, source: str) -> list[tuple]:
-    tree, _ = tree_of(source)
+    return _imports(path, tree_of(source)[0])
+
+
+def _imports(path: str, tree: ast.AST | None) -> list[tuple]:
     out, here = [], module_name(path)
     for node in ast.walk(tree) if tree else ():
         if isinstance(node, ast.Import):
@@ -145,7 +168,10 @@ EXPORT = "module string, exports array<string>, is_package boolean, module_doc s
 
 def exports_of(path: str, source: str) -> list[tuple]:
     """``__all__`` if it is a list of strings, else the public names."""
-    tree, _ = tree_of(source)
+    return _exports(path, tree_of(source)[0])
+
+
+def _exports(path: str, tree: ast.AST | None) -> list[tuple]:
     if tree is None:
         return [(module_name(path), [], path.endswith("__init__.py"), None)]
     listed = next((n.value for n in tree.body if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in n.targets)), None)
@@ -167,15 +193,28 @@ CALLS = {"open": ("FileNotFoundError", "PermissionError", "IOError"), "int": ("V
 def exceptions_of(source: str) -> list[dict]:
     """What a function may raise, the surest of each type, by falling confidence: raised by
     name 0.95, re-raised 0.8, by a known call 0.6, a subscript 0.4, an attribute 0.3."""
+    func = function_in(source)
+    return raised_in(func, 0) if func else []
+
+
+def function_in(source: str) -> ast.FunctionDef | ast.AsyncFunctionDef | None:
+    """The first function of a piece of source, which may be indented."""
     tree, _ = tree_of(textwrap.dedent(source or ""))
-    func = next((n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)), None) if tree else None
+    return next((n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)), None) if tree else None
+
+
+def raised_in(func: ast.FunctionDef | ast.AsyncFunctionDef, before: int) -> list[dict]:
+    """before: lines of the text above the function's."""
     best: dict[str, tuple[float, int, int, bool]] = {}
 
     def note(kind: str, confidence: float, line: int, again: bool = False) -> None:
         if kind not in best or best[kind][0] < confidence:
-            best[kind] = (confidence, len(best), line, again)
+            best[kind] = (confidence, len(best), line - before, again)
 
-    for n in ast.walk(func) if func else ():
+    decorators = {n for d in func.decorator_list for n in ast.walk(d)}
+    for n in ast.walk(func):
+        if n in decorators:
+            continue
         if isinstance(n, ast.Raise):
             e = n.exc.func if isinstance(n.exc, ast.Call) else n.exc
             if n.exc is None:
@@ -195,8 +234,7 @@ def exceptions_of(source: str) -> list[dict]:
 
 def behaviour_of(source: str) -> list[dict]:
     """Patterns of control flow, data, side effects and errors in a function's body."""
-    tree, _ = tree_of(textwrap.dedent(source or ""))
-    func = next((n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)), None) if tree else None
+    func = function_in(source)
     if func is None:
         return []
     nodes = list(ast.walk(func))
@@ -216,8 +254,7 @@ def behaviour_of(source: str) -> list[dict]:
 
 def returns_of(source: str) -> dict:
     """The kinds of values that a function's return and yield statements give."""
-    tree, _ = tree_of(textwrap.dedent(source or ""))
-    func = next((n for n in ast.walk(tree) if isinstance(n, _FUNCTIONS)), None) if tree else None
+    func = function_in(source)
     kinds, yields, bare, stack = set(), set(), False, list(func.body) if func else []
     while stack:  # not into inner functions
         n = stack.pop()
@@ -265,7 +302,7 @@ def _each(series_type: str, f):
     return run
 
 
-exceptions = _each("array<struct<exception_type:string, description:string, line:int, is_re_raised:boolean, confidence:double>>", exceptions_of)
+exceptions = _each(EXCEPTIONS, exceptions_of)
 behaviour = _each("array<struct<pattern:string, confidence:double>>", behaviour_of)
 calls = _each("array<struct<callee:string, uses:int, keywords:array<string>>>", calls_of)
 
@@ -284,6 +321,71 @@ def docstrings_in(source: str) -> list[str]:
 file_docstrings = _each("array<string>", docstrings_in)
 
 
+#: A file's own row: how much of it could be parsed, and why not the rest.
+FILE = "path string, lines int, functions int, classes int, parse_error string"
+PROJECT = f"kind string, {FUNCTION}, doc struct<{', '.join(c.replace(' ', ':', 1) for c in split_ddl(docstrings.DOC))}>, exceptions {EXCEPTIONS}, " + ", ".join(f"{m}_{c}" for m, ddl in (("import", IMPORT), ("module", EXPORT), ("in", FILE)) for c in split_ddl(ddl))
+
+
+def project_of(path: str, source: str) -> Iterator[dict]:
+    """All that one parse of a file gives, as records of one kind each."""
+    tree, error = tree_of(source)
+    names = _columns(FUNCTION)
+    found = _functions(path, source, tree, error) if tree else []
+    for row, node in found:
+        x = dict(zip(names, row, strict=True))
+        yield {"kind": "function", **x, "doc": docstrings.parse(x["raw_doc"]), "exceptions": raised_in(node, node.lineno - 1)}
+    for kind, ddl, rows in (("import", IMPORT, _imports(path, tree)), ("module", EXPORT, _exports(path, tree))):
+        for row in rows:
+            yield {"kind": kind, **{f"{kind}_{c}": v for c, v in zip(_columns(ddl), row, strict=True)}}
+    classes = sum(isinstance(n, ast.ClassDef) for n in ast.walk(tree)) if tree else 0
+    yield {"kind": "file", **{f"in_{c}": v for c, v in zip(_columns(FILE), (path, source.count("\n") + 1, len(found), classes, error), strict=True)}}
+
+
+def project(files: DataFrame) -> DataFrame:
+    """(path, content) -> everything that the stages read, from one parse of each file: rows of
+    the kinds function (with ``doc`` and ``exceptions``), import, module and file. To be stored; see ``Project``."""
+    cols = _columns(PROJECT)
+
+    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [r for p, s in zip(b["path"], b["content"], strict=True) for r in project_of(p, s)]
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in cols})
+
+    return files.select("path", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(work, PROJECT)
+
+
+class Project:
+    """A stored project; its parts are scans of few columns of one table."""
+
+    def __init__(self, files: DataFrame):
+        self.table = shared.store(project(files), "project")
+
+    def _part(self, kind: str, ddl: str, *more: str) -> DataFrame:
+        prefix = {"function": "", "file": "in_"}.get(kind, f"{kind}_")
+        return self.table.where(F.col("kind") == kind).select(*(F.col(f"{prefix}{c}").alias(c) for c in _columns(ddl)), *more)
+
+    @property
+    def functions(self) -> DataFrame:
+        """With ``doc`` (null without documentation) and ``exceptions``."""
+        return self._part("function", FUNCTION, "doc", "exceptions")
+
+    @property
+    def imports(self) -> DataFrame:
+        return self._part("import", IMPORT)
+
+    @property
+    def modules(self) -> DataFrame:
+        return self._part("module", EXPORT)
+
+    @property
+    def files(self) -> DataFrame:
+        """A row for every file, also for those without functions or that can't be parsed."""
+        return self._part("file", FILE)
+
+    def discard(self) -> None:
+        shared.discard(self.table)
+
+
 def functions_once(files: DataFrame) -> DataFrame:
     """As ``functions``, but files of equal content are parsed once: each content's smallest
     path stands for it, and its rows come back under every path."""

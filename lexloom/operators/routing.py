@@ -11,11 +11,11 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions import errors, json_text, scores
+from ..functions import docs, errors, json_text, scores
 from ..functions._lift import lookup
 
 
@@ -29,10 +29,17 @@ def analysis_types(has_examples: Column, has_raises: Column, changed: Column) ->
     return F.when(F.size(found) == 0, F.array(F.lit("behavior"))).otherwise(found)
 
 
-def prompts(pairs: DataFrame, types: Column, limit: int = 2000) -> DataFrame:
-    """function_id, prompt; source is cut at ``limit`` characters of the prompt, not of any result."""
-    text = F.concat(F.lit("Compare the function with its documentation. Look at: "), F.array_join(types, ", "), F.lit(".\n\nCODE:\n"), F.left("source_code", F.lit(limit)), F.lit("\n\nDOCUMENTATION:\n"), F.coalesce("raw_doc", F.lit("")), F.lit('\n\nAnswer in JSON: {"issues": [...], "confidence": 0.0}'))
-    return pairs.select("function_id", text.alias("prompt"), scores.estimate_tokens(text).alias("tokens"))
+def prompts(pairs: DataFrame, types: Column, related: DataFrame | None = None, limit: int = 2000) -> DataFrame:
+    """function_id, prompt, tokens: the question of each kind of analysis, the code, its
+    documentation, the names of related functions (function_id, related) if they are given, and the form
+    of the answer. Source is cut at ``limit`` characters of the prompt, not of any result."""
+    questions = F.array_join(F.transform(types, lambda t: F.concat(F.lit("- "), prompt_for(t))), "\n")
+    x = pairs.withColumn("_questions", questions)
+    if related is not None:
+        x = x.join(related.select("function_id", "related"), "function_id", "left")
+    near = F.when(F.size("related") > 0, F.concat(F.lit("\n\nRELATED: "), F.array_join("related", ", "))) if related is not None else F.lit(None)
+    text = F.concat(F.lit("Compare the function with its documentation.\n"), F.col("_questions"), F.lit("\n\nCODE:\n"), F.left("source_code", F.lit(limit)), F.lit("\n\nDOCUMENTATION:\n"), F.coalesce("raw_doc", F.lit("")), F.coalesce(near, F.lit("")), F.lit('\n\nAnswer in JSON: {"issues": [...], "confidence": 0.0}'))
+    return x.select("function_id", text.alias("prompt"), scores.estimate_tokens(text).alias("tokens"))
 
 
 def policy(error: str, attempt: int, base: float = 1.0, cap: float = 60.0) -> tuple[bool, float]:
@@ -48,15 +55,16 @@ def policy(error: str, attempt: int, base: float = 1.0, cap: float = 60.0) -> tu
 
 def ask(requests: DataFrame, call: Callable[[list[str]], list[str]] | None = None, batch: int = 10, retries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
     """function_id, reply, error: one row per request in any case, in batches of ``batch``.
-    If a batch fails its prompts go one by one, with retries; an error is that row's. How many calls
-    run at once is the number of partitions: ``repartition`` the requests to bound it."""
+    If a batch fails, or gives another number of replies than it has prompts, these go one by one,
+    with retries; an error is that row's. How many calls run at once is the number of
+    partitions: ``repartition`` the requests to bound it. A result that is read twice is asked for twice: store it."""
     if call is None:
         return requests.select("function_id", F.lit(None).cast("string").alias("reply"), F.lit("offline").alias("error"))
 
     def one(prompt: str) -> tuple[str | None, str | None]:
         for attempt in range(retries + 1):
             try:
-                return call([prompt])[0], None
+                return replied(call, [prompt])[0], None
             except Exception as e:  # noqa: BLE001  a service's failure is data here
                 error = str(e)
                 again, wait = policy(error, attempt)
@@ -70,7 +78,7 @@ def ask(requests: DataFrame, call: Callable[[list[str]], list[str]] | None = Non
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch]
                 try:
-                    made = [(r, None) for r in call(part["prompt"].tolist())]
+                    made = [(r, None) for r in replied(call, part["prompt"].tolist())]
                 except Exception:  # noqa: BLE001  then each prompt by itself
                     made = [one(p) for p in part["prompt"]]
                 yield pd.DataFrame({"function_id": part["function_id"], "reply": [r for r, _ in made], "error": [e for _, e in made]})
@@ -78,14 +86,24 @@ def ask(requests: DataFrame, call: Callable[[list[str]], list[str]] | None = Non
     return requests.select("function_id", "prompt").mapInPandas(work, "function_id string, reply string, error string")
 
 
-def answers(replies: DataFrame) -> DataFrame:
+def replied(call: Callable[[list[str]], list], asked: list[str]) -> list:
+    """What a service says to a list, if it is one answer for each."""
+    out = list(call(asked))
+    if len(out) != len(asked):
+        raise ValueError(f"{len(out)} replies to {len(asked)} requests")
+    return out
+
+
+def answers(replies: DataFrame, least: float | None = None) -> DataFrame:
     """function_id, issue_type, description, suggestion, confidence, line_number of the valid
-    findings; a reply that isn't JSON gives recovered ones of confidence 0.3."""
+    findings; a reply that isn't JSON gives recovered ones of confidence 0.3. With ``least``,
+    those that are as sure and tell what to do."""
     x = replies.where("reply is not null").withColumn("doc", json_text.extract("reply"))
     good = x.where("doc is not null").select("function_id", F.explode(json_text.findings("doc")["issues"]).alias("i")).where(json_text.valid_finding(F.col("i")))
     rows = good.select("function_id", json_text.issue_type(F.col("i.type")).alias("issue_type"), "i.description", "i.suggestion", "i.confidence", "i.line_number")
     lost = x.where("doc is null").select("function_id", F.explode(json_text.recovered("reply")).alias("i"))
-    return rows.unionByName(lost.select("function_id", F.lit("description_outdated").alias("issue_type"), "i.description", F.lit(None).cast("string").alias("suggestion"), "i.confidence", F.lit(None).cast("int").alias("line_number")))
+    out = rows.unionByName(lost.select("function_id", F.lit("description_outdated").alias("issue_type"), "i.description", F.lit(None).cast("string").alias("suggestion"), "i.confidence", F.lit(None).cast("int").alias("line_number")))
+    return out if least is None else out.where((F.col("confidence") >= least) & docs.actionable("suggestion"))
 
 
 def with_fallback(stages: list[tuple[Column, float]]) -> Column:
@@ -154,12 +172,15 @@ def parse_statistics(replies: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_related(functions: DataFrame, k: int = 3) -> DataFrame:
-    """Each function with the names of up to k others of its file, the nearest by line first."""
-    a = functions.select("function_id", "file_path", "line_number")
-    by_file = functions.groupBy("file_path").agg(F.sort_array(F.collect_list(F.struct("line_number", "function_id", "name"))).alias("all"))
-    others = F.filter("all", lambda o: o["function_id"] != F.col("function_id"))
-    near = F.array_sort(F.transform(others, lambda o: F.struct(F.abs(o["line_number"] - F.col("line_number")).alias("d"), o["line_number"].alias("l"), o["name"].alias("name"))))
-    return a.join(by_file, "file_path").select("function_id", F.transform(F.slice(near, 1, k), lambda x: x["name"]).alias("related"))
+    """Each function with the names of up to k others of its file, the nearest by line first,
+    of equally near ones the earlier. They are among the k before and the k behind it, so a window of
+    2k + 1 rows of the file in line order holds them, however many functions the file has."""
+    w = Window.partitionBy("file_path").orderBy("line_number", "function_id")
+    one = F.struct("line_number", "function_id", "name")
+    x = functions.select("function_id", "file_path", "line_number", "name")
+    x = x.select("function_id", "line_number", F.collect_list(one).over(w.rowsBetween(-k, -1)).alias("up"), F.collect_list(one).over(w.rowsBetween(1, k)).alias("down"))
+    near = F.array_sort(F.transform(F.concat("up", "down"), lambda o: F.struct(F.abs(o["line_number"] - F.col("line_number")).alias("d"), o["line_number"].alias("l"), o["name"].alias("name"))))
+    return x.select("function_id", F.transform(F.slice(near, 1, k), lambda x: x["name"]).alias("related"))
 
 
 def request_problems(types: Column, source: Column, confidence: Column) -> Column:

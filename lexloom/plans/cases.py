@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import docs, json_text, names, relevance, scores, types
 from ..operators import docstrings, matching, routing, rules, simulation, suggestions, validation
 from ..sources import python_files, stores
-from .gallery import literal
-from .registry import query, table
+from .register import query, table
+from .told import literal
 
 
 def cases(spark, sf_dir, columns: str, rows: list[tuple]):

@@ -9,7 +9,7 @@ from ..functions._lift import lookup
 from ..functions import relevance
 from ..operators import docstrings, matching, parse, retrieval, routing, rules, suggestions
 from ..sources import synthetic
-from .registry import query, table
+from .register import query, table
 
 
 def pairs(spark, sf_dir):

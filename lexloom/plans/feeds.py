@@ -10,8 +10,8 @@ from ..operators import aggregates, corpus, embedding, matching, parse, retrieva
 from ..sources import stores, synthetic
 from ..streaming import monitors
 from . import gallery, services
-from .gallery import told
-from .registry import query, table
+from .register import query, table
+from .told import told
 
 _U = "(('0x' || md5(p_partkey::varchar || '{0}'))::uhugeint % 1000003)::double / 1000003"
 _DRAWN = f"""u as (select p_partkey as id, {_U.format(":type")} as t, {_U.format(":quality")} as q, {_U.format(":accept")} as a, case when ('0x' || md5(p_partkey::varchar))::uhugeint % 100 < 50 then 'treatment' else 'control' end as ab_group from part),

@@ -9,25 +9,8 @@ from ..functions import names
 from ..operators import docstrings, embedding, engine, generators, matching, parse, routing, rules
 from ..sources import gallery
 from . import services
-from .registry import query, table
-
-
-def literal(x) -> str:
-    if x is None:
-        return "null"
-    if isinstance(x, str):
-        return "'" + x.replace("'", "''") + "'"
-    return repr(x).lower() if isinstance(x, bool) else f"{x}::double" if isinstance(x, float) else str(x)
-
-
-def told(columns: str, rows: list[tuple]) -> str:
-    """SQL of rows (kind, values ...) for every part of that kind; {k}, {p} and {n} in text
-    are the part's key, the one before and the next."""
-    cols = columns.split()
-    texts = {c for i, c in enumerate(cols, 1) if any(isinstance(r[i], str) for r in rows)}
-    fill = lambda c: f"replace(replace(replace({c}, '{{k}}', p_partkey::varchar), '{{p}}', (p_partkey - 1)::varchar), '{{n}}', (p_partkey + 1)::varchar) as {c}"
-    values = ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
-    return f"select {', '.join(fill(c) if c in texts else c for c in cols)} from part join (values {values}) as t(_shape, {', '.join(cols)}) on p_partkey % 10 = _shape"
+from .register import query, table
+from .told import told
 
 
 def files(spark, sf_dir):
@@ -236,8 +219,8 @@ def project_match(spark, sf_dir):
 select (select count(*) from f) as functions, count(*) as matched, count(*) filter (match_type = 'exact') as exact, count(*) filter (match_type = 'imported') as imported, count(*) filter (match_type = 'moved') as moved,
  count(*) filter (match_type = 'cross_file') as cross_file, 0 as semantic, round(count(*) / (select count(*) from f), 9) as rate from m""")
 def match_statistics(spark, sf_dir):
-    f = files(spark, sf_dir)
-    return engine.match_statistics(parse.functions(f), engine.match_project(f)).withColumn("rate", F.round("rate", 9))
+    p = engine.opened(files(spark, sf_dir))
+    return engine.match_statistics(p.functions, engine.match_project(p)).withColumn("rate", F.round("rate", 9))
 
 
 @query(told("name text", [
@@ -289,7 +272,7 @@ def analysed_with_model(spark, sf_dir):
     """Rules, routing, model and merge in one; the model adds what the rules did not find."""
     from ..config import EngineConfig
 
-    a = engine.analyse(pairs(spark, sf_dir), EngineConfig(min_confidence=0.0, analysis_types=("behavior",)), services.answering_quietly)
+    a = engine.analyse(engine.opened(files(spark, sf_dir)).functions, EngineConfig(min_confidence=0.0, analysis_types=("behavior",)), services.answering_quietly)
     return a.groupBy("issue_type", "origin").agg(F.count("*").alias("n"))
 
 
@@ -300,7 +283,7 @@ _HIGH = [r for r in ISSUES if r[4] == "high"]
 select (select count(*) from f) as functions, (select count(*) from f where documented) as documented, count(*) as findings, count(*) filter (severity = 'critical') as critical, count(*) filter (severity = 'high') as high,
  count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low, count(distinct name) as with_findings, 0.0::double as model_share, round(avg((kind <> 'fallback')::int), 9) as ready_share from i""")
 def run_summary(spark, sf_dir):
-    p = pairs(spark, sf_dir)
+    p = engine.opened(files(spark, sf_dir)).functions
     e = engine.enhance(engine.analyse(p), p)
     return engine.run_summary(p, e).withColumn("ready_share", F.round("ready_share", 9))
 

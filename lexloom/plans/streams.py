@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import monitors
-from .registry import query, table
+from .register import query, table
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as most from events group by all")

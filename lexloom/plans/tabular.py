@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, names, scores, stats
 from ..operators import aggregates, joins, windows
 from ..sources import stores
-from .registry import query, table
+from .register import query, table
 
 # How orders stand for findings: priority -> severity, status -> type, price -> confidence.
 _SEVERITY = {"1-URGENT": "critical", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "low", "5-LOW": "low"}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import docs, errors, json_text, names, scores
 from ..operators import aggregates
-from .registry import query, table
+from .register import query, table
 
 
 @query(r"""select doc_id, case when contains(text, ':param') or contains(text, ':type') or contains(text, ':returns:') or contains(text, ':rtype:') or contains(text, ':raises:') then case when contains(text, ':Example:') or contains(text, '.. code-block::') then 'rest' else 'sphinx' end
