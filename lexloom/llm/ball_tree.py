@@ -238,6 +238,7 @@ def assigned(forest: DataFrame, centroids: list[list[int]]) -> DataFrame:
     return forest.mapInPandas(work, "vec_id long, cluster int, distance long")
 
 
+@common.scratch()
 def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64) -> DataFrame:
     """embeddings (vec_id, embedding, ...) -> vec_id, cluster, distance, cluster_inertia, inertia,
     centroid_sha256.
@@ -255,8 +256,7 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64) ->
     forest = trees(vectors, dim)
     for _ in range(rounds):
         centroids = moved(forest, centroids)
-    found = common.store(assigned(forest, centroids), "ball-clusters")
-    common.discard(forest)
+    found = common.keep(common.store(assigned(forest, centroids), "ball-clusters"))
     sums = found.groupBy("cluster").agg(F.sum(F.col("distance").cast(T.DecimalType(38, 0))).alias("s"), F.every(F.col("distance").isNotNull()).alias("whole")).collect()
     fits = lambda rows: x if all(r["whole"] for r in rows) and (x := int(sum(r["s"] for r in rows))) <= LONG else None
     names = [(r["cluster"], fits([r]), fits(sums), hashlib.sha256(",".join(map(str, centroids[r["cluster"]])).encode()).hexdigest()) for r in sums]

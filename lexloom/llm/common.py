@@ -2,68 +2,59 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-_SCOPES: list[list[DataFrame]] = []
+from ..sources import shared
+from ..sources.shared import discard, shared_dir  # noqa: F401  (part of what operators use)
+
+#: Where the running operator lists what it stores; each thread has its own.
+_SCOPE: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("scope", default=None)
 #: Up to so many rows of a few short columns are sent to every task (``few``).
 FEW = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The session names it in ``spark.checkpoint.dir``, or its context by setCheckpointDir().
-    Where neither is set, a folder of this process serves a local session, as in tests; on a
-    cluster that would lose rows, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        named = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = named.get() if named.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        if "dir" not in _LOCAL:
-            _LOCAL["dir"] = tempfile.mkdtemp(prefix="lexloom-")
-            atexit.register(shutil.rmtree, _LOCAL["dir"], True)
-        base = f"file://{_LOCAL['dir']}"
-    return base.rstrip("/")
-
-
 def store(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it back: it is computed once, its rows
-    stay as they are, and losing an executor costs no recomputation of what came before.
-    The path is ``stored_path`` of the result, for ``discard``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_path = path
-    if _SCOPES:
-        _SCOPES[-1].append(back)
+    """``shared.store``, for ``scratch`` to clear away."""
+    back = shared.store(df, label, codec)
+    back.kept = False
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(back)
     return back
 
 
+def keep(table: DataFrame) -> DataFrame:
+    """A stored table that a result reads: it outlives the operator that stored it."""
+    table.kept = True
+    return table
+
+
 @contextlib.contextmanager
-def collecting(tables: list[DataFrame]):
-    """Lists in ``tables`` what is stored meanwhile, for ``discard``."""
-    _SCOPES.append(tables)
+def scratch():
+    """What is stored meanwhile is deleted at the end, but for what is kept; that is left to
+    whoever asked for the result, whose own ``scratch`` deletes it. As a decorator: for a call."""
+    outer, mine = _SCOPE.get(), []
+    token = _SCOPE.set(mine)
     try:
-        yield tables
+        yield
+    except BaseException:
+        for t in mine:
+            t.kept = False
+        raise
     finally:
-        _SCOPES.pop()
+        _SCOPE.reset(token)
+        discard(*(t for t in mine if not t.kept))
+        for t in mine:
+            if t.kept and outer is not None:
+                t.kept = False
+                outer.append(t)
 
 
 def few(df: DataFrame, limit: int = FEW) -> DataFrame:
@@ -81,14 +72,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that no pending result reads."""
-    for t in tables:
-        spark = SparkSession.getActiveSession() or t.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(t.stored_path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Texts can be long: a bound on the bytes of an Arrow batch bounds a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

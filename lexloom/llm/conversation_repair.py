@@ -382,6 +382,7 @@ def _streamed(work, schema: str):
     return run
 
 
+@common.scratch()
 def repair(turns: DataFrame, parts: int | None = None) -> DataFrame:
     """(conv_id, turn, role, text, dropped) -> conv_id, gaps, blank, duplicate, truncated, illegal,
     cost, audit, repaired_sha256: a row for each conv_id, null one of them.
@@ -421,4 +422,5 @@ def repair(turns: DataFrame, parts: int | None = None) -> DataFrame:
     none = rows.groupBy("id_text").agg(F.every("dropped").alias("gone")).where("gone").select("id_text", *counts, F.lit("").alias("audit"), F.sha2(F.lit(""), 256).alias("repaired_sha256"))
     done = found.where("kind = 'done'").select(*_names(JOINED))
     whole = done.unionByName(joined).unionByName(none)
-    return whole.select(F.expr("if(id_text = ' ', null, cast(nullif(id_text, ' ') as long))").alias("conv_id"), *RESULT[1:])
+    whole = whole.select(F.expr("cast(nullif(id_text, ' ') as long)").alias("conv_id"), *RESULT[1:])
+    return common.keep(common.store(whole, "turns-repaired"))

@@ -164,7 +164,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, seg
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # The id travels as text: a column of longs with nulls would come as doubles.
     dealt = whole.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    return common.store(dealt.select(F.col("doc_id").cast("string").alias("id_text"), "text").mapInPandas(encode, SEGMENTS), "token-segments")
+    return common.keep(common.store(dealt.select(F.col("doc_id").cast("string").alias("id_text"), "text").mapInPandas(encode, SEGMENTS), "token-segments"))
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:

@@ -1,12 +1,17 @@
 """URL filtering by rules and by trust that spreads over links.
 
-Rules (host, path) decide what they fit. For other pages each host has two scores between 0
-and 1 by personalised PageRank over the graph of hosts. Distrust is the damped chance that a
-walk along links from the host's undecided pages comes to blocked pages; trust the same of a
-walk back along links to allowed ones. Decided pages end a walk. A host starts with the share
-of its pages that rules allow or block, so one blocked folder doesn't condemn a site, and its
-undecided share takes the mean of its links: how many others link to the same place changes
-nothing. A host is blocked if its distrust exceeds its trust by more than a half.
+Rules (host, path) decide what they fit; the share of a host's pages that they allow or block
+is its seed. For other pages there are two personalised PageRanks over the graph of hosts.
+
+* Seen from the seeds: trust walks from allowed hosts along links, distrust from blocked ones
+  against links. A seed's rank is dealt out to all its neighbours, so the more hosts link to a
+  blocked one the less each gets: these ranks tell which of the two a host has more of.
+* Seen from the host: of its own PageRank, the share that ends on blocked hosts along its links,
+  and on allowed ones against them, where decided pages end a walk. That share doesn't depend on
+  how many others link to the same place. One backward pass gives it for all hosts at once.
+
+A host's open pages are blocked if the share of distrust exceeds that of trust by more than a
+half, and its distrust from the seeds exceeds its trust from them. So one blocked folder doesn't condemn a site.
 """
 
 from __future__ import annotations
@@ -69,9 +74,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     Each round is a join on the sender and a sum for each receiver, stored; only the
     largest change goes to the driver. Without edges the seeds decide at once.
 
-    mean: a score is the whole seed, plus, for the share of the host that has no seed,
-    damping times the mean of the neighbours over the receiver's links. It is between 0 and
-    1 and doesn't depend on how many others receive from the same neighbour."""
+    mean: the same walk seen from its end. A host's score is the share of its own personalised
+    PageRank that ends on seeds: a walk from it ends on a decided page, else it goes on
+    with the chance ``damping`` along one of its links. So the score is the whole seed, plus,
+    for the share of the host that has none, damping times the mean of its neighbours."""
     start = 1.0 if mean else 1 - damping
     seeds = seeds.select("host", (start * F.col("trust")).alias("trust"), (start * F.col("distrust")).alias("distrust"))
     free = F.lit(damping) * (1 - F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)) if mean else F.lit(1.0))
@@ -100,20 +106,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return score
 
 
+@common.scratch()
 def judge(pages: DataFrame, rules=RULES, damping: float = 0.85) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, host, path, rule, verdict.
 
     Null urls and urls without ``://`` have an empty host and path; null html has no links.
-    Rows that repeat stay. Hosts without pages take part in the graph only."""
+    Html of any length is searched whole. Rows that repeat stay. Hosts without pages take part in the graph only.
+    Of fitting rules of equal length the one later by (host, path) counts. Other columns are not
+    read; an empty table gives no rows."""
     url = F.coalesce("url", F.lit(""))
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     rule, said = longest_rule(F.col("host"), F.col("path"), rules)
     ruled = parts.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"))
     share = lambda v: F.avg(F.when(F.col("said") == v, 1.0).otherwise(0.0))
     seeds = ruled.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    edges = common.store(host_edges(pages), "host-edges")
+    seeds = common.store(seeds, "host-seeds")
     # The damping brings the change of any graph below the least one within these rounds.
-    scores = propagate(host_edges(pages), seeds, damping, rounds=math.ceil(math.log(1e-7) / math.log(damping)) + 1, mean=True)
-    blocked = scores.where(F.col("distrust") - F.col("trust") > 0.5).select("host", F.lit("block").alias("method"))
+    rounds = math.ceil(math.log(1e-7) / math.log(damping)) + 1
+    shares = propagate(edges, seeds, damping, rounds, mean=True).where(F.col("distrust") - F.col("trust") > 0.5)
+    ranks = propagate(edges, seeds, damping, rounds).where(F.col("distrust") > F.col("trust"))
+    blocked = common.keep(common.store(shares.join(ranks, "host", "left_semi").select("host", F.lit("block").alias("method")), "hosts-blocked"))
     open_ = ruled.where("rule is null").join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("method", F.lit("allow")).alias("verdict"))
     return ruled.where("rule is not null").select("page_id", "host", "path", "rule", F.col("said").alias("verdict")).unionAll(open_)
 

@@ -328,6 +328,7 @@ def settle(asked: DataFrame, sets: DataFrame, least: float, threshold: int, most
     return rows.select(*(f.split(" ")[0] for f in CELL.split(", ")), "hashes").mapInPandas(work, "a long, b long")
 
 
+@common.scratch()
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept.
 
@@ -368,10 +369,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     named = named.join(last, "root", "left").select("print", "first", F.coalesce("joined", "root").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = common.store(named.join(smallest, "root").select("print", "component_id"), "minhash-ids")
-    common.discard(classes, members, pairs, sets, links, roots, asked, more)
     out = lambda df, c: df.select(doc.alias("doc_id"), "n_shingles", c.alias("component_id"), F.coalesce(doc == c, F.lit(False)).alias("kept"))
     some = out(full.select("id_text", "n_shingles", "print").join(ids, "print"), F.col("component_id"))
-    return some.unionAll(rows.where("n_shingles = 0").select(doc.alias("doc_id"), "n_shingles", doc.alias("component_id"), F.lit(True).alias("kept")))
+    none = rows.where("n_shingles = 0").select(doc.alias("doc_id"), "n_shingles", doc.alias("component_id"), F.lit(True).alias("kept"))
+    return common.keep(common.store(some.unionAll(none), "minhash-result"))
 
 
 def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -392,18 +393,18 @@ def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     return found.dropDuplicates(["cls"]) if again else found
 
 
+@common.scratch()
 def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """docs without all but one document of each group of near copies, all columns, whatever
     their names. The rows are numbered and stored first, and the numbers serve as ids: of a
     group the row with the smallest doc_id stays (nulls last), of rows that repeat it any
     one; null, empty and blank texts all stay. Only the numbers of the rows that go are joined with the table."""
     row = common.free_name(docs, "row")
-    numbered = common.store(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-input")
+    numbered = common.keep(common.store(docs.withColumn(row, F.monotonically_increasing_id()), "minhash-input"))
     named = numbered.select(F.col(row).alias("row"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"))
     found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), threshold).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    found = common.store(found, "minhash-found")
     several = found.where("row <> group").select("group").distinct()
     grouped = common.store(found.join(several, "group").join(named, "row"), "minhash-groups")
     stays = grouped.groupBy("group").agg(F.min(F.struct("id", "row")).alias("first")).select("group", "first.row")
-    gone = common.store(grouped.select("row").join(stays.select("row"), "row", "left_anti").select(F.col("row").alias(row)), "minhash-gone")
+    gone = common.keep(common.store(grouped.select("row").join(stays.select("row"), "row", "left_anti").select(F.col("row").alias(row)), "minhash-gone"))
     return numbered.join(common.few(gone), row, "left_anti").drop(row)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -26,10 +27,11 @@ from . import common
 
 #: Fixed: the letters for which a character often stands.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Fixed: letters of other alphabets that look like Latin ones.
+#: Fixed: letters that look like plain Latin ones and don't come apart into one and a mark.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "і": "i", "ї": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "ѕ": "s", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ո": "n", "ӏ": "l", "ԛ": "q", "ԝ": "w",
     "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
+    "ł": "l", "þ": "p", "ø": "o", "đ": "d", "ħ": "h", "ı": "i", "ŧ": "t", "ƒ": "f", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ɪ": "i", "ʀ": "r", "ɴ": "n", "ʟ": "l",
 }
 SEPARATORS = " .-_*~"
 _STRIP = ".,;:!?\"'()[]{}<>|*_-~#%&/\\"
@@ -42,7 +44,10 @@ _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
     _c = bytes([_b]).decode("latin-1").lower()
     _CLASS[_b] = _LETTERS.index(_c) + 1 if _c in _LETTERS else 27 if _c.isalpha() else 0
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~]{1,3}[^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+(€£](?:[ .\-_*~]{1,3}[\w@$!|+(€£]){3,}(?!\S)")
+#: Letters one by one, with any number of anything else between.
+_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_]){2,}(?![^\W_])|(?<!\S)[\w@$!|+(€£](?:(?:[^\w@$!|+(€£]|_)+[\w@$!|+(€£]){3,}(?!\S)")
+#: Fixed: marks without width, and marks on the letter before.
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 _NOISY = re.compile(r"[0-9@$!|+(€£]|[.\-_*~]")
 _PARTS = re.compile(r"[^\w]+|_")
 _TWICE = re.compile(r"(.)\1+")
@@ -63,8 +68,17 @@ def classes(text: str) -> np.ndarray:
     return _CLASS[np.frombuffer(raw, np.uint8)]
 
 
+def plain(text: str) -> str:
+    """Lower-cased; of compatible forms (full width, circled, ligatures) the usual one, and
+    nothing that isn't seen. Letters with marks of their own stay letters of their own."""
+    if text.isascii():
+        return text.lower()
+    return _UNSEEN.sub("", unicodedata.normalize("NFKC", text)).lower()
+
+
 def collapsed(word: str) -> str:
-    """Look-alikes of other alphabets as Latin letters, each repeated letter once."""
+    """Look-alikes of other letters as Latin ones, each repeated letter once. Letters with
+    marks of their own (é, ü) are those of other languages' words, and stay what they are."""
     return _TWICE.sub(r"\1", word.translate(_LATIN))
 
 
@@ -142,8 +156,8 @@ class Model:
             return True
         if self.stems is None:
             self.stems = frozenset(collapsed(w.rstrip("*")) + w[len(w.rstrip("*")) :] for w in self.evidence)
-        bare = collapsed(word)
-        return bare in self.stems or any(f"{bare[:k]}*" in self.stems for k in range(1, 6))
+        short = collapsed(word)
+        return short in self.stems or any(f"{short[:k]}*" in self.stems for k in range(1, 6))
 
     def of_token(self, token: str) -> set[str]:
         """The words that a token, lower-cased and without white space, may stand for: as
@@ -165,11 +179,12 @@ class Model:
         return bool(_TWICE.search(word) or not word.isascii() and _FOREIGN.search(word)) and self.matters(word)
 
     def spelled(self, lowered: str) -> set[str]:
-        """What is written letter by letter, with one to three separators between."""
+        """What is written letter by letter, whatever else is between and however much."""
         x = classes(lowered)
-        alone = np.flatnonzero((x[1:-1] > 0) & (x[:-2] == 0) & (x[2:] == 0))
+        letter = np.flatnonzero(x[1:-1] > 0) + 1
+        alone = (x[letter - 1] == 0) & (x[letter + 1] == 0)
         out: set[str] = set()
-        if (len(alone) > 1 and (np.diff(alone) <= 4).any()) or any(s in lowered for s in LOOKALIKES):
+        if (alone[2:] & alone[1:-1] & alone[:-2]).any() or any(s in lowered for s in LOOKALIKES):
             for m in _SPACED.finditer(lowered):
                 run = self.restore(m[0])
                 out.add(run)
@@ -178,7 +193,7 @@ class Model:
 
     def words(self, text: str) -> set[str]:
         """Distinct words of a text, as written and, where disguised, restored."""
-        t = text.lower()
+        t = plain(text)
         return self.spelled(t).union(*map(self.of_token, set(t.split())))
 
     def _told(self, token: str) -> dict[str, float]:
@@ -192,7 +207,7 @@ class Model:
 
     def total(self, text: str) -> float:
         """The summed evidence of a text's distinct words."""
-        t, known, found = text.lower(), self.seen.get, {}
+        t, known, found = plain(text), self.seen.get, {}
         for token in set(t.split()):
             told = known(token)
             if told is None:
@@ -214,10 +229,10 @@ def readings(token: str) -> set[str]:
     found = set()
     for part in {token, *(y for cut in _CUTS for y in cut.split(token))}:
         part = part.strip(_EDGE)
-        bare = part.strip(_STRIP)
-        if bare:
-            at = part.index(bare)
-            end = at + len(bare)
+        core = part.strip(_STRIP)
+        if core:
+            at = part.index(core)
+            end = at + len(core)
             found |= {part[i:j] for i in (0, max(0, at - 1), at) for j in (end, end + 1, len(part))}
         elif part:
             found.add(part)
@@ -275,6 +290,7 @@ def surprise(share: float) -> Column:
     return F.when(F.col("toxic") > n * share, part(F.col("toxic"), share) + part(F.col("clean"), 1 - share)).otherwise(0.0)
 
 
+@common.scratch()
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, least_share: float = 0.01, least_evidence: float = 1.5) -> Model:
     """The character model from all texts; evidence and curve from at most max_train
     labelled documents outside the held-out fold (those with the smallest hashed ids, so
@@ -339,8 +355,8 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) ->
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """documents -> the same columns with the score (0 to 1) under ``name``, which must be
-    free (``common.free_name``). Null and empty texts have no evidence. Rows that repeat stay; an empty
-    table gives no rows; nothing is shuffled."""
+    free (``common.free_name``). Null and empty texts have no evidence. Texts of any length are read
+    whole; the distinct words of one are held at a time. Rows that repeat stay; an empty table gives no rows; nothing is shuffled."""
     common.small_batches(docs.sparkSession)
     columns = docs.columns
     schema = docs.withColumn(name, F.lit(0.0)).schema

@@ -192,6 +192,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     return docs.select(F.col("doc_id").cast("string").alias("id_text"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(encode, PIECES)
 
 
+@common.scratch()
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, piece, start, length, ids_crc32, sequence_id,
     offset: every piece's place in a sequence; sequences are filled from 0 without gaps.
@@ -212,7 +213,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
             at += len(b)
 
     tie = F.xxhash64("id_text", "piece")
-    ranged = common.store(made.repartitionByRange("length", tie).sortWithinPartitions("length", tie, "id_text", "piece", "ids_crc32").mapInPandas(number, f"{PIECES}, part int, place long"), "pieces-ranged")
+    ranged = common.keep(common.store(made.repartitionByRange("length", tie).sortWithinPartitions("length", tie, "id_text", "piece", "ids_crc32").mapInPandas(number, f"{PIECES}, part int, place long"), "pieces-ranged"))
     counts = {r["length"]: r["n"] for r in ranged.groupBy("length").agg(F.count("*").alias("n")).collect()}
     parts = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
@@ -238,5 +239,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                 "sequence_id": sequence[k] + i // each[k], "offset": offset[k] + i % each[k] * b["length"].to_numpy(np.int64),
             })
 
-    common.discard(made)
     return ranged.mapInPandas(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -187,13 +187,15 @@ def _links(vectors: DataFrame, cosine: float, pivots: int | None, block: int) ->
     return dealt.mapInPandas(work, NONE)
 
 
+@common.scratch()
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, pivots: int | None = None) -> DataFrame:
     """embeddings (vec_id, embedding, ...) -> vec_id, n_links, component_id, kept.
 
     Equal vectors form a class and are compared once; each counts as a link of the others.
     Vectors that are null, zero, empty, or hold null or non-finite components link with
     nothing, and vectors of different lengths not with each other. component_id is the smallest vec_id
-    reachable, nulls last; rows that repeat a vec_id are vectors of their own."""
+    reachable, nulls last; rows that repeat a vec_id are vectors of their own. Columns other than
+    vec_id and embedding are not read; an empty table gives no rows."""
     good = common.store(usable(vectors), "vectors")
     classes = good.groupBy("v").agg(F.count("*").alias("times"), F.min("vec_id").alias("first"))
     classes = common.store(classes.select(F.monotonically_increasing_id().alias("cls"), "v", "times", "first"), "vector-classes")
@@ -209,7 +211,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, pivots: int | None =
     v = F.col("embedding").cast("array<double>")
     fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     none = vectors.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return some.unionAll(none)
+    return common.keep(common.store(some.unionAll(none), "vector-result"))
 
 
 ORACLE = """

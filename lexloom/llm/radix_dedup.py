@@ -29,6 +29,7 @@ def normalised(text="text"):
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+@common.scratch()
 def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -40,56 +41,56 @@ def duplicate_groups(docs: DataFrame, first_block: int = 64, growth: int = 4) ->
     """
     rows = common.store(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", normalised().alias("text")), "radix-input")
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
-    return grouped(rows, [F.col("doc_id"), sha], first_block, growth).drop("row")
+    return common.keep(common.store(grouped(rows, [F.col("doc_id"), sha], first_block, growth).drop("row"), "radix-groups"))
 
 
 def grouped(rows: DataFrame, keep: list[Column], first_block: int = 64, growth: int = 4) -> DataFrame:
     """rows (row, doc_id, text) of a stored table, with unique row numbers and normalised
     texts -> row, what is to be kept, keep_id, group_size, kept.
 
-    The first round shuffles only the first block of each text. Texts of the rows that are
-    then still in play are read again, by a broadcast of the row numbers if they are few."""
-    raw, width = F.col("text").cast("binary"), first_block
+    A round shuffles one block of each text that is in play, never what comes after it. After
+    the first one the texts still in play, whole, are a table of their own (``radix-open``), which
+    later rounds read in place: row numbers come to it by a broadcast if they are few."""
+    raw, width, done_bytes = F.col("text").cast("binary"), first_block, 0
     first = rows.select("row", F.col("doc_id").alias("of"), "text", *keep)
-    keep_ = first.columns[3:]
-    names = ["row", "of", *keep_]
+    names = ["row", "of", *first.columns[3:]]
     now = first.select(*names, F.lit(0).cast("long").alias("node"), F.substring(raw, 1, width).alias("block"), (F.length(raw) <= width).alias("last"))
+    texts = None
     done: list[DataFrame] = []
     while True:
         nodes = now.groupBy("node", "block", "last").agg(F.count("*").alias("n"), F.max("of").alias("keep_id"))
         nodes = common.store(nodes.withColumn("child", F.monotonically_increasing_id()), "radix-nodes")
         open_ = ~F.col("last") & (F.col("n") > 1)
-        rest = [F.when(open_, F.expr(f"substring(rest, {width + 1})")).alias("rest")] if done else []
-        sent = now.join(nodes, ["node", "block", "last"]).select(*names, "n", "keep_id", F.col("child").alias("node"), open_.alias("open"), *rest)
+        sent = now.join(nodes, ["node", "block", "last"]).select(*names, "n", "keep_id", F.col("child").alias("node"), open_.alias("open"))
         sent = common.store(sent, "radix-rows")
         common.discard(nodes)
         done.append(sent.where("not open").select(F.lit(len(done)).alias("round"), *names, "n", "keep_id", "node"))
-        going = sent.where("open").select(*(names if rest else ["row"]), "node", *(["rest"] if rest else []))
+        going = sent.where("open").select("row", "node")
         if going.isEmpty():
             break
-        if not rest:
-            going = common.few(going).join(rows, "row").select("row", F.col("doc_id").alias("of"), *keep, "node", F.expr(f"substring(cast(text as binary), {width + 1})").alias("rest"))
-        width *= growth
-        now = going.select(*names, "node", F.substring("rest", 1, width).alias("block"), (F.length("rest") <= width).alias("last"), "rest")
-        if not rest:
-            now = common.store(now, "radix-open")
+        if texts is None:
+            texts = common.store(common.few(sent.where("open").select("row")).join(first, "row").select(*names, raw.alias("raw")), "radix-open")
+        done_bytes, width = done_bytes + width, width * growth
+        block = F.substring("raw", done_bytes + 1, width).alias("block")
+        now = common.few(going).join(texts, "row").select(*names, "node", block, (F.length("raw") <= done_bytes + width).alias("last"))
     ended = functools.reduce(DataFrame.unionAll, done)
     several = ended.where("n > 1")
     keepers = several.where("of <=> keep_id").groupBy("round", "node").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
     judged = several.join(keepers, "row", "left").withColumn("kept", F.coalesce("first", F.lit(False)))
-    out = ["row", *keep_, "keep_id", F.col("n").alias("group_size"), "kept"]
+    out = ["row", *names[2:], "keep_id", F.col("n").alias("group_size"), "kept"]
     return judged.select(*out).unionAll(ended.where("n = 1").withColumn("kept", F.lit(True)).select(*out))
 
 
+@common.scratch()
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """Of each group of equal texts (null: empty) the row that ``duplicate_groups`` keeps,
     with all columns, whatever their names. Rows are numbered and stored first, so that rows which
     repeat a doc_id are told apart. Only the numbers of the rows that go, not texts, are
     joined with the table. An empty table stays empty."""
     row = common.free_name(docs, "row")
-    numbered = common.store(docs.withColumn(row, F.monotonically_increasing_id()), "radix-input")
+    numbered = common.keep(common.store(docs.withColumn(row, F.monotonically_increasing_id()), "radix-input"))
     found = grouped(numbered.select(F.col(row).alias("row"), "doc_id", normalised().alias("text")), [])
-    gone = common.store(found.where("not kept").select(F.col("row").alias(row)), "radix-gone")
+    gone = common.keep(common.store(found.where("not kept").select(F.col("row").alias(row)), "radix-gone"))
     return numbered.join(common.few(gone), row, "left_anti").drop(row)
 
 

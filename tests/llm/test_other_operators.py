@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import os
+import random
 import re
 import shutil
 import subprocess
@@ -12,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import common, link_trust, pivot_join, queries
+from lexloom.llm import common, link_trust, pivot_join, queries, secret_ownership
+from lexloom.sources import shared
 
 from ..conftest import rows_of
 
@@ -137,6 +139,99 @@ def test_distrust_goes_against_links_and_trust_along_them(spark):
     assert got["farm.org"][1] > 0 and got["far.org"][1] > 0 and got["fine.org"][0] > 0 and got["alone.org"] == (0, 0)
 
 
+def ends(out, seeds, damping=0.85):
+    """For each host the chances that its own walk ends on blocked and on allowed pages, by
+    following all walks from that host alone: an independent form of what the query computes."""
+    got = {}
+    for side, along in ((1, out), (0, {a: [x for x in out for b in out[x] if b == a] for a in out})):
+        for host in out:
+            mass, ended = {host: 1.0}, 0.0
+            for _ in range(400):
+                after = {}
+                for a, m in mass.items():
+                    ended += m * seeds[a][side]
+                    left = m * (1 - seeds[a][0] - seeds[a][1]) * damping
+                    for b in along[a]:
+                        after[b] = after.get(b, 0.0) + left / len(along[a])
+                mass = after
+            got.setdefault(host, {})[side] = ended
+    return got
+
+
+def rank(out, seeds, side, damping=0.85):
+    """Personalised PageRank from the seeds, by repeated multiplication."""
+    into = {a: [x for x in out for b in out[x] if b == a] for a in out}
+    to, back = (out, into) if side == 0 else (into, out)
+    p = {a: 0.0 for a in out}
+    for _ in range(400):
+        p = {a: (1 - damping) * seeds[a][side] + damping * sum(p[b] / len(to[b]) for b in back[a]) for a in out}
+    return p
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdicts_over_links_by_following_every_walk(spark, seed):
+    rng = random.Random(seed)
+    hosts = [f"h{i}.org" for i in range(14)] + ["good.com", "fine.com", "bad.net", "worse.net", "mixed.net"]
+    pages = []
+    for h in hosts:
+        for i in range(rng.randrange(1, 4)):
+            path = "/es/" if h in ("bad.net", "worse.net") or h == "mixed.net" and i else "/x/"
+            to = [rng.choice(hosts + ["bad.net", "worse.net"] * 4) for _ in range(rng.randrange(4))]
+            pages.append((len(pages), f"http://{h}{path}{i}", "".join(f'<a href="http://{t}/">' for t in to), h, to))
+    out = {h: [t for p in pages if p[3] == h for t in p[4] if t != h] for h in hosts}
+    fit = lambda p: "allow" if p[3].endswith(".com") else "block" if "/es/" in p[1] else None
+    share = lambda h, v: sum(fit(p) == v for p in pages if p[3] == h) / sum(p[3] == h for p in pages)
+    seeds = {h: (share(h, "allow"), share(h, "block")) for h in hosts}
+    walk, trust, distrust = ends(out, seeds), rank(out, seeds, 0), rank(out, seeds, 1)
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    shares = {r["host"]: (r["trust"], r["distrust"]) for r in link_trust.propagate(link_trust.host_edges(df), spark.createDataFrame([(h, *s) for h, s in seeds.items()], "host string, trust double, distrust double"), rounds=120, mean=True).collect()}
+    assert all(abs(shares[h][0] - walk[h][0]) < 1e-6 and abs(shares[h][1] - walk[h][1]) < 1e-6 for h in hosts)
+    got = {r["page_id"]: r["verdict"] for r in link_trust.judge(df).collect()}
+    for p in pages:
+        said = "block" if walk[p[3]][1] - walk[p[3]][0] > 0.5 and distrust[p[3]] > trust[p[3]] else "allow"
+        assert got[p[0]] == (fit(p) or said), p
+    assert any(got[p[0]] == "block" and not fit(p) for p in pages)
+
+
+def test_secrets_by_counting_owners_by_hand(spark):
+    """Patterns and counts written out here, not taken from the module."""
+    rng = random.Random(1)
+    values = ["".join(rng.choice("GhJkLmNpQrStUvWxYz") + str(rng.randrange(10)) for _ in range(11)) for _ in range(8)] + [f"{rng.getrandbits(100):025x}" for _ in range(3)]
+    forms = [
+        ("assign", "api_key = '{v}'", r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), ("url", "see https://me:{v}@host.org/x", r"://[^\s/:@'\"<>]*:([^\s/@'\"<>]+)@"),
+        ("bearer", "Authorization: Bearer {v}", r"Bearer ([A-Za-z0-9]+)"), ("named", 'my_credentials: "{v}!x"', r'my_credentials: "([^"]+)"'), ("pem", "-----BEGIN PRIVATE KEY-----\n{v}\n{v}\n-----END PRIVATE KEY-----", r"KEY-----(\s[^-]+)-----END"), ("token", "see {v} there", r"see (\S+) there"),
+    ]
+    docs = []
+    for i in range(160):
+        kind, form, pattern = rng.choice(forms)
+        docs.append((i, f"é {form.replace('{v}', rng.choice(values))} .", f"own{rng.choice([0, 0, 0, 1, 2, 3, i])}/r{rng.randrange(3)}", kind, pattern))
+    found = {}
+    for i, text, source, kind, pattern in docs:
+        m = re.search(pattern, text)
+        value = "".join(m[1].split()) if kind == "pem" else m[1]
+        hexes = [(h.start(), h.end(), h[0]) for h in re.finditer("[0-9a-f]{16,}", text)]
+        base = [("assign", m.start(), m.end(), value, m.start(1))] if kind == "assign" else []
+        base += [("hex", s, e, v, s) for s, e, v in hexes]
+        free = not any(s < m.end(1) and m.start(1) < e for _, s, e, _, _ in base)
+        found[i] = (base, [(kind, m.start(1), m.end(1), value)] if kind != "assign" and free else [])
+    owners = {}
+    for i, _, source, _, _ in docs:
+        for x in (*found[i][0], *found[i][1]):
+            owners.setdefault(x[3], {}).setdefault(source.split("/")[0], set()).add(source)
+    live = {v for v, who in owners.items() if len(who) <= 2 and sum(map(len, who.values())) <= 100 * len(who)}
+    order = {k: n for n, k in enumerate(("assign", "access", "hex", "token", "url", "bearer", "pem", "named", "live"))}
+    frame = spark.createDataFrame([d[:3] for d in docs], "doc_id long, text string, source string")
+    seen = set()
+    for r in secret_ownership.scan(frame).collect():
+        base, more = found[r["doc_id"]]
+        spans = {(s, order[k], e) for k, s, e, *_ in base} | {(at, order["live"], e) for _, _, e, v, at in base if v in live} | {(s, order[k], e) for k, s, e, v in more if v in live}
+        names = list(order)
+        assert r["spans"] == ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans)), docs[r["doc_id"]]
+        assert r["n_live"] == sum(x[3] in live for x in (*base, *more)) and r["n_example"] == sum(x[3] not in live for x in (*base, *more))
+        seen |= {names[k] for _, k, _ in spans}
+    assert {"assign", "live", "hex", "url", "bearer", "named", "pem", "token"} <= seen
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(name, spark, sf_dir, duck):
     assert rows_of(queries.QUERIES[name](spark, sf_dir).toPandas()) == rows_of(duck.execute(queries.ORACLES[name]).df())
@@ -187,20 +282,56 @@ def test_stages_take_nulls_repeats_clashing_names_and_empty_tables(spark, sf_dir
         assert work(spark, docs.limit(0), sf_dir).count() == 0, name
 
 
-def test_only_the_last_stage_leaves_tables(spark, sf_dir):
+def left_behind(spark, before=frozenset()):
+    root = Path(shared.run_dir(spark).removeprefix("file://"))
+    return set(root.iterdir()) - before
+
+
+def stems(paths):
+    return {x.name.rsplit("-", 1)[0] for x in paths}
+
+
+def test_only_the_result_of_the_pipeline_is_left(spark, sf_dir):
     import corpus_pipeline as p
 
-    root = Path(common.shared_dir(spark).removeprefix("file://")) / "lexloom"
-    common.discard(*p._STORED)
-    p._STORED.clear()
-    before = set(root.iterdir()) if root.exists() else set()
+    before = left_behind(spark)
     assert p.run(spark, sf_dir).count()
-    left = {x.name.rsplit("-", 1)[0] for x in set(root.iterdir()) - before}
-    assert left <= {"secret-scans", "pieces-ranged"}, left
+    assert stems(left_behind(spark, before)) == {"best-fit-packing"}
+
+
+def test_a_stage_leaves_the_results_of_others_alone(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = queries.table(spark, sf_dir, "documents")
+    a = p.drop_copies(spark, docs, sf_dir)
+    b = p.drop_near_copies(spark, a, sf_dir)
+    c = p.mask_secrets(spark, b, sf_dir)
+    assert a.count() >= b.count() == c.count() > 0
+
+
+def test_two_pipelines_in_one_driver(spark, sf_dir):
+    from concurrent.futures import ThreadPoolExecutor
+
+    import corpus_pipeline as p
+
+    one = sorted(map(tuple, p.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect()))
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda _: sorted(map(tuple, p.run(spark, sf_dir).select("doc_id", "piece", "ids_crc32").collect())), range(2)))
+    assert both == [one, one]
+
+
+@pytest.mark.parametrize("name, kept", [
+    ("op1_noisy_channel", set()), ("op4_radix_dedup", {"radix-groups"}), ("op5_minhash_dedup", {"minhash-result"}), ("op7_pivot_join", {"vector-result"}), ("op8_secret_ownership", {"secret-result"}),
+    ("op9_packing", {"pieces-ranged"}), ("op10_link_trust", {"hosts-blocked"}), ("op11_ball_tree", {"ball-clusters"}), ("op13_conversation_repair", {"turns-repaired"}),
+])
+def test_operators_leave_what_their_results_read(name, kept, spark, sf_dir):
+    before = left_behind(spark)
+    assert queries.QUERIES[name](spark, sf_dir).count()
+    assert stems(left_behind(spark, before)) == kept
 
 
 def test_larger_tables_than_few_are_joined_by_a_shuffle(spark, sf_dir, monkeypatch):
-    from lexloom.llm import minhash_dedup, radix_dedup, secret_ownership
+    from lexloom.llm import minhash_dedup, radix_dedup
 
     docs = queries.table(spark, sf_dir, "documents")
     both = []

@@ -497,6 +497,15 @@ def test_no_length_keeps_a_disguise():
     assert noisy_channel.viterbi("l.o.s.e.r." * 20_000, m.log_p) == "loser" * 20_000
 
 
+def test_no_separator_keeps_a_disguise():
+    m = insults()
+    for between in ("    ", "/", "—", "\u200b", "\n", " \t ", "_" * 9, " . . . ", "\u0336 "):
+        assert m.score(f"you are a {between.join('idiot')} and that") > 0.5, repr(between)
+    for text in ("ＩＤＩＯＴ", "id\u200bi\u00adot", "ıdıøt", "ⅰⅾⅰot", "ⓛⓞⓢⓔⓡ", "i̶d̶i̶o̶t̶", "łoser", "þathetic"):
+        assert m.score(text) > 0.5, text
+    assert m.score("a b c, d - e / f\ng h") < 0.5 and m.score("1 + 2 = 3, 4 | 5") < 0.5
+
+
 def test_no_gate_keeps_a_disguise():
     m = insults()
     for seen, meant in (("1d10t", "idiot"), ("l053r", "loser"), ("7r45h", "trash"), ("w0r7hl355", "worthless"), ("p47h371c", "pathetic"), ("!diot", "idiot"), ("|oser", "loser"), ("(|oser),", "loser"), ("((|own!", "clown"), ("!!(|own", "clown"), ("l053r!!", "loser"), ("of/!diot/her", "idiot"), ("m0r0n", "moron")):
