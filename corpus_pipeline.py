@@ -1,64 +1,48 @@
 """Cleaning and packing a corpus: toxicity, exact and near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what is left of docs with the columns of
-``documents``; the last returns the packed pieces. A stage's result is written and read
-again before the next stage is called, which first deletes the tables that stages before it
-have stored: only one stage's tables lie on disk at a time.
+``documents``; the last returns the packed pieces. What a stage's result reads is there until
+the driver ends; ``run`` deletes it as soon as the result is written.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import common, minhash_dedup, noisy_channel, packing, radix_dedup, secret_ownership
 from lexloom.llm.queries import table, tokenizer
 
-#: What stages have stored that their results, not yet written, may read.
-_STORED: list[DataFrame] = []
-
-
-def stage(work):
-    @functools.wraps(work)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.discard(*_STORED)
-        _STORED.clear()
-        with common.collecting(_STORED):
-            return work(spark, docs, sf_dir)
-
-    return run_stage
-
 
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 or more go."""
+    """Documents with a score of 0.5 or more go. Null and empty texts stay, as do rows that
+    repeat; other columns may have any name; an empty table stays empty."""
     model = noisy_channel.fit(docs, table(spark, sf_dir, "labels"))
     score = common.free_name(docs, "score")
     return noisy_channel.score(docs, model, score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
-@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts (null: empty) the one with the largest doc_id stays, null ids last; of
+    rows that repeat it any one. Other columns may have any name; an empty table stays empty."""
     return radix_dedup.drop_duplicates(docs).select(*docs.columns)
 
 
-@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the one with the smallest doc_id stays."""
+    """Of each group of near copies the one with the smallest doc_id stays, null ids last.
+    Null, empty and blank texts all stay. Other columns may have any name; an empty table stays empty."""
     return minhash_dedup.drop_near_duplicates(docs).select(*docs.columns)
 
 
-@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that look live are replaced; every document stays."""
+    """Secrets that look live are replaced; every document stays, null and empty texts as they
+    are. Other columns may have any name; an empty table stays empty."""
     return secret_ownership.redact(docs).select(*docs.columns)
 
 
-@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces and their places; null texts are empty, rows that repeat are packed each for
+    itself. An empty table gives no pieces."""
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
@@ -69,13 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; tables between stages go as soon as
-    the next one's is written."""
+    """The rows of the last stage over ``documents``; what a stage has stored goes as soon as
+    its result is written, and that as soon as the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    last = None
-    for name, work in STAGES[:-1]:
-        docs = common.store(work(spark, docs, sf_dir), name.replace(" ", "-"))
-        if last is not None:
-            common.discard(last)
-        last = docs
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.scratch():
+        for i, (name, work) in enumerate(STAGES):
+            with common.scratch():
+                after = common.keep(common.store(work(spark, docs, sf_dir), name.replace(" ", "-")))
+            if i:
+                common.discard(docs)
+            docs = after
+        return common.keep(docs)
