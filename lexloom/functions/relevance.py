@@ -25,11 +25,10 @@ def parameter_similarity(a, b) -> Column:
     shared words, up to 0.4 by letters."""
     x, y = (F.replace(F.lower(col(c)), F.lit("_"), F.lit(" ")) for c in (a, b))
     p, q = F.split(x, " "), F.split(y, " ")
-    word = part = F.lit(False)
-    for s, t in SYNONYMS:
-        s, t = s.replace("_", " "), t.replace("_", " ")
-        word = word | (F.array_contains(p, s) & F.array_contains(q, t)) | (F.array_contains(p, t) & F.array_contains(q, s))
-        part = part | (F.contains(x, F.lit(s)) & F.contains(y, F.lit(t))) | (F.contains(x, F.lit(t)) & F.contains(y, F.lit(s)))
+    # A table that is looked through, not a condition for each pair: those would be compiled one by one.
+    pairs = F.array(*(F.struct(F.lit(s.replace("_", " ")).alias("s"), F.lit(t.replace("_", " ")).alias("t")) for s, t in SYNONYMS))
+    word = F.exists(pairs, lambda m: (F.array_contains(p, m["s"]) & F.array_contains(q, m["t"])) | (F.array_contains(p, m["t"]) & F.array_contains(q, m["s"])))
+    part = F.exists(pairs, lambda m: (F.contains(x, m["s"]) & F.contains(y, m["t"])) | (F.contains(x, m["t"]) & F.contains(y, m["s"])))
     shared = F.size(F.array_intersect(p, q)) / F.greatest(F.size(F.array_distinct(p)), F.size(F.array_distinct(q)))
     letters = jaccard(F.filter(F.split(x, ""), lambda c: c != ""), F.filter(F.split(y, ""), lambda c: c != ""), 0.0, 0.0)
     return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.8).when(word, 0.8).when(part, 0.7).when(shared > 0, F.least(F.lit(0.6), shared)).otherwise(F.least(F.lit(0.4), letters))

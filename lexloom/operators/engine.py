@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ISSUE_SEVERITY, EngineConfig
 from ..functions import hashing, names, scores
 from ..sources import shared
-from . import generators, joins, matching, parse, routing, rules, validation
+from . import generators, joins, matching, parse, patterns, routing, rules, validation
 
 
 def opened(source: DataFrame | parse.Project) -> parse.Project:
@@ -108,18 +108,31 @@ def boosted(score: Column, boosts: Sequence[Boost] = (critical_mismatch,)) -> Co
     return out
 
 
-def enhance(findings: DataFrame, pairs: DataFrame, config: EngineConfig = EngineConfig(), treatment: float = 1.0, style: str = "google", registry: dict | None = None, boosts: Sequence[Boost] = ()) -> DataFrame:
+def enhance(findings: DataFrame, pairs: DataFrame, config: EngineConfig = EngineConfig(), treatment: float = 1.0, style: str = "google", registry: dict | None = None, boosts: Sequence[Boost] = (), corpus: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """Findings with suggestions and a score to rank by.
 
+    corpus: examples (as ``patterns.examples_for`` takes them). Of the best three for each
+    function with findings the generators use what they say; as_of: the time from which the
+    age of accepted ones counts, by default that of the newest.
+
     Functions in the control group of the experiment keep the rule's own suggestion; the
     others get a generated one, which is checked: what can't be pasted is not ready."""
+    if corpus is not None:
+        # Both are read several times: by the search, by the patterns and by the generators.
+        findings, corpus = shared.store(findings, "findings"), shared.store(corpus, "corpus")
+        asked = pairs.join(findings.select("function_id").distinct(), "function_id", "left_semi")
+        newest = F.lit(corpus.agg(F.max("timestamp")).first()[0] or 0.0) if as_of is None else as_of
+        found = shared.store(patterns.hints(asked, shared.store(patterns.examples_for(asked, corpus, newest), "examples-found")), "hints")
+        pairs = pairs.join(found, "function_id", "left")
+    used = pairs.select("function_id", "examples_used") if corpus is not None else None
     made = generators.generate(findings, pairs, style, registry=registry)
+    made = made.withColumn("examples_used", F.lit(0)) if used is None else made.join(used, "function_id", "left").withColumn("examples_used", F.when(F.col("rag_enhanced"), F.coalesce("examples_used", F.lit(0))).otherwise(0))
     group = hashing.ab_group("function_id", treatment)
     treated = F.col("ab_group") == "treatment"
     x = made.withColumn("ab_group", group)
     x = x.withColumn("problems", F.when(F.col("ready"), validation.problems("suggested_text", style)).otherwise(F.array().cast("array<string>")))
     ready = treated & F.col("ready") & (F.size("problems") == 0)
-    x = x.select(*findings.columns, "ab_group", F.when(treated, F.col("suggested_text")).otherwise(F.col("suggestion")).alias("suggested_text"), F.when(treated, F.col("kind")).otherwise("rule").alias("kind"), F.col("suggested_confidence"), ready.alias("is_ready"), "problems", "error", "diff")
+    x = x.select(*findings.columns, "ab_group", F.when(treated, F.col("suggested_text")).otherwise(F.col("suggestion")).alias("suggested_text"), F.when(treated, F.col("kind")).otherwise("rule").alias("kind"), F.col("suggested_confidence"), ready.alias("is_ready"), "problems", "error", "diff", "rag_enhanced", "examples_used")
     action = scores.actionability(F.col("is_ready"), "suggested_confidence", "suggested_text")
     return x.withColumn("score", boosted(scores.rank_score("severity", "confidence", "issue_type", action, config.strategy), boosts))
 

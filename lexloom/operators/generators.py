@@ -7,15 +7,17 @@ Arrow pass over the findings; what a function's own row already holds is not par
 
 from __future__ import annotations
 
+import ast
 import difflib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import docstrings, parse, suggestions
+from .patterns import HINT
 
 
 @dataclass
@@ -30,6 +32,16 @@ class Case:
     is_async: bool
     doc: dict
     source: str
+    #: What similar examples say: (slot, subject) -> texts, the best first.
+    hints: dict = field(default_factory=dict)
+    #: Slots that were asked for and had something to say.
+    used: set = field(default_factory=set)
+
+    def hint(self, slot: str, subject: str = "") -> str | None:
+        texts = self.hints.get((slot, subject))
+        if texts:
+            self.used.add(slot)
+        return texts[0] if texts else None
 
     @property
     def own(self) -> list[dict]:
@@ -48,17 +60,19 @@ def bare(name: str) -> str:
     return name.strip("*/")
 
 
-def entry(p: dict, before: dict | None = None) -> dict:
-    """A documented parameter for one of the signature; a description that says something stays."""
+def entry(c: Case, p: dict, before: dict | None = None) -> dict:
+    """A documented parameter for one of the signature; a description that says something stays,
+    else examples that describe such a parameter decide, else its name and type."""
     keep = before is not None and not docstrings.generic(before["description"])
-    return {"name": p["name"].rstrip("/"), "type_str": p["type_annotation"], "description": before["description"] if keep else suggestions.placeholder(p["name"], p["type_annotation"]), "is_optional": not p["is_required"], "default_value": p["default_value"]}
+    text = before["description"] if keep else c.hint("parameter", bare(p["name"])) or suggestions.placeholder(p["name"], p["type_annotation"])
+    return {"name": p["name"].rstrip("/"), "type_str": p["type_annotation"], "description": text, "is_optional": not p["is_required"], "default_value": p["default_value"]}
 
 
 def add_missing(c: Case) -> dict | None:
     """Undocumented parameters join the documented ones, in signature order."""
     told = {bare(p["name"]): p for p in c.told}
     order = {bare(p["name"]): i for i, p in enumerate(c.own)}
-    new = c.told + [entry(p) for p in c.own if bare(p["name"]) not in told]
+    new = c.told + [entry(c, p) for p in c.own if bare(p["name"]) not in told]
     return c.doc | {"parameters": sorted(new, key=lambda p: order.get(bare(p["name"]), len(order)))}
 
 
@@ -74,7 +88,7 @@ def rename(c: Case) -> dict | None:
         if bare(p["name"]) != c.subject:
             new.append(p)
         elif best is not None:
-            new.append(entry(free[best], p))
+            new.append(entry(c, free[best], p))
     return c.doc | {"parameters": new} if len(new) < len(c.told) or best is not None else None
 
 
@@ -102,7 +116,7 @@ def reorder(c: Case) -> dict | None:
 
 def sync_all(c: Case) -> dict | None:
     told = {bare(p["name"]): p for p in c.told}
-    return c.doc | {"parameters": [entry(p, told.get(bare(p["name"]))) for p in c.own]}
+    return c.doc | {"parameters": [entry(c, p, told.get(bare(p["name"]))) for p in c.own]}
 
 
 def inferred_return(c: Case) -> str | None:
@@ -126,13 +140,16 @@ def add_returns(c: Case) -> dict | None:
         return None
     old = c.doc["returns"] or {}
     words = {"bool": "True if it holds, False otherwise.", "Iterator": "The items, one after the other.", "Generator": "The items, one after the other."}
-    return c.doc | {"returns": {"type_str": kind, "description": old.get("description") or words.get(kind.split("[")[0], "The result.")}}
+    return c.doc | {"returns": {"type_str": kind, "description": old.get("description") or c.hint("returns") or words.get(kind.split("[")[0], "The result.")}}
 
 
 def add_raises(c: Case) -> dict | None:
     told = {r["exception_type"] for r in c.doc["raises"]}
     conditions = {"ValueError": "If a value is not valid.", "TypeError": "If a type is not valid.", "KeyError": "If a key is missing.", "IndexError": "If an index is out of range."}
-    new = [{"exception_type": e["exception_type"], "description": conditions.get(e["exception_type"], e["description"])} for e in c.exceptions if e["confidence"] >= 0.8 and e["exception_type"] not in told]
+    own = raise_conditions(c.source)
+    here = lambda e: f"Raised if {own[e]}." if e in conditions and e in own else f"If {own[e]}." if e in own else None
+    said = lambda e: c.hint("raises", e) or " ".join(filter(None, [conditions.get(e), here(e)]))
+    new = [{"exception_type": e["exception_type"], "description": said(e["exception_type"]) or e["description"]} for e in c.exceptions if e["confidence"] >= 0.8 and e["exception_type"] not in told]
     return c.doc | {"raises": [*c.doc["raises"], *new]} if new else None
 
 
@@ -141,15 +158,17 @@ BEHAVIOUR = {"iteration": "Iterates over its input.", "recursion": "Calls itself
 
 
 def describe(c: Case) -> dict | None:
-    """The description tells the patterns of behaviour that it does not tell yet."""
+    """The description tells the patterns of behaviour that it does not tell yet, and what
+    examples say about functions of such a name."""
     old = c.doc["description"] or ""
     new = [text for p in parse.behaviour_of(c.source) if (text := BEHAVIOUR.get(p["pattern"])) and text not in old]
+    if c.hint("behaviour"):
+        new += [t for t in c.hints["behaviour", ""] if t not in old]
     return c.doc | {"description": "\n\n".join(filter(None, [old, " ".join(new)]))} if new else None
 
 
 def add_example(c: Case) -> dict | None:
-    call = suggestions.example_for(c.name, c.parameters)
-    return c.doc | {"examples": [call]}
+    return c.doc | {"examples": [c.hint("example") or suggestions.example_for(c.name, c.parameters)]}
 
 
 GENERATORS: dict[str, Generator] = {
@@ -159,22 +178,101 @@ GENERATORS: dict[str, Generator] = {
 }
 
 
-def special(c: Case) -> tuple[str, dict] | None:
-    """Special constructs are documented in their own way: a property as what it is, a class
-    method without cls, a magic method by its purpose, overloads in one place."""
+def raise_conditions(source: str) -> dict[str, str]:
+    """exception -> the condition of the ``if`` around its ``raise``, in words; the first counts."""
+    func = parse.function_in(source)
+    found: dict[str, str] = {}
+
+    def go(node: ast.AST, test: ast.expr | None) -> None:
+        for name, value in ast.iter_fields(node):
+            for child in value if isinstance(value, list) else [value]:
+                if not isinstance(child, ast.AST):
+                    continue
+                inner = test if not isinstance(node, ast.If) else node.test if name == "body" else None
+                if isinstance(child, ast.Raise) and inner is not None:
+                    e = child.exc.func if isinstance(child.exc, ast.Call) else child.exc
+                    if isinstance(e, ast.Name):
+                        found.setdefault(e.id, spoken(inner))
+                go(child, inner)
+
+    if func:
+        go(func, None)
+    return found
+
+
+# Comparisons in words.
+COMPARED = {ast.Lt: "is below", ast.LtE: "is at most", ast.Gt: "is above", ast.GtE: "is at least", ast.Eq: "is", ast.NotEq: "is not", ast.In: "is in", ast.NotIn: "is not in", ast.Is: "is", ast.IsNot: "is not"}
+
+
+def spoken(test: ast.expr) -> str:
+    """A condition in words, as far as it is a comparison or a negation."""
+    if isinstance(test, ast.BoolOp):
+        return (" and " if isinstance(test.op, ast.And) else " or ").join(map(spoken, test.values))
+    if isinstance(test, ast.Compare) and len(test.ops) == 1:
+        return f"{ast.unparse(test.left)} {COMPARED[type(test.ops[0])]} {ast.unparse(test.comparators[0])}"
+    if isinstance(test, ast.UnaryOp) and isinstance(test.op, ast.Not):
+        inner = test.operand
+        if isinstance(inner, ast.Compare) and len(inner.ops) == 1:
+            return f"not ({spoken(inner)})"
+        return f"{ast.unparse(inner)} is empty or false" if isinstance(inner, (ast.Name, ast.Attribute)) else f"not {ast.unparse(inner)}"
+    return f"{ast.unparse(test)} is set" if isinstance(test, (ast.Name, ast.Attribute)) else ast.unparse(test)
+
+
+# What magic methods do, in a summary.
+MAGIC = {"__init__": "Set the object up.", "__len__": "How many items there are.", "__str__": "The object as text.", "__repr__": "The object as code.", "__iter__": "Go over the items.", "__eq__": "Whether both are equal.", "__enter__": "Enter the context.", "__exit__": "Leave the context.", "__call__": "Call the object."}
+# What a construct adds to a description.
+CONSTRUCTS = {"property": "Read as an attribute.", "classmethod": "Called on the class.", "staticmethod": "Needs no object.", "contextmanager": "For use in a with statement.", "async": "Has to be awaited.", "generator": "Yields its items one by one.", "overload": "One of several signatures."}
+
+
+def construct(c: Case) -> str | None:
+    """What kind of special construct a function is, the most telling first."""
     has = lambda d: any(x.split("(")[0].split(".")[-1] == d for x in c.decorators)
-    if has("property"):
-        return "property", c.doc | {"parameters": [], "returns": add_returns(c)["returns"] if add_returns(c) else c.doc["returns"]}
-    if has("overload"):
-        return "overload", c.doc | {"parameters": [], "raises": [], "examples": []}
+    if has("property") or any(x.endswith((".setter", ".getter", ".deleter")) for x in c.decorators):
+        return "property"
+    for d in ("overload", "classmethod", "staticmethod"):
+        if has(d):
+            return d
+    if has("contextmanager") or has("asynccontextmanager"):
+        return "contextmanager"
     if c.name.startswith("__") and c.name.endswith("__"):
-        words = {"__init__": "Set the object up.", "__len__": "How many items there are.", "__str__": "The object as text.", "__repr__": "The object as code.", "__iter__": "Go over the items.", "__eq__": "Whether both are equal.", "__enter__": "Enter the context.", "__exit__": "Leave the context.", "__call__": "Call the object."}
-        return "magic", (add_missing(c) or c.doc) | {"summary": words.get(c.name, c.doc["summary"])}
+        return "magic"
     return None
 
 
+def special(c: Case, registry: dict[str, Generator]) -> tuple[str, dict] | None:
+    """Special constructs: the section that the finding is about is repaired as for any
+    function, in the construct's own way; all that the documentation says otherwise stays.
+
+    A property and an overload get no new parameters, and an example of a property reads it;
+    a description says what the construct is; a magic method without a summary gets one."""
+    kind = construct(c)
+    if kind is None:
+        return None
+    about_parameters = registry.get(c.issue_type) in (add_missing, rename, retype, redefault, reorder, sync_all)
+    if kind == "magic":
+        doc = c.doc if c.doc["summary"] else c.doc | {"summary": MAGIC.get(c.name, f"Implement {c.name}.")}
+        made = repaired(c, registry)
+        return "magic", (made or c.doc) | {"summary": MAGIC.get(c.name, doc["summary"]) if not c.doc["summary"] or c.name in MAGIC and made is None else doc["summary"]}
+    if kind == "property" and c.issue_type in ("missing_examples", "example_invalid", "example_outdated", "example_incomplete"):
+        return kind, c.doc | {"examples": [f">>> obj.{c.name}"]}
+    if kind in ("property", "overload") and about_parameters:
+        return kind, c.doc
+    if c.issue_type == "description_outdated":
+        old = c.doc["description"] or ""
+        said = (repaired(c, registry) or c.doc)["description"] or ""
+        words = CONSTRUCTS[kind]
+        return kind, c.doc | {"description": said if words in old else " ".join(filter(None, [said, words]))}
+    doc = repaired(c, registry)
+    return (kind, doc) if doc is not None and kind in ("property", "overload") else None
+
+
+def repaired(c: Case, registry: dict[str, Generator]) -> dict | None:
+    f = registry.get(c.issue_type)
+    return f(c) if f else None
+
+
 #: kind of generator -> confidence of what it makes.
-CONFIDENCE = {"rename": 0.85, "add_missing": 0.9, "sync_all": 0.8, "retype": 0.9, "reorder": 0.95, "redefault": 0.9, "add_returns": 0.85, "add_raises": 0.85, "describe": 0.6, "add_example": 0.7, "property": 0.8, "overload": 0.8, "magic": 0.8, "fallback": 0.3}
+CONFIDENCE = {"rename": 0.85, "add_missing": 0.9, "sync_all": 0.8, "retype": 0.9, "reorder": 0.95, "redefault": 0.9, "add_returns": 0.85, "add_raises": 0.85, "describe": 0.6, "add_example": 0.7, "property": 0.8, "overload": 0.8, "magic": 0.8, "classmethod": 0.8, "staticmethod": 0.8, "contextmanager": 0.8, "fallback": 0.3}
 
 
 def made(c: Case, registry: dict[str, Generator], style: str, width: int) -> tuple[str, str, float, bool, str | None]:
@@ -182,7 +280,7 @@ def made(c: Case, registry: dict[str, Generator], style: str, width: int) -> tup
     leaves a generic suggestion that is not ready to paste."""
     error = None
     try:
-        found = special(c)
+        found = special(c, registry)
         if found is None and c.issue_type in registry:
             f = registry[c.issue_type]
             doc = f(c)
@@ -195,7 +293,7 @@ def made(c: Case, registry: dict[str, Generator], style: str, width: int) -> tup
 
 
 EMPTY = {"format": "google", "summary": "", "description": None, "parameters": [], "returns": None, "raises": [], "examples": []}
-CASE = ("name", "parameters", "return_type", "exceptions", "decorators", "is_async", "doc", "source_code")
+CASE = ("name", "parameters", "return_type", "exceptions", "decorators", "is_async", "doc", "source_code", "hints")
 
 
 def _plain(x):
@@ -209,21 +307,27 @@ def _plain(x):
 
 def generate(findings: DataFrame, functions: DataFrame, style: str = "google", width: int = 88, registry: dict[str, Generator] | None = None) -> DataFrame:
     """findings (function_id, issue_type, subject, ...), functions (function columns, doc,
-    exceptions) -> the findings with suggested_text, kind, suggested_confidence, ready, error, diff."""
+    exceptions, perhaps hints) -> the findings with suggested_text, kind, suggested_confidence, ready, error, diff,
+    rag_enhanced: whether what examples say went into the text."""
     known = GENERATORS if registry is None else registry
+    if "hints" not in functions.columns:
+        functions = functions.withColumn("hints", F.array().cast(HINT))
 
-    @F.pandas_udf("suggested_text string, kind string, suggested_confidence double, ready boolean, error string, diff string")
-    def run(issue: pd.Series, subject: pd.Series, name: pd.Series, params: pd.Series, ret: pd.Series, exceptions: pd.Series, decorators: pd.Series, is_async: pd.Series, doc: pd.DataFrame, source: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("suggested_text string, kind string, suggested_confidence double, ready boolean, error string, diff string, rag_enhanced boolean")
+    def run(issue: pd.Series, subject: pd.Series, name: pd.Series, params: pd.Series, ret: pd.Series, exceptions: pd.Series, decorators: pd.Series, is_async: pd.Series, doc: pd.DataFrame, source: pd.Series, hints: pd.Series) -> pd.DataFrame:
         docs = doc.to_dict("records")
         rows = []
-        for i, s, n, p, r, e, d, a, o, src in zip(issue, subject, name, params, ret, exceptions, decorators, is_async, docs, source, strict=True):
+        for i, s, n, p, r, e, d, a, o, src, h in zip(issue, subject, name, params, ret, exceptions, decorators, is_async, docs, source, hints, strict=True):
             old = _plain(o) if o.get("summary") is not None else EMPTY
             old = EMPTY | {k: v for k, v in old.items() if v is not None and v == v}
-            case = Case(i, s, n, _plain(p), r, _plain(e), _plain(d), bool(a), old, src or "")
+            said: dict = {}
+            for x in _plain(h) if h is not None else ():
+                said.setdefault((x["slot"], x["subject"]), []).append(x["text"])
+            case = Case(i, s, n, _plain(p), r, _plain(e), _plain(d), bool(a), old, src or "", said)
             text, kind, confidence, ready, error = made(case, known, style, width)
             before = docstrings.render(old, style, width)
-            rows.append((text, kind, confidence, ready, error, "\n".join(difflib.unified_diff(before.split("\n"), text.split("\n"), "before", "after", lineterm="")) if ready else None))
-        return pd.DataFrame(rows, columns=["suggested_text", "kind", "suggested_confidence", "ready", "error", "diff"])
+            rows.append((text, kind, confidence, ready, error, "\n".join(difflib.unified_diff(before.split("\n"), text.split("\n"), "before", "after", lineterm="")) if ready else None, ready and bool(case.used)))
+        return pd.DataFrame(rows, columns=["suggested_text", "kind", "suggested_confidence", "ready", "error", "diff", "rag_enhanced"])
 
     x = findings.join(functions.select("function_id", F.struct(*CASE).alias("case")), "function_id")
     out = x.withColumn("suggested", run("issue_type", "subject", *(f"case.{c}" for c in CASE)))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RETRIEVAL_WEIGHT as W
 from ..functions import names, relevance, scores, types
 from ..functions._lift import arrow_function
-from . import joins, suggestions
+from ..sources import shared
+from . import index, joins, suggestions
 from .windows import top_per_key
 
 PARSED = "name string, parameters array<struct<name:string, type:string, default:string>>, return_type string"
@@ -46,8 +52,6 @@ def parse_signature(text: str | None) -> dict:
 
 @arrow_function(PARSED)
 def signature(text):
-    import pandas as pd
-
     return pd.DataFrame([parse_signature(t) for t in text], columns=["name", "parameters", "return_type"])
 
 
@@ -76,20 +80,19 @@ def _prepared(name: str, signature_: str) -> Column:
     return F.struct(names.features(name).alias("name"), params.alias("parameters"), typed(s["return_type"], True).alias("returns"))
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, least: float = 0.3) -> DataFrame:
-    """queries (query_id, name, signature, file_path), corpus (example_id, function_name,
-    function_signature, module_path, complexity_score, quality_score, source, timestamp)
-    -> query_id, example_id, similarity, rank.
-
-    Signatures, name tokens and types are worked out once on each side, before the pairs.
-    The stated queries meet the corpus in its own partitions; only the k best of each task and
-    query are shuffled."""
+def _query_side(queries: DataFrame) -> DataFrame:
     q = queries.withColumn("_s", signature("signature"))
-    q = q.select("query_id", "name", "file_path", _prepared("name", "_s").alias("q"), scores.complexity(F.size("_s.parameters"), ~F.exists("_s.parameters", lambda p: p["type"].isNull()), F.col("_s.return_type").isNotNull()).alias("q_complexity"))
-    q = _fixed(q)
+    return q.select("query_id", "name", "file_path", _prepared("name", "_s").alias("q"), scores.complexity(F.size("_s.parameters"), ~F.exists("_s.parameters", lambda p: p["type"].isNull()), F.col("_s.return_type").isNotNull()).alias("q_complexity"))
+
+
+def _corpus_side(corpus: DataFrame) -> DataFrame:
     c = corpus.withColumn("_s", signature("function_signature"))
-    c = _fixed(c.withColumn("c", _prepared("function_name", "_s")).drop("_s"))
-    ratio = suggestions.token_set_ratio("name", "function_name")
+    return c.withColumn("c", _prepared("function_name", "_s")).drop("_s")
+
+
+def _scored(pairs: DataFrame, as_of: Column) -> DataFrame:
+    """Pairs of both sides -> query_id, example_id, similarity."""
+    pairs = pairs.withColumn("ratio", suggestions.token_set_ratio("name", "function_name"))
     parts = {
         "name": names.similar(F.col("q.name"), F.col("c.name"), F.col("ratio")),
         "signature": _signature_similarity(F.col("q.parameters"), F.col("c.parameters")),
@@ -99,10 +102,71 @@ def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, l
         "recency": F.when(F.col("source") == "accepted", scores.recency(F.col("timestamp"), as_of)).otherwise(0.0),
         "quality": F.col("quality_score") / 5.0,
     }
-    pairs = joins.against_all(c, q, "query_id", "example_id").withColumn("ratio", ratio)
     total = sum((F.coalesce(v, F.lit(0.0)) * W[k_] for k_, v in parts.items()), F.lit(0.0)) * F.when(F.col("source") == "accepted", 1.2).otherwise(1.0)
-    good = pairs.select("query_id", "example_id", F.least(F.lit(1.0), total).alias("similarity")).where(F.col("similarity") >= least)
-    return top_per_key(good, ["query_id"], [F.desc("similarity"), F.col("example_id")], k, "rank")
+    return pairs.select("query_id", "example_id", F.least(F.lit(1.0), total).alias("similarity"))
+
+
+def _best(scored: DataFrame, k: int, least: float) -> DataFrame:
+    return top_per_key(scored.where(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.col("example_id")], k, "rank")
+
+
+def retrieve_by_all(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, least: float = 0.3) -> DataFrame:
+    """As ``retrieve``, by scoring every pair: for a stated set of queries.
+
+    Signatures, name tokens and types are worked out once on each side, before the pairs.
+    The queries meet the corpus in its own partitions; only the k best of each task and
+    query are shuffled."""
+    pairs = joins.against_all(_fixed(_corpus_side(corpus)), _fixed(_query_side(queries)), "query_id", "example_id")
+    return _best(_scored(pairs, as_of), k, least)
+
+
+def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, least: float = 0.3, part: int = 50_000) -> DataFrame:
+    """queries (query_id, name, signature, file_path), corpus (example_id, function_name,
+    function_signature, module_path, complexity_score, quality_score, source, timestamp)
+    -> query_id, example_id, similarity, rank: the k best examples of at least ``least``, exactly.
+
+    Few pairs are scored. An index of the examples (``index.Cells``) gives bounds of the score, cell by
+    cell and then example by example. First the examples with the highest bounds are scored; the k-th
+    score is what others have to reach; then those are scored whose bounds do. The index of
+    ``part`` examples is what a task holds; a larger corpus has several, which each query meets."""
+    spark = queries.sparkSession
+    q, c = shared.store(_query_side(queries), "queries"), shared.store(_corpus_side(corpus), "examples")
+    n = c.count()
+    parts = max(1, -(-n // part))
+    cells = []
+    for i in range(parts):
+        # At most about ``part`` examples, by hash, a few numbers and a name each.
+        own = c.where(F.pmod(F.xxhash64("example_id"), F.lit(parts)) == i).select("example_id", *index.example_columns(as_of)).toPandas()
+        cells.append(spark.sparkContext.broadcast(index.Cells(own)))
+    key = {f.name: f.dataType.simpleString() for f in [*q.schema, *c.schema]}
+
+    def reached(asked: DataFrame, most: int) -> DataFrame:
+        """asked with ``reach`` -> query_id, example_id of the pairs whose bounds reach it."""
+
+        def by(held):
+            def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    hits = [held.value.search(x, most, x.reach) for x in b.itertuples(index=False)]
+                    yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), [len(h) for h in hits]), "example_id": held.value.ids[np.concatenate(hits)] if hits else []})
+
+            return work
+
+        found = [asked.mapInPandas(by(held), f"query_id {key['query_id']}, example_id {key['example_id']}") for held in cells]
+        return functools.reduce(DataFrame.unionAll, found)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        few = F.broadcast(c) if n <= joins.FEW_QUERIES else c
+        return _scored(_fixed(pairs.join(q, "query_id")).join(few, "example_id"), as_of)
+
+    asked = q.select("query_id", *index.query_columns())
+    first = shared.store(scored(reached(asked.withColumn("reach", F.lit(float(least))), 2 * k)), "first-scored")
+    kth = top_per_key(first.where(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.col("example_id")], k, "rank").where(F.col("rank") == k)
+    reach = asked.join(kth.select("query_id", F.col("similarity").alias("kth")), "query_id", "left").withColumn("reach", F.coalesce("kth", F.lit(float(least)))).drop("kth")
+    # The cap of the score: all that reach it tie.
+    reach = reach.withColumn("reach", F.least("reach", F.lit(1.0)))
+    last = shared.store(scored(reached(reach, 0)), "last-scored")
+    shared.discard(first)
+    return _best(last, k, least)
 
 
 def _fixed(side: DataFrame) -> DataFrame:
@@ -119,9 +183,12 @@ def renamed_parameters(functions: DataFrame, least: float = 0.6) -> DataFrame:
     return top_per_key(x, ["function_id", "told_name"], [F.desc("ratio"), F.col("at")]).select("function_id", "told_name", "own_name", "ratio")
 
 
-def parameter_patterns(wanted: DataFrame, corpus_params: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+def parameter_patterns(wanted: DataFrame, corpus_params: DataFrame, k: int = 5, least: float = 0.3, on: Sequence[str] = ()) -> DataFrame:
     """wanted (query_id, name, type), corpus_params (example_id, p_name, p_type, description,
-    similarity) -> the k best descriptions: (0.6 name + 0.4 type) above least, times the example's similarity."""
+    similarity) -> the k best descriptions: (0.6 name + 0.4 type) above least, times the example's
+    similarity. on: columns that both have and must agree in, such as the function for which the
+    examples were found; without any every parameter of the corpus is compared."""
     s = 0.6 * relevance.parameter_similarity("name", "p_name") + 0.4 * types.family_similarity("type", "p_type")
-    x = joins.against_all(corpus_params, wanted, "query_id", "example_id").withColumn("s", s).where(F.col("s") > least).withColumn("score", F.col("s") * F.col("similarity"))
+    x = wanted.join(corpus_params, list(on)) if on else joins.against_all(corpus_params, wanted, "query_id", "example_id")
+    x = x.withColumn("s", s).where(F.col("s") > least).withColumn("score", F.col("s") * F.col("similarity"))
     return top_per_key(x, ["query_id"], [F.desc("score"), F.col("example_id"), F.col("p_name")], k, "rank").select("query_id", "example_id", "p_name", "description", "score", "rank")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import SEVERITY_WEIGHT
 from ..functions._lift import lookup
-from ..functions import relevance
-from ..operators import docstrings, matching, parse, retrieval, routing, rules, suggestions
-from ..sources import synthetic
+from ..functions import names, relevance
+from ..operators import docstrings, engine, matching, parse, retrieval, routing, rules, suggestions
+from ..sources import shared, synthetic
 from .register import query, table
 
 
@@ -154,3 +154,29 @@ def retrieve_examples(spark, sf_dir):
     )
     q = p.where("part % 100 = 0").withColumnRenamed("part", "query_id")
     return retrieval.retrieve(q, corpus, F.lit(1.7e9)).select("query_id", "example_id", F.round("similarity", 9).alias("similarity"), "rank")
+
+
+@query("""with f as (select p_partkey as part, p_partkey % 8 as k from part), w(k, issue_type, subject, told, plain) as (values
+ (1, 'parameter_missing', 'size', 'size (int): How large.', 'size (int): The size.'), (2, 'missing_params', 'label', 'label (str, optional): What it says.', 'label (str, optional): The label.'),
+ (4, 'missing_returns', null, 'int: The number.', 'int: The result.'), (5, 'missing_raises', 'ValueError', 'ValueError: If it is negative.', 'ValueError: If a value is not valid. Raised if size is below 0.'))
+select distinct part, issue_type, subject, true as told_with, true as plain_without, 3 as examples_used, true as rag_enhanced from f join w using (k)""")
+def suggested_with_examples(spark, sf_dir):
+    """Suggestions fed by the three best examples of a corpus of faultless functions: what these say
+    about a parameter, the return value or an exception stands in the text, where without a
+    corpus name, type and code decide."""
+    p = engine.opened(synthetic.source_files(table(spark, sf_dir, "part"))).functions
+    found = shared.store(engine.analyse(p), "findings")
+    good = p.where("doc is not null").join(found.select("function_id"), "function_id", "left_anti")
+    corpus = good.select(
+        F.col("function_id").alias("example_id"), F.col("name").alias("function_name"), matching.signature_text().alias("function_signature"), names.module_of(F.col("file_path")).alias("module_path"),
+        F.lit(3).alias("complexity_score"), F.lit(5).alias("quality_score"), F.lit("curated").alias("source"), F.lit(0.0).alias("timestamp"), F.col("raw_doc").alias("docstring_content"),
+    )
+    wanted = {"parameter_missing": ("size (int): How large.", "size (int): The size."), "missing_params": ("label (str, optional): What it says.", "label (str, optional): The label."), "missing_returns": ("int: The number.", "int: The result."), "missing_raises": ("ValueError: If it is negative.", "ValueError: If a value is not valid. Raised if size is below 0.")}
+    part = F.regexp_extract("function_id", r"(\d+)$", 1).cast("long")
+    asked = found.where(((part % 8 == 1) & (F.col("issue_type") == "parameter_missing")) | ((part % 8 == 2) & (F.col("issue_type") == "missing_params")) | (part % 8).isin(4, 5) & F.col("issue_type").isin("missing_returns", "missing_raises"))
+    keep = ["function_id", "issue_type", "subject"]
+    with_ = engine.enhance(asked, p, corpus=corpus).select(*keep, F.col("suggested_text").alias("rich"), "examples_used", "rag_enhanced").distinct()
+    without = engine.enhance(asked, p).select(*keep, F.col("suggested_text").alias("plain")).distinct()
+    told = lambda i: lookup(F.col("issue_type"), {k: v[i] for k, v in wanted.items()})
+    x = with_.join(without, ["function_id", "issue_type"]).select(part.alias("part"), "issue_type", with_["subject"], F.contains("rich", told(0)).alias("told_with"), F.contains("plain", told(1)).alias("plain_without"), "examples_used", "rag_enhanced")
+    return x.distinct()
