@@ -96,13 +96,52 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, least: float | None = Non
     precision, ties by id; half: the similarity (1 + cosine) / 2.
 
     ``queries`` is the stated query set. It meets the corpus in blocks: each task keeps the
-    k best of every query before anything is shuffled. Vectors are normalised once."""
+    k best of every query before anything is shuffled. For all rows as queries see ``nearest.knn_join``."""
+    pairs = cosine_pairs(queries, corpus, half)
+    good = pairs.where(F.col("similarity").isNotNull() if least is None else F.col("similarity") >= least)
+    return top_per_key(good, ["q_id"], [F.desc("similarity"), F.col("id")], k, "rank")
+
+
+def cosine_pairs(queries: DataFrame, corpus: DataFrame, half: bool = False) -> DataFrame:
+    """(q_id, q_vec) of a stated set, (id, vec) -> q_id, id, similarity of all pairs but those of
+    the same id, null for zero vectors. Vectors are normalised once."""
     unit = lambda v: F.transform(v, lambda x: x.cast("double"))
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     q = queries.select("q_id", unit(F.col("q_vec")).alias("q")).withColumn("qn", norm(F.col("q")))
     c = corpus.select("id", unit(F.col("vec")).alias("v")).withColumn("vn", norm(F.col("v")))
     dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     cosine = dot / F.nullif(F.col("qn") * F.col("vn"), F.lit(0.0))
-    pairs = against_all(c, q, "q_id", "id").where(F.col("q_id") != F.col("id")).select("q_id", "id", ((1 + cosine) / 2 if half else cosine).alias("similarity"))
-    good = pairs.where(F.col("similarity").isNotNull() if least is None else F.col("similarity") >= least)
-    return top_per_key(good, ["q_id"], [F.desc("similarity"), F.col("id")], k, "rank")
+    return against_all(c, q, "q_id", "id").where(F.col("q_id") != F.col("id")).select("q_id", "id", ((1 + cosine) / 2 if half else cosine).alias("similarity"))
+
+
+def word_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], text: str = "description", above: float = 0.6) -> DataFrame:
+    """a, b (id, keys, text) -> a_id, b_id, overlap: pairs with equal keys whose words in common
+    are more than ``above`` of the larger set of words. Words are lower-cased and split at white space;
+    texts without words pair with nothing.
+
+    Words are put in the order of how few texts have them. A pair that overlaps so far shares one of the
+    first words of either: of n words the first n - m + 1, where m are the fewest that may be
+    shared. So only texts that share a rare word, within their keys, are compared; ids are unique on each side."""
+    def words(side: DataFrame, name: str) -> DataFrame:
+        split = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != ""))
+        return side.select(F.lit(name).alias("_side"), F.col("id").alias("_id"), *keys, F.explode(split).alias("_word"))
+
+    both = words(a, "a").unionByName(words(b, "b"))
+    uses = both.groupBy("_word").agg(F.count("*").alias("_uses"))
+    sets = both.join(uses, "_word").groupBy("_side", "_id", *keys).agg(F.sort_array(F.collect_list(F.struct("_uses", "_word"))).alias("_words"))
+    sets = sets.withColumn("_words", F.transform("_words", lambda w: w["_word"])).withColumn("_n", F.size("_words"))
+    fewest = F.floor(F.col("_n") * above + 1e-9).cast("int") + 1
+    first = sets.withColumn("_word", F.explode(F.slice("_words", F.lit(1), F.col("_n") - fewest + 1)))
+    side = lambda n, x: first.where(F.col("_side") == n).select(*keys, "_word", F.col("_id").alias(f"{x}_id"), F.col("_words").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"))
+    met = side("a", "a").join(side("b", "b"), [*keys, "_word"]).where(F.least("_na", "_nb") > above * F.greatest("_na", "_nb"))
+    # A pair is compared where it meets first: at the rarest word of both beginnings.
+    shared = F.array_intersect("_a", "_b")
+    exact = met.withColumn("_shared", shared).where(F.col("_shared")[0] == F.col("_word")).withColumn("overlap", F.size("_shared") / F.greatest("_na", "_nb"))
+    return exact.where(F.col("overlap") > above).select("a_id", "b_id", "overlap")
+
+
+def merged_pairs(rules: DataFrame, model: DataFrame, reach: int = 3, above: float = 0.6) -> DataFrame:
+    """rules, model (id, function_id, issue_type, line_number, description) -> a_id, b_id: findings of one
+    function that are about the same thing: of one type with lines within ``reach``, or with enough words in common."""
+    near = near_pairs(rules, model, ["function_id", "issue_type"], "line_number", reach).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return near.unionByName(word_pairs(rules, model, ["function_id"], "description", above).select("a_id", "b_id")).distinct()

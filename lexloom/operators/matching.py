@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, scores
-from . import docstrings, joins, parse, rules
+from . import docstrings, joins, nearest, parse, rules
 from .windows import top_per_key
 
 
@@ -88,9 +88,9 @@ def contextual(functions: DataFrame, earlier: DataFrame, imports: DataFrame, mod
 
 def semantic(left: DataFrame, vectors: DataFrame, least: float = 0.65, k: int = 10) -> DataFrame:
     """(function_id, name, module) without a match, vectors (function_id, name, module, vec):
-    the best adjusted neighbour of the k nearest."""
+    the best adjusted neighbour of the k nearest, found exactly for all of them."""
     q = left.join(vectors.select("function_id", "vec"), "function_id").select(F.col("function_id").alias("q_id"), F.col("vec").alias("q_vec"))
-    near = joins.knn(q, vectors.select(F.col("function_id").alias("id"), "vec"), k)
+    near = nearest.knn_join(q, vectors.select(F.col("function_id").alias("id"), "vec"), k)
     a = left.select(F.col("function_id").alias("q_id"), F.col("name").alias("q_name"), F.col("module").alias("q_module"))
     b = vectors.select(F.col("function_id").alias("id"), "name", "module")
     x = near.join(a, "q_id").join(b, "id")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, names, scores, stats
-from ..operators import aggregates, joins, windows
+from ..operators import aggregates, joins, matching, nearest, windows
 from ..sources import stores
 from .register import query, table
 
@@ -241,7 +241,7 @@ def knn_topk(spark, sf_dir):
 t as (select *, row_number() over (partition by q_id order by s desc, id) as rank from h) select q_id, id, round(s, 9) as similarity, case when s >= 0.85 then 0.9 when s >= 0.75 then 0.75 when s >= 0.65 then 0.65 else 0.5 end as confidence from t where rank = 1 and s >= 0.65""")
 def knn_adjusted(spark, sf_dir):
     q, c = _queries(spark, sf_dir)
-    every = joins.knn(q, c, 2**31 - 1, half=True)
+    every = joins.cosine_pairs(q, c, half=True).where("similarity is not null")
     adjusted = scores.semantic_adjusted(F.col("similarity"), F.col("id") % 10 == F.col("q_id") % 10, F.when(F.abs(F.col("id") - F.col("q_id")) > 400, 0.0).otherwise(1.0), F.lit(0))
     best = windows.top_per_key(every.select("q_id", "id", adjusted.alias("similarity")), ["q_id"], [F.desc("similarity"), F.col("id")])
     return best.where("similarity >= 0.65").select("q_id", "id", F.round("similarity", 9).alias("similarity"), scores.confidence_band("similarity").alias("confidence"))
@@ -328,3 +328,35 @@ def acceptance_model(spark, sf_dir):
     return s.select("s_suppkey", F.when(F.col("s_acctbal") < 0, 0.0).otherwise(scores.acceptance_probability(F.lit(0.25), F.col("q"))).alias("p"))
 
 
+_EVERY = "p as (select a.vec_id as q_id, b.vec_id as id, a.label as q_label, b.label as label, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id), n as (select *, row_number() over (partition by q_id order by s desc, id) as rank from p qualify rank <= {k})"
+
+
+@query(f"with {_EVERY.format(k=5)} select q_id, id, round(s, 9) as similarity, rank from n")
+def knn_every(spark, sf_dir):
+    """The five nearest vectors of every vector: cells bound what each has to be compared with."""
+    e = table(spark, sf_dir, "embeddings")
+    near = nearest.knn_join(e.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 5)
+    return near.select("q_id", "id", F.round("similarity", 9).alias("similarity"), "rank")
+
+
+@query(f"""with {_EVERY.format(k=10)}, h as (select q_id, id, greatest(0, least(1, s + case when label = q_label then 0.05 else 0 end - case when id % 3 <> q_id % 3 then 0.1 else 0 end)) as s from n)
+select q_id::varchar as function_id, id::varchar as doc_function_id, case when s >= 0.85 then 0.9 when s >= 0.75 then 0.75 when s >= 0.65 then 0.65 else 0.5 end as confidence from h
+ where s >= 0.2 qualify row_number() over (partition by q_id order by s desc, id::varchar) = 1""")
+def semantic_matches(spark, sf_dir):
+    """The semantic stage for every function without a match: the best of the ten nearest, adjusted
+    by names and modules. Vectors stand for functions named after their labels."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    v = e.select(F.col("vec_id").cast("string").alias("function_id"), F.concat(F.lit("load_item_"), F.col("label").cast("string")).alias("name"), F.concat(F.lit("shop.part"), (F.col("vec_id") % 3).cast("string"), F.lit(".core")).alias("module"), F.col("embedding").alias("vec"))
+    return matching.semantic(v.select("function_id", "name", "module"), v, least=0.2)
+
+
+@query(r"""with t as (select conv_id * 1000 + turn as id, conv_id % 40 as function_id, role, turn, list_distinct([x for x in regexp_split_to_array(lower(text), '\s+') if x <> '']) as w from conversations where conv_id is not null and turn is not null and text is not null)
+select a.id as a_id, b.id as b_id from t a join t b on a.role = 'user' and b.role = 'assistant' and a.function_id = b.function_id
+ where abs(a.turn - b.turn) <= 1 and a.id // 2 % 5 = b.id // 2 % 5 or len(list_intersect(a.w, b.w)) > 0.3 * greatest(len(a.w), len(b.w))""")
+def merged_findings(spark, sf_dir):
+    """Findings of rules and of a model that are about the same: near in line and of one type, or alike in
+    words. The turns of users and of assistants stand for the two, forty functions for the conversations."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and text is not null")
+    x = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 40).alias("function_id"), F.col("turn").alias("line_number"), "role", F.col("text").alias("description"))
+    x = x.withColumn("issue_type", (F.floor(F.col("id") / 2) % 5).cast("string"))
+    return joins.merged_pairs(x.where("role = 'user'").drop("role"), x.where("role = 'assistant'").drop("role"), reach=1, above=0.3)
