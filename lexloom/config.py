@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
@@ -56,6 +57,8 @@ class EngineConfig:
     strategy: str = "balanced"
     top_n: int = 3
     min_similarity: float = 0.3
+    #: What names must match, by the kind of name: regular expressions of the caller.
+    name_patterns: dict[str, str] = field(default_factory=dict)
 
     def layered(self, *layers: dict[str, Any] | None) -> EngineConfig:
         """Later layers win; nested maps merge; unknown keys are an error."""
@@ -94,5 +97,10 @@ def problems(config: EngineConfig) -> list[str]:
     """What is wrong with settings."""
     out = [f"{n} is not between 0 and 1" for n in ("min_confidence", "llm_below", "min_similarity") if not 0 <= getattr(config, n) <= 1]
     out += [f"unknown severity {v}" for v in config.severity_overrides.values() if v not in SEVERITY_WEIGHT]
+    for kind, pattern in config.name_patterns.items():
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            out.append(f"the pattern of {kind} is not a regular expression: {e}")
     out += ["top_n is not positive"] if config.top_n < 1 else []
     return out

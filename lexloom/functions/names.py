@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,6 +131,12 @@ def semantic_similarity(a, b, ratio: Column) -> Column:
     return F.when(col(a) == col(b), 1.0).when(both & synonymous(F.get(x, F.lit(0)), F.get(y, F.lit(0))), 0.8 + 0.2 * token_similarity(rest(x), rest(y))).otherwise(ratio)
 
 
+def unlike(name, patterns: Mapping[str, str]) -> Column:
+    """The kinds of patterns that the whole of a name doesn't match, sorted; a null name matches none."""
+    bad = [F.when(~F.coalesce(col(name).rlike(f"^(?:{p})$"), F.lit(False)), kind) for kind, p in sorted(patterns.items())]
+    return F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+
+
 def features(name) -> Column:
     """What ``semantic_similarity`` looks at in a name, to be computed once for each side of many pairs."""
     t = tokens(name)

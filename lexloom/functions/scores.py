@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import RANK_SEVERITY, RANK_TYPE
+from ..config import RANK_SEVERITY, RANK_TYPE, RANKERS
 from ._lift import clip, col, lookup
 
 
@@ -25,6 +25,16 @@ def rank_score(severity, confidence, issue_type, action: Column, strategy: str =
     return lookup(col(severity), RANK_SEVERITY, 1.0) * times[0] + c * 5.0 * times[1] + lookup(col(issue_type), RANK_TYPE, 1.0) * times[2] + action - penalty
 
 
+def passes(ranker: str, severity: Column, confidence: Column, ready: Column) -> Column:
+    """Whether a ranker of the settings lets a finding through: sure enough, of a severity that
+    it takes, and ready to paste where it takes only such."""
+    rule = RANKERS[ranker]
+    out = F.coalesce(confidence >= rule["least"], F.lit(False))
+    if rule["severities"] is not None:
+        out = out & F.coalesce(severity.isin(*rule["severities"]), F.lit(False))
+    return out & F.coalesce(ready, F.lit(False)) if rule["ready"] == "only" else out
+
+
 def weighted_score(severity: Column, confidence: Column, impact: Column, ease: Column) -> Column:
     return 0.4 * severity + 0.3 * confidence + 0.2 * impact + 0.1 * ease
 

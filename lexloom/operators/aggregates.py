@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import docs, stats
 from ..functions._lift import lookup
+from . import selection
 from .windows import top_per_key
 
 
@@ -27,11 +29,21 @@ def improvement(control: Column, treatment: Column) -> Column:
 
 def operation_stats(df: DataFrame, operation: str, value: str, ok: Column) -> DataFrame:
     """Count, mean, extremes, exact percentiles and success rate of each operation."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
     out = df.groupBy(operation).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), p.alias("_p"), F.avg(ok.cast("int")).alias("success_rate")
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(ok.cast("int")).alias("success_rate")
     )
-    return out.withColumns({f"p{q}": F.get("_p", F.lit(i)) for i, q in enumerate((50, 95, 99))}).drop("_p")
+    return _with_percentiles(out, selection.percentiles(df, [operation], value, SHARES), [operation])
+
+
+#: The percentiles that figures have: p50, p95, p99.
+SHARES = (0.5, 0.95, 0.99)
+
+
+def _with_percentiles(figures: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """figures with p50, p95 and p99; both have one row for each combination of keys."""
+    named = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.get("p", F.lit(i)).alias(f"p{round(100 * s)}") for i, s in enumerate(SHARES)))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    return figures.join(named, on, "left").drop(*(f"_{k}" for k in keys))
 
 
 def counts_by(df: DataFrame, key: str, values: Sequence[str], of: str) -> DataFrame:
@@ -48,6 +60,16 @@ def style_vote(scored: DataFrame, group: str, least_share: float = 0.4, default:
     return best.join(total, group).select(group, F.when((F.col("total") > 0) & (F.col("score") >= least_share * F.col("total")), F.col("style")).otherwise(default).alias("style"), "score", "total")
 
 
+def style_of_projects(texts: DataFrame, project: str, id_: str, text: str, sample: int = 50, least_share: float = 0.4) -> DataFrame:
+    """project, style, n: the vote of a sample of each project's texts, those ``sample`` whose ids
+    have the smallest digests. Such a sample is the same whatever the partitioning, and each task
+    sends no more than it of any project. The size of the sample is the setting of this operator."""
+    bottom = top_per_key(texts.where(F.col(text).isNotNull()), [project], [F.sha2(F.col(id_).cast("string"), 256), F.col(id_)], sample)
+    scored = bottom.select(project, docs.best_style(text).alias("b")).select(project, "b.style", "b.score")
+    n = scored.groupBy(project).agg(F.count("*").alias("n"))
+    return style_vote(scored, project, least_share).join(n, project).select(project, "style", "n")
+
+
 def frequent_terms(terms: DataFrame, group: str, term: str, k: int = 10, least: int = 1) -> DataFrame:
     """The k most frequent terms of each group with at least ``least`` uses, ties by term."""
     n = terms.groupBy(group, term).agg(F.count("*").alias("uses")).where(F.col("uses") >= least)
@@ -154,9 +176,10 @@ def by_quality(suggested: DataFrame, quality: Column, tie: str) -> DataFrame:
 def model_metrics(calls: DataFrame) -> DataFrame:
     """calls (kind, ms, hit, error, tokens, cost, t) -> one row for each kind and one for all
     (kind null): percentiles, hit and error rates, tokens, cost, calls a second, and score."""
-    p = F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    x = calls.rollup("kind").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), p.alias("p"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg(F.col("error").cast("int")).alias("error_rate"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), (F.max("t") - F.min("t")).alias("span"))
-    x = x.withColumns({f"p{q}": F.get("p", F.lit(i)) for i, q in enumerate((50, 95, 99))}).drop("p")
+    x = calls.rollup("kind").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), F.grouping("kind").alias("all"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg(F.col("error").cast("int")).alias("error_rate"), F.sum("tokens").alias("tokens"), F.sum("cost").alias("cost"), (F.max("t") - F.min("t")).alias("span"))
+    found = selection.percentiles(calls, ["kind"], "ms", SHARES).withColumn("all", F.lit(0))
+    found = found.unionByName(selection.percentiles(calls, [], "ms", SHARES).withColumns({"kind": F.lit(None).cast(calls.schema["kind"].dataType), "all": F.lit(1)}))
+    x = _with_percentiles(x.withColumn("all", F.col("all").cast("int")), found, ["kind", "all"]).drop("all")
     x = x.withColumn("per_second", F.when(F.col("span") > 0, F.col("n") / F.col("span")).otherwise(0.0)).drop("span")
     return x.withColumn("score", performance_score(F.col("mean_ms"), F.col("hit_rate"), F.col("error_rate")))
 

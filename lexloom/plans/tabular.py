@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import RANKERS
 from ..functions import hashing, names, scores, stats
-from ..operators import aggregates, joins, matching, nearest, windows
+from ..operators import aggregates, joins, matching, nearest, selection, windows
 from ..sources import stores
 from .register import query, table
 
@@ -98,8 +99,8 @@ def recent_success_rate(spark, sf_dir):
 
 @query(f"select event_id, case when count(*) {_LAST.format(999)} >= 20 then round(quantile_cont(value, 0.95) {_LAST.format(999)}, 6) end as p95 from events")
 def rolling_p95(spark, sf_dir):
-    p = lambda c: F.percentile(c, F.lit(0.95))
-    return table(spark, sf_dir, "events").select("event_id", F.round(windows.last_n(F.col("value"), [F.col("ts"), F.col("event_id")], 1000, ["user_id"], 20, p), 6).alias("p95"))
+    p = selection.rolling(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", "event_id", 0.95, 1000, 20)
+    return p.select("event_id", F.round("p", 6).alias("p95"))
 
 
 @query("""with r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
@@ -360,3 +361,12 @@ def merged_findings(spark, sf_dir):
     x = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("conv_id") % 40).alias("function_id"), F.col("turn").alias("line_number"), "role", F.col("text").alias("description"))
     x = x.withColumn("issue_type", (F.floor(F.col("id") / 2) % 5).cast("string"))
     return joins.merged_pairs(x.where("role = 'user'").drop("role"), x.where("role = 'assistant'").drop("role"), reach=1, above=0.3)
+
+
+@query(f"""with {_SQL_FINDINGS} select 'strict' as ranker, id from f where confidence >= 0.8 and severity in ('critical', 'high') and ready
+ union all select 'balanced', id from f where confidence >= 0.6 union all select 'permissive', id from f where confidence >= 0.3""")
+def ranked_by_settings(spark, sf_dir):
+    """What each ranker of the settings lets through."""
+    f = findings(spark, sf_dir)
+    through = F.array_compact(F.array(*(F.when(scores.passes(r, F.col("severity"), F.col("confidence"), F.col("ready")), r) for r in RANKERS)))
+    return f.select(F.explode(through).alias("ranker"), "id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
 from ..functions import docs, errors, json_text, names, scores
 from ..operators import aggregates
 from .register import query, table
@@ -119,3 +120,23 @@ def error_kinds(spark, sf_dir):
     u = F.col("user_id") % 4
     t = F.concat("event_type", F.when(u == 0, " rate limit").when(u == 1, " timeout").when(u == 2, " connection reset").otherwise(""))
     return table(spark, sf_dir, "events").select(errors.analyse(t)["kind"].alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_STYLES.replace("select doc_id, lang, ", "select doc_id, source, ").replace("(select doc_id, lang, lower(text)", "(select doc_id, source, lower(text)")}, m as (select * from s join (select doc_id from documents where text is not null qualify row_number() over (partition by source order by sha256(doc_id::varchar), doc_id) <= 50) using (doc_id)),
+b as (select source, greatest(google, numpy, sphinx, rest) as score, case when greatest(google, numpy, sphinx, rest) < 0.3 then 'google' when google >= greatest(numpy, sphinx, rest) then 'google' when numpy >= greatest(sphinx, rest) then 'numpy' when sphinx >= rest then 'sphinx' else 'rest' end as style from m),
+v as (select source, style, sum(score) as score from b group by all), t as (select source, sum(score) as total from v group by source), n as (select source, count(*) as n from b group by source),
+w as (select * from v qualify row_number() over (partition by source order by score desc, style) = 1)
+select source, case when total > 0 and score >= 0.4 * total then style else 'google' end as style, n from w join t using (source) join n using (source)""")
+def project_styles(spark, sf_dir):
+    """The style of each source by a vote of a sample of fifty of its texts, which no partitioning changes."""
+    return aggregates.style_of_projects(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+
+
+PATTERNS = {"function": "[a-z_][a-z0-9_]*", "short": ".{1,24}", "words": "[a-z]+( [a-z]+)*"}
+
+
+@query(f"""with p as (select p_partkey, lower(p_name) as name from part) select p_partkey, array_to_string(list_filter([{', '.join(f"case when not regexp_full_match(name, '{p}') then '{k}' end" for k, p in sorted(PATTERNS.items()))}], lambda x: x is not null), ',') as unlike from p""")
+def names_against_patterns(spark, sf_dir):
+    """Names against the patterns that a user's settings give for kinds of names."""
+    settings = EngineConfig().layered({"name_patterns": PATTERNS})
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(names.unlike(F.lower("p_name"), settings.name_patterns), ",").alias("unlike"))

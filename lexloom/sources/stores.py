@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from . import shared
 
 EXAMPLES = """function_name string, module_path string, function_signature string, docstring_format string, docstring_content string, has_params boolean, has_returns boolean,
  has_examples boolean, complexity_score int, quality_score int, source string, timestamp double, category string, issue_types array<string>, original_issue string, improvement_score double"""
@@ -125,6 +128,65 @@ class KeyedTable:
         self._replace(recent(self.read(), time, as_of, days))
 
 
+class BucketedTable:
+    """Rows by key in a Parquet table that is cut by the hash of the key into buckets, a folder
+    each. A change reads and rewrites the buckets of its own keys, not the table: what it writes is
+    worked out and stored elsewhere first, then put in their place."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: Sequence[str], buckets: int = 64):
+        self.spark, self.folder, self.key, self.buckets = spark, folder.rstrip("/"), list(key), buckets
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
+
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _all(self) -> DataFrame:
+        path, fs = self._path()
+        columns = StructType([*self.schema.fields, StructField("_bucket", IntegerType())])
+        return self.spark.read.schema(columns).parquet(self.folder) if fs.exists(path) else self.spark.createDataFrame([], columns)
+
+    def read(self) -> DataFrame:
+        return self._all().drop("_bucket")
+
+    def get(self, **key) -> list:
+        """The rows of one key, from its bucket."""
+        values = [F.lit(key[k]).cast(self.schema[k].dataType) for k in self.key]
+        b = self.spark.range(1).select(F.pmod(F.xxhash64(*values), F.lit(self.buckets)).cast("int")).first()[0]
+        out = self._all().where(F.col("_bucket") == b)
+        for k in self.key:
+            out = out.where(F.col(k) == key[k])
+        return out.drop("_bucket").collect()
+
+    def _change(self, keys: DataFrame, made) -> list[int]:
+        """made: the rows of the buckets that keys are in -> those rows after the change."""
+        met = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())
+        after = shared.store(made(self._all().where(F.col("_bucket").isin(met)).drop("_bucket")).select(*self.schema.names, self._bucket()), "buckets")
+        left = {r[0] for r in after.select("_bucket").distinct().collect()}
+        after.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.folder)
+        for b in set(met) - left:
+            path, fs = self._path(f"_bucket={b}")
+            fs.delete(path, True)
+        shared.discard(after)
+        return met
+
+    def put(self, rows: DataFrame) -> list[int]:
+        """Rows replace those of their key. Returns the buckets that were rewritten."""
+        return self._change(rows, lambda old: upsert(old, rows, self.key))
+
+    def delete(self, keys: DataFrame) -> list[int]:
+        return self._change(keys, lambda old: old.join(keys.select(*self.key).distinct(), self.key, "left_anti"))
+
+    def touch(self, reads: DataFrame) -> list[int]:
+        """Counts reads (key, t) in hit_count and accessed_at."""
+        from ..operators import corpus
+
+        return self._change(reads, lambda old: corpus.hit_counts(old, reads, self.key[0]))
+
+
 def append_session(metrics: DataFrame, folder: str) -> None:
     """Metrics of a session (with a time ``t`` in seconds), added to those of earlier ones by day."""
     metrics.withColumn("day", F.to_date(F.timestamp_seconds("t"))).write.mode("append").partitionBy("day").parquet(folder)

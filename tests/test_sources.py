@@ -65,3 +65,37 @@ def test_edits(tmp_path):
 def test_yaml(tmp_path):
     stores.write_yaml({"a": {"b": 1}}, str(tmp_path / "c.yml"))
     assert stores.read_yaml(str(tmp_path / "c.yml")) == {"a": {"b": 1}}
+
+
+def test_a_change_rewrites_the_buckets_of_its_keys_only(spark, tmp_path):
+    import os
+
+    from lexloom.sources import stores
+
+    t = stores.BucketedTable(spark, f"file://{tmp_path}/b", "k string, v int, hit_count long, accessed_at double", ["k"], 16)
+    rows = lambda *x: spark.createDataFrame([(k, v, 0, 1.0) for k, v in x], t.schema)
+    assert t.read().count() == 0
+    t.put(rows(*((f"k{i}", i) for i in range(200))))
+    files = lambda: {str(p): os.stat(p).st_ino for p in (tmp_path / "b").rglob("part-*.parquet")}
+    before = files()
+    met = t.put(rows(("k3", 33), ("new", 1)))
+    after = files()
+    assert 1 <= len(met) <= 2
+    assert {p.split("/")[-2] for p in set(after) - set(before)} == {f"_bucket={b}" for b in met} == {p.split("/")[-2] for p in set(before) - set(after)} | ({p.split("/")[-2] for p in set(after) - set(before)} - {p.split("/")[-2] for p in before})
+    assert {r["k"]: r["v"] for r in t.read().collect()} == {f"k{i}": i for i in range(200)} | {"k3": 33, "new": 1}
+    t.touch(spark.createDataFrame([("k3", 9.0), ("k3", 8.0)], "k string, t double"))
+    assert t.get(k="k3")[0].asDict() == {"k": "k3", "v": 33, "hit_count": 2, "accessed_at": 9.0} and t.get(k="zz") == []
+    gone = t.delete(t.read())
+    assert t.read().count() == 0 and len(gone) == 16 and not files()
+
+
+def test_patterns_of_names_are_checked(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom import config
+    from lexloom.functions import names
+
+    s = config.EngineConfig().layered({"name_patterns": {"a": "[a-z]+", "b": "x.*"}})
+    assert config.problems(s) == [] and len(config.problems(config.EngineConfig(name_patterns={"a": "("}))) == 1
+    df = spark.createDataFrame([("abc",), ("xyz",), ("X1",), (None,)], "n string").select("n", names.unlike("n", s.name_patterns).alias("u"), names.unlike("n", {}).alias("none"))
+    assert {r["n"]: r["u"] for r in df.collect()} == {"abc": ["b"], "xyz": [], "X1": ["a", "b"], None: ["a", "b"]} and all(r["none"] == [] for r in df.collect())
