@@ -71,7 +71,7 @@ class Cells:
         self.top = np.array([self.tops.setdefault(t, len(self.tops)) for t in at], int)
         self.fixed = rows["fixed"].to_numpy(float)[order]
         first = np.flatnonzero(np.r_[True, shape[1:] != shape[:-1]]) if len(shape) else np.zeros(0, int)
-        starts = [s for a, b in zip(first, np.r_[first[1:], len(shape)], strict=True) for s in range(a, b, CELL)]
+        starts = [s for a, b in zip(first, np.r_[first[1:], len(shape)][: len(first)], strict=True) for s in range(a, b, CELL)]
         self.starts, self.ends = np.array(starts, int), np.array([*starts[1:], len(shape)], int)[: len(starts)]
         self.shape = shape[self.starts] if len(shape) else shape
         cut = lambda f, x: f.reduceat(x, self.starts) if len(starts) else x[:0]

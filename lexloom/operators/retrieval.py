@@ -116,7 +116,7 @@ def retrieve_by_all(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int
     Signatures, name tokens and types are worked out once on each side, before the pairs.
     The queries meet the corpus in its own partitions; only the k best of each task and
     query are shuffled."""
-    pairs = joins.against_all(_fixed(_corpus_side(corpus)), _fixed(_query_side(queries)), "query_id", "example_id")
+    pairs = joins.against_all(fixed(_corpus_side(corpus)), fixed(_query_side(queries)), "query_id", "example_id")
     return _best(_scored(pairs, as_of), k, least)
 
 
@@ -156,7 +156,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, l
 
     def scored(pairs: DataFrame) -> DataFrame:
         few = F.broadcast(c) if n <= joins.FEW_QUERIES else c
-        return _scored(_fixed(pairs.join(q, "query_id")).join(few, "example_id"), as_of)
+        return _scored(fixed(pairs.join(q, "query_id")).join(few, "example_id"), as_of)
 
     asked = q.select("query_id", *index.query_columns())
     first = shared.store(scored(reached(asked.withColumn("reach", F.lit(float(least))), 2 * k)), "first-scored")
@@ -169,7 +169,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, l
     return _best(last, k, least)
 
 
-def _fixed(side: DataFrame) -> DataFrame:
+def fixed(side: DataFrame) -> DataFrame:
     """Keeps the planner from moving a side's expressions above the join, where they would be
     evaluated for every pair: rows are dealt by a hash of all they hold, which materialises them."""
     return side.repartition(F.xxhash64(*side.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import RANKERS
 from ..functions import hashing, names, scores, stats
-from ..operators import aggregates, joins, matching, nearest, selection, windows
+from ..operators import aggregates, joins, matching, nearest, retrieval, selection, windows
 from ..sources import stores
 from .register import query, table
 
@@ -255,7 +255,8 @@ s as (select q.p_partkey as q_id, p.p_partkey as id,
 select q_id, id, round(s, 9) as similarity from s qualify row_number() over (partition by q_id order by round(s, 9) desc, id) <= 3""")
 def retrieve_topk(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split(F.lower("p_name"), " ").alias("t"), "p_size", "p_brand")
-    q = p.where("id % 100 = 0").select(*(F.col(c).alias(f"q_{c}") for c in p.columns))
+    # Words are split once for each row, not for each pair.
+    p, q = retrieval.fixed(p), retrieval.fixed(p.where("id % 100 = 0").select(*(F.col(c).alias(f"q_{c}") for c in p.columns)))
     s = (
         0.25 * names.token_similarity("q_t", "t") + 0.10 * scores.complexity_match(F.col("q_p_size") % 5, F.col("p_size") % 5)
         + 0.10 * (F.col("q_p_brand") == F.col("p_brand")).cast("int") + 0.10 * (F.col("p_size") % 5 + 1) / 5.0
