@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, code, feeds, gallery, streams, tabular, textual  # noqa: F401  (they register their queries)
+from . import cases, code, feeds, gallery, streams, tabular, textual, values  # noqa: F401  (they register their queries)
 from .register import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
