@@ -158,7 +158,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, l
         few = F.broadcast(c) if n <= joins.FEW_QUERIES else c
         return _scored(fixed(pairs.join(q, "query_id")).join(few, "example_id"), as_of)
 
-    asked = q.select("query_id", *index.query_columns())
+    asked = fixed(q.select("query_id", *index.query_columns()))
     first = shared.store(scored(reached(asked.withColumn("reach", F.lit(float(least))), 2 * k)), "first-scored")
     kth = top_per_key(first.where(F.col("similarity") >= least), ["query_id"], [F.desc("similarity"), F.col("example_id")], k, "rank").where(F.col("rank") == k)
     reach = asked.join(kth.select("query_id", F.col("similarity").alias("kth")), "query_id", "left").withColumn("reach", F.coalesce("kth", F.lit(float(least)))).drop("kth")
@@ -171,8 +171,9 @@ def retrieve(queries: DataFrame, corpus: DataFrame, as_of: Column, k: int = 3, l
 
 def fixed(side: DataFrame) -> DataFrame:
     """Keeps the planner from moving a side's expressions above the join, where they would be
-    evaluated for every pair: rows are dealt by a hash of all they hold, which materialises them."""
-    return side.repartition(F.xxhash64(*side.columns))
+    evaluated for every pair: rows are dealt by a hash of all they hold, which materialises them.
+    Their number of parts is stated: scoring costs more than its rows' bytes say."""
+    return side.repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*side.columns))
 
 
 def renamed_parameters(functions: DataFrame, least: float = 0.6) -> DataFrame:
