@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions._lift import lookup
+from . import shared
 
 #: key % 10 -> path and content; {k} is the key, {p} the one before, {n} the next.
 FILES: dict[int, tuple[str, str]] = {
@@ -147,7 +148,9 @@ def _filled(text: Column, key: Column) -> Column:
 
 
 def source_files(parts: DataFrame) -> DataFrame:
-    """part rows -> (p_partkey, path, content)."""
+    """part rows -> (p_partkey, path, content). Rows are dealt out first, as a small table's
+    bytes say nothing of the texts made from it."""
+    parts = shared.dealt(parts, "p_partkey")
     key = F.col("p_partkey")
     path, content = (lookup(key % 10, {k: f[i] for k, f in FILES.items()}) for i in (0, 1))
     return parts.select("p_partkey", _filled(path, key).alias("path"), _filled(content, key).alias("content"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import parse
-from lexloom.sources import python_files, stores
+from lexloom.sources import gallery, python_files, stores, synthetic
 
 
 def test_scan_skips_folders_and_decodes(spark, tmp_path):
@@ -99,3 +99,10 @@ def test_patterns_of_names_are_checked(spark):
     assert config.problems(s) == [] and len(config.problems(config.EngineConfig(name_patterns={"a": "("}))) == 1
     df = spark.createDataFrame([("abc",), ("xyz",), ("X1",), (None,)], "n string").select("n", names.unlike("n", s.name_patterns).alias("u"), names.unlike("n", {}).alias("none"))
     assert {r["n"]: r["u"] for r in df.collect()} == {"abc": ["b"], "xyz": [], "X1": ["a", "b"], None: ["a", "b"]} and all(r["none"] == [] for r in df.collect())
+
+
+@pytest.mark.parametrize("made", [synthetic, gallery])
+def test_files_of_a_small_table_go_to_all_cores(spark, made):
+    parts = spark.range(400).selectExpr("id as p_partkey", "'hot bolt' as p_name", "'Brand#1' as p_brand").coalesce(1)
+    held = made.source_files(parts).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 4 and max(r["count"] for r in held) < 200
