@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,64 @@ def test_hints_go_into_texts():
     c = case("missing_params", params=p, hints={("parameter", "y"): ["From an example."]})
     text = generators.made(c, generators.GENERATORS, "google", 88)[0]
     assert "y: From an example." in text and "x (int): The number." in text and c.used == {"parameter"}
+
+
+@pytest.mark.parametrize("how", [{}, {"half": True}, {"block": 7, "part": 20}])
+def test_closest_holds_the_best_and_few_others(spark, how):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 6))
+    rows = [(i, base[i % 40].tolist() if i % 3 else rng.normal(size=6).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 6), (302, [1.0, 2.0]), (303, [1.0, None] * 3)]
+    c = spark.createDataFrame(rows, "id long, vec array<double>")
+    q = c.where("id % 10 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec"))
+    # Far ids lose; from 0.9 on all tie, and the smallest ids come first.
+    lower = lambda s, a, b: s - np.where(abs(a - b) > 90, 0.2, 0.0)
+    value = F.least(F.lit(0.9), F.col("similarity") - F.when(F.abs(F.col("q_id") - F.col("id")) > 90, 0.2).otherwise(0.0))
+    found = joins.closest(q, c, 3, score=lower, cap=0.9, **how)
+    got = sorted(map(tuple, joins.top_per_key(found.select("q_id", "id", value.alias("v")), ["q_id"], [F.desc("v"), F.col("id")], 3).collect()))
+    good = [(i, np.array(v)) for i, v in rows if i < 300]
+    want = []
+    for i, a in good[::10]:
+        s = [(float(a @ b) / np.sqrt(a @ a) / np.sqrt(b @ b), j) for j, b in good if j != i]
+        s = [(min(0.9, ((1 + x) / 2 if how.get("half") else x) - 0.2 * (abs(i - j) > 90)), j) for x, j in s]
+        want += [(i, j, x) for x, j in sorted(s, key=lambda p: (-round(p[0], 12), p[1]))[:3]]
+    assert [(a, b, round(v, 9)) for a, b, v in got] == [(a, b, round(v, 9)) for a, b, v in sorted(want)]
+    assert found.count() < 0.2 * 30 * 300 or "part" in how
+
+
+def test_knn_sends_no_rows_for_all_pairs(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(600)], "id long, vec array<double>")
+    found = joins.closest(v.where("id % 10 = 0").select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), joins.top_per_key(v, ["vec"], [F.col("id")], 4), 3)
+    assert found.count() < 60 * 600 / 20
+
+
+def test_classes_hold_the_best_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice("ab") if i % 9 else None, rng.randrange(3)) for i in range(400)]
+    p = spark.createDataFrame(rows, "id long, x string, y int")
+    q = p.where("id % 10 = 0").select(*(F.col(c).alias(f"q_{c}") for c in p.columns))
+    score = F.col("q_x").eqNullSafe(F.col("x")).cast("double") + F.abs(F.col("q_y") - F.col("y")) * 0.5
+    got = joins.best_of_classes(q, p, ["x", "y"], score, 3)
+    want = [(i, j, (x == a) + abs(y - b) * 0.5) for i, x, y in rows[::10] for j, a, b in rows if i != j]
+    want = {i: [(j, s) for _, j, s in sorted((w for w in want if w[0] == i), key=lambda w: (-w[2], w[1]))[:3]] for i, *_ in rows[::10]}
+    found = {i: [] for i in want}
+    for r in sorted(got.collect(), key=lambda r: (-r["similarity"], r["id"])):
+        found[r["q_id"]].append((r["id"], r["similarity"]))
+    assert found == want
+    # Classes met, not 40 x 400 rows.
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [x" in text
+
+
+def test_copies_send_k_rows_of_a_block(spark):
+    u = np.tile(np.array([[0.6, 0.8]]), (500, 1))
+    g = pd.DataFrame({"key": range(5), "u": [u[0].tobytes()] * 5})
+    found = nearest._best(g, u, np.arange(500), 3, None)
+    assert found["id"].notna().sum() == 15 and set(found["id"].dropna()) <= set(range(4))
+
+
+def test_namesakes_are_counted_once_for_rows_alike(spark):
+    rows = spark.range(3000).selectExpr("id", "cast(id % 3 as string) as name", "cast(id % 2 as string) as place")
+    found = joins.unique_elsewhere(rows, rows.select("name", "place").distinct(), "name", F.col("r.place") != F.col("c.place"))
+    got = found.collect()
+    assert len(got) == 3000 and all(int(r["place"]) == 1 - r["id"] % 2 for r in got)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
