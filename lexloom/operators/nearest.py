@@ -79,9 +79,12 @@ def _joined(q: DataFrame, c: DataFrame, count: int, k: int, least: float | None,
     blocks = np.maximum(1, -(-size // block))
     wanted = 2.0 if least is None else math.sqrt(max(0.0, 2 - 2 * least))
 
+    # Rows at a time, so that their visits hold some 32 MB at most, if each visits every block.
+    step = max(1, 32_000_000 // (8 * centres.shape[1] * int(blocks.sum())))
+
     def visits(first: bool):
         def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in (x.iloc[at : at + step] for x in batches for at in range(0, len(x), step)):
                 u = _unit(b["v"]) if first else np.frombuffer(b"".join(b["u"]), float).reshape(len(b), -1)
                 d = _from(u, centres)
                 d[:, size == 0] = np.inf
@@ -159,9 +162,14 @@ def _best(g: pd.DataFrame, own: np.ndarray, names: np.ndarray, k: int, least: fl
         s[s < least - SLACK] = -np.inf
     kth = -np.partition(-s, min(k, s.shape[1]) - 1, 1)[:, min(k, s.shape[1]) - 1]
     i, j = np.nonzero((s >= kth[:, None] - SLACK) & (s > -np.inf))
-    # By sums that don't depend on where a vector stands in the block.
-    exact = np.round((x[i] * own[j]).sum(1), DIGITS)
-    pairs = pd.DataFrame({"q_id": keys[i], "id": names[j], "similarity": exact, "u": None})
+    # By sums that don't depend on where a vector stands in the block; copies may tie in great numbers.
+    exact = np.concatenate([np.round((x[i[at : at + 8192]] * own[j[at : at + 8192]]).sum(1), DIGITS) for at in range(0, len(i), 8192)] or [np.zeros(0)])
+    place = np.empty(len(names), int)
+    place[np.argsort(names, kind="stable")] = np.arange(len(names))
+    order = np.lexsort((place[j], -exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    pairs = pd.DataFrame({"q_id": keys[i[kept]], "id": names[j[kept]], "similarity": exact[kept], "u": None})
     if least is not None:
         pairs = pairs[pairs["similarity"] >= least]
     return pd.concat([mark.astype({"id": object}), pairs.astype({"id": object})], ignore_index=True)
