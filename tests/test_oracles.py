@@ -45,3 +45,9 @@ def test_many_namesakes_in_the_own_place_hide_no_one(spark):
     found = spark.createDataFrame([("f", "a")] * 100 + [("f", "b"), ("g", "b"), ("g", "b")] + [("h", "a")], "name string, place string")
     got = joins.unique_elsewhere(rows, found, "name", F.col("r.place") != F.col("c.place")).collect()
     assert [tuple(r) for r in got] == [(1, "b")]
+
+
+@pytest.mark.parametrize("name", ["bare_names", "chosen_analyses", "decoded_files", "documentation_quality", "example_profiles", "fenced_texts", "four_factor_quality", "kept_descriptions", "line_changes", "memory_deltas"])
+def test_rows_grow_with_a_table(name, spark, sf_dir):
+    used = "lineitem" if name in ("four_factor_quality", "memory_deltas") else "part"
+    assert registry.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{used}.parquet").count()
