@@ -249,3 +249,12 @@ def test_namesakes_are_counted_once_for_rows_alike(spark):
     got = found.collect()
     assert len(got) == 3000 and all(int(r["place"]) == 1 - r["id"] % 2 for r in got)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3
+
+
+def test_pairs_of_a_frequent_key_are_dealt_out(spark):
+    a = spark.range(400).selectExpr("id as a_id", "if(id < 390, 0, id) as key")
+    b = spark.range(400).selectExpr("id as b_id", "if(id < 390, 0, id) as key")
+    got = joins.dealt_join(a, b, ["key"], pairs=5000)
+    assert got.select("a_id", "b_id").distinct().count() == got.count() == 390 * 390 + 10
+    held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 1 and max(held) < 0.7 * 390 * 390
