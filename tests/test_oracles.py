@@ -51,3 +51,8 @@ def test_many_namesakes_in_the_own_place_hide_no_one(spark):
 def test_rows_grow_with_a_table(name, spark, sf_dir):
     used = "lineitem" if name in ("four_factor_quality", "memory_deltas") else "part"
     assert registry.QUERIES[name](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/{used}.parquet").count()
+
+
+def test_generators_run_once_for_a_finding(spark, sf_dir):
+    plan = registry.QUERIES["enhanced_by_class"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(issue_type") == 1
