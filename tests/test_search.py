@@ -40,6 +40,23 @@ def test_retrieval_by_bounds_is_retrieval_by_all(spark, k, least, part):
     assert retrieval.retrieve(q, c.limit(0), F.lit(1.7e9), k, least).count() == 0 == retrieval.retrieve(q.limit(0), c, F.lit(1.7e9), k, least).count()
 
 
+def test_names_of_one_verb_are_met_by_class(spark, monkeypatch):
+    """Words of the tables' kind: all names begin with one verb, few words repeat, a number tells them apart."""
+    words, rng = ["hot_bolt", "hot_ring", "old_ring", "old_plate", ""], random.Random(4)
+    name = lambda i: f"get_{words[i % 5]}{'_' if i % 5 < 4 else ''}{i if i % 7 else 'x'}"
+    module = lambda i: rng.choice([f"shop.b{i % 3}.part_{i}", f"shop.b{i % 3}", "shop", "lib", ""])
+    examples = [(i, name(i), f"def {name(i)}(size: int, label: str = 'x') -> int", module(i), 3, 4 + i % 2, rng.choice(["accepted", "curated"]), 1.7e9 - 86400.0 * (500 - i // 4)) for i in range(400)]
+    queries = [(i, name(i), f"def {name(i)}(size: {'int' if i % 3 else 'float'}, label: str) -> int", None if i % 11 == 0 else f"shop/b{i % 3}/part_{i}.py") for i in range(0, 800, 8)]
+    c = spark.createDataFrame(examples, "example_id long, function_name string, function_signature string, module_path string, complexity_score int, quality_score int, source string, timestamp double")
+    q = spark.createDataFrame(queries, "query_id long, name string, signature string, file_path string")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["example_id"], round(r["similarity"], 9)) for r in df.collect())
+    want = rows(retrieval.retrieve_by_all(q, c, F.lit(1.7e9), 3, 0.3))
+    seen, scored = [], retrieval._scored
+    monkeypatch.setattr(retrieval, "_scored", lambda pairs, as_of: seen.append(pairs.count()) or scored(pairs, as_of))
+    assert rows(retrieval.retrieve(q, c, F.lit(1.7e9), 3, 0.3, part=150, block=30)) == want and len(want) == 300
+    assert max(seen) < 0.1 * len(queries) * len(examples)
+
+
 def test_bounds_are_never_below_scores_and_leave_most_out(spark):
     q, c = corpus_and_queries(spark, 400, 9)
     asked = retrieval._query_side(q).select("query_id", *index.query_columns()).toPandas()
