@@ -159,3 +159,19 @@ def test_merge_by_confidence():
     assert docstrings.merge(None, new, 0.1) is new
     assert docstrings.merge(old, new, 0.4) == old
     assert docstrings.merge(old, new | {"raises": []}, 0.9)["raises"] == old["raises"]
+
+
+def test_statements_and_nodes_come_as_the_tree_has_them():
+    import ast
+
+    from lexloom.operators import parse
+
+    source = "import a\nclass A:\n    @d(x)\n    def f(self, y=lambda: 1):\n        try:\n            import b\n        except E:\n            def g(): pass\n        else:\n            from c import z\n        finally:\n            class B: pass\n    if q:\n        def h(): return [i for i in y if i.w]\nmatch v:\n    case [1, k] if k:\n        def m(): pass\nwith o as t:\n    async def n(): await t\n"
+    tree = ast.parse(source)
+    all_ = list(ast.walk(tree))
+    assert [n for n, _ in parse.statements(tree) if isinstance(n, ast.stmt)] == [n for n in all_ if isinstance(n, ast.stmt)]
+    assert [n.name for n, inside in parse.statements(tree) if inside and isinstance(n, ast.FunctionDef)] == ["f"]
+    assert parse.walk(tree) == [n for n in all_ if not isinstance(n, ast.expr_context)]
+    assert [r[4] for r in parse.functions_of("a.py", source)] == [n.name for n in all_ if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    # Most of a tree is not visited for its statements.
+    assert len(parse.statements(tree)) < len(all_) / 2
