@@ -118,12 +118,12 @@ def enhance(findings: DataFrame, pairs: DataFrame, config: EngineConfig = Engine
     Functions in the control group of the experiment keep the rule's own suggestion; the
     others get a generated one, which is checked: what can't be pasted is not ready."""
     if corpus is not None:
-        # Both are read several times: by the search, by the patterns and by the generators.
+        # All are read several times: by the search, by the patterns and by the generators.
         findings, corpus = shared.store(findings, "findings"), shared.store(corpus, "corpus")
-        asked = pairs.join(findings.select("function_id").distinct(), "function_id", "left_semi")
+        asked = shared.store(pairs.join(findings.select("function_id").distinct(), "function_id", "left_semi"), "functions-asked")
         newest = F.lit(corpus.agg(F.max("timestamp")).first()[0] or 0.0) if as_of is None else as_of
         found = shared.store(patterns.hints(asked, shared.store(patterns.examples_for(asked, corpus, newest), "examples-found")), "hints")
-        pairs = pairs.join(found, "function_id", "left")
+        pairs = asked.join(found, "function_id", "left")
     used = pairs.select("function_id", "examples_used") if corpus is not None else None
     made = generators.generate(findings, pairs, style, registry=registry)
     made = made.withColumn("examples_used", F.lit(0)) if used is None else made.join(used, "function_id", "left").withColumn("examples_used", F.when(F.col("rag_enhanced"), F.coalesce("examples_used", F.lit(0))).otherwise(0))

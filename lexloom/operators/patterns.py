@@ -46,11 +46,11 @@ def for_parameters(functions: DataFrame, hits: DataFrame) -> DataFrame:
     """The best description of each own parameter, and after it the restrictions that the next
     two add: function_id, subject, rank, text."""
     own = functions.select("function_id", F.explode("parameters").alias("p")).select("function_id", F.regexp_replace("p.name", r"^\*+|/$", "").alias("name"), F.coalesce("p.type_annotation", F.lit("")).alias("type"))
-    wanted = own.where("name not in ('self', 'cls')").withColumn("query_id", F.concat_ws("\u0000", "function_id", "name"))
+    wanted = own.where("name not in ('self', 'cls')").withColumn("query_id", F.col("name"))
     told = hits.select("function_id", "example_id", "similarity", F.explode("doc.parameters").alias("d"))
     told = told.select("function_id", "example_id", "similarity", F.regexp_replace("d.name", r"^\*+", "").alias("p_name"), F.coalesce("d.type_str", F.lit("")).alias("p_type"), F.trim("d.description").alias("description")).where(F.length("description") >= 5)
     best = retrieval.parameter_patterns(wanted, told, 3, on=["function_id"])
-    x = best.withColumns({"function_id": F.split_part("query_id", F.lit("\u0000"), F.lit(1)), "subject": F.split_part("query_id", F.lit("\u0000"), F.lit(2))})
+    x = best.withColumnRenamed("query_id", "subject")
     text = _named(F.col("description"), F.col("p_name"), F.col("subject"))
     ranked = x.groupBy("function_id", "subject").agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("text")))).alias("all"))
     first = F.col("all")[0]["text"]
@@ -64,11 +64,11 @@ def for_exceptions(functions: DataFrame, hits: DataFrame, sure: float = 0.8) ->
     own = functions.select("function_id", F.explode("exceptions").alias("e")).where(F.col("e.confidence") >= sure).select("function_id", F.col("e.exception_type").alias("subject"))
     told = hits.select("function_id", "similarity", F.explode("doc.raises").alias("r")).select("function_id", "similarity", F.col("r.exception_type").alias("told"), F.regexp_extract("r.description", CONDITION, 1).alias("description"))
     x = own.join(told.where("description <> ''"), "function_id").where(relevance.exceptions_match("subject", "told"))
-    x = x.withColumn("key", F.concat_ws("\u0000", "function_id", "subject")).withColumn("like", F.col("similarity") + F.when(F.col("subject") == F.col("told"), 1.0).otherwise(0.0))
-    best = windows.most_similar(x, "key", "like", 3)
-    both = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "description"))).alias("all"))
+    x = x.withColumn("like", F.col("similarity") + F.when(F.col("subject") == F.col("told"), 1.0).otherwise(0.0))
+    best = windows.most_similar(x, ["function_id", "subject"], "like", 3)
+    both = best.groupBy("function_id", "subject").agg(F.sort_array(F.collect_list(F.struct("rank", "description"))).alias("all"))
     text = F.concat(F.lit("If "), F.array_join(F.transform("all", lambda a: a["description"]), " or "), F.lit("."))
-    return both.select(F.split_part("key", F.lit("\u0000"), F.lit(1)).alias("function_id"), F.split_part("key", F.lit("\u0000"), F.lit(2)).alias("subject"), F.lit(1).alias("rank"), text.alias("text"))
+    return both.select("function_id", "subject", F.lit(1).alias("rank"), text.alias("text"))
 
 
 def for_returns(functions: DataFrame, hits: DataFrame, least: float = 0.5) -> DataFrame:

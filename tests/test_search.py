@@ -170,6 +170,31 @@ def test_hints_of_examples(spark):
     assert said["behaviour", "", 1] == "A loaded page is kept." and said["example", "", 1] == '>>> load_page_rows(3, "x")'
 
 
+def test_what_examples_say_meets_by_function_alone(spark):
+    f = spark.createDataFrame([(f"f{i}", f"load_page_{i}", "int", [(0, "limit", "int", None, True)], [("ValueError", "d", 1, False, 0.95)]) for i in range(40)], "function_id string, name string, return_type string, parameters array<struct<pos:int, name:string, type_annotation:string, default_value:string, is_required:boolean>>, exceptions array<struct<exception_type:string, description:string, line:int, is_re_raised:boolean, confidence:double>>")
+    told = spark.createDataFrame([(f"f{i}", f"e{i}", 0.5, [("limit", "int", "The most rows.")], [("ValueError", "If limit is negative.")]) for i in range(40)], "function_id string, example_id string, similarity double, p array<struct<name:string, type_str:string, description:string>>, r array<struct<exception_type:string, description:string>>")
+    hits = told.select("function_id", "example_id", "similarity", F.struct(F.col("p").alias("parameters"), F.col("r").alias("raises")).alias("doc"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (patterns.for_parameters(f, hits), patterns.for_exceptions(f, hits)):
+            assert found.count() == 40
+            assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_scores_read_one_query_of_a_class(spark, monkeypatch):
+    q = spark.createDataFrame([(i, f"get_red_bolt_{i}", "def f(size: int) -> int", f"shop/a/part_{i}.py") for i in range(300)], "query_id long, name string, signature string, file_path string")
+    c = spark.createDataFrame([(i, f"get_red_bolt_{1000 + i}", "def f(size: int) -> int", f"shop.b.part_{i}", 3, 5, "curated", 0.0) for i in range(200)], "example_id long, function_name string, function_signature string, module_path string, complexity_score int, quality_score int, source string, timestamp double")
+    stored, store = {}, retrieval.shared.store
+    monkeypatch.setattr(retrieval.shared, "store", lambda df, label, *more: stored.setdefault(label, store(df, label, *more)))
+    sizes, scored = {}, retrieval._scored
+    monkeypatch.setattr(retrieval, "_scored", lambda pairs, as_of: sizes.update({k: stored[k].count() for k in ("queries-scored", "examples-scored")}) or scored(pairs, as_of))
+    got = sorted(map(tuple, retrieval.retrieve(q, c, F.lit(0.0), 3).select("query_id", "example_id").collect()))
+    assert sizes == {"queries-scored": 1, "examples-scored": 3} and got == [(i, e) for i in range(300) for e in range(3)]
+
+
 def case(issue, source="", decorators=(), name="f", doc=None, params=(), exceptions=(), hints=None):
     base = generators.EMPTY | {"summary": "Do it.", "description": "At length.", "parameters": [{"name": "x", "type_str": "int", "description": "The number.", "is_optional": False, "default_value": None}], "raises": [{"exception_type": "KeyError", "description": "If lost."}], "examples": [">>> f(1)"]}
     return generators.Case(issue, None, name, list(params), None, list(exceptions), list(decorators), False, base | (doc or {}), source, hints or {})
