@@ -8,15 +8,22 @@ characters or white-space runs for which that doesn't hold go to the tokenizer w
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from string import punctuation
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
+#: Characters of the texts whose chunks are looked up at a time.
+SLICE = 8_000_000
+
 
 def _plain(text: str) -> bool:
     """Only printable Latin-1, spaces and line feeds, and no special token: no rule of
@@ -44,6 +51,18 @@ def spaced(text: str) -> list[str] | None:
     return parts
 
 
+#: What ``spaced`` refuses.
+_UNSPACED = r"[^\n\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{ff}]|<\||[\n ]{3}|[\n ]{2}\z"
+
+
+def spaced_column(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """``spaced`` for a column: which texts have to be encoded whole, and the chunks of the others."""
+    none = pa.scalar("", texts.type)
+    whole = pc.match_substring_regex(texts, _UNSPACED)
+    flat = pc.replace_substring(pc.if_else(whole, none, texts), "\n", " \n")
+    return whole, pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", texts.type), flat, none), " ")
+
+
 def spaced_source(chunk: str) -> str:
     """The text that a chunk of ``spaced`` stands for."""
     return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else f" {chunk}"
@@ -93,11 +112,14 @@ class ChunkCache:
         known = self.old_words.get(word)
         return array(self.code, self.piece(word)).tobytes() if known is None else known
 
-    def one(self, text: str) -> bytes:
+    def turn(self) -> None:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, _Known(self._chunk)
         if len(self.words) > self.limit // 4:
             self.old_words, self.words = self.words, _Known(self._word)
+
+    def one(self, text: str) -> bytes:
+        self.turn()
         parts = self.cut(text)
         return array(self.code, self.whole(text)).tobytes() if parts is None else b"".join(map(self.young.__getitem__, parts))
 
@@ -105,6 +127,64 @@ class ChunkCache:
         return map(self.one, texts)
 
 
+class ColumnCache(ChunkCache):
+    """The same with Arrow, by ``columns`` (``cut`` for a column): a slice of texts is cut and
+    joined there, and Python looks up each distinct chunk of the slice once."""
+
+    def __init__(self, columns: Callable[[pa.Array], tuple[pa.Array, pa.Array]], *args, **kw):
+        super().__init__(*args, **kw)
+        self.columns = columns
+
+    def many(self, texts: Iterable[str]) -> Iterable[bytes]:
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= SLICE:
+                yield from self._slice(held)
+                held, size = [], 0
+        if held:
+            yield from self._slice(held)
+
+    def _slice(self, texts: list[str]) -> Iterator[bytes]:
+        self.turn()
+        whole, chunks = self.columns(pa.array(texts, pa.large_string()))
+        coded = chunks.values.dictionary_encode()
+        ids = pa.array(self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        # The ids of a text's chunks lie side by side in what take gives.
+        _, ends, data = ids.take(coded.indices).buffers()
+        bounds = np.frombuffer(ends, np.int64)[chunks.offsets.to_numpy()].tolist()
+        joined = memoryview(data or b"")
+        for i, uncut in enumerate(whole.to_pylist()):
+            yield array(self.code, self.whole(texts[i])).tobytes() if uncut else joined[bounds[i] : bounds[i + 1]].tobytes()
+
+    def _distinct(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks. A word with marks after it isn't kept beside the word."""
+        young, old, words = self.young, self.old, self.words
+        out = list(map(young.get, chunks))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            chunk = chunks[i]
+            word = chunk.rstrip(punctuation)
+            if len(word) < len(chunk) and word.isalpha():
+                out[i] = young[word] + words[chunk[len(word) :]]
+                continue
+            ids = old.get(chunk)
+            if ids is None:
+                ids = young[chunk]  # encoded now, or with a chunk before
+            else:
+                young[chunk] = ids
+            out[i] = ids
+        return out
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk[:1] in ("\0", "\n"):
+            word = chunk[1:].rstrip(punctuation)
+            if word.isalpha():  # a word without a space before it, and marks
+                marks = chunk[1 + len(word) :]
+                return (self.words["\n"] if chunk[0] == "\n" else b"") + self.words[word] + (self.words[marks] if marks else b"")
+        return super()._chunk(chunk)
+
+
 #: Fixed: how byte-level vocabularies split texts before merging (white space by the Unicode
 #: property), and how the lower-case one with word ends does.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -174,10 +254,11 @@ def library_cache(path: str, spaces: bool) -> ChunkCache:
 
     common.hold("tokens", _CACHES.clear)
     cut, pieces = (spaced, lambda c: split(spaced_source(c))) if spaces else (dropped, lambda c: split(c.lower()))
+    kind = functools.partial(ColumnCache, spaced_column) if spaces else ChunkCache
     if not cuttable(load(path), spaces):
-        cut = uncut
+        cut, kind = uncut, ChunkCache
     width = 2 if t.get_vocab_size(with_added_tokens=True) <= 65536 else 4
-    _CACHES[path, spaces] = ChunkCache(cut, pieces, piece, lambda text: t.encode(text, add_special_tokens=False).ids, " " if spaces else "", width)
+    _CACHES[path, spaces] = kind(cut, pieces, piece, lambda text: t.encode(text, add_special_tokens=False).ids, " " if spaces else "", width)
     return _CACHES[path, spaces]
 
 

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -294,6 +295,33 @@ def test_chunk_caches_equal_the_library(name):
     assert [wordcache.as_u32(x, cache.code).tolist() for x in cache.many(texts)] == library_ids(name, texts)
 
 
+def test_a_column_is_cut_like_its_texts():
+    r = random.Random(4)
+    letters = " \n  ab,é<|\0\x1c\x7f\x85\xa0\xad½ÿ\u2028日"
+    texts = ["".join(r.choice(letters[: r.choice((8, len(letters)))]) for _ in range(r.randrange(9))) for _ in range(5000)] + ["", "a  ", "a \n", "\n\n\n", "<|a"]
+    whole, chunks = wordcache.spaced_column(pa.array(texts, pa.large_string()))
+    assert [None if uncut else cut for uncut, cut in zip(whole.to_pylist(), chunks.to_pylist(), strict=True)] == [wordcache.spaced(t) for t in texts]
+
+
+def test_words_are_encoded_and_looked_up_once(monkeypatch):
+    monkeypatch.setattr(wordcache, "_CACHES", {})
+    monkeypatch.setattr(wordcache, "SLICE", 3000)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeéR") for _ in range(r.randrange(2, 9))) for _ in range(150)]
+    texts = [" ".join(r.choice(words) + r.choice(["", "", ",", ".", "!?", "'%&", "\n"]) for _ in range(300)) for _ in range(12)] + ["", "b" * 70 + ". " + "b" * 70]
+    cache = wordcache.library_cache(tokenizer("byte_bpe_50k.json"), True)
+    pieces, chunks, piece, distinct = [], [], cache.piece, cache._distinct
+    cache.piece = lambda word: pieces.append(word) or piece(word)
+    cache._distinct = lambda some: chunks.append(some) or distinct(some)
+    want = library_ids("byte_bpe_50k.json", texts)
+    assert [wordcache.as_u32(x, cache.code).tolist() for x in cache.many(texts)] == want
+    assert len(chunks) > 5 and all(len(set(some)) == len(some) for some in chunks)
+    short = [p for p in pieces if len(p) <= 64]
+    assert len(set(short)) == len(short)
+    cache.limit = 20  # what is forgotten is encoded again
+    assert [wordcache.as_u32(x, cache.code).tolist() for x in cache.many(texts)] == want
+
+
 @pytest.mark.parametrize(
     "name, changes",
     [
