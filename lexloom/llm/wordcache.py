@@ -63,6 +63,10 @@ def spaced_column(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     return whole, pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", texts.type), flat, none), " ")
 
 
+#: A word and ASCII marks after it, which no split of a byte-level vocabulary takes together.
+_MARKED = r"^(?P<word>\pL+)(?P<marks>[!-/:-@\[-`{-~]+)\z"
+
+
 def spaced_source(chunk: str) -> str:
     """The text that a chunk of ``spaced`` stands for."""
     return chunk[1:] if chunk[:1] == "\0" else chunk if chunk[:1] == "\n" else f" {chunk}"
@@ -150,27 +154,30 @@ class ColumnCache(ChunkCache):
         self.turn()
         whole, chunks = self.columns(pa.array(texts, pa.large_string()))
         coded = chunks.values.dictionary_encode()
-        ids = pa.array(self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
         # The ids of a text's chunks lie side by side in what take gives.
-        _, ends, data = ids.take(coded.indices).buffers()
+        _, ends, data = self._distinct(coded.dictionary).take(coded.indices).buffers()
         bounds = np.frombuffer(ends, np.int64)[chunks.offsets.to_numpy()].tolist()
         joined = memoryview(data or b"")
         for i, uncut in enumerate(whole.to_pylist()):
             yield array(self.code, self.whole(texts[i])).tobytes() if uncut else joined[bounds[i] : bounds[i + 1]].tobytes()
 
-    def _distinct(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks. A word with marks after it isn't kept beside the word."""
-        young, old, words = self.young, self.old, self.words
+    def _distinct(self, chunks: pa.Array) -> pa.Array:
+        """The ids of chunks. A word with marks after it has those of the word and of the marks."""
+        split = pc.extract_regex(chunks, _MARKED)
+        marks = pc.fill_null(pc.struct_field(split, "marks"), "").dictionary_encode()
+        words = pc.coalesce(pc.struct_field(split, "word"), chunks).dictionary_encode()
+        after = pa.array([self.words[m] if m else b"" for m in marks.dictionary.to_pylist()], pa.large_binary()).take(marks.indices)
+        before = pa.array(self._found(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        return pc.binary_join_element_wise(before, after, pa.scalar(b"", pa.large_binary()))
+
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
         out = list(map(young.get, chunks))
         for i in [i for i, ids in enumerate(out) if ids is None]:
             chunk = chunks[i]
-            word = chunk.rstrip(punctuation)
-            if len(word) < len(chunk) and word.isalpha():
-                out[i] = young[word] + words[chunk[len(word) :]]
-                continue
             ids = old.get(chunk)
             if ids is None:
-                ids = young[chunk]  # encoded now, or with a chunk before
+                ids = young[chunk]  # encodes it
             else:
                 young[chunk] = ids
             out[i] = ids

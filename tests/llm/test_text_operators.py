@@ -310,9 +310,9 @@ def test_words_are_encoded_and_looked_up_once(monkeypatch):
     words = ["".join(r.choice("abcdeéR") for _ in range(r.randrange(2, 9))) for _ in range(150)]
     texts = [" ".join(r.choice(words) + r.choice(["", "", ",", ".", "!?", "'%&", "\n"]) for _ in range(300)) for _ in range(12)] + ["", "b" * 70 + ". " + "b" * 70]
     cache = wordcache.library_cache(tokenizer("byte_bpe_50k.json"), True)
-    pieces, chunks, piece, distinct = [], [], cache.piece, cache._distinct
+    pieces, chunks, piece, found = [], [], cache.piece, cache._found
     cache.piece = lambda word: pieces.append(word) or piece(word)
-    cache._distinct = lambda some: chunks.append(some) or distinct(some)
+    cache._found = lambda some: chunks.append(some) or found(some)
     want = library_ids("byte_bpe_50k.json", texts)
     assert [wordcache.as_u32(x, cache.code).tolist() for x in cache.many(texts)] == want
     assert len(chunks) > 5 and all(len(set(some)) == len(some) for some in chunks)
