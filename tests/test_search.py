@@ -300,3 +300,23 @@ def test_pairs_of_a_frequent_key_are_dealt_out(spark):
     assert got.select("a_id", "b_id").distinct().count() == got.count() == 390 * 390 + 10
     held = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(held) > 1 and max(held) < 0.7 * 390 * 390
+
+
+def test_merged_findings_are_judged_once_and_not_shuffled(spark):
+    """Pieces of functions, null keys, ids that occur twice: the pairs of all rows, and no exchange of pairs."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.8)) % 30}" for _ in range(rng.randrange(0, 9)))
+    schema = "id long, function_id string, issue_type string, line_number int, description string"
+    one = lambda i: (i // 2 if i < 20 else i, rng.choice(["f", "f", "f", "g", None]), rng.choice(["t", "u", None]), rng.choice([*range(30), None]), rng.choice([text(), text(), None]))
+    sides = [[one(i) for i in range(150)] for _ in range(2)]
+    want = []
+    for i, f, s, x, p in sides[0]:
+        for j, g, t, y, q in sides[1]:
+            v, w = set((p or "").split()), set((q or "").split())
+            if f == g and (s == t and None not in (x, y) and abs(x - y) <= 1 or f and v and w and len(v & w) / max(len(v), len(w)) > 0.3):
+                want.append((i, j))
+    a, b = (spark.createDataFrame(s, schema) for s in sides)
+    for block in (7, 8192):
+        got = joins.merged_pairs(a, b, reach=1, above=0.3, block=block)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert "hashpartitioning(a_id" not in got._jdf.queryExecution().executedPlan().toString()
