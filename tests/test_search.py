@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -320,3 +321,21 @@ def test_merged_findings_are_judged_once_and_not_shuffled(spark):
         got = joins.merged_pairs(a, b, reach=1, above=0.3, block=block)
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert "hashpartitioning(a_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_are_dealt_out_once_in_a_search_of_all(spark):
+    """Near orthogonal vectors visit nearly all cells; names, other vectors as queries and many copies too."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[:300] = x[0]
+    c = spark.createDataFrame([(f"n{i % 7}-{i}", v.tolist()) for i, v in enumerate(x)], "id string, vec array<float>")
+    ask = spark.createDataFrame([(f"n{i % 7}-{i}", v.tolist()) for i, v in enumerate(x) if i % 3 == 0] + [("new", [1.0] * 16)], "q_id string, q_vec array<float>")
+    names, u = [f"n{i % 7}-{i}" for i in range(900)], x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for q, vectors in ((c.select(F.col("id").alias("q_id"), F.col("vec").alias("q_vec")), dict(zip(names, u))), (ask, dict(zip(names[::3], u[::3])) | {"new": np.full(16, 0.25)})):
+        got = nearest.knn_join(q, c, 4, block=100)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and not re.search(r"Exchange [^\n]*(cell|block)", plan)
+        for r in (rows := got.collect())[::10]:
+            s = np.round(u @ vectors[r["q_id"]], 12)
+            assert r["id"] == sorted((-v, n) for v, n in zip(s, names) if n != r["q_id"])[r["rank"] - 1][1]
+        assert len(rows) == 4 * len(vectors)
